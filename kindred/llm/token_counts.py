@@ -15,6 +15,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -127,7 +128,7 @@ def count_tokens(df: DataFrame, *, text_col: str = "text", id_col: str = "doc_id
             for i, t in enumerate(texts):
                 if t and len(t) > chunk:
                     n[i] = c.huge(t, chunk, overlap)
-            size = pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).cast(pa.int64())
+            size = pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("id"), size, pa.array(n, pa.int64()), pa.array([k > limit for k in n], pa.bool_())], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
 
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
