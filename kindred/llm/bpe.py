@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+import struct
 from collections.abc import Iterator
 from functools import cache
 
@@ -109,6 +110,7 @@ class BytePairCodec:
         self.pool = np.frombuffer(b"".join(by_id), np.uint8)
         self.length = np.array([len(x) for x in by_id], np.int64)
         self.start = np.concatenate([[0], np.cumsum(self.length)[:-1]]).astype(np.int64) if by_id else np.zeros(0, np.int64)
+        self.tokens: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
 
@@ -117,45 +119,59 @@ class BytePairCodec:
         return self.ids[s] if self.keys[s] == piece else None
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token by merges: heap entries are (rank, left end, right end, end of the right part)."""
-        n, ranks = len(piece), self.ranks
-        after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+        """Ids of one pre-token by merges. A heap entry is rank * 2^shift + left end; it is stale if that end's rank has changed."""
+        n, get = len(piece), self.ranks.get
+        shift = n.bit_length()
+        mask = (1 << shift) - 1
+        rank = [get(piece[i : i + 2], -1) for i in range(n)]  # of the part that starts at i with the next part
+        rank[n - 1] = -1
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [r << shift | i for i, r in enumerate(rank) if r >= 0]
         heapq.heapify(heap)
         while heap:
-            _, i, j, stop = heapq.heappop(heap)
-            if end[i] != j or j >= n or end[j] != stop:  # one of the two parts has changed since
+            entry = heapq.heappop(heap)
+            i = entry & mask
+            if rank[i] != entry >> shift:
                 continue
-            end[i], end[j] = stop, -1
-            nxt = after[i] = after[j]
-            if nxt < n:
-                before[nxt] = i
-                if (r := ranks.get(piece[i : end[nxt]])) is not None:
-                    heapq.heappush(heap, (r, i, nxt, end[nxt]))
-            if (p := before[i]) >= 0 and (r := ranks.get(piece[p:stop])) is not None:
-                heapq.heappush(heap, (r, p, i, stop))
+            j = after[i]
+            end = after[i] = after[j]
+            rank[i] = rank[j] = -1
+            if end < n:
+                before[end] = i
+                rank[i] = r = get(piece[i : after[end]], -1)
+                if r >= 0:
+                    heapq.heappush(heap, r << shift | i)
+            p = before[i]
+            if p >= 0:
+                rank[p] = r = get(piece[p:end], -1)
+                if r >= 0:
+                    heapq.heappush(heap, r << shift | p)
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i : end[i]]])
+            out.append(self.ranks[piece[i : after[i]]])
             i = after[i]
         return out
 
-    def _unit(self, unit: str) -> bytes:
-        ids: list[int] = []
-        for token in self.pattern.findall(unit):
+    def _token(self, token: str) -> bytes:
+        found = self.tokens.get(token)
+        if found is None:
             piece = token.encode()
-            found = self.whole(piece)
-            ids.extend(self.merge(piece) if found is None else (found,))
-        return np.array(ids, "<i4").tobytes()
+            one = self.whole(piece)
+            ids = self.merge(piece) if one is None else (one,)
+            found = self.tokens[token] = struct.pack(f"<{len(ids)}i", *ids)
+        return found
+
+    def _unit(self, unit: str) -> bytes:
+        return b"".join(map(self._token, self.pattern.findall(unit)))
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian 32-bit integers."""
         if not text:
             return b""
         words = GAP.split(text) if AWKWARD.search(text) else text.split(" ")
-        if len(self.later) > MEMO or len(self.first) > MEMO:
-            self.later.clear()
-            self.first.clear()
+        for memo in (self.tokens, self.first, self.later):
+            if len(memo) > MEMO:
+                memo.clear()
         first, later = self.first, self.later
         head = first.get(words[0])
         if head is None:
@@ -164,7 +180,7 @@ class BytePairCodec:
         try:
             return head + b"".join(map(later.__getitem__, words))
         except KeyError:
-            for w in set(words) - later.keys():
+            for w in {w for w in words if w not in later}:
                 later[w] = self._unit(" " + w)
             return head + b"".join(map(later.__getitem__, words))
 

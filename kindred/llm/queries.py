@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import bpe, line_dedup, mixing, token_counts
+from kindred.llm import bpe, language_id, line_dedup, mixing, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,11 +16,30 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = language_id.identify(docs, language_id.fit(docs), declared=language_id.declared_in(F.col("text")), host=F.col("source"))
+    return out.select("doc_id", "language", F.round("confidence", 6).alias("confidence"), "accepted")
+
+
+def pages_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator over web pages, which have addresses and markup."""
+    html = F.col("html")
+    out = language_id.identify(
+        table(spark, sf_dir, "pages"), language_id.fit(table(spark, sf_dir, "documents")), id_col="page_id", text=language_id.visible(html), declared=language_id.declared_in(html), host=language_id.host_of(F.col("url"))
+    )
+    return out.select("page_id", "language", F.round("confidence", 6).alias("confidence"), "accepted")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_common_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.roundtrip(table(spark, sf_dir, "pages"), min_payload_bytes=0)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -33,7 +52,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_mix_sources": op3_mix_sources,
+    "op4_language_id": op4_language_id,
+    "pages_language": pages_language,
     "op5_line_dedup": op5_line_dedup,
+    "op6_warc_revisits": op6_warc_revisits,
     "op7_token_counts": op7_token_counts,
     "op10_byte_bpe": op10_byte_bpe,
 }
@@ -72,3 +94,13 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(g, 0)::BIGINT AS n_
 """
 
 ORACLES = {"op3_mix_sources": MIX_SQL, "op5_line_dedup": LINE_SQL}
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages),
+d AS (SELECT page_id, payload_bytes, list_aggregate(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(x, ((k // 4) * 5 + 1)::INT, 5))::INTEGER >> (5 * (3 - k % 4))::INTEGER) & 31) + 1, 1)), 'string_agg', '') AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM f
+"""
+ORACLES["op6_warc_revisits"] = WARC_SQL

@@ -64,7 +64,7 @@ class Counting:
         if len(self.memo) > MEMO:
             self.memo.clear()
         memo = self.memo
-        new = list(set().union(*bags) - memo.keys())
+        new = [w for w in set().union(*bags) if w not in memo]
         for k in range(0, len(new), 20_000):
             part = new[k : k + 20_000]
             memo.update(zip(part, self.many([" " + w for w in part]), strict=True))
