@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import bpe, language_id, line_dedup, mixing, token_counts, warc
+from kindred.llm import bpe, language_id, line_dedup, minhash_dedup, mixing, substring_dedup, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.drop_repeats(table(spark, sf_dir, "documents"), window=50)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -44,6 +49,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4, percent=80)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
     ids = F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")
@@ -51,12 +60,14 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op3_mix_sources": op3_mix_sources,
     "op4_language_id": op4_language_id,
     "pages_language": pages_language,
     "op5_line_dedup": op5_line_dedup,
     "op6_warc_revisits": op6_warc_revisits,
     "op7_token_counts": op7_token_counts,
+    "op8_minhash_dedup": op8_minhash_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
 

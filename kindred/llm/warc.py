@@ -27,12 +27,11 @@ RECORDS = 5_000
 def base32_sha1(payload: Column) -> Column:
     """Upper-case base32 SHA-1: every 5 hexadecimal digits give 4 letters."""
     digest = F.sha1(payload)
-    fives = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.conv(F.substring(digest, k * 5 + 1, F.lit(5)), 16, 10).cast("int"))
-    letters = F.transform(
-        F.sequence(F.lit(0), F.lit(31)),
-        lambda k: F.substring(F.lit(ALPHABET), (F.element_at(fives, F.floor(k / 4).cast("int") + 1) / F.pow(F.lit(32), 3 - k % 4)).cast("int") % 32 + 1, F.lit(1)),
-    )
-    return F.array_join(letters, "")
+    letters = []
+    for k in range(0, 40, 5):
+        five = F.conv(F.substring(digest, k + 1, 5), 16, 10).cast("int")
+        letters += [F.substring(F.lit(ALPHABET), F.shiftright(five, bits).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for bits in (15, 10, 5, 0)]
+    return F.concat(*letters)
 
 
 def record_id(page_id: Column, digest: Column) -> Column:
