@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a side may be broadcast, after its rows were counted.
 BROADCAST_ROWS = 2_000
+#: Narrow rows that one task reads of a packed table at most.
+PACK = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,10 +30,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut by a reliable checkpoint in the shared folder."""
+def cut(df: DataFrame, pack: int = 0) -> DataFrame:
+    """The same rows with their lineage cut by a reliable checkpoint in the shared folder.
+
+    With `pack` (for narrow rows), later stages read them in as few tasks as hold `pack` rows each, so small tables of many
+    partitions do not leave a shuffle file for every pair of tasks.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    return out.coalesce(max(1, -(-out.count() // pack))) if pack else out
+
+
+def written(df: DataFrame) -> DataFrame:
+    """As `cut`, but as a compressed table in the shared folder: for many rows."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -63,19 +79,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     different names, so the graph shrinks until no edge is left. Only counts reach the driver. Nulls are not edges.
     """
     e = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct()
-    e = cut(e)
+    e = cut(e, PACK)
     labels = None
     while not e.isEmpty():
         ends = e.select(F.explode(F.array(F.struct(F.col("a").alias("n"), F.col("a").alias("m")), F.struct(F.col("b").alias("n"), F.col("a").alias("m")))).alias("x")).select("x.*")
-        low = cut(ends.groupBy("n").agg(F.min("m").alias("m")))
+        low = cut(ends.groupBy("n").agg(F.min("m").alias("m")), PACK)
         if labels is None:
             labels = low.select(F.col("n").alias("id"), F.col("m").alias("component"))
         else:
             # ids whose name is still on an edge move on; the others are done
             labels = labels.join(low, labels["component"] == low["n"], "left").select("id", F.coalesce("m", "component").alias("component"))
-        labels = cut(labels)
+        labels = cut(labels, PACK)
         step = e.join(low.select(F.col("n").alias("a"), F.col("m").alias("ma")), "a").join(low.select(F.col("n").alias("b"), F.col("m").alias("mb")), "b")
-        e = cut(step.select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")).where("a < b").distinct())
+        e = cut(step.select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")).where("a < b").distinct(), PACK)
     if labels is None:
         return e.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return labels

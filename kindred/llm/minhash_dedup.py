@@ -16,16 +16,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import components, cut, sliced
+from kindred.llm.common import PACK, components, cut, sliced
 from kindred.llm.text_hash import mixed, shingles, words
 
 #: At similarity 0.8 a pair shares no band with probability (1 - 0.8^5)^28 = 1.5e-5.
 BANDS, ROWS, SKETCH_BITS = 28, 5, 256
 #: Estimates this far under the threshold are still checked: four standard errors of the samples and the bitmap.
 SLACK = 0.15
-ROUNDS = 3
-#: Buckets up to this size are compared by a join, larger ones in blocks of this size by NumPy.
-BLOCK = 256
+ROUNDS = 2
+#: Buckets up to this size are compared by a join, larger ones in blocks of twenty times that by NumPy.
+BLOCK = 48
 
 
 def samples(sets: list[np.ndarray], n: int) -> np.ndarray:
@@ -114,8 +114,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
 
 
 def _blocks(member: DataFrame, most: float) -> DataFrame:
-    """Candidate pairs of large buckets (key, id, comp, sketch, n): blocks of about BLOCK members meet pairwise, counted by NumPy."""
-    parts = F.ceil(F.col("n") / (4 * BLOCK)).cast("int")
+    """Candidate pairs of large buckets (key, id, comp, sketch, n): blocks of about 20 * BLOCK members meet pairwise, counted by NumPy."""
+    parts = F.ceil(F.col("n") / (20 * BLOCK)).cast("int")
     own = member.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     met = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", "sketch")
@@ -146,8 +146,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = cut(full.groupBy("key").agg(F.min("id").alias("cls"), F.min_by(F.struct("bands", "sketch"), "id").alias("x")).select("key", "cls", "x.*"))
     banded = classes.select(F.col("cls").alias("id"), F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    member = cut(banded.join(cut(shared), "key").select("key", "id").distinct())
-    sketch = cut(classes.join(member.select("id").distinct(), classes["cls"] == F.col("id")).select("id", "sketch").groupBy("id").agg(F.first("sketch").alias("sketch")))
+    member = cut(banded.join(cut(shared, PACK), "key").select("key", "id").distinct(), PACK)
+    sketch = cut(classes.join(member.select("id").distinct(), classes["cls"] == F.col("id")).select("id", "sketch").groupBy("id").agg(F.first("sketch").alias("sketch")), PACK)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null").join(sketch.select("id"), "id", "left_semi")
     texts = cut(texts.groupBy("id").agg(F.max("text").alias("text")))
     most = most_differing(percent / 100 - SLACK)
@@ -156,22 +156,22 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def now() -> DataFrame:
         """Members with their component, of buckets that still hold several."""
         m = member.withColumn("comp", F.col("id")) if comp is None else member.join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-        m = cut(m)
+        m = cut(m, PACK)
         several = m.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("key", "n")
-        return cut(m.join(cut(several), "key"))
+        return cut(m.join(cut(several, PACK), "key"), PACK)
 
     def test(pairs: DataFrame) -> bool:
         """Checks new pairs (a < b); the components change if any link was found."""
         nonlocal comp, links, tested
         pairs = pairs.distinct() if tested is None else pairs.distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
+        pairs = cut(pairs, PACK)
         tested = pairs if tested is None else tested.unionByName(pairs)
         near = pairs.join(sketch.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
-        near = cut(near.where(_close("sa", "sb", most)).select("a", "b"))
-        found = cut(confirm(near, texts, shingle_words, percent))
+        near = cut(near.where(_close("sa", "sb", most)).select("a", "b"), PACK)
+        found = cut(confirm(near, texts, shingle_words, percent), PACK)
         if found.isEmpty():
             return False
-        links = found if links is None else cut(links.unionByName(found))
+        links = found if links is None else links.unionByName(found)
         comp = components(links)
         return True
 
@@ -179,7 +179,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     for r in range(ROUNDS):
         if m.isEmpty():
             break
-        lead = cut(m.groupBy("key").agg(F.min_by(F.struct("id", "comp"), F.col("id") if r == 0 else F.xxhash64("id", F.lit(r))).alias("lead")))
+        lead = cut(m.groupBy("key").agg(F.min_by(F.struct("id", "comp"), F.col("id") if r == 0 else F.xxhash64("id", F.lit(r))).alias("lead")), PACK)
         pairs = m.join(lead, "key").where("comp <> lead.comp").select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b"))
         if test(pairs):
             m = now()

@@ -15,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import cut, sliced
+from kindred.llm.common import cut, sliced, small_side, written
 from kindred.llm.text_hash import U, mixed, spans, sums, words
 
 #: Words of an anchor.
 SEED = 16
+#: Ids up to which documents that need extension are picked before their texts are shuffled.
+FEW = 200_000
 SECOND = 0xC2B2AE3D27D4EB4F
 
 
@@ -89,17 +91,17 @@ def windows_of(parts: DataFrame, window: int) -> DataFrame:
 def repeats(docs: DataFrame, window: int, seed: int) -> DataFrame:
     """(id, at): packed first and last start of windows that also start in a document of smaller id. `docs` has (id, text)."""
     occ = seeds(docs, window, seed)
-    stretch = occ.groupBy("anchor", "context").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-    stretch = cut(stretch)
-    # an anchor of one context in one document seeds nothing; extension starts from the others
-    anchors = stretch.groupBy("anchor").agg(F.min("first").alias("lo"), F.max("last").alias("hi"), (F.count(F.lit(1)) > 1).alias("differ")).where("lo < hi")
-    live = cut(stretch.join(cut(anchors.select("anchor", "differ")), "anchor").select("anchor", "context", "first", "differ"))
-    met = cut(occ.join(live, ["anchor", "context"]).select("id", "at", "first", "differ"))
+    # an anchor of one document seeds nothing
+    anchors = occ.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), (F.min("context") != F.max("context")).alias("differ")).where("lo < hi").select("anchor", "differ")
+    live = written(occ.join(written(anchors), "anchor"))
+    first = cut(live.groupBy("anchor", "context").agg(F.min("id").alias("first")))
+    met = live.join(first, ["anchor", "context"]).where("differ or id > first").select("id", "at", "first")
+    met = written(met)
     whole = met.where("id > first").select("id", "at")
     # one document of each context stands for it where contexts differ
-    apart = met.where("differ and id = first").groupBy("id").agg(F.collect_set("at").alias("at"))
-    one = docs.where("text is not null")
-    w = cut(windows_of(one.join(cut(apart), "id"), window).distinct())
+    apart = cut(met.where("id = first").groupBy("id").agg(F.collect_set("at").alias("at")))
+    some = docs.where("text is not null").join(small_side(apart.select("id"), FEW), "id", "left_semi")
+    w = written(windows_of(some.join(apart, "id"), window))
     least = cut(w.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last"))
     single = w.join(least, ["h1", "h2"]).where("id > first").select("id", F.shiftleft("start", 31).bitwiseOR(F.col("start")).alias("at"))
     return whole.unionByName(single)
