@@ -76,7 +76,7 @@ def _block_links(p: pd.DataFrame, least: float, shared: int) -> pd.DataFrame:
     a, b = np.nonzero(x @ y.T >= least)
     if same:
         a, b = a[a < b], b[a < b]
-    px, py, own = np.stack(left.prefix.to_list()), np.stack(right.prefix.to_list()), p.pivot.iloc[0]
+    px, py, own = np.stack(left.prefix.to_list()), np.stack(right.prefix.to_list()), p["pivot"].iloc[0]
     good = np.zeros(len(a), bool)
     for k in range(0, len(a), 50_000):
         u, w = px[a[k : k + 50_000]], py[b[k : k + 50_000]]
