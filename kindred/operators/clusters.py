@@ -16,20 +16,25 @@ WEAK_CAP = 50
 def components(edges: DataFrame) -> DataFrame:
     """(item_id, label) of every item on an edge (i, j): the smallest id it is connected with.
 
-    Every round gives each item the smallest label around it and contracts; counts alone reach the driver.
+    Every round gives each item the label of smallest seeded hash around it and contracts, so chains shrink by a constant
+    factor too; counts alone reach the driver.
     """
     e = cut(edges.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).where("i < j").distinct())
-    labels = None
+    labels, turn = None, 0
     while not e.isEmpty():
+        turn += 1
         both = e.select("i", F.col("i").alias("m")).union(e.select("j", "i"))
-        low = cut(both.groupBy(F.col("i").alias("n")).agg(F.min("m").alias("m")))
+        low = cut(both.groupBy(F.col("i").alias("n")).agg(F.min(F.struct(F.xxhash64("m", F.lit(turn)).alias("h"), "m")).alias("x")).select("n", F.col("x.m").alias("m")))
         if labels is None:
             labels = low.select(F.col("n").alias("item_id"), F.col("m").alias("label"))
         else:
             labels = cut(labels.join(low, labels["label"] == low["n"], "left").select("item_id", F.coalesce("m", "label").alias("label")))
         x, y = low.select(F.col("n").alias("i"), F.col("m").alias("a")), low.select(F.col("n").alias("j"), F.col("m").alias("b"))
         e = cut(e.join(x, "i").join(y, "j").select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")).where("i < j").distinct())
-    return labels if labels is not None else e.select(F.col("i").alias("item_id"), F.col("j").alias("label"))
+    if labels is None:
+        return e.select(F.col("i").alias("item_id"), F.col("j").alias("label"))
+    least = cut(labels.groupBy("label").agg(F.min("item_id").alias("least")))
+    return labels.join(least, "label").select("item_id", F.col("least").alias("label"))
 
 
 def constrained_clusters(items: DataFrame, edges: DataFrame, threshold: float, ratio: float = 0.7, cap: int = WEAK_CAP) -> DataFrame:
