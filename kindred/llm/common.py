@@ -75,15 +75,17 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, budget: int = 8 << 20
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected `edges`: (id, component), component being the smallest id reachable.
 
-    Each round renames every node to the smallest of itself and its neighbours and keeps the distinct edges between
-    different names, so the graph shrinks until no edge is left. Only counts reach the driver. Nulls are not edges.
+    Each round renames every node to that of itself and its neighbours whose seeded hash is smallest and keeps the distinct
+    edges between different names; the random order lets chains, too, shrink by a constant factor. When no edge is left, the
+    smallest id of each name is its component. Only counts reach the driver. Nulls are not edges.
     """
     e = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct()
     e = cut(e, PACK)
-    labels = None
+    labels, turn = None, 0
     while not e.isEmpty():
+        turn += 1
         ends = e.select(F.explode(F.array(F.struct(F.col("a").alias("n"), F.col("a").alias("m")), F.struct(F.col("b").alias("n"), F.col("a").alias("m")))).alias("x")).select("x.*")
-        low = cut(ends.groupBy("n").agg(F.min("m").alias("m")), PACK)
+        low = cut(ends.groupBy("n").agg(F.min(F.struct(F.xxhash64("m", F.lit(turn)).alias("h"), "m")).alias("x")).select("n", F.col("x.m").alias("m")), PACK)
         if labels is None:
             labels = low.select(F.col("n").alias("id"), F.col("m").alias("component"))
         else:
@@ -94,4 +96,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         e = cut(step.select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")).where("a < b").distinct(), PACK)
     if labels is None:
         return e.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    return labels
+    least = labels.groupBy("component").agg(F.min("id").alias("least"))
+    return cut(labels.join(cut(least, PACK), "component").select("id", F.col("least").alias("component")), PACK)
