@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm import bpe, language_id, line_dedup, minhash_dedup, mixing
-from kindred.llm.common import written
+from kindred.llm.common import cut
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -60,5 +60,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = written(docs)
+            docs = cut(docs)
     return docs

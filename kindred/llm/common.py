@@ -1,4 +1,4 @@
-"""Helpers shared by the operators: lineage cuts, size-checked broadcasts, Arrow slicing, connected components."""
+"""Helpers shared by the operators: lineage cuts by tables, size-checked broadcasts, Arrow slicing, connected components."""
 
 from __future__ import annotations
 
@@ -31,26 +31,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, pack: int = 0) -> DataFrame:
-    """The same rows with their lineage cut by a reliable checkpoint in the shared folder.
+    """The same rows with their lineage cut by a compressed table in the shared folder.
 
-    With `pack` (for narrow rows), later stages read them in as few tasks as hold `pack` rows each, so small tables of many
-    partitions do not leave a shuffle file for every pair of tasks.
+    Unlike a checkpoint's, its plan has none of the constraints that Catalyst infers, which iterations let grow without end,
+    and its last stage runs once. With `pack` (for narrow rows), later stages read it in as few tasks as hold `pack` rows each,
+    so small tables of many partitions do not leave a shuffle file for every pair of tasks. The tables stay until the folder
+    is cleared: results are lazy and may still read them.
     """
-    shared_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    return out.coalesce(max(1, -(-out.count() // pack))) if pack else out
-
-
-def written(df: DataFrame) -> DataFrame:
-    """As `cut`, but as a compressed table in the shared folder: for many rows."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    return out.coalesce(max(1, -(-out.count() // pack))) if pack else out
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` (checkpointed) with a broadcast hint if a count shows at most `rows` rows, else as it is (shuffle join)."""
+    """`df` (a table) with a broadcast hint if a count shows at most `rows` rows, else as it is (shuffle join)."""
     return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).collect()) <= rows else df
 
 

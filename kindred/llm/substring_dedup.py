@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import cut, sliced, small_side, written
+from kindred.llm.common import cut, sliced, small_side
 from kindred.llm.text_hash import U, mixed, spans, sums, words
 
 #: Words of an anchor.
@@ -93,15 +93,15 @@ def repeats(docs: DataFrame, window: int, seed: int) -> DataFrame:
     occ = seeds(docs, window, seed)
     # an anchor of one document seeds nothing
     anchors = occ.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), (F.min("context") != F.max("context")).alias("differ")).where("lo < hi").select("anchor", "differ")
-    live = written(occ.join(written(anchors), "anchor"))
+    live = cut(occ.join(cut(anchors), "anchor"))
     first = cut(live.groupBy("anchor", "context").agg(F.min("id").alias("first")))
     met = live.join(first, ["anchor", "context"]).where("differ or id > first").select("id", "at", "first")
-    met = written(met)
+    met = cut(met)
     whole = met.where("id > first").select("id", "at")
     # one document of each context stands for it where contexts differ
     apart = cut(met.where("id = first").groupBy("id").agg(F.collect_set("at").alias("at")))
     some = docs.where("text is not null").join(small_side(apart.select("id"), FEW), "id", "left_semi")
-    w = written(windows_of(some.join(apart, "id"), window))
+    w = cut(windows_of(some.join(apart, "id"), window))
     least = cut(w.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last"))
     single = w.join(least, ["h1", "h2"]).where("id > first").select("id", F.shiftleft("start", 31).bitwiseOR(F.col("start")).alias("at"))
     return whole.unionByName(single)
