@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows behind a reliable checkpoint in spark.checkpoint.dir (a temporary folder where that is unset)."""
-    sc = df.sparkSession.sparkContext
+    """The same rows behind a table in the folder of spark.checkpoint.dir (a temporary one where that is unset).
+
+    A checkpoint would carry the constraints that Catalyst infers on to the next round, where they grow without end.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
