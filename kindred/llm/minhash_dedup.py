@@ -24,8 +24,10 @@ BANDS, ROWS, SKETCH_BITS = 28, 5, 256
 #: Estimates this far under the threshold are still checked: four standard errors of the samples and the bitmap.
 SLACK = 0.15
 ROUNDS = 2
-#: Buckets up to this size are compared by a join, larger ones in blocks of twenty times that by NumPy.
+#: Buckets up to this size are compared by a join, larger ones in blocks by NumPy.
 BLOCK = 48
+#: Members of a block, and bytes of their sets, at most on average.
+MEET, MEET_BYTES = 4096, 16 << 20
 
 
 def samples(sets: list[np.ndarray], n: int) -> np.ndarray:
@@ -113,22 +115,57 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     return full.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _blocks(member: DataFrame, most: float) -> DataFrame:
-    """Candidate pairs of large buckets (key, id, comp, sketch, n): blocks of about 20 * BLOCK members meet pairwise, counted by NumPy."""
-    parts = F.ceil(F.col("n") / (20 * BLOCK)).cast("int")
-    own = member.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+def whole_sets(texts: DataFrame, k: int) -> DataFrame:
+    """(id, size, hashes binary) of `texts` (id, text): the hashes of each whole shingle set, sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in sliced([batch], "text", 2 << 20):
+                h, _, _, bound, _ = words([t.encode().lower() for t in b.column("text").to_pylist()])
+                sets = [shingles(h[bound[i] : bound[i + 1]], k) for i in range(b.num_rows)]
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "size", "hashes"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, size long, hashes binary")
+
+
+def _blocks(member: DataFrame, sets: DataFrame, most: float, percent: int) -> DataFrame:
+    """Links (a, b) inside large buckets (key, id, comp, sketch): blocks of members meet pairwise, with their whole sets.
+
+    Pairs whose sketches are near are checked on the sets at once. Of the links between two components a task returns one, so
+    rows stay in proportion to members; candidates never become rows.
+    """
+    full = member.join(sets, "id")
+    parts = full.groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / MEET, F.sum("size") * 8 / MEET_BYTES)).cast("int").alias("parts"))
+    own = full.join(cut(parts, PACK), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", "sketch")
+    met = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", "sketch", "size", "hashes")
 
     def compare(p: pd.DataFrame) -> pd.DataFrame:
-        out = []
         left, right = p[p.own == p.i.iloc[0]], p[p.own == p.j.iloc[0]]
-        y = np.stack(right.sketch.to_list()).view(np.uint64) if len(right) else np.zeros((0, 4), np.uint64)
-        yi, yc = right.id.to_numpy(), right.comp.to_numpy()
-        for i, c, s in zip(left.id, left.comp, left.sketch, strict=True):
-            d = np.bitwise_count(y ^ np.asarray(s).view(np.uint64)).sum(axis=1)
-            hit = yi[(d <= most) & (yc != c)]
-            out += [(min(i, z), max(i, z)) for z in hit]
+        out: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            odd, ids, size = np.stack(right.sketch.to_list()).view(np.uint64), right.id.to_numpy(), right["size"].to_numpy()
+            terms, codes = np.unique(np.frombuffer(b"".join(right.hashes), np.uint64), return_inverse=True)
+            start, mark = np.cumsum(size) - size, np.zeros(len(terms), np.int64)
+            # components are renamed as links are found, on both sides
+            lc, rc = left.comp.to_numpy(copy=True), right.comp.to_numpy(copy=True)
+            for r, (i, s, h) in enumerate(zip(left.id, left.sketch, left.hashes, strict=True)):
+                near = np.flatnonzero((np.bitwise_count(odd ^ np.asarray(s).view(np.uint64)).sum(axis=1) <= most) & (rc != lc[r]))
+                if not len(near):
+                    continue
+                x = np.frombuffer(h, np.uint64)
+                at = np.minimum(np.searchsorted(terms, x), len(terms) - 1)
+                at = at[terms[at] == x]
+                mark[at] = 1
+                n = size[near]
+                first = np.cumsum(n) - n
+                both = np.add.reduceat(mark[codes[np.repeat(start[near] - first, n) + np.arange(n.sum())]], first)
+                mark[at] = 0
+                good = near[100 * both >= percent * (len(x) + n - both)]
+                for c, one in zip(*np.unique(rc[good], return_index=True), strict=True):
+                    out.append((min(i, ids[good[one]]), max(i, ids[good[one]])))
+                    own = lc[r]
+                    lc[lc == c], rc[rc == c] = own, own
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return met.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
@@ -160,15 +197,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         several = m.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("key", "n")
         return cut(m.join(cut(several, PACK), "key"), PACK)
 
-    def test(pairs: DataFrame) -> bool:
-        """Checks new pairs (a < b); the components change if any link was found."""
+    def test(pairs: DataFrame, more: DataFrame | None = None) -> bool:
+        """Checks new pairs (a < b), and takes `more` links; the components change if any link was found."""
         nonlocal comp, links, tested
         pairs = pairs.distinct() if tested is None else pairs.distinct().join(tested, ["a", "b"], "left_anti")
         pairs = cut(pairs, PACK)
         tested = pairs if tested is None else tested.unionByName(pairs)
         near = pairs.join(sketch.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
         near = cut(near.where(_close("sa", "sb", most)).select("a", "b"), PACK)
-        found = cut(confirm(near, texts, shingle_words, percent), PACK)
+        found = confirm(near, texts, shingle_words, percent)
+        found = cut(found if more is None else found.unionByName(more), PACK)
         if found.isEmpty():
             return False
         links = found if links is None else links.unionByName(found)
@@ -187,8 +225,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         little = m.where(F.col("n") <= BLOCK)
         x, y = little.select("key", F.col("id").alias("a"), F.col("comp").alias("ca")), little.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"))
         rest = x.join(y, "key").where("a < b and ca <> cb").select("a", "b")
-        large = m.where(F.col("n") > BLOCK).join(sketch, "id")
-        test(rest.unionByName(_blocks(large, most)))
+        large = cut(m.where(F.col("n") > BLOCK).join(sketch, "id"))
+        sets = cut(whole_sets(texts.join(large.select("id").distinct(), "id", "left_semi"), shingle_words))
+        test(rest, _blocks(large, sets, most, percent))
     ends = classes.select("key", "cls")
     ends = ends.withColumn("component_id", F.col("cls")) if comp is None else ends.join(comp, ends["cls"] == comp["id"], "left").select("key", F.coalesce("component", "cls").alias("component_id"))
     by_key = cut(ends.select("key", "component_id"))
