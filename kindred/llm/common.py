@@ -47,7 +47,7 @@ def cut(df: DataFrame, pack: int = 0) -> DataFrame:
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """`df` (a table) with a broadcast hint if a count shows at most `rows` rows, else as it is (shuffle join)."""
-    return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).collect()) <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def word_count(text: str | Column) -> Column:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import PACK, components, cut, sliced
+from kindred.llm.common import PACK, components, cut, sliced, small_side
 from kindred.llm.text_hash import mixed, shingles, words
 
 #: At similarity 0.8 a pair shares no band with probability (1 - 0.8^5)^28 = 1.5e-5.
@@ -28,6 +28,8 @@ ROUNDS = 2
 BLOCK = 48
 #: Members of a block, and bytes of their sets, at most on average.
 MEET, MEET_BYTES = 4096, 16 << 20
+#: Ids up to which those whose texts are needed may be broadcast, after a count; beyond it, texts are shuffled to them.
+BROADCAST_IDS = 500_000
 
 
 def samples(sets: list[np.ndarray], n: int) -> np.ndarray:
@@ -185,7 +187,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     member = cut(banded.join(cut(shared, PACK), "key").select("key", "id").distinct(), PACK)
     sketch = cut(classes.join(member.select("id").distinct(), classes["cls"] == F.col("id")).select("id", "sketch").groupBy("id").agg(F.first("sketch").alias("sketch")), PACK)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null").join(sketch.select("id"), "id", "left_semi")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null").join(small_side(sketch.select("id"), BROADCAST_IDS), "id", "left_semi")
     texts = cut(texts.groupBy("id").agg(F.max("text").alias("text")))
     most = most_differing(percent / 100 - SLACK)
     comp, links, tested = None, None, None
