@@ -164,3 +164,29 @@ def test_vectors_find_links_and_neighbours(spark):
         d = np.linalg.norm(y - x[i], axis=1)
         best = [ids[k] for k in np.lexsort((ids, d)) if ids[k] != i][:10]
         assert len({r.vec_id for r in found if r.query_id == i} & set(best)) >= 9
+
+
+def test_large_buckets_equal_brute_force_in_blocks(spark, monkeypatch):
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(60)]
+    docs = []
+    for i in range(120):  # copies of one text, most of them too far from each other to link
+        w = list(base)
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        docs.append((i, " ".join(w)))
+    sets = [{tuple(t.split()[k : k + 4]) for k in range(57)} for _, t in docs]
+    root = list(range(120))
+    for a in range(120):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                lo, hi = sorted((root[a], root[b]))
+                root = [lo if r == hi else r for r in root]
+    assert 1 < len(set(root)) < 120
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    for block, meet, ids in ((1, 8, 500_000), (1, 4096, 0)):
+        monkeypatch.setattr(minhash_dedup, "BLOCK", block)
+        monkeypatch.setattr(minhash_dedup, "MEET", meet)
+        monkeypatch.setattr(minhash_dedup, "BROADCAST_IDS", ids)
+        got = minhash_dedup.near_duplicates(table, shingle_words=4).collect()
+        assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root))
