@@ -3,8 +3,8 @@
 The graph starts from groups around reference points. Each round, a join brings every vector's neighbours and some reverse
 neighbours together, and those meet each other: a neighbour of a neighbour is likely a neighbour. A query walks the graph
 from its own vector: each hop joins the best candidates not yet visited with their neighbours, all queries at once, until
-no candidate among the best `beam` is left to visit. Graph distances use half-precision vectors; results are ranked by the
-original vectors in double precision. Equal vectors are one node.
+no candidate among the best `beam` is left to visit. Graph distances are of the vectors as given, in double precision, so
+neither outliers nor near copies drown others; results are ranked by the vectors too. Equal vectors are one node.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from kindred.llm.common import cut
 from kindred.llm.embedding_dedup import matrix, reference_points, unit, usable
@@ -24,30 +25,48 @@ NEIGHBOURS, REVERSE, ROUNDS = 24, 24, 2
 #: Of a start group, so many meet; larger groups are split.
 GROUP = 512
 BEAM, HOPS = 600, 14
-LIST = "id long, near array<long>, d array<float>"
+LIST = "id long, near array<long>, d array<double>"
+#: Squared distances under this share of the squared norms are taken from differences, as the dot product cancels there.
+CANCELS = 2.0**-20
+#: Relative error, in squared distance, that two orders of summation differ by at most: for each component.
+ORDER_ERROR = 2.0**-50
 
 
-def halves(nodes: DataFrame) -> DataFrame:
-    """(id, q): vectors over their common largest component, as half-precision bytes."""
-    top = nodes.agg(F.max(F.array_max(F.transform("v", F.abs)))).collect()[0][0] or 1.0
+def packed(nodes: DataFrame) -> DataFrame:
+    """(id, q): vectors as bytes, of float32 if they are floats (without rounding), else of float64."""
+    kind = width(nodes.schema["v"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            m = (matrix(b.column("v")) / top).astype(np.float16)
+            m = matrix(b.column("v")).astype(kind)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([x.tobytes() for x in m], pa.binary())], names=["id", "q"])
 
     return nodes.select("id", "v").mapInArrow(run, "id long, q binary")
 
 
-def _rows(q: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(q), np.float16).reshape(len(q), -1).astype(np.float32)
+def width(vector: ArrayType) -> str:
+    return "<f4" if isinstance(vector.elementType, FloatType) else "<f8"
 
 
-def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T, 0)
+def _rows(q: list[bytes], kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(q), kind).reshape(len(q), -1).astype(np.float64)
 
 
-def meet(groups: DataFrame, most: int) -> DataFrame:
+def _squares(x: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows, NaN of a row to itself; close pairs by differences."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        n = (x * x).sum(1)
+        both = n[:, None] + n
+        d = both - 2 * x @ x.T
+        a, b = np.nonzero(~(d > CANCELS * both))
+        for k in range(0, len(a), 16384):
+            i, j = a[k : k + 16384], b[k : k + 16384]
+            d[i, j] = ((x[i] - x[j]) ** 2).sum(1)
+    np.fill_diagonal(d, np.nan)
+    return d
+
+
+def meet(groups: DataFrame, most: int, kind: str) -> DataFrame:
     """LIST rows: for each member of a group (members array<struct<id, q>>), its `most` nearest other members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,15 +77,13 @@ def meet(groups: DataFrame, most: int) -> DataFrame:
                     if len(members) < 2:
                         continue
                     i = np.array([m["id"] for m in members])
-                    x = _rows([m["q"] for m in members])
-                    d = _squares(x, x)
-                    np.fill_diagonal(d, np.inf)
+                    d = _squares(_rows([m["q"] for m in members], kind))
                     n = min(most, len(i) - 1)
                     at = np.argpartition(d, n - 1, axis=1)[:, :n]
                     ids += i.tolist()
                     near += list(i[at])
                     dist += list(np.take_along_axis(d, at, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(near, pa.list_(pa.int64())), pa.array(dist, pa.list_(pa.float32()))], names=["id", "near", "d"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(near, pa.list_(pa.int64())), pa.array(dist, pa.list_(pa.float64()))], names=["id", "near", "d"])
 
     return groups.select("members").mapInArrow(run, LIST)
 
@@ -85,13 +102,14 @@ def best(lists: DataFrame, most: int) -> DataFrame:
                 at = order[np.sort(first)[:most]]
                 near.append(n[at])
                 dist.append(d[at])
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(near, pa.list_(pa.int64())), pa.array(dist, pa.list_(pa.float32()))], names=["id", "near", "d"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(near, pa.list_(pa.int64())), pa.array(dist, pa.list_(pa.float64()))], names=["id", "near", "d"])
 
     return joined.mapInArrow(run, LIST)
 
 
 def neighbour_graph(nodes: DataFrame, q: DataFrame, neighbours: int = NEIGHBOURS, rounds: int = ROUNDS) -> DataFrame:
     """LIST rows of every node (id, v) that has any neighbour."""
+    kind = width(nodes.schema["v"].dataType)
     points = reference_points(nodes.withColumnRenamed("id", "cls"))
     shared = nodes.sparkSession.sparkContext.broadcast(points)  # bounded by reference_points
 
@@ -104,7 +122,7 @@ def neighbour_graph(nodes: DataFrame, q: DataFrame, neighbours: int = NEIGHBOURS
     parts = near.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts"))
     start = near.join(F.broadcast(parts), "p").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
     groups = start.join(q, "id").groupBy("p", "part").agg(F.collect_list(F.struct("id", "q")).alias("members"))
-    graph = cut(best(meet(groups, neighbours), neighbours))
+    graph = cut(best(meet(groups, neighbours, kind), neighbours))
     for r in range(rounds):
         forward = graph.select(F.col("id").alias("g"), F.explode("near").alias("id"))
         back = forward.select(F.col("id").alias("g"), F.col("g").alias("id"))
@@ -112,12 +130,12 @@ def neighbour_graph(nodes: DataFrame, q: DataFrame, neighbours: int = NEIGHBOURS
         back = back.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("id", F.lit(r)), "id"))).where(F.col("n") <= neighbours).drop("n")
         pairs = forward.unionByName(back).unionByName(graph.select(F.col("id").alias("g"), "id")).distinct()
         groups = pairs.join(q, "id").groupBy("g").agg(F.collect_list(F.struct("id", "q")).alias("members"))
-        graph = cut(best(graph.unionByName(meet(groups, 8)), neighbours))
+        graph = cut(best(graph.unionByName(meet(groups, 8, kind)), neighbours))
     return graph
 
 
-def search(graph: DataFrame, q: DataFrame, starts: DataFrame, beam: int = BEAM, hops: int = HOPS) -> DataFrame:
-    """(query, found array<long>): at most `beam` nearest nodes found for each node id in `starts` (query), itself included."""
+def search(graph: DataFrame, q: DataFrame, starts: DataFrame, kind: str, beam: int = BEAM, hops: int = HOPS) -> DataFrame:
+    """(query, found array<long>, ds array<double>): at most `beam` nearest nodes found for each node id in `starts` (query), itself included, and their squared distances."""
     spark = graph.sparkSession
     edges = graph.select("id", F.explode("near").alias("to"), F.lit(0).alias("back"))
     ranked = graph.select(F.col("id").alias("to"), F.explode(F.arrays_zip("near", "d")).alias("x")).select(F.col("x.near").alias("id"), "to", F.col("x.d").alias("d"))
@@ -128,7 +146,7 @@ def search(graph: DataFrame, q: DataFrame, starts: DataFrame, beam: int = BEAM,
     lists = both.join(q.withColumnRenamed("id", "to"), "to").groupBy("id").agg(F.collect_list("to").alias("to"), F.array_join(F.collect_list(F.hex("q")), "").alias("x")).select(F.col("id").alias("node"), "to", F.unhex("x").alias("tq"))
     lists = lists.repartition(parts, "node").persist(StorageLevel.MEMORY_AND_DISK)
     empty = F.array().cast("array<long>")
-    state = cut(starts.join(q.withColumnRenamed("id", "query"), "query").select("query", "q", F.array("query").alias("ids"), F.array(F.lit(0.0).cast("float")).alias("ds"), empty.alias("seen")))
+    state = cut(starts.join(q.withColumnRenamed("id", "query"), "query").select("query", "q", F.array("query").alias("ids"), F.array(F.lit(0.0)).alias("ds"), empty.alias("seen")))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -137,12 +155,13 @@ def search(graph: DataFrame, q: DataFrame, starts: DataFrame, beam: int = BEAM,
                 near, dist = [], []
                 for x, limit, to, tq in zip(b.column("q").to_pylist(), b.column("limit").to_pylist(), b.column("to"), b.column("tq").to_pylist(), strict=True):
                     to = to.values.to_numpy()
-                    y = np.frombuffer(tq, np.float16).reshape(len(to), -1).astype(np.float32)
-                    d = ((y - np.frombuffer(x, np.float16).astype(np.float32)) ** 2).sum(1)
-                    good = d < limit
+                    y = np.frombuffer(tq, kind).reshape(len(to), -1).astype(np.float64)
+                    with np.errstate(over="ignore"):
+                        d = ((y - np.frombuffer(x, kind).astype(np.float64)) ** 2).sum(1)
+                    good = d <= limit
                     near.append(to[good])
                     dist.append(d[good])
-                yield pa.RecordBatch.from_arrays([b.column("query"), pa.array(near, pa.list_(pa.int64())), pa.array(dist, pa.list_(pa.float32()))], names=["query", "near", "d"])
+                yield pa.RecordBatch.from_arrays([b.column("query"), pa.array(near, pa.list_(pa.int64())), pa.array(dist, pa.list_(pa.float64()))], names=["query", "near", "d"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -151,25 +170,25 @@ def search(graph: DataFrame, q: DataFrame, starts: DataFrame, beam: int = BEAM,
                 old, visited = i.values.to_numpy(), s.values.to_numpy()
                 fresh = np.setdiff1d(old, visited)
                 i = np.concatenate([old, n.values.to_numpy() if n.is_valid else old[:0]])
-                d = np.concatenate([d.values.to_numpy(), e.values.to_numpy() if e.is_valid else np.zeros(0, np.float32)])
+                d = np.concatenate([d.values.to_numpy(), e.values.to_numpy() if e.is_valid else np.zeros(0)])
                 order = np.lexsort((i, d))
                 _, first = np.unique(i[order], return_index=True)
                 at = order[np.sort(first)[:beam]]
                 ids.append(i[at])
                 ds.append(d[at])
                 seen.append(np.intersect1d(np.concatenate([visited, fresh]), i[at]))
-            yield pa.RecordBatch.from_arrays([b.column("query"), b.column("q"), *(pa.array(v, pa.list_(t)) for v, t in ((ids, pa.int64()), (ds, pa.float32()), (seen, pa.int64())))], names=["query", "q", "ids", "ds", "seen"])
+            yield pa.RecordBatch.from_arrays([b.column("query"), b.column("q"), *(pa.array(v, pa.list_(t)) for v, t in ((ids, pa.int64()), (ds, pa.float64()), (seen, pa.int64())))], names=["query", "q", "ids", "ds", "seen"])
 
     for _ in range(hops):
-        limit = F.when(F.size("ids") < beam, F.lit(float("inf"))).otherwise(F.array_max("ds")).cast("float")
+        limit = F.when(F.size("ids") < beam, F.lit(float("inf"))).otherwise(F.array_max("ds"))
         front = state.select("query", "q", limit.alias("limit"), F.explode(F.array_except("ids", "seen")).alias("node"))
         if front.isEmpty():
             break
-        met = front.join(lists, "node").select("query", "q", "limit", "to", "tq").mapInArrow(walk, "query long, near array<long>, d array<float>")
+        met = front.join(lists, "node").select("query", "q", "limit", "to", "tq").mapInArrow(walk, "query long, near array<long>, d array<double>")
         got = met.groupBy("query").agg(F.flatten(F.collect_list("near")).alias("near"), F.flatten(F.collect_list("d")).alias("d"))
-        state = cut(state.join(got, "query", "left").select("query", "q", "ids", "ds", "seen", "near", "d").mapInArrow(gather, "query long, q binary, ids array<long>, ds array<float>, seen array<long>"))
+        state = cut(state.join(got, "query", "left").select("query", "q", "ids", "ds", "seen", "near", "d").mapInArrow(gather, "query long, q binary, ids array<long>, ds array<double>, seen array<long>"))
     lists.unpersist()
-    return state.select("query", F.col("ids").alias("found"))
+    return state.select("query", F.col("ids").alias("found"), "ds")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, spare: int = 60, beam: int = BEAM) -> DataFrame:
@@ -186,10 +205,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", v
     nodes = cut(first.groupBy("v").agg(F.min("id").alias("id"), F.array_sort(F.collect_list("id")).alias("ids")))
     named = queries.select(F.col("query_id").cast("long").alias("query_id")).distinct().join(ok, F.col("query_id") == ok["id"]).select("query_id", "v")
     asked = cut(named.join(nodes.select("v", F.col("id").alias("query")), "v"))
-    q = cut(halves(nodes))
+    q = cut(packed(nodes))
     graph = neighbour_graph(nodes, q)
-    found = search(graph, q, asked.select("query").distinct(), beam)
-    few = found.select("query", F.explode(F.slice("found", 1, k + 1 + spare)).alias("id"))
+    found = search(graph, q, asked.select("query").distinct(), width(nodes.schema["v"].dataType), beam)
+    # all that may be as near as the k-th by the last ranking's rounding go to it, and `spare` more
+    edge = F.element_at("ds", F.least(F.size("ds"), F.lit(k + 1))) * (1 + ORDER_ERROR * F.size("v"))
+    tied = found.join(nodes.select(F.col("id").alias("query"), "v"), "query").select("query", "found", F.size(F.filter("ds", lambda d: d <= edge)).alias("n"))
+    few = tied.select("query", F.explode(F.slice("found", F.lit(1), F.greatest("n", F.lit(k + 1 + spare)))).alias("id"))
     pairs = asked.join(few, "query").join(nodes.withColumnRenamed("v", "w"), "id")
     diff = F.zip_with("v", "w", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double")))
     scored = pairs.select("query_id", "ids", F.sqrt(F.aggregate(diff, F.lit(0.0), lambda a, x: a + x)).alias("score"))

@@ -190,3 +190,18 @@ def test_large_buckets_equal_brute_force_in_blocks(spark, monkeypatch):
         monkeypatch.setattr(minhash_dedup, "BROADCAST_IDS", ids)
         got = minhash_dedup.near_duplicates(table, shingle_words=4).collect()
         assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root))
+
+
+@pytest.mark.parametrize("far", [1.0, 1e8])
+def test_neighbours_of_near_copies_and_beside_an_outlier_are_exact(spark, far):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(500, 16)) * 0.25
+    x[250:] = x[0] + rng.normal(size=(250, 16)) * 1e-6
+    x[1, 0] *= far
+    x = x.astype(np.float32)
+    q = spark.createDataFrame([(i,) for i in (2, 40, 300, 420)], "query_id long")
+    rows = ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"), q).collect()
+    found = {i: [r.vec_id for r in sorted(rows, key=lambda r: r["rank"]) if r.query_id == i] for i in (2, 40, 300, 420)}
+    for i, got in found.items():
+        d = np.linalg.norm(x.astype(np.float64) - x[i].astype(np.float64), axis=1)
+        assert len(set(got) & set([k for k in np.lexsort((np.arange(500), d)) if k != i][:10])) >= 9
