@@ -1,7 +1,8 @@
 """Near-duplicate documents by banded MinHash, odd sketches and exact checks on whole shingle sets.
 
-MinHash samples of a document are folded into a parity bitmap (odd sketch). Two bitmaps' XOR population count estimates how
-many samples differ, and so high similarities precisely; only banded candidates that pass the estimate are checked exactly.
+The whole shingle set of a document is folded into a parity bitmap (odd sketch). Every shingle that only one of two sets
+holds flips one bit, so the XOR population count of two bitmaps never exceeds the number of differing shingles: banded
+candidates of too high a count can't be similar enough, and all others are checked exactly.
 Documents of equal sets are one class. In a bucket every class is first compared with a leader, in a few rounds of other
 leaders; what then still lies in different components of one bucket is compared with each other in full.
 """
@@ -20,9 +21,7 @@ from kindred.llm.common import PACK, components, cut, sliced, small_side
 from kindred.llm.text_hash import mixed, shingles, words
 
 #: At similarity 0.8 a pair shares no band with probability (1 - 0.8^5)^28 = 1.5e-5.
-BANDS, ROWS, SKETCH_BITS = 28, 5, 256
-#: Estimates this far under the threshold are still checked: four standard errors of the samples and the bitmap.
-SLACK = 0.15
+BANDS, ROWS, SKETCH_BITS = 28, 5, 512
 ROUNDS = 2
 #: Buckets up to this size are compared by a join, larger ones in blocks by NumPy.
 BLOCK = 48
@@ -48,17 +47,12 @@ def samples(sets: list[np.ndarray], n: int) -> np.ndarray:
     return out
 
 
-def odd_sketches(m: np.ndarray, bits: int) -> np.ndarray:
-    """Parity bitmaps (rows, bits / 64) of int64: each sample flips the bit that its number and value hash to."""
-    keyed = mixed(m.astype(np.uint64) + (np.arange(m.shape[1], dtype=np.uint64) << np.uint64(32))) % np.uint64(bits)
-    flips = np.zeros((len(m), bits), np.uint8)
-    np.add.at(flips, (np.arange(len(m))[:, None], keyed.astype(np.int64)), 1)
-    return np.packbits(flips & 1, axis=1, bitorder="little").view(np.int64)
-
-
-def most_differing(similarity: float, n: int = BANDS * ROWS, bits: int = SKETCH_BITS) -> float:
-    """Expected XOR population count of two odd sketches at a similarity."""
-    return bits / 2 * (1 - (1 - 2 / bits) ** (2 * n * (1 - similarity)))
+def odd_sketches(sets: list[np.ndarray], bits: int) -> np.ndarray:
+    """Parity bitmaps (sets, bits / 64) of int64: each hash of a set flips the bit of its lowest digits."""
+    out = np.empty((len(sets), bits), np.uint8)
+    for i, s in enumerate(sets):
+        out[i] = np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(out, axis=1, bitorder="little").view(np.int64)
 
 
 def describe(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
@@ -74,7 +68,7 @@ def describe(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                 m = samples([sets[i] for i in full], BANDS * ROWS)
                 b = mixed(m.reshape(len(full), BANDS, ROWS).astype(np.uint64) + np.arange(1, ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 b = mixed(b.sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
-                odd = odd_sketches(m, SKETCH_BITS)
+                odd = odd_sketches([sets[i] for i in full], SKETCH_BITS)
                 for j, i in enumerate(full):
                     keys[i] = sets[i].sum(dtype=np.uint64).tobytes() + mixed(sets[i]).sum(dtype=np.uint64).tobytes() + len(sets[i]).to_bytes(8, "little")
                     bands[i], sketches[i] = b[j], odd[j]
@@ -86,9 +80,10 @@ def describe(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     return src.mapInArrow(run, "id long, n_shingles long, key binary, bands array<long>, sketch array<long>")
 
 
-def _close(a: Column | str, b: Column | str, most: float) -> Column:
-    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
-    return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(SKETCH_BITS // 64)), F.lit(0)) <= most
+def _close(a: str, b: str, sizes: Column, percent: int) -> Column:
+    """False only for sets that differ too much: 100 * intersection >= percent * union bounds what differs by the sum of sizes."""
+    differ = sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
+    return differ * (100 + percent) <= sizes * (100 - percent)
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -130,10 +125,10 @@ def whole_sets(texts: DataFrame, k: int) -> DataFrame:
     return texts.select("id", "text").mapInArrow(run, "id long, size long, hashes binary")
 
 
-def _blocks(member: DataFrame, sets: DataFrame, most: float, percent: int) -> DataFrame:
+def _blocks(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) inside large buckets (key, id, comp, sketch): blocks of members meet pairwise, with their whole sets.
 
-    Pairs whose sketches are near are checked on the sets at once. Of the links between two components a task returns one, so
+    Pairs whose sketches don't rule them out are checked on the sets at once. Of the links between two components a task returns one, so
     rows stay in proportion to members; candidates never become rows.
     """
     full = member.join(sets, "id")
@@ -152,10 +147,11 @@ def _blocks(member: DataFrame, sets: DataFrame, most: float, percent: int) -> Da
             # components are renamed as links are found, on both sides
             lc, rc = left.comp.to_numpy(copy=True), right.comp.to_numpy(copy=True)
             for r, (i, s, h) in enumerate(zip(left.id, left.sketch, left.hashes, strict=True)):
-                near = np.flatnonzero((np.bitwise_count(odd ^ np.asarray(s).view(np.uint64)).sum(axis=1) <= most) & (rc != lc[r]))
+                x = np.frombuffer(h, np.uint64)
+                differ = np.bitwise_count(odd ^ np.asarray(s).view(np.uint64)).sum(axis=1, dtype=np.int64)
+                near = np.flatnonzero((differ * (100 + percent) <= (size + len(x)) * (100 - percent)) & (rc != lc[r]))
                 if not len(near):
                     continue
-                x = np.frombuffer(h, np.uint64)
                 at = np.minimum(np.searchsorted(terms, x), len(terms) - 1)
                 at = at[terms[at] == x]
                 mark[at] = 1
@@ -182,14 +178,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     base = cut(describe(docs, id_col, text_col, shingle_words))
     full = base.where("key is not null and id is not null")
-    classes = cut(full.groupBy("key").agg(F.min("id").alias("cls"), F.min_by(F.struct("bands", "sketch"), "id").alias("x")).select("key", "cls", "x.*"))
+    classes = cut(full.groupBy("key").agg(F.min("id").alias("cls"), F.min_by(F.struct("bands", "sketch", F.col("n_shingles").alias("total")), "id").alias("x")).select("key", "cls", "x.*"))
     banded = classes.select(F.col("cls").alias("id"), F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     member = cut(banded.join(cut(shared, PACK), "key").select("key", "id").distinct(), PACK)
-    sketch = cut(classes.join(member.select("id").distinct(), classes["cls"] == F.col("id")).select("id", "sketch").groupBy("id").agg(F.first("sketch").alias("sketch")), PACK)
+    sketch = cut(classes.join(member.select("id").distinct(), classes["cls"] == F.col("id")).select("id", "key", "sketch", "total").groupBy("id").agg(F.min_by(F.struct("sketch", "total"), "key").alias("x")).select("id", "x.*"), PACK)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null").join(small_side(sketch.select("id"), BROADCAST_IDS), "id", "left_semi")
     texts = cut(texts.groupBy("id").agg(F.max("text").alias("text")))
-    most = most_differing(percent / 100 - SLACK)
     comp, links, tested = None, None, None
 
     def now() -> DataFrame:
@@ -205,8 +200,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         pairs = pairs.distinct() if tested is None else pairs.distinct().join(tested, ["a", "b"], "left_anti")
         pairs = cut(pairs, PACK)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        near = pairs.join(sketch.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
-        near = cut(near.where(_close("sa", "sb", most)).select("a", "b"), PACK)
+        near = pairs.join(sketch.select(F.col("id").alias("a"), F.col("sketch").alias("sa"), F.col("total").alias("na")), "a").join(sketch.select(F.col("id").alias("b"), F.col("sketch").alias("sb"), F.col("total").alias("nb")), "b")
+        near = cut(near.where(_close("sa", "sb", F.col("na") + F.col("nb"), percent)).select("a", "b"), PACK)
         found = confirm(near, texts, shingle_words, percent)
         found = cut(found if more is None else found.unionByName(more), PACK)
         if found.isEmpty():
@@ -227,9 +222,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         little = m.where(F.col("n") <= BLOCK)
         x, y = little.select("key", F.col("id").alias("a"), F.col("comp").alias("ca")), little.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"))
         rest = x.join(y, "key").where("a < b and ca <> cb").select("a", "b")
-        large = cut(m.where(F.col("n") > BLOCK).join(sketch, "id"))
+        large = cut(m.where(F.col("n") > BLOCK).join(sketch.drop("total"), "id"))
         sets = cut(whole_sets(texts.join(large.select("id").distinct(), "id", "left_semi"), shingle_words))
-        test(rest, _blocks(large, sets, most, percent))
+        test(rest, _blocks(large, sets, percent))
     ends = classes.select("key", "cls")
     ends = ends.withColumn("component_id", F.col("cls")) if comp is None else ends.join(comp, ends["cls"] == comp["id"], "left").select("key", F.coalesce("component", "cls").alias("component_id"))
     by_key = cut(ends.select("key", "component_id"))

@@ -205,3 +205,13 @@ def test_neighbours_of_near_copies_and_beside_an_outlier_are_exact(spark, far):
     for i, got in found.items():
         d = np.linalg.norm(x.astype(np.float64) - x[i].astype(np.float64), axis=1)
         assert len(set(got) & set([k for k in np.lexsort((np.arange(500), d)) if k != i][:10])) >= 9
+
+
+def test_sketches_never_drop_a_linked_pair(spark):
+    rng = random.Random(712)  # of many such pairs, one that an estimate by 256 bits of samples took for too far
+    a = [f"w{rng.randrange(10**6)}" for _ in range(84)]
+    b = a[:72] + [f"x{rng.randrange(10**6)}" for _ in range(5)]
+    x, y = ({tuple(t[k : k + 4]) for k in range(len(t) - 3)} for t in (a, b))
+    assert 100 * len(x & y) >= 80 * len(x | y)
+    got = minhash_dedup.near_duplicates(spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b))], "doc_id long, text string"), shingle_words=4)
+    assert {r.doc_id: r.component_id for r in got.collect()} == {1: 1, 2: 1}
