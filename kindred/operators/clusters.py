@@ -77,22 +77,51 @@ def constrained_clusters(items: DataFrame, edges: DataFrame, threshold: float, r
     return base.join(merged, "label", "left").select("item_id", F.coalesce("merged", "label").alias("label"))
 
 
-def average_linkage(items: DataFrame, edges: DataFrame, threshold: float, most: int = 5_000) -> DataFrame:
+def _nearest_clusters(active: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(label, to): the nearest other cluster of the same g under `threshold` (ties to the smallest label), of those that have any.
+
+    Blocks of a component meet pairwise, each pair of clusters in one task; memory of a task is that of two blocks.
+    """
+    parts = cut(active.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts")))
+    own = active.join(parts, "g").withColumn("own", F.pmod(F.xxhash64("label"), F.col("parts")).cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "label", "s", "n")
+
+    def compare(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("label")
+        x, y = p[p.own == p.i.iloc[0]], p[p.own == p.j.iloc[0]]
+        if x.empty or y.empty:
+            return pd.DataFrame({"label": [], "to": [], "d": []})
+        u, w = x.label.to_numpy(), y.label.to_numpy()
+        d = 1.0 - (np.stack(x.s.to_list()) / x.n.to_numpy()[:, None]) @ (np.stack(y.s.to_list()) / y.n.to_numpy()[:, None]).T
+        if p.i.iloc[0] == p.j.iloc[0]:  # one value for both directions
+            d = np.triu(d, 1) + np.triu(d, 1).T
+            np.fill_diagonal(d, np.inf)
+        to, of = d.argmin(axis=1), d.argmin(axis=0)
+        out = pd.DataFrame({"label": np.concatenate([u, w]), "to": np.concatenate([w[to], u[of]]), "d": np.concatenate([d.min(axis=1), d.min(axis=0)])})
+        return out[out.d < threshold]
+
+    found = met.groupBy("g", "i", "j").applyInPandas(compare, "label long, to long, d double")
+    return found.groupBy("label").agg(F.min(F.struct("d", "to")).alias("x")).select("label", F.col("x.to").alias("to"))
+
+
+def average_linkage(items: DataFrame, edges: DataFrame, threshold: float, most: int = 5_000, block: int = 2_048) -> DataFrame:
     """(item_id, label) of average-linkage clustering of `items` (item_id, embedding) under `threshold`; label: smallest id.
 
     A merge needs a pair under the threshold, so components of `edges` (all pairs under it) are clustered each on their own.
-    A component over `most` items raises: its distance matrix would not fit a task.
+    The average distance of two clusters is that of their mean vectors. While a component holds over `most` clusters, rounds
+    merge clusters that are each other's nearest, which leaves the result as it is: merged clusters are no nearer to a third
+    than the nearer of both was. Clusters without another under the threshold are done. The rest is merged in one task a component.
     """
     named = cut(components(edges))
-    if not named.groupBy("label").count().where(F.col("count") > most).isEmpty():
-        raise ValueError(f"a connected component has over {most} items; lower the threshold or use constrained clusters")
+    own = items.select(F.col("item_id").cast("long").alias("item_id"), "embedding")
 
     def link(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("item_id")
-        x = np.stack(p.embedding.to_list()).astype(np.float64)
+        p = p.sort_values("label")
+        n, owner = p.n.to_numpy().astype(np.float64), np.arange(len(p))
+        x = np.stack(p.s.to_list()).astype(np.float64) / n[:, None]
         d = 1.0 - x @ x.T
         np.fill_diagonal(d, np.inf)
-        n, owner = np.ones(len(p)), np.arange(len(p))
         while True:
             a, b = divmod(int(np.argmin(d)), len(p))
             if not d[a, b] < threshold:
@@ -103,11 +132,29 @@ def average_linkage(items: DataFrame, edges: DataFrame, threshold: float, most:
             d[b], d[:, b], d[a, a] = np.inf, np.inf, np.inf
             n[a] += n[b]
             owner[owner == b] = a
-        return pd.DataFrame({"item_id": p.item_id, "label": p.item_id.to_numpy()[owner]})
-
-    own = items.select(F.col("item_id").cast("long").alias("item_id"), "embedding")
-    inside = own.join(named.withColumnRenamed("label", "g"), "item_id").groupBy("g").applyInPandas(link, "item_id long, label long")
-    return own.select("item_id").join(inside, "item_id", "left").select("item_id", F.coalesce("label", "item_id").alias("label"))
+        return pd.DataFrame({"label": p.label, "merged": p.label.to_numpy()[owner]})
+
+    def renamed(labels: DataFrame, names: DataFrame) -> DataFrame:
+        return cut(labels.join(names, "label", "left").select("item_id", F.coalesce("merged", "label").alias("label")))
+
+    labels = cut(own.select("item_id", F.col("item_id").alias("label")))
+    active = cut(own.join(named.withColumnRenamed("label", "g"), "item_id").select("g", F.col("item_id").alias("label"), F.col("embedding").cast("array<double>").alias("s"), F.lit(1).cast("long").alias("n")))
+    while True:
+        size = cut(active.groupBy("g").agg(F.count(F.lit(1)).alias("size")))
+        small = active.join(size.where(F.col("size") <= most), "g", "left_semi")
+        labels = renamed(labels, small.groupBy("g").applyInPandas(link, "label long, merged long"))
+        active = cut(active.join(size.where(F.col("size") > most), "g", "left_semi"))
+        if active.isEmpty():
+            return labels
+        near = cut(_nearest_clusters(active, threshold, block))
+        back = near.select(F.col("label").alias("to"), F.col("to").alias("label"))
+        names = cut(near.join(back, ["label", "to"]).where("to < label").select("label", F.col("to").alias("merged")))
+        labels = renamed(labels, names)
+        moved = active.join(near.select("label"), "label", "left_semi").join(names, "label", "left")
+        moved = moved.select("g", F.coalesce("merged", "label").alias("label"), "s", "n", F.col("merged").isNotNull().alias("away"))
+        stay, away = cut(moved.where("not away").drop("away")), cut(moved.where("away").select("label", F.col("s").alias("t"), F.col("n").alias("m")))
+        both = stay.join(away, "label", "left")
+        active = cut(both.select("g", "label", F.when(F.col("m").isNull(), F.col("s")).otherwise(F.zip_with("s", "t", lambda x, y: x + y)).alias("s"), (F.col("n") + F.coalesce("m", F.lit(0))).alias("n")))
 
 
 def split_oversize(labels: DataFrame, cap: int = 50) -> DataFrame:

@@ -71,3 +71,18 @@ def test_split_and_cliques(spark):
     labels = spark.createDataFrame([(i, 0) for i in range(3)] + [(5, 5), (6, 5)], "item_id long, label long")
     assert {r.item_id: r.label for r in split_oversize(labels, 2).collect()} == {0: 0, 1: 1, 2: 2, 5: 5, 6: 5}
     assert enumerate_cliques({1: {2, 3}, 2: {1, 3}, 3: {1, 2, 4}, 4: {3}}) == [[1, 2, 3], [3, 4]]
+
+
+def test_average_linkage_of_components_over_the_limit_equals_one_matrix(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 3))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item_id long, embedding array<double>")
+    groups = {i: [i] for i in range(40)}
+    while True:
+        d, a, b = min((1 - np.mean(x[groups[a]] @ x[groups[b]].T), a, b) for a, b in itertools.combinations(sorted(groups), 2))
+        if d >= 0.3:
+            break
+        groups[a] += groups.pop(b)
+    got = average_linkage(items, pairs_within(items, 0.3), 0.3, most=12, block=9)
+    assert {r.item_id: r.label for r in got.collect()} == {i: a for a, m in groups.items() for i in m}
