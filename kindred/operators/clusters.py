@@ -11,6 +11,8 @@ from kindred.operators.lineage import cut
 
 #: Weak edges merge two clusters only up to this many members.
 WEAK_CAP = 50
+#: Weak edges of one component that one task merges at most; larger components take rounds first.
+TASK_EDGES = 200_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -37,11 +39,18 @@ def components(edges: DataFrame) -> DataFrame:
     return labels.join(least, "label").select("item_id", F.col("least").alias("label"))
 
 
-def constrained_clusters(items: DataFrame, edges: DataFrame, threshold: float, ratio: float = 0.7, cap: int = WEAK_CAP) -> DataFrame:
+def renamed(labels: DataFrame, names: DataFrame) -> DataFrame:
+    """(item_id, label) with the labels of `names` (label, merged) renamed."""
+    return cut(labels.join(names, "label", "left").select("item_id", F.coalesce("merged", "label").alias("label")))
+
+
+def constrained_clusters(items: DataFrame, edges: DataFrame, threshold: float, ratio: float = 0.7, cap: int = WEAK_CAP, most: int = TASK_EDGES) -> DataFrame:
     """(item_id, label): edges in order of (dist, i, j) merge if dist < ratio * threshold, or else if both clusters hold `cap` members at most.
 
     Close edges come first, so they form plain components. Of the weak ones only the first between two components counts, and
-    components of the contracted weak graph do not touch each other: each is merged on its own. The label is the smallest id.
+    components of the contracted weak graph do not touch each other: each is merged on its own. While one has over `most` edges,
+    rounds decide all edges that come first at both their clusters, as nothing before them changes those. An edge whose clusters
+    are too large together is dropped, since they only grow. The label is the smallest id.
     """
     if ratio > 1:
         raise ValueError("ratio must be at most 1")
@@ -73,8 +82,26 @@ def constrained_clusters(items: DataFrame, edges: DataFrame, threshold: float, r
                 size[x] += size[y]
         return pd.DataFrame({"label": list(root), "merged": [find(x) for x in root]})
 
-    merged = first.join(whole, "a").groupBy("g").applyInPandas(merge, "label long, merged long")
-    return base.join(merged, "label", "left").select("item_id", F.coalesce("merged", "label").alias("label"))
+    left = cut(first.join(whole, "a"))
+    while True:
+        size = cut(left.groupBy("g").agg(F.count(F.lit(1)).alias("size")))
+        small = left.join(size.where(F.col("size") <= most), "g", "left_semi")
+        base = renamed(base, small.groupBy("g").applyInPandas(merge, "label long, merged long"))
+        left = cut(left.join(size.where(F.col("size") > most), "g", "left_semi"))
+        if left.isEmpty():
+            return base
+        key = F.struct("dist", "i", "j").alias("e")
+        least = left.select(F.col("a").alias("label"), key).unionByName(left.select(F.col("b").alias("label"), key)).groupBy("label").agg(F.min("e").alias("e"))
+        due = least.groupBy("e").agg(F.count(F.lit(1)).alias("ends"), F.min("label").alias("merged"), F.max("label").alias("label")).where("ends = 2")
+        names = cut(due.select("label", "merged"))
+        base = renamed(base, names)
+        # every edge left is within the cap, so those due all merge; ends take the new names and sizes
+        sizes = cut(base.groupBy("label").agg(F.count(F.lit(1)).alias("n")))
+        x, y = names.toDF("a", "ma"), names.toDF("b", "mb")
+        moved = left.join(x, "a", "left").join(y, "b", "left").select("g", F.coalesce("ma", "a").alias("a"), F.coalesce("mb", "b").alias("b"), key).where("a <> b")
+        moved = moved.groupBy("g", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("e").alias("e"))
+        moved = moved.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").where(F.col("na") + F.col("nb") <= cap)
+        left = cut(moved.select("a", "b", "na", "nb", "e.*", "g"))
 
 
 def _nearest_clusters(active: DataFrame, threshold: float, block: int) -> DataFrame:
@@ -134,9 +161,6 @@ def average_linkage(items: DataFrame, edges: DataFrame, threshold: float, most:
             owner[owner == b] = a
         return pd.DataFrame({"label": p.label, "merged": p.label.to_numpy()[owner]})
 
-    def renamed(labels: DataFrame, names: DataFrame) -> DataFrame:
-        return cut(labels.join(names, "label", "left").select("item_id", F.coalesce("merged", "label").alias("label")))
-
     labels = cut(own.select("item_id", F.col("item_id").alias("label")))
     active = cut(own.join(named.withColumnRenamed("label", "g"), "item_id").select("g", F.col("item_id").alias("label"), F.col("embedding").cast("array<double>").alias("s"), F.lit(1).cast("long").alias("n")))
     while True:

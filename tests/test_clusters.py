@@ -86,3 +86,11 @@ def test_average_linkage_of_components_over_the_limit_equals_one_matrix(spark):
         groups[a] += groups.pop(b)
     got = average_linkage(items, pairs_within(items, 0.3), 0.3, most=12, block=9)
     assert {r.item_id: r.label for r in got.collect()} == {i: a for a, m in groups.items() for i in m}
+
+
+@pytest.mark.parametrize("cap", [4, 50])
+def test_weak_components_over_the_limit_match_sequential_merging(spark, cap):
+    n, edges = graph(5)
+    items = spark.createDataFrame([(x,) for x in range(n)], "item_id long")
+    got = constrained_clusters(items, spark.createDataFrame(edges, "i long, j long, dist double"), 0.5, 0.3, cap, most=6)
+    assert {r.item_id: r.label for r in got.collect()} == merge(n, edges, 0.5, 0.3, cap)
