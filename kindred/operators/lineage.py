@@ -1,23 +1,65 @@
-"""Cutting lineage in iterative operators."""
+"""Cutting lineage in iterative operators by tables in the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+#: Narrow rows that one task reads of a packed table at most.
+PACK = 100_000
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows behind a table in the folder of spark.checkpoint.dir (a temporary one where that is unset).
+_made: list[str] = []
 
-    A checkpoint would carry the constraints that Catalyst infers on to the next round, where they grow without end.
-    """
-    spark = df.sparkSession
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where it is unset, a temporary one on a local master; on a cluster that raises."""
     sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="spark-")
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-"))
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+        sc.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def new_path(spark: SparkSession, kind: str) -> str:
+    """A path of its own in the shared folder; `release` removes what was written there."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def cut(df: DataFrame, pack: int = 0) -> DataFrame:
+    """The same rows with their lineage cut by a table in the shared folder.
+
+    Unlike a checkpoint's, its plan has none of the constraints that Catalyst infers, which iterations let grow without end.
+    With `pack` (for narrow rows), later stages read it in as few tasks as hold `pack` rows each, so that small tables of
+    many partitions do not leave a shuffle file for every pair of tasks.
+    """
+    return counted(df, pack)[0] if pack else _written(df)
+
+
+def counted(df: DataFrame, pack: int = PACK) -> tuple[DataFrame, int]:
+    """`cut` and the number of rows."""
+    out = _written(df)
+    n = out.count()
+    return out.coalesce(max(1, -(-n // pack))), n
+
+
+def _written(df: DataFrame) -> DataFrame:
+    spark = df.sparkSession
+    path = new_path(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all that was written to the shared folder so far. Results are lazy: call it when none is read any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
