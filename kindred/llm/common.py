@@ -1,48 +1,23 @@
-"""Helpers shared by the operators: lineage cuts by tables, size-checked broadcasts, Arrow slicing, connected components."""
+"""Helpers shared by the operators: size-checked broadcasts, Arrow slicing, connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kindred.operators import clusters
+from kindred.operators.lineage import PACK, cut, new_path, shared_dir
+
+__all__ = ["PACK", "WORD", "components", "cut", "new_path", "shared_dir", "sliced", "small_side", "unused", "word_count"]
+
 #: Java regular expression of one word: a run of characters other than space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a side may be broadcast, after its rows were counted.
 BROADCAST_ROWS = 2_000
-#: Narrow rows that one task reads of a packed table at most.
-PACK = 100_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(found)
-    return found
-
-
-def cut(df: DataFrame, pack: int = 0) -> DataFrame:
-    """The same rows with their lineage cut by a compressed table in the shared folder.
-
-    Unlike a checkpoint's, its plan has none of the constraints that Catalyst infers, which iterations let grow without end,
-    and its last stage runs once. With `pack` (for narrow rows), later stages read it in as few tasks as hold `pack` rows each,
-    so small tables of many partitions do not leave a shuffle file for every pair of tasks. The tables stay until the folder
-    is cleared: results are lazy and may still read them.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    return out.coalesce(max(1, -(-out.count() // pack))) if pack else out
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -50,6 +25,14 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, with underscores added until `df` has no column of that name (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def word_count(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -69,28 +52,5 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, budget: int = 8 << 20
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components of undirected `edges`: (id, component), component being the smallest id reachable.
-
-    Each round renames every node to that of itself and its neighbours whose seeded hash is smallest and keeps the distinct
-    edges between different names; the random order lets chains, too, shrink by a constant factor. When no edge is left, the
-    smallest id of each name is its component. Only counts reach the driver. Nulls are not edges.
-    """
-    e = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct()
-    e = cut(e, PACK)
-    labels, turn = None, 0
-    while not e.isEmpty():
-        turn += 1
-        ends = e.select(F.explode(F.array(F.struct(F.col("a").alias("n"), F.col("a").alias("m")), F.struct(F.col("b").alias("n"), F.col("a").alias("m")))).alias("x")).select("x.*")
-        low = cut(ends.groupBy("n").agg(F.min(F.struct(F.xxhash64("m", F.lit(turn)).alias("h"), "m")).alias("x")).select("n", F.col("x.m").alias("m")), PACK)
-        if labels is None:
-            labels = low.select(F.col("n").alias("id"), F.col("m").alias("component"))
-        else:
-            # ids whose name is still on an edge move on; the others are done
-            labels = labels.join(low, labels["component"] == low["n"], "left").select("id", F.coalesce("m", "component").alias("component"))
-        labels = cut(labels, PACK)
-        step = e.join(low.select(F.col("n").alias("a"), F.col("m").alias("ma")), "a").join(low.select(F.col("n").alias("b"), F.col("m").alias("mb")), "b")
-        e = cut(step.select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")).where("a < b").distinct(), PACK)
-    if labels is None:
-        return e.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    least = labels.groupBy("component").agg(F.min("id").alias("least"))
-    return cut(labels.join(cut(least, PACK), "component").select("id", F.col("least").alias("component")), PACK)
+    """Connected components of undirected `edges`: (id, component), component being the smallest id reachable. Nulls are not edges."""
+    return clusters.components(edges.select(F.col(a).alias("i"), F.col(b).alias("j"))).toDF("id", "component")
