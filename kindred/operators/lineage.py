@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 PACK = 100_000
 
 _made: list[str] = []
+_tables: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,9 +58,25 @@ def _written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """The same rows as a table of the session's catalog in the shared folder, dealt and sorted by `key`: joins on it do not shuffle it.
+
+    `df` should be dealt by `key` already, as an aggregate by it is: each bucket is then one file.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, "buckets")
+    name = f"kindred_{path.rpartition('-')[2]}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(parts, key).sortBy(key).option("path", path).saveAsTable(name)
+    _tables.append(name)
+    return spark.table(name)
+
+
 def release(spark: SparkSession) -> None:
     """Deletes all that was written to the shared folder so far. Results are lazy: call it when none is read any more."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
     while _made:
         path = jvm.org.apache.hadoop.fs.Path(_made.pop())
         path.getFileSystem(conf).delete(path, True)
