@@ -10,14 +10,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.operators import clusters
-from kindred.operators.lineage import PACK, cut, new_path, shared_dir
+from kindred.operators.lineage import PACK, bucketed, counted, cut, new_path, shared_dir
 
-__all__ = ["PACK", "WORD", "components", "cut", "new_path", "shared_dir", "sliced", "small_side", "unused", "word_count"]
+__all__ = ["PACK", "WORD", "bucketed", "components", "counted", "cut", "join_hot", "new_path", "shared_dir", "sliced", "small_side", "unused", "word_count"]
 
 #: Java regular expression of one word: a run of characters other than space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a side may be broadcast, after its rows were counted.
 BROADCAST_ROWS = 2_000
+#: Rows of a key from which a join gives it to no single task; and how many such keys are broadcast at most.
+HOT, HOT_KEYS = 20_000, 100_000
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -25,6 +27,19 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], n: str = "n") -> DataFrame:
+    """Inner join of two tables, `right` with one row a key and how often the key comes in `n`, which is dropped.
+
+    Keys of HOT rows or more are broadcast (they are few: rows / HOT, which a count checks), so they stay where their rows are.
+    """
+    hot = right.where(F.col(n) >= HOT).drop(n)
+    found = hot.count()
+    if not 0 < found <= HOT_KEYS:
+        return left.join(right.drop(n), on)
+    cold = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(right.where(F.col(n) < HOT).drop(n), on)
+    return left.join(F.broadcast(hot), on).unionByName(cold)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """`name`, with underscores added until `df` has no column of that name (in any case of letters)."""
     taken = {c.lower() for c in df.columns}

@@ -1,8 +1,8 @@
 """Near-duplicate documents by banded MinHash, odd sketches and exact checks on whole shingle sets.
 
-The whole shingle set of a document is folded into a parity bitmap (odd sketch). Every shingle that only one of two sets
-holds flips one bit, so the XOR population count of two bitmaps never exceeds the number of differing shingles: banded
-candidates of too high a count can't be similar enough, and all others are checked exactly.
+The MinHash samples of a document are folded into a parity bitmap (odd sketch). A sample in which two documents differ flips
+two bits at most, so the XOR population count estimates how many samples differ: banded candidates of a count that linked
+pairs reach with probability LOSS at most are left out, all others are checked exactly, on the words themselves.
 Documents of equal sets are one class. In a bucket every class is first compared with a leader, in a few rounds of other
 leaders; what then still lies in different components of one bucket is compared with each other in full.
 """
@@ -10,6 +10,9 @@ leaders; what then still lies in different components of one bucket is compared
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from hashlib import blake2b
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -17,18 +20,32 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import PACK, components, cut, sliced, small_side
+from kindred.llm.common import HOT_KEYS, PACK, bucketed, components, cut, sliced, small_side
 from kindred.llm.text_hash import mixed, shingles, words
 
 #: At similarity 0.8 a pair shares no band with probability (1 - 0.8^5)^28 = 1.5e-5.
 BANDS, ROWS, SKETCH_BITS = 28, 5, 512
+#: Probability that the sketches leave out a linked pair, at most.
+LOSS = 1e-6
 ROUNDS = 2
 #: Buckets up to this size are compared by a join, larger ones in blocks by NumPy.
 BLOCK = 48
-#: Members of a block, and bytes of their sets, at most on average.
+#: Members of a block, and bytes of their sets, at most on average; buckets of LEAST members or more have up to SPREAD blocks anyhow.
 MEET, MEET_BYTES = 4096, 16 << 20
-#: Ids up to which those whose texts are needed may be broadcast, after a count; beyond it, texts are shuffled to them.
-BROADCAST_IDS = 500_000
+LEAST, SPREAD = 256, 8
+#: Pairs of one leader that meet its text in one group.
+PAIRS = 2_000
+
+
+@cache
+def most_flips(percent: int) -> int:
+    """Bits in which the sketches of a pair at `percent` similarity differ at most, but for a probability of LOSS: two for each differing sample."""
+    n, q = BANDS * ROWS, 1 - percent / 100
+    beyond, d = 1.0, -1
+    while beyond > LOSS:
+        d += 1
+        beyond -= comb(n, d) * q**d * (1 - q) ** (n - d)
+    return 2 * d
 
 
 def samples(sets: list[np.ndarray], n: int) -> np.ndarray:
@@ -47,11 +64,11 @@ def samples(sets: list[np.ndarray], n: int) -> np.ndarray:
     return out
 
 
-def odd_sketches(sets: list[np.ndarray], bits: int) -> np.ndarray:
-    """Parity bitmaps (sets, bits / 64) of int64: each hash of a set flips the bit of its lowest digits."""
-    out = np.empty((len(sets), bits), np.uint8)
-    for i, s in enumerate(sets):
-        out[i] = np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+def odd_sketches(m: np.ndarray, bits: int) -> np.ndarray:
+    """Parity bitmaps (sets, bits / 64) of int64 of MinHash samples `m`: each sample, with its number, flips one bit."""
+    at = mixed(m.astype(np.uint64) + (np.arange(m.shape[1], dtype=np.uint64) << np.uint64(32))) % np.uint64(bits)
+    flat = np.arange(len(m))[:, None] * bits + at.astype(np.int64)
+    out = (np.bincount(flat.ravel(), minlength=len(m) * bits) & 1).astype(np.uint8).reshape(len(m), bits)
     return np.packbits(out, axis=1, bitorder="little").view(np.int64)
 
 
@@ -60,7 +77,7 @@ def describe(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", 2 << 20):
-            h, _, _, bound, _ = words([(t or "").encode().lower() for t in batch.column("text").to_pylist()])
+            h, bound, _ = words([(t or "").encode().lower() for t in batch.column("text").to_pylist()])
             sets = [shingles(h[bound[i] : bound[i + 1]], k) for i in range(batch.num_rows)]
             full = [i for i, s in enumerate(sets) if len(s)]
             keys, bands, sketches = [None] * len(sets), [None] * len(sets), [None] * len(sets)
@@ -68,9 +85,9 @@ def describe(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                 m = samples([sets[i] for i in full], BANDS * ROWS)
                 b = mixed(m.reshape(len(full), BANDS, ROWS).astype(np.uint64) + np.arange(1, ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 b = mixed(b.sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
-                odd = odd_sketches([sets[i] for i in full], SKETCH_BITS)
+                odd = odd_sketches(m, SKETCH_BITS)
                 for j, i in enumerate(full):
-                    keys[i] = sets[i].sum(dtype=np.uint64).tobytes() + mixed(sets[i]).sum(dtype=np.uint64).tobytes() + len(sets[i]).to_bytes(8, "little")
+                    keys[i] = blake2b(sets[i].tobytes(), digest_size=16).digest()
                     bands[i], sketches[i] = b[j], odd[j]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names=["id", "n_shingles", "key", "bands", "sketch"]
@@ -80,36 +97,49 @@ def describe(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     return src.mapInArrow(run, "id long, n_shingles long, key binary, bands array<long>, sketch array<long>")
 
 
-def _close(a: str, b: str, sizes: Column, percent: int) -> Column:
-    """False only for sets that differ too much: 100 * intersection >= percent * union bounds what differs by the sum of sizes."""
-    differ = sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
-    return differ * (100 + percent) <= sizes * (100 - percent)
+def _close(a: str, b: str, percent: int) -> Column:
+    """False for sketches of more differing bits than linked pairs have."""
+    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(SKETCH_BITS // 64)), F.lit(0)) <= most_flips(percent)
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose whole shingle sets have 100 * intersection >= percent * union. `texts` has (id, text), one row an id."""
+    """Pairs (a, b) whose whole shingle sets have 100 * intersection >= percent * union; shingles are compared word by word.
+
+    `texts` has (id, text), one row an id, bucketed by id, so the texts of `a` stay where they are. The text of `b` is sent
+    to groups of PAIRS pairs, so a leader of many pairs is in no single task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, np.ndarray] = {}
+        kept: dict[int, set] = {}
+        held = 0
 
-        def of(i: int, t: str) -> np.ndarray:
+        def of(i: int, t: str) -> set:
+            nonlocal held
             if i not in kept:
-                if sum(map(len, kept.values())) > 1 << 21:
+                if held > 1 << 17:
                     kept.clear()
-                kept[i] = shingles(words([t.encode().lower()])[0], k)
+                    held = 0
+                w = t.encode().lower().split()
+                kept[i] = set(zip(*(w[x:] for x in range(k)), strict=False)) if len(w) >= k else {tuple(w)}
+                held += len(kept[i])
             return kept[i]
 
         for batch in batches:
             a, b, ta, tb = batch.columns
             good = []
             for i in range(batch.num_rows):
-                x, y = of(a[i].as_py(), ta[i].as_py()), of(b[i].as_py(), tb[i].as_py())
-                both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
+                y = of(b[i].as_py(), tb[i].as_py())
+                x = of(a[i].as_py(), ta[i].as_py())
+                both = len(x & y) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
                 good.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
             yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
-    full = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return full.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    count = cut(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PAIRS).cast("int").alias("salts")), PACK)
+    many = small_side(count.where("salts > 1"), HOT_KEYS)  # one in PAIRS pairs at most
+    salted = pairs.join(many, "b", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("a"), F.col("salts")), F.lit(0)).cast("int").alias("salt"))
+    left = salted.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+    right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb")).join(count, "b").select("b", "tb", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return left.join(right, ["b", "salt"]).select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def whole_sets(texts: DataFrame, k: int) -> DataFrame:
@@ -118,7 +148,7 @@ def whole_sets(texts: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in sliced([batch], "text", 2 << 20):
-                h, _, _, bound, _ = words([t.encode().lower() for t in b.column("text").to_pylist()])
+                h, bound, _ = words([t.encode().lower() for t in b.column("text").to_pylist()])
                 sets = [shingles(h[bound[i] : bound[i + 1]], k) for i in range(b.num_rows)]
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "size", "hashes"])
 
@@ -132,11 +162,14 @@ def _blocks(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rows stay in proportion to members; candidates never become rows.
     """
     full = member.join(sets, "id")
-    parts = full.groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / MEET, F.sum("size") * 8 / MEET_BYTES)).cast("int").alias("parts"))
+    n = F.count(F.lit(1))
+    parts = full.groupBy("key").agg(F.ceil(F.greatest(n / MEET, F.sum("size") * 8 / MEET_BYTES, F.least(n / LEAST, F.lit(float(SPREAD))))).cast("int").alias("parts"))
     own = full.join(cut(parts, PACK), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     met = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", "sketch", "size", "hashes")
 
+    flips = most_flips(percent)
+
     def compare(p: pd.DataFrame) -> pd.DataFrame:
         left, right = p[p.own == p.i.iloc[0]], p[p.own == p.j.iloc[0]]
         out: list[tuple[int, int]] = []
@@ -149,7 +182,7 @@ def _blocks(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             for r, (i, s, h) in enumerate(zip(left.id, left.sketch, left.hashes, strict=True)):
                 x = np.frombuffer(h, np.uint64)
                 differ = np.bitwise_count(odd ^ np.asarray(s).view(np.uint64)).sum(axis=1, dtype=np.int64)
-                near = np.flatnonzero((differ * (100 + percent) <= (size + len(x)) * (100 - percent)) & (rc != lc[r]))
+                near = np.flatnonzero((differ <= flips) & (rc != lc[r]))
                 if not len(near):
                     continue
                 at = np.minimum(np.searchsorted(terms, x), len(terms) - 1)
@@ -178,13 +211,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     base = cut(describe(docs, id_col, text_col, shingle_words))
     full = base.where("key is not null and id is not null")
-    classes = cut(full.groupBy("key").agg(F.min("id").alias("cls"), F.min_by(F.struct("bands", "sketch", F.col("n_shingles").alias("total")), "id").alias("x")).select("key", "cls", "x.*"))
+    classes = cut(full.groupBy("key").agg(F.min("id").alias("cls"), F.min_by(F.struct("bands", "sketch"), "id").alias("x")).select("key", "cls", "x.*"))
     banded = classes.select(F.col("cls").alias("id"), F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     member = cut(banded.join(cut(shared, PACK), "key").select("key", "id").distinct(), PACK)
-    sketch = cut(classes.join(member.select("id").distinct(), classes["cls"] == F.col("id")).select("id", "key", "sketch", "total").groupBy("id").agg(F.min_by(F.struct("sketch", "total"), "key").alias("x")).select("id", "x.*"), PACK)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null").join(small_side(sketch.select("id"), BROADCAST_IDS), "id", "left_semi")
-    texts = cut(texts.groupBy("id").agg(F.max("text").alias("text")))
+    sketch = cut(classes.join(member.select("id").distinct(), classes["cls"] == F.col("id")).select("id", "key", "sketch").groupBy("id").agg(F.min_by("sketch", "key").alias("sketch")), PACK)
+    # the texts of candidates are dealt by id once
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null").join(sketch.select("id"), "id", "left_semi")
+    texts = bucketed(texts.groupBy("id").agg(F.max("text").alias("text")), "id")
     comp, links, tested = None, None, None
 
     def now() -> DataFrame:
@@ -195,15 +229,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return cut(m.join(cut(several, PACK), "key"), PACK)
 
     def test(pairs: DataFrame, more: DataFrame | None = None) -> bool:
-        """Checks new pairs (a < b), and takes `more` links; the components change if any link was found."""
+        """Checks new pairs (a, b) and `more`, which the sketches need not judge; the components change if any link was found."""
         nonlocal comp, links, tested
-        pairs = pairs.distinct() if tested is None else pairs.distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs, PACK)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        near = pairs.join(sketch.select(F.col("id").alias("a"), F.col("sketch").alias("sa"), F.col("total").alias("na")), "a").join(sketch.select(F.col("id").alias("b"), F.col("sketch").alias("sb"), F.col("total").alias("nb")), "b")
-        near = cut(near.where(_close("sa", "sb", F.col("na") + F.col("nb"), percent)).select("a", "b"), PACK)
-        found = confirm(near, texts, shingle_words, percent)
-        found = cut(found if more is None else found.unionByName(more), PACK)
+        new = pairs.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).dropDuplicates(["lo", "hi"])
+        new = cut(new if tested is None else new.join(tested, ["lo", "hi"], "left_anti"), PACK)
+        tested = new.select("lo", "hi") if tested is None else tested.unionByName(new.select("lo", "hi"))
+        near = new.join(sketch.toDF("a", "sa"), "a").join(sketch.toDF("b", "sb"), "b").where(_close("sa", "sb", percent)).select("a", "b")
+        near = cut(near if more is None else near.unionByName(more).distinct(), PACK)
+        found = cut(confirm(near, texts, shingle_words, percent), PACK)
         if found.isEmpty():
             return False
         links = found if links is None else links.unionByName(found)
@@ -215,14 +248,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         if m.isEmpty():
             break
         lead = cut(m.groupBy("key").agg(F.min_by(F.struct("id", "comp"), F.col("id") if r == 0 else F.xxhash64("id", F.lit(r))).alias("lead")), PACK)
-        pairs = m.join(lead, "key").where("comp <> lead.comp").select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b"))
+        pairs = m.join(lead, "key").where("comp <> lead.comp").select(F.col("id").alias("a"), F.col("lead.id").alias("b"))
         if test(pairs):
             m = now()
     if not m.isEmpty():
         little = m.where(F.col("n") <= BLOCK)
         x, y = little.select("key", F.col("id").alias("a"), F.col("comp").alias("ca")), little.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"))
         rest = x.join(y, "key").where("a < b and ca <> cb").select("a", "b")
-        large = cut(m.where(F.col("n") > BLOCK).join(sketch.drop("total"), "id"))
+        large = cut(m.where(F.col("n") > BLOCK).join(sketch, "id"))
         sets = cut(whole_sets(texts.join(large.select("id").distinct(), "id", "left_semi"), shingle_words))
         test(rest, _blocks(large, sets, percent))
     ends = classes.select("key", "cls")
