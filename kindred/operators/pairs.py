@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -9,8 +11,10 @@ from pyspark.sql import functions as F
 
 from kindred.functions.vectors import norm
 
-#: Vectors of one block; two blocks of 768 float components take about 25 MB.
-BLOCK = 4096
+#: Vectors of one block at most, and rows of a block that are multiplied at once.
+BLOCK, TILE = 8192, 1024
+#: Smaller blocks than this are not worth a task of their own.
+LEAST = 128
 
 
 def sound(items: DataFrame) -> DataFrame:
@@ -18,6 +22,12 @@ def sound(items: DataFrame) -> DataFrame:
     return items.select(F.col("item_id").cast("long").alias("item_id"), F.col("embedding").alias("v")).where("item_id is not null and v is not null").where(norm("v") > 0)
 
 
+def blocks_for(rows: DataFrame, block: int) -> int:
+    """Number of blocks of at most about `block` rows each; more if that leaves cores without a pair of blocks."""
+    n, cores = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-n // block), min(-(-n // LEAST), math.isqrt(2 * cores)))
+
+
 def _grid(items: DataFrame, n: int) -> DataFrame:
     """Each row once for each pair of blocks (i <= j) that it belongs to."""
     own = items.withColumn("own", F.pmod(F.xxhash64("item_id"), F.lit(n)).cast("int"))
@@ -35,18 +45,20 @@ def pairs_within(items: DataFrame, threshold: float, block: int = BLOCK) -> Data
     Work is quadratic in the number of rows, as the exact answer asks; memory of a task is that of two blocks.
     """
     v = sound(items)
-    n = max(1, -(-v.count() // block))
+    n = blocks_for(v, block)
 
     def compare(p: pd.DataFrame) -> pd.DataFrame:
         a, b = p[p.own == p.i.iloc[0]], p[p.own == p.j.iloc[0]]
-        if a.empty or b.empty:
-            return pd.DataFrame({"i": [], "j": [], "dist": []})
-        d = 1.0 - _stack(a) @ _stack(b).T
-        x, y = np.nonzero(d < threshold)
-        u, w = a.item_id.to_numpy()[x], b.item_id.to_numpy()[y]
-        good = u < w if p.i.iloc[0] == p.j.iloc[0] else u != w
-        u, w, x, y = u[good], w[good], x[good], y[good]
-        return pd.DataFrame({"i": np.minimum(u, w), "j": np.maximum(u, w), "dist": d[x, y]})
+        out = [pd.DataFrame({"i": [], "j": [], "dist": []})]
+        if len(a) and len(b):
+            va, vb, ia, ib = _stack(a), _stack(b), a.item_id.to_numpy(), b.item_id.to_numpy()
+            for k in range(0, len(va), TILE):
+                d = 1.0 - va[k : k + TILE] @ vb.T
+                x, y = np.nonzero(d < threshold)
+                u, w = ia[k + x], ib[y]
+                good = u < w if p.i.iloc[0] == p.j.iloc[0] else u != w
+                out.append(pd.DataFrame({"i": np.minimum(u, w)[good], "j": np.maximum(u, w)[good], "dist": d[x, y][good]}))
+        return pd.concat(out).astype({"i": "int64", "j": "int64"})
 
     return _grid(v, n).groupBy("i", "j").applyInPandas(compare, "i long, j long, dist double")
 
@@ -54,20 +66,23 @@ def pairs_within(items: DataFrame, threshold: float, block: int = BLOCK) -> Data
 def top_k(queries: DataFrame, items: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """(query_id, item_id, dist, rank) of the k nearest items of each query by cosine distance, self left out, ties to smaller ids."""
     q, v = sound(queries), sound(items)
-    nq, nv = max(1, -(-q.count() // block)), max(1, -(-v.count() // block))
-    left = q.select(F.pmod(F.xxhash64("item_id"), F.lit(nq)).alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nv - 1).cast("long"))).alias("b"), "item_id", "v")
-    right = v.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))).alias("a"), F.pmod(F.xxhash64("item_id"), F.lit(nv)).alias("b"), "item_id", "v")
+    nq, nv = blocks_for(q, block), max(1, -(-v.count() // block))
+    left = q.select(F.pmod(F.xxhash64("item_id"), F.lit(nq)).cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(nv - 1))).alias("b"), "item_id", "v")
+    right = v.select(F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("a"), F.pmod(F.xxhash64("item_id"), F.lit(nv)).cast("int").alias("b"), "item_id", "v")
 
     def nearest(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if x.empty or y.empty:
-            return pd.DataFrame({"query_id": [], "item_id": [], "dist": []})
-        y = y.sort_values("item_id")
-        ids = y.item_id.to_numpy()
-        d = 1.0 - _stack(x) @ _stack(y).T
-        d[x.item_id.to_numpy()[:, None] == ids] = np.inf
-        at = np.argsort(d, axis=1, kind="stable")[:, :k]
-        out = pd.DataFrame({"query_id": np.repeat(x.item_id.to_numpy(), at.shape[1]), "item_id": ids[at].ravel(), "dist": np.take_along_axis(d, at, 1).ravel()})
-        return out[np.isfinite(out.dist)]
+        out = [pd.DataFrame({"query_id": [], "item_id": [], "dist": []})]
+        if len(x) and len(y):
+            y = y.sort_values("item_id")
+            ids, vy, vx, ix = y.item_id.to_numpy(), _stack(y), _stack(x), x.item_id.to_numpy()
+            for at in range(0, len(vx), TILE):
+                d = 1.0 - vx[at : at + TILE] @ vy.T
+                d[ix[at : at + TILE, None] == ids] = np.inf
+                edge = np.partition(d, k - 1, axis=1)[:, k - 1] if k < d.shape[1] else np.full(len(d), np.inf)
+                r, c = np.nonzero((d <= edge[:, None]) & np.isfinite(d))
+                some = pd.DataFrame({"query_id": ix[at + r], "item_id": ids[c], "dist": d[r, c]})
+                out.append(some.sort_values(["query_id", "dist", "item_id"]).groupby("query_id").head(k))
+        return pd.concat(out).astype({"query_id": "int64", "item_id": "int64"})
 
     found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(nearest, "query_id long, item_id long, dist double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "item_id"))

@@ -1,28 +1,248 @@
-"""Product quantization with a given codebook (m, k, centroid), as DataFrame expressions."""
+"""Product quantization: training, encoding, decoding, lookup-table distances, search and clustering by codes.
+
+A codebook is a table (m, k, centroid) of parts * size rows. Its size hangs on these two parameters alone, never on the data,
+so it may be collected and sent to every task; `as_array` checks it.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.functions.vectors import part, squared_distance
+from kindred.functions.vectors import cosine_distance
+from kindred.operators.clusters import WEAK_CAP, constrained_clusters
+from kindred.operators.lineage import cut
+from kindred.operators.pairs import blocks_for, sound
 
+#: Bytes that a codebook may have.
+CODEBOOK_BYTES = 64 << 20
+#: Defaults of the search over large sets: parts, centroids of a part, neighbours of an item.
+PARTS, SIZE, NEIGHBOURS = 96, 256, 5
+CODES = 8192
+ROWS = 512
 
-def first_rows_codebook(items: DataFrame, parts: int, size: int, dim: int) -> DataFrame:
-    """The parts of the `size` items of smallest id as centroids; `dim` must be a multiple of `parts`."""
-    if dim % parts:
+
+def part_width(dim: int, parts: int) -> int:
+    if parts < 1 or dim < 1 or dim % parts:
         raise ValueError("the dimension must be a multiple of the number of parts")
-    rows = items.orderBy("item_id").limit(size).select("item_id", "embedding").collect()
+    return dim // parts
+
+
+def as_array(codebook: DataFrame) -> np.ndarray:
+    """A codebook as an array (parts, size, width)."""
+    p = codebook.select("m", "k", "centroid").toPandas().sort_values(["m", "k"])
+    parts, size = int(p.m.max()) + 1, int(p.k.max()) + 1
+    if len(p) != parts * size:
+        raise ValueError("a codebook has one row for each part and number")
+    out = np.stack(p.centroid.to_list()).astype(np.float64).reshape(parts, size, -1)
+    if out.nbytes > CODEBOOK_BYTES:
+        raise ValueError("the codebook is too large to send to every task")
+    return out
+
+
+def as_table(items: DataFrame, book: np.ndarray) -> DataFrame:
+    data = [(m, k, c.tolist()) for m, rows in enumerate(book) for k, c in enumerate(rows)]
+    return items.sparkSession.createDataFrame(data, "m int, k int, centroid array<double>")
+
+
+def matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """Rows of a list column as a matrix of float64; another length than `dim` raises."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if len(flat) != len(column) * dim:
+        raise ValueError(f"all vectors must have {dim} components")
+    return flat.reshape(len(column), dim)
+
+
+def codes_of(x: np.ndarray, book: np.ndarray) -> np.ndarray:
+    """Nearest centroid of every part of the rows of `x`, ties to the smaller number."""
+    parts, _, width = book.shape
+    out = np.empty((len(x), parts), np.int32)
+    for m in range(parts):
+        s = x[:, m * width : (m + 1) * width]
+        out[:, m] = ((book[m] ** 2).sum(1) - 2 * s @ book[m].T).argmin(axis=1)
+    return out
+
+
+def first_rows_codebook(items: DataFrame, parts: int, size: int, dim: int) -> DataFrame:
+    """The parts of the `size` items of smallest id as centroids."""
+    return _from_rows(items, items.orderBy("item_id").limit(size), parts, size, dim)
+
+
+def random_codebook(items: DataFrame, parts: int, size: int, dim: int, seed: int = 42) -> DataFrame:
+    """The parts of `size` items drawn by seeded hash as centroids, so reruns agree."""
+    return _from_rows(items, items.orderBy(F.xxhash64("item_id", F.lit(seed)), "item_id").limit(size), parts, size, dim)
+
+
+def _from_rows(items: DataFrame, some: DataFrame, parts: int, size: int, dim: int) -> DataFrame:
+    width = part_width(dim, parts)
+    rows = some.select("embedding").collect()
     if len(rows) < size:
         raise ValueError("fewer items than centroids")
-    w = dim // parts
-    data = [(m, k, [float(x) for x in r.embedding[m * w : (m + 1) * w]]) for k, r in enumerate(rows) for m in range(parts)]
-    return items.sparkSession.createDataFrame(data, "m int, k int, centroid array<double>")
+    x = np.array([r.embedding for r in rows], np.float64)
+    return as_table(items, np.ascontiguousarray(x.reshape(size, parts, width).transpose(1, 0, 2)))
+
+
+def train(items: DataFrame, parts: int = PARTS, size: int = SIZE, dim: int = 768, *, iterations: int = 50, tolerance: float = 1e-4, seed: int = 42, start: DataFrame | None = None) -> DataFrame:
+    """A codebook by k-means in every part at once, from `start` or `size` drawn items.
+
+    Each round sums the vectors nearest to each centroid inside tasks, adds the sums up by aggregation and sends the new
+    centroids out. A centroid without vectors stays. A part is done when no centroid moves further than `tolerance`.
+    Fewer items than `size` raise.
+    """
+    width = part_width(dim, parts)
+    book = as_array(start if start is not None else random_codebook(items, parts, size, dim, seed))
+    if book.shape != (parts, size, width):
+        raise ValueError("the start codebook has another shape")
+    v = cut(items.select("embedding").where("embedding is not null"))
+    active = np.ones(parts, bool)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, on = sent.value
+        count, total = np.zeros((parts, size), np.int64), np.zeros((parts, size, width))
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                x = matrix(batch.column(0).slice(at, ROWS), dim)
+                code = codes_of(x, c)
+                for m in np.flatnonzero(on):
+                    np.add.at(total[m], code[:, m], x[:, m * width : (m + 1) * width])
+                    count[m] += np.bincount(code[:, m], minlength=size)
+        m, k = np.nonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(m, pa.int32()), pa.array(k, pa.int32()), pa.array(count[m, k]), pa.array(list(total[m, k]), pa.list_(pa.float64()))], names=["m", "k", "n", "s"])
+
+    for _ in range(iterations):
+        sent = v.sparkSession.sparkContext.broadcast((book, active))
+        sums = v.mapInArrow(partial, "m int, k int, n long, s array<double>").groupBy("m", "k")
+        moved = sums.agg(F.array(*(F.sum(F.col("s")[w]) / F.sum("n") for w in range(width))).alias("c")).collect()
+        new = book.copy()
+        for r in moved:
+            if active[r.m]:
+                new[r.m, r.k] = r.c
+        shift = ((new - book) ** 2).sum(2).max(1)
+        book, active = new, active & (shift > tolerance**2)
+        if not active.any():
+            break
+    return as_table(items, book)
+
+
+def encode(items: DataFrame, codebook: DataFrame) -> DataFrame:
+    """(item_id, codes array<int>): the nearest centroid of every part."""
+    book = as_array(codebook)
+    shared, dim = items.sparkSession.sparkContext.broadcast(book), book.shape[0] * book.shape[2]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                b = batch.slice(at, ROWS)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(codes_of(matrix(b.column(1), dim), shared.value)), pa.list_(pa.int32()))], names=["item_id", "codes"])
+
+    src = items.select(F.col("item_id").cast("long").alias("item_id"), "embedding").where("embedding is not null")
+    return src.mapInArrow(run, "item_id long, codes array<int>")
+
+
+def decode(codes: DataFrame, codebook: DataFrame) -> DataFrame:
+    """(item_id, embedding array<double>): the centroids that `codes` name, end to end. A number outside the codebook raises."""
+    book = as_array(codebook)
+    shared = codes.sparkSession.sparkContext.broadcast(book)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                b = batch.slice(at, ROWS)
+                k = matrix(b.column(1), len(c)).astype(np.int64)
+                if k.size and (k.min() < 0 or k.max() >= c.shape[1]):
+                    raise ValueError("a code is outside the codebook")
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(c[np.arange(len(c)), k].reshape(len(k), -1)), pa.list_(pa.float64()))], names=["item_id", "embedding"])
+
+    return codes.select("item_id", "codes").mapInArrow(run, "item_id long, embedding array<double>")
+
+
+def tables_of(x: np.ndarray, book: np.ndarray) -> np.ndarray:
+    """Squared distances (rows, parts, size) of every part of the rows of `x` to its centroids."""
+    parts, size, width = book.shape
+    return ((x.reshape(len(x), parts, 1, width) - book[None]) ** 2).sum(3)
+
+
+def lookup_tables(queries: DataFrame, codebook: DataFrame) -> DataFrame:
+    """(item_id, table array<array<double>>): the squared distance of each part of a query to each of its centroids."""
+    book = as_array(codebook)
+    shared, dim = queries.sparkSession.sparkContext.broadcast(book), book.shape[0] * book.shape[2]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                b = batch.slice(at, 64)
+                t = tables_of(matrix(b.column(1), dim), shared.value)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(t.tolist(), pa.list_(pa.list_(pa.float64())))], names=["item_id", "table"])
+
+    src = queries.select(F.col("item_id").cast("long").alias("item_id"), "embedding").where("embedding is not null")
+    return src.mapInArrow(run, "item_id long, table array<array<double>>")
+
+
+def table_distance(table: Column | str, codes: Column | str) -> Column:
+    """Squared distance of a query with lookup `table` to the vector that `codes` stand for."""
+    return F.aggregate(F.zip_with(table, codes, lambda t, k: F.element_at(t, k + 1)), F.lit(0.0), lambda a, x: a + x)
+
+
+def adc_top_k(queries: DataFrame, codes: DataFrame, codebook: DataFrame, k: int, block: int = CODES) -> DataFrame:
+    """(query_id, item_id, dist, rank): for each query (item_id, embedding) the `k` codes of smallest table distance, ties to smaller ids.
+
+    An item is not left out of its own search. Blocks of queries meet blocks of codes, of which each pair is one group; memory
+    of a task is that of a block of codes and the tables of a few queries.
+    """
+    book = as_array(codebook)
+    shared, dim = queries.sparkSession.sparkContext.broadcast(book), book.shape[0] * book.shape[2]
+    q, c = queries.select(F.col("item_id").cast("long").alias("item_id"), F.col("embedding").alias("v")).where("embedding is not null"), codes.select("item_id", "codes")
+    nq, nc = blocks_for(q, block), max(1, -(-c.count() // block))
+    left = q.select(F.pmod(F.xxhash64("item_id"), F.lit(nq)).cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).alias("b"), "item_id", "v")
+    right = c.select(F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("a"), F.pmod(F.xxhash64("item_id"), F.lit(nc)).cast("int").alias("b"), "item_id", "codes")
+
+    def nearest(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({"query_id": [], "item_id": [], "dist": []})]
+        if len(x) and len(y):
+            y = y.sort_values("item_id")
+            ids, code = y.item_id.to_numpy(), np.stack(y.codes.to_list())
+            for at in range(0, len(x), 32):
+                some = x.iloc[at : at + 32]
+                t = tables_of(np.stack(some.v.to_list()).astype(np.float64).reshape(len(some), dim), shared.value)
+                d = np.zeros((len(some), len(ids)))
+                for m in range(t.shape[1]):
+                    d += t[:, m][:, code[:, m]]
+                for one, row in zip(some.item_id, d, strict=True):
+                    near = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1]) if k < len(row) else np.arange(len(row))
+                    near = near[np.argsort(row[near], kind="stable")[:k]]
+                    found.append(pd.DataFrame({"query_id": one, "item_id": ids[near], "dist": row[near]}))
+        return pd.concat(found).astype({"query_id": "int64", "item_id": "int64", "dist": "float64"})
+
+    met = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(nearest, "query_id long, item_id long, dist double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "item_id"))
+    return met.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def neighbour_edges(items: DataFrame, codebook: DataFrame, threshold: float, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """(i, j, dist), i < j: pairs of which one is among the other's nearest by table distance, under 2 * threshold there; dist is the exact cosine distance.
+
+    For unit vectors the squared Euclidean distance is twice the cosine distance. The exact distance may exceed the threshold.
+    """
+    v = sound(items).withColumnRenamed("v", "embedding")
+    near = adc_top_k(v, cut(encode(v, codebook)), codebook, neighbours + 1)
+    pairs = near.where((F.col("dist") < 2 * threshold) & (F.col("query_id") != F.col("item_id")))
+    pairs = cut(pairs.select(F.least("query_id", "item_id").alias("i"), F.greatest("query_id", "item_id").alias("j")).distinct())
+    both = pairs.join(v.toDF("i", "va"), "i").join(v.toDF("j", "vb"), "j")
+    return both.select("i", "j", cosine_distance("va", "vb").alias("dist"))
+
 
+def quantized_clusters(items: DataFrame, threshold: float, ratio: float = 0.7, *, parts: int = PARTS, size: int = SIZE, dim: int = 768, neighbours: int = NEIGHBOURS, cap: int = WEAK_CAP, strict: bool = False, codebook: DataFrame | None = None) -> DataFrame:
+    """(item_id, label): size-constrained merging over the edges of the nearest codes.
 
-def encode(items: DataFrame, codebook: DataFrame, parts: int, dim: int) -> DataFrame:
-    """(item_id, m, k): nearest centroid of every part, ties to the smaller k. The codebook has parts * size rows."""
-    w = dim // parts
-    split = items.select("item_id", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("m"), "embedding").select("item_id", "m", part("embedding", F.col("m"), w).alias("x"))
-    d = split.join(F.broadcast(codebook), "m").withColumn("d", squared_distance("x", "centroid"))
-    return d.groupBy("item_id", "m").agg(F.min(F.struct("d", "k")).alias("b")).select("item_id", "m", F.col("b.k").alias("k"))
+    As all weak edges merge up to `cap` members, so may edges whose exact distance exceeds the threshold; `strict` leaves them out.
+    """
+    v = cut(sound(items).withColumnRenamed("v", "embedding"))
+    book = codebook if codebook is not None else train(v, parts, size, dim)
+    edges = cut(neighbour_edges(v, book, threshold, neighbours))
+    return constrained_clusters(v, edges.where(F.col("dist") < threshold) if strict else edges, threshold, ratio, cap)
