@@ -7,10 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.operators.lineage import PACK, counted, cut
+from kindred.operators.numbering import numbered
 
 #: Weak edges merge two clusters only up to this many members.
 WEAK_CAP = 50
@@ -127,12 +128,12 @@ def constrained_clusters(items: DataFrame, edges: DataFrame, threshold: float, r
 
     left = cut(first.join(whole, "a"))
     while True:
-        size = cut(left.groupBy("g").agg(F.count(F.lit(1)).alias("size")))
-        small = left.join(size.where(F.col("size") <= most), "g", "left_semi")
+        large, n = counted(left.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > most).select("g"))
+        small = left.join(large, "g", "left_anti") if n else left
         base = renamed(base, small.groupBy("g").applyInPandas(merge, "label long, merged long"))
-        left = cut(left.join(size.where(F.col("size") > most), "g", "left_semi"))
-        if left.isEmpty():
+        if not n:
             return base
+        left = cut(left.join(large, "g", "left_semi"))
         key = F.struct("dist", "i", "j").alias("e")
         least = left.select(F.col("a").alias("label"), key).unionByName(left.select(F.col("b").alias("label"), key)).groupBy("label").agg(F.min("e").alias("e"))
         due = least.groupBy("e").agg(F.count(F.lit(1)).alias("ends"), F.min("label").alias("merged"), F.max("label").alias("label")).where("ends = 2")
@@ -192,27 +193,35 @@ def average_linkage(items: DataFrame, edges: DataFrame, threshold: float, most:
         x = np.stack(p.s.to_list()).astype(np.float64) / n[:, None]
         d = 1.0 - x @ x.T
         np.fill_diagonal(d, np.inf)
+        to = d.argmin(axis=1)  # nearest of each, kept up to date, so that a merge does not look at the whole matrix
+        low = d[np.arange(len(p)), to]
         while True:
-            a, b = divmod(int(np.argmin(d)), len(p))
-            if not d[a, b] < threshold:
+            a = int(low.argmin())
+            if not low[a] < threshold:
                 break
-            a, b = min(a, b), max(a, b)
+            a, b = sorted((a, int(to[a])))
             row = (d[a] * n[a] + d[b] * n[b]) / (n[a] + n[b])
             d[a], d[:, a] = row, row
             d[b], d[:, b], d[a, a] = np.inf, np.inf, np.inf
             n[a] += n[b]
             owner[owner == b] = a
+            nearer = (row < low) | ((row == low) & (a < to))
+            again = np.flatnonzero((to == a) | (to == b))
+            to[nearer], low[nearer] = a, row[nearer]
+            again = np.union1d(again, [a, b])
+            to[again] = d[again].argmin(axis=1)
+            low[again] = d[again, to[again]]
         return pd.DataFrame({"label": p.label, "merged": p.label.to_numpy()[owner]})
 
     labels = cut(own.select("item_id", F.col("item_id").alias("label")))
     active = cut(own.join(named.withColumnRenamed("label", "g"), "item_id").select("g", F.col("item_id").alias("label"), F.col("embedding").cast("array<double>").alias("s"), F.lit(1).cast("long").alias("n")))
     while True:
-        size = cut(active.groupBy("g").agg(F.count(F.lit(1)).alias("size")))
-        small = active.join(size.where(F.col("size") <= most), "g", "left_semi")
+        large, many = counted(active.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > most).select("g"))
+        small = active.join(large, "g", "left_anti") if many else active
         labels = renamed(labels, small.groupBy("g").applyInPandas(link, "label long, merged long"))
-        active = cut(active.join(size.where(F.col("size") > most), "g", "left_semi"))
-        if active.isEmpty():
+        if not many:
             return labels
+        active = cut(active.join(large, "g", "left_semi"))
         near = cut(_nearest_clusters(active, threshold, block))
         back = near.select(F.col("label").alias("to"), F.col("to").alias("label"))
         names = cut(near.join(back, ["label", "to"]).where("to < label").select("label", F.col("to").alias("merged")))
@@ -236,7 +245,20 @@ def cluster_sizes(labels: DataFrame) -> DataFrame:
     return n.withColumn("pairs", (F.col("members") * (F.col("members") - 1) / 2).cast("long"))
 
 
+def cluster_totals(labels: DataFrame) -> DataFrame:
+    """One row: clusters, those of two members or more, all pairs inside clusters, and the next free label (0 if there is none)."""
+    n = cluster_sizes(labels)
+    return n.agg(
+        F.count(F.lit(1)).alias("clusters"), F.count_if(F.col("members") > 1).alias("groups"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.coalesce(F.max("label") + 1, F.lit(0)).alias("next_label")
+    )
+
+
+def largest_clusters(labels: DataFrame, over: int = 100, most: int = 5) -> DataFrame:
+    """(label, members, pairs) of the `most` largest clusters of more than `over` members, a report."""
+    return cluster_sizes(labels).where(F.col("members") > over).orderBy(F.desc("members"), "label").limit(most)
+
+
 def dense_labels(labels: DataFrame) -> DataFrame:
     """Labels renumbered from 0 in order, over the distinct labels."""
-    order = labels.select("label").distinct().withColumn("rank", (F.row_number().over(Window.orderBy("label")) - 1).cast("long"))
+    order = numbered(labels.select("label").distinct(), ["label"], "rank")
     return labels.join(order, "label").select("item_id", F.col("rank").alias("label"))
