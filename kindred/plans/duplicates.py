@@ -1,4 +1,4 @@
-"""The duplicate search: pairs, clusters, pair scoring and grouping."""
+"""The duplicate search: pairs, clusters, pair scoring, verification and grouping."""
 
 from __future__ import annotations
 
@@ -8,10 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions.vectors import dot
+from kindred.operators import quantizer
 from kindred.operators.cliques import maximal_cliques
 from kindred.operators.clusters import average_linkage, constrained_clusters, split_oversize
 from kindred.operators.lineage import cut
+from kindred.operators.numbering import numbered
 from kindred.operators.pairs import pairs_within, sound
+from kindred.operators.votes import verify_pairs
+from kindred.sources import cache
+from kindred.sources.results import pair_struct
+
+VERDICT = ("accepted", "angle", "scale", "angle_votes", "scale_votes")
 
 
 @dataclass(frozen=True)
@@ -20,20 +27,33 @@ class Settings:
     transitivity_ratio: float = 0.7
     max_cluster_size: int = 50
     min_similarity: float = 0.5
-    #: Up to so many items average linkage is used, beyond it size-constrained merging.
+    #: Share of the good matches that the fullest bins of a geometric vote hold.
+    vote_threshold: float = 0.3
+    #: Up to so many items average linkage is used, beyond it size-constrained merging of all close pairs ...
     linkage_limit: int = 10_000
+    #: ... and beyond this many, of the nearest items by quantized vectors.
+    exact_limit: int = 50_000
+    parts: int = quantizer.PARTS
+    centroids: int = quantizer.SIZE
+    neighbours: int = quantizer.NEIGHBOURS
+    #: "linkage", "constrained" or "quantized"; by the number of items if None.
     mode: str | None = None
 
 
 def cluster(items: DataFrame, s: Settings) -> DataFrame:
-    """(item_id, label) of all items with a usable vector."""
+    """(item_id, label) of all items with a usable vector; members of clusters over the largest size stand alone."""
     v = cut(sound(items).withColumnRenamed("v", "embedding"))
-    edges = cut(pairs_within(v, s.distance_threshold))
-    mode = s.mode or ("linkage" if v.count() <= s.linkage_limit else "constrained")
-    if mode == "linkage":
-        labels = average_linkage(v, edges, s.distance_threshold)
+    n = 0 if s.mode else v.count()
+    mode = s.mode or ("linkage" if n <= s.linkage_limit else "constrained" if n <= s.exact_limit else "quantized")
+    if mode == "quantized":
+        dim = v.agg(F.max(F.size("embedding"))).first()[0] or s.parts
+        labels = quantizer.quantized_clusters(v, s.distance_threshold, s.transitivity_ratio, parts=s.parts, size=s.centroids, dim=dim, neighbours=s.neighbours)
     else:
-        labels = constrained_clusters(v, edges, s.distance_threshold, s.transitivity_ratio)
+        edges = cut(pairs_within(v, s.distance_threshold))
+        if mode == "linkage":
+            labels = average_linkage(v, edges, s.distance_threshold)
+        else:
+            labels = constrained_clusters(v, edges, s.distance_threshold, s.transitivity_ratio)
     return cut(split_oversize(labels, s.max_cluster_size))
 
 
@@ -44,21 +64,56 @@ def cluster_pairs(items: DataFrame, labels: DataFrame) -> DataFrame:
     return a.join(b, "label").where("i < j").select("label", "i", "j", dot("va", "vb").alias("similarity"))
 
 
-def find_duplicates(items: DataFrame, settings: Settings = Settings(), verdicts: DataFrame | None = None) -> DataFrame:
-    """(label, members, n_members, n_pairs, avg_similarity): one row a group.
+def cached_verdicts(pairs: DataFrame, items: DataFrame, features: DataFrame, store: cache.CacheTable, threshold: float, **limits) -> DataFrame:
+    """(i, j, verdict columns) of `pairs` (i, j): valid ones from `store`, the rest computed from `features` and added to it.
+
+    `items` has (item_id, path, mtime). The vote goes from the smaller path to the larger one.
+    """
+    at = items.select("item_id", "path", "mtime")
+    named = pairs.select("i", "j").join(at.toDF("i", "path1", "mtime1"), "i").join(at.toDF("j", "path2", "mtime2"), "j")
+    asked = cut(named.select("path1", "path2", "mtime1", "mtime2"))
+    old = store.read()
+    known = cut(cache.verdict_hits(asked, old))
+    ids = at.select("path", "item_id")
+    todo = cut(cache.verdict_misses(asked, old).join(ids.toDF("path1", "i"), "path1").join(ids.toDF("path2", "j"), "path2"))
+    new = cut(todo.join(verify_pairs(features, todo, threshold, **limits), ["i", "j"]).select("path1", "path2", "mtime1", "mtime2", *VERDICT))
+    store.upsert(new)
+    both = known.unionByName(new).join(ids.toDF("path1", "x"), "path1").join(ids.toDF("path2", "y"), "path2")
+    return both.select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), *VERDICT)
+
+
+def group_pairs(items: DataFrame, settings: Settings = Settings(), verdicts: DataFrame | None = None, features: DataFrame | None = None) -> DataFrame:
+    """(group_id, label, i, j, similarity, accepted, angle, scale, angle_votes, scale_votes): the pairs of every group.
 
-    Without `verdicts` a group is a cluster. With `verdicts` (i, j, accepted), groups are the maximal cliques of the pairs
-    that are accepted and similar enough; an item may then be in several groups.
+    Without `verdicts` and `features` a group is a cluster, its id the label. Else groups are the maximal cliques of the pairs
+    that are accepted, by `verdicts` (i, j, accepted and perhaps the other columns) or a vote over `features`, and similar
+    enough; they are numbered from 0 by label and members, and an item may be in several.
     """
-    labels = cluster(items, settings)
-    pairs = cluster_pairs(items, labels)
+    pairs = cluster_pairs(items, cut(cluster(items, settings)))
+    zero = {"accepted": F.lit(False), "angle": F.lit(0.0), "scale": F.lit(0.0), "angle_votes": F.lit(0), "scale_votes": F.lit(0)}
+    if verdicts is None and features is None:
+        return pairs.select(F.col("label").alias("group_id"), "label", "i", "j", "similarity", *(v.alias(k) for k, v in zero.items()))
+    pairs = cut(pairs.where(F.col("similarity") >= settings.min_similarity))
     if verdicts is None:
-        groups = pairs.groupBy("label").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("i", "j"))))).alias("members"), F.count(F.lit(1)).alias("n_pairs"), F.avg("similarity").alias("avg_similarity"))
-    else:
-        good = cut(pairs.join(verdicts.where("accepted").select("i", "j"), ["i", "j"], "left_semi").where(F.col("similarity") >= settings.min_similarity))
-        cliques = cut(maximal_cliques(good).withColumn("key", F.array_join(F.transform("members", lambda x: x.cast("string")), ",")))
-        one = cliques.select("label", "key", F.explode("members").alias("m"))
-        inside = good.join(one.withColumnRenamed("m", "i"), ["label", "i"]).join(one.withColumnRenamed("m", "j"), ["label", "key", "j"])
-        stats = inside.groupBy("label", "key").agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("similarity").alias("avg_similarity"))
-        groups = cliques.join(stats, ["label", "key"])
-    return groups.select("label", "members", F.size("members").alias("n_members"), "n_pairs", F.round("avg_similarity", 6).alias("avg_similarity"))
+        verdicts = verify_pairs(features, pairs, settings.vote_threshold)
+    said = verdicts.where("accepted").select("i", "j", *((F.col(k) if k in verdicts.columns else v).alias(k) for k, v in zero.items())).dropDuplicates(["i", "j"])
+    good = cut(pairs.join(said, ["i", "j"]))
+    cliques = numbered(cut(maximal_cliques(good)), ["label", "members"], "group_id")
+    one = cut(cliques.select("group_id", "label", F.explode("members").alias("m")))
+    inside = good.join(one.withColumnRenamed("m", "i"), ["label", "i"]).join(one.withColumnRenamed("m", "j"), ["label", "group_id", "j"])
+    return inside.select("group_id", "label", "i", "j", "similarity", *VERDICT)
+
+
+def find_duplicates(items: DataFrame, settings: Settings = Settings(), verdicts: DataFrame | None = None, features: DataFrame | None = None) -> DataFrame:
+    """(group_id, label, members, n_members, n_pairs, avg_similarity): one row a group of `group_pairs`."""
+    pairs = group_pairs(items, settings, verdicts, features)
+    members = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("i", "j")))))
+    groups = pairs.groupBy("group_id", "label").agg(members.alias("members"), F.count(F.lit(1)).alias("n_pairs"), F.avg("similarity").alias("avg_similarity"))
+    return groups.select("group_id", "label", "members", F.size("members").alias("n_members"), "n_pairs", F.round("avg_similarity", 6).alias("avg_similarity"))
+
+
+def documents(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """(group_id, pairs array<struct>) of `group_pairs`, with the paths of `items` (item_id, path), as result documents hold them."""
+    at = items.select("item_id", "path")
+    named = pairs.join(at.toDF("i", "path1"), "i").join(at.toDF("j", "path2"), "j")
+    return named.groupBy("group_id").agg(F.array_sort(F.collect_list(pair_struct())).alias("pairs"))

@@ -1,25 +1,51 @@
-"""Registered queries of the vector search and their DuckDB SQL."""
+"""Registered queries of the vector search. Their DuckDB SQL is in kindred.oracles."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.operators import clusters, quantizer
+from kindred.functions.vectors import cosine_distance, normalized
+from kindred.operators import clusters, quantizer, votes
+from kindred.operators.lineage import cut, new_path
 from kindred.operators.pairs import pairs_within, top_k
-from kindred.plans.duplicates import Settings, cluster, find_duplicates
+from kindred.oracles import ORACLES
+from kindred.plans.duplicates import Settings, cached_verdicts, cluster, documents, find_duplicates, group_pairs
+from kindred.sources import cache, files, fitted, results
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
 
 #: The synthetic vectors hold almost no pair under the default threshold.
 THRESHOLD = 0.6
+SEARCH = Settings(distance_threshold=THRESHOLD, mode="constrained", min_similarity=0.35)
+#: Shape of the quantizer for vectors of 64 components.
+DIM, PARTS, SIZE = 64, 8, 16
+#: Limits of the vote for the small feature sets made from vectors.
+LIMITS = {"threshold": 0.2, "min_matches": 2, "min_votes": 1}
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("item_id"), "embedding")
 
 
+def with_paths(v: DataFrame) -> DataFrame:
+    """Items with a made path and time."""
+    return v.withColumns({"path": F.concat(F.lit("item-"), F.col("item_id").cast("string")), "mtime": F.col("item_id").cast("double")})
+
+
+def features(v: DataFrame) -> DataFrame:
+    """Keypoints and descriptors made from vectors: 16 descriptors of 4 components; angle and size from the first two."""
+    at = F.sequence(F.lit(0), F.lit(15))
+    points = F.transform(at, lambda k: F.struct((F.element_at("embedding", k * 4 + 1).cast("double") * 720).alias("angle"), (F.element_at("embedding", k * 4 + 2).cast("double") * 8).alias("size")))
+    return v.select("item_id", points.alias("keypoints"), F.transform(at, lambda k: F.slice("embedding", k * 4 + 1, F.lit(4))).alias("descriptors"))
+
+
+def joined(members: Column | str) -> Column:
+    return F.array_join(F.transform(members, lambda x: x.cast("string")), ",")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = find_duplicates(items(spark, sf_dir), Settings(distance_threshold=THRESHOLD, mode="constrained", min_similarity=0.35))
-    return out.withColumn("members", F.array_join(F.transform("members", lambda x: x.cast("string")), ","))
+    return find_duplicates(items(spark, sf_dir), SEARCH).withColumn("members", joined("members"))
 
 
 def within(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +57,14 @@ def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(v, v, 5).select("query_id", "item_id", F.round("dist", 6).alias("dist"), F.col("rank").cast("int").alias("rank"))
 
 
+def next_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance of each item's vector, scaled and normalised again, to that of the item after it."""
+    v = items(spark, sf_dir)
+    scaled = v.select("item_id", normalized(F.transform("embedding", lambda x: x.cast("double") * (F.col("item_id") % 7 + 1))).alias("u"))
+    after = v.select((F.col("item_id") - 1).alias("item_id"), normalized("embedding").alias("w"))
+    return scaled.join(after, "item_id").select("item_id", F.round(cosine_distance("u", "w"), 6).alias("dist"))
+
+
 def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.components(pairs_within(items(spark, sf_dir), THRESHOLD))
 
@@ -47,35 +81,167 @@ def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster_sizes(linked(spark, sf_dir))
 
 
+def split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.split_oversize(linked(spark, sf_dir), 3)
+
+
+def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster_totals(linked(spark, sf_dir))
+
+
+def largest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.largest_clusters(linked(spark, sf_dir), over=2)
+
+
+def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.dense_labels(linked(spark, sf_dir))
+
+
 def cliques(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = items(spark, sf_dir)
     verdicts = pairs_within(v, THRESHOLD).select("i", "j", F.lit(True).alias("accepted"))
-    out = find_duplicates(v, Settings(distance_threshold=THRESHOLD, mode="constrained", min_similarity=0.35), verdicts)
-    return out.withColumn("members", F.array_join(F.transform("members", lambda x: x.cast("string")), ","))
+    return find_duplicates(v, SEARCH, verdicts).withColumn("members", joined("members"))
+
+
+def codebook(v: DataFrame) -> DataFrame:
+    return quantizer.first_rows_codebook(v, PARTS, SIZE, DIM)
+
+
+def components_of(v: DataFrame, *ids: str, array: str) -> DataFrame:
+    return v.select(*ids, F.posexplode(array).alias("pos", "value")).withColumn("value", F.round("value", 6))
+
+
+def pq_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rounds of k-means from the first rows."""
+    v = items(spark, sf_dir)
+    book = quantizer.train(v, PARTS, SIZE, DIM, iterations=2, start=codebook(v))
+    return components_of(book, "m", "k", array="centroid")
+
+
+def pq_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = items(spark, sf_dir)
+    return quantizer.encode(v, codebook(v)).select("item_id", F.posexplode("codes").alias("m", "k"))
+
+
+def pq_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = items(spark, sf_dir)
+    book = codebook(v)
+    return components_of(quantizer.decode(quantizer.encode(v, book), book), "item_id", array="embedding")
+
+
+def adc_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Table distance of each item to the code of the item after it."""
+    v = items(spark, sf_dir)
+    book = codebook(v)
+    after = quantizer.encode(v, book).withColumn("item_id", F.col("item_id") - 1)
+    both = quantizer.lookup_tables(v, book).join(after, "item_id")
+    return both.select("item_id", F.round(quantizer.table_distance("table", "codes"), 6).alias("dist"))
+
+
+def adc_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = items(spark, sf_dir)
+    book = codebook(v)
+    out = quantizer.adc_top_k(v, quantizer.encode(v, book), book, quantizer.NEIGHBOURS + 1)
+    return out.select("query_id", "item_id", F.round("dist", 6).alias("dist"), F.col("rank").cast("int").alias("rank"))
+
+
+def pq_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = items(spark, sf_dir)
+    return quantizer.quantized_clusters(v, THRESHOLD, parts=PARTS, size=SIZE, dim=DIM, codebook=codebook(v))
+
+
+def ratio_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = items(spark, sf_dir)
+    out = votes.ratio_matches(features(v), pairs_within(v, THRESHOLD))
+    return out.withColumn("dist", F.round("dist", 6))
 
 
-def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def geometric_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = items(spark, sf_dir)
-    return quantizer.encode(v, quantizer.first_rows_codebook(v, 8, 16, 64), 8, 64)
-
-
-QUERIES = {"find_duplicates": flagship, "pairs_within": within, "top_k": nearest, "components": linked, "constrained_clusters": constrained, "average_linkage": linkage, "cluster_sizes": sizes, "clique_groups": cliques, "pq_encode": codes}
-
-_PAIRS = """v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
-p AS MATERIALIZED (SELECT a.id AS i, b.id AS j, 1 - list_sum(list_transform(list_zip(a.e, b.e), lambda x: x[1] * x[2])) AS dist FROM v a JOIN v b ON a.id < b.id),
-near AS MATERIALIZED (SELECT * FROM p WHERE dist < 0.6)"""
-_REACH = f"""WITH RECURSIVE {_PAIRS}, both_ways AS MATERIALIZED (SELECT i, j FROM near UNION ALL SELECT j, i FROM near),
-reach(item_id, other) AS (SELECT DISTINCT i, i FROM both_ways UNION SELECT r.item_id, b.j FROM reach r JOIN both_ways b ON r.other = b.i),
-labels AS (SELECT item_id, min(other) AS label FROM reach GROUP BY item_id)"""
-ORACLES = {
-    "pairs_within": f"WITH {_PAIRS} SELECT i, j, round(dist, 6) AS dist FROM near",
-    "top_k": f"""WITH {_PAIRS}, d AS (SELECT i AS query_id, j AS item_id, dist FROM p UNION ALL SELECT j, i, dist FROM p),
-        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, item_id)::INTEGER AS rank FROM d)
-        SELECT query_id, item_id, round(dist, 6) AS dist, rank FROM r WHERE rank <= 5""",
-    "components": f"{_REACH} SELECT item_id, label FROM labels",
-    "cluster_sizes": f"{_REACH} SELECT label, count(*) AS members, (count(*) * (count(*) - 1) // 2)::BIGINT AS pairs FROM labels GROUP BY label",
-    "pq_encode": """WITH v AS (SELECT vec_id AS item_id, embedding::DOUBLE[] AS e FROM embeddings), m AS (SELECT unnest(range(8))::INTEGER AS m),
-        book AS (SELECT (row_number() OVER (ORDER BY item_id) - 1)::INTEGER AS k, e FROM v QUALIFY k < 16),
-        d AS (SELECT item_id, m, k, list_sum(list_transform(list_zip(v.e[m * 8 + 1 : m * 8 + 8], book.e[m * 8 + 1 : m * 8 + 8]), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS d FROM v, m, book)
-        SELECT item_id, m, arg_min(k, struct_pack(d := d, k := k)) AS k FROM d GROUP BY item_id, m""",
+    out = votes.verify_pairs(features(v), cut(pairs_within(v, THRESHOLD).select("i", "j")), **LIMITS)
+    return out.withColumns({"angle": F.round("angle", 6), "scale": F.round("scale", 6)})
+
+
+def verified_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of the search with verdicts of the vote; the second search takes all verdicts from the cache."""
+    v = with_paths(items(spark, sf_dir))
+    pairs = cut(pairs_within(v, THRESHOLD).select("i", "j"))
+    store = cache.verdicts(spark, new_path(spark, "verdicts"))
+    cached_verdicts(pairs, v, features(v), store, **LIMITS)
+    again = cached_verdicts(pairs, v, features(v).limit(0), store, **LIMITS)
+    return find_duplicates(v, SEARCH, cut(again)).withColumn("members", joined("members"))
+
+
+def embedding_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items by whether their cached vector is valid, after an upsert of others: every third is cached, every sixth too old."""
+    v = with_paths(items(spark, sf_dir))
+    store = cache.embeddings(spark, new_path(spark, "embeddings"))
+    rows = v.where("item_id % 3 = 0").select("path", (F.col("mtime") - (F.col("item_id") % 2) * 0.02).alias("mtime"), "embedding")
+    store.upsert(rows.withColumn("mtime", F.col("mtime") - 1))
+    store.upsert(rows)
+    here = v.select("path", "mtime")
+    hit, miss = cache.hits(here, store.read()), cache.misses(here, store.read())
+    first = F.round(F.element_at("embedding", 1).cast("double"), 6)
+    return hit.select("path", F.lit(True).alias("cached"), first.alias("first")).unionByName(miss.select("path", F.lit(False).alias("cached"), F.lit(None).cast("double").alias("first")))
+
+
+def codebook_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A codebook saved with the fingerprint of its vectors and parameters and loaded again; another fingerprint finds none."""
+    v, path = items(spark, sf_dir), new_path(spark, "codebook")
+    mark = fitted.fingerprint(v, parts=PARTS, size=SIZE)
+    fitted.save_codebook(codebook(v), path, mark)
+    if fitted.load_codebook(spark, path, fitted.fingerprint(v, parts=PARTS, size=SIZE + 1)) is not None:
+        raise ValueError("a codebook of other parameters was taken")
+    return components_of(fitted.load_codebook(spark, path, mark), "m", "k", array="centroid")
+
+
+def neighbour_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbour edges by codes, saved and loaded by fingerprint."""
+    v, path = items(spark, sf_dir), new_path(spark, "neighbours")
+    mark = fitted.fingerprint(v, parts=PARTS, size=SIZE, threshold=THRESHOLD, neighbours=quantizer.NEIGHBOURS)
+    fitted.save_neighbours(quantizer.neighbour_edges(v, codebook(v), THRESHOLD).select("i", "j"), path, mark)
+    return fitted.load_neighbours(spark, path, mark)
+
+
+def result_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of the search written as a result document, read back and summed up."""
+    v, path = with_paths(items(spark, sf_dir)), new_path(spark, "result")
+    results.save_result(documents(group_pairs(v, SEARCH), v), path, sf_dir, "2024-01-01 00:00:00")
+    out = results.group_summary(results.load_result(spark, path))
+    return out.select("group_id", F.array_join("paths", ",").alias("paths"), "members", "verified", F.round("avg_similarity", 6).alias("avg_similarity"))
+
+
+def list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables' files; extensions in any case."""
+    return files.list_files(spark, sf_dir, extensions=(".PARQUET",)).select("name", "extension", (F.col("mtime") > 0).alias("dated"))
+
+
+QUERIES = {
+    "find_duplicates": flagship,
+    "pairs_within": within,
+    "top_k": nearest,
+    "next_distance": next_distance,
+    "components": linked,
+    "constrained_clusters": constrained,
+    "average_linkage": linkage,
+    "cluster_sizes": sizes,
+    "split_oversize": split,
+    "cluster_totals": totals,
+    "largest_clusters": largest,
+    "dense_labels": dense,
+    "clique_groups": cliques,
+    "pq_train": pq_train,
+    "pq_encode": pq_encode,
+    "pq_decode": pq_decode,
+    "adc_distance": adc_distance,
+    "adc_top_k": adc_top_k,
+    "pq_clusters": pq_clusters,
+    "ratio_matches": ratio_matches,
+    "geometric_vote": geometric_vote,
+    "verified_groups": verified_groups,
+    "embedding_cache": embedding_cache,
+    "codebook_store": codebook_store,
+    "neighbour_store": neighbour_store,
+    "result_document": result_document,
+    "list_files": list_files,
 }
