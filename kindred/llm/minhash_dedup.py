@@ -32,7 +32,7 @@ ROUNDS = 2
 BLOCK = 48
 #: Members of a block, and bytes of their sets, at most on average; buckets of LEAST members or more have up to SPREAD blocks anyhow.
 MEET, MEET_BYTES = 4096, 16 << 20
-LEAST, SPREAD = 256, 8
+LEAST, SPREAD = 128, 16
 #: Pairs of one leader that meet its text in one group.
 PAIRS = 2_000
 
