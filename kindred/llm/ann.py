@@ -1,9 +1,9 @@
 """Approximate nearest neighbours: NN-descent builds a neighbour graph, queries search it greedily.
 
 The graph starts from groups around reference points. Each round, a join brings every vector's neighbours and some reverse
-neighbours together, and those meet each other: a neighbour of a neighbour is likely a neighbour. A query walks the graph
-from its own vector: each hop joins the best candidates not yet visited with their neighbours, all queries at once, until
-no candidate among the best `beam` is left to visit. Graph distances are of the vectors as given, in double precision, so
+neighbours together, and those meet each other: a neighbour of a neighbour is likely a neighbour. Rounds end when few list
+entries change. A query walks the graph from its own vector: each hop joins the best candidates not yet visited with their
+neighbours, all queries at once, until no candidate among the best `beam` is left to visit, however many hops that takes. Graph distances are of the vectors as given, in double precision, so
 neither outliers nor near copies drown others; results are ranked by the vectors too. Equal vectors are one node.
 """
 
@@ -21,10 +21,13 @@ from pyspark.sql.types import ArrayType, FloatType
 from kindred.llm.common import cut
 from kindred.llm.embedding_dedup import matrix, reference_points, unit, usable
 
-NEIGHBOURS, REVERSE, ROUNDS = 24, 24, 2
+NEIGHBOURS, REVERSE = 24, 24
+#: Rounds of the graph go on while more than this share of all list entries changes in one.
+SETTLED = 0.15
 #: Of a start group, so many meet; larger groups are split.
 GROUP = 512
-BEAM, HOPS = 600, 14
+#: Nodes that a query keeps, and of them those not yet visited that it visits in a hop.
+BEAM, EXPAND = 600, 200
 LIST = "id long, near array<long>, d array<double>"
 #: Squared distances under this share of the squared norms are taken from differences, as the dot product cancels there.
 CANCELS = 2.0**-20
@@ -107,7 +110,7 @@ def best(lists: DataFrame, most: int) -> DataFrame:
     return joined.mapInArrow(run, LIST)
 
 
-def neighbour_graph(nodes: DataFrame, q: DataFrame, neighbours: int = NEIGHBOURS, rounds: int = ROUNDS) -> DataFrame:
+def neighbour_graph(nodes: DataFrame, q: DataFrame, neighbours: int = NEIGHBOURS, settled: float = SETTLED) -> DataFrame:
     """LIST rows of every node (id, v) that has any neighbour."""
     kind = width(nodes.schema["v"].dataType)
     points = reference_points(nodes.withColumnRenamed("id", "cls"))
@@ -123,18 +126,22 @@ def neighbour_graph(nodes: DataFrame, q: DataFrame, neighbours: int = NEIGHBOURS
     start = near.join(F.broadcast(parts), "p").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
     groups = start.join(q, "id").groupBy("p", "part").agg(F.collect_list(F.struct("id", "q")).alias("members"))
     graph = cut(best(meet(groups, neighbours, kind), neighbours))
-    for r in range(rounds):
+    r, changed = 0, 1.0
+    while changed > settled:
         forward = graph.select(F.col("id").alias("g"), F.explode("near").alias("id"))
         back = forward.select(F.col("id").alias("g"), F.col("g").alias("id"))
         # reverse neighbours are sampled, as NN-descent has it: a hub would otherwise gather all that point at it
         back = back.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("id", F.lit(r)), "id"))).where(F.col("n") <= neighbours).drop("n")
         pairs = forward.unionByName(back).unionByName(graph.select(F.col("id").alias("g"), "id")).distinct()
         groups = pairs.join(q, "id").groupBy("g").agg(F.collect_list(F.struct("id", "q")).alias("members"))
+        old = graph.select("id", F.col("near").alias("old"))
         graph = cut(best(graph.unionByName(meet(groups, 8, kind)), neighbours))
+        n = graph.join(old, "id", "left").agg(F.sum(F.size(F.array_except("near", F.coalesce("old", F.array().cast("array<long>"))))).alias("new"), F.sum(F.size("near")).alias("all")).first()
+        r, changed = r + 1, (n["new"] or 0) / (n["all"] or 1)
     return graph
 
 
-def search(graph: DataFrame, q: DataFrame, starts: DataFrame, kind: str, beam: int = BEAM, hops: int = HOPS) -> DataFrame:
+def search(graph: DataFrame, q: DataFrame, starts: DataFrame, kind: str, beam: int = BEAM, expand: int = EXPAND) -> DataFrame:
     """(query, found array<long>, ds array<double>): at most `beam` nearest nodes found for each node id in `starts` (query), itself included, and their squared distances."""
     spark = graph.sparkSession
     edges = graph.select("id", F.explode("near").alias("to"), F.lit(0).alias("back"))
@@ -168,7 +175,7 @@ def search(graph: DataFrame, q: DataFrame, starts: DataFrame, kind: str, beam: i
             ids, ds, seen = [], [], []
             for i, d, s, n, e in zip(*(b.column(c) for c in ("ids", "ds", "seen", "near", "d")), strict=True):
                 old, visited = i.values.to_numpy(), s.values.to_numpy()
-                fresh = np.setdiff1d(old, visited)
+                fresh = old[~np.isin(old, visited)][:expand]
                 i = np.concatenate([old, n.values.to_numpy() if n.is_valid else old[:0]])
                 d = np.concatenate([d.values.to_numpy(), e.values.to_numpy() if e.is_valid else np.zeros(0)])
                 order = np.lexsort((i, d))
@@ -179,9 +186,9 @@ def search(graph: DataFrame, q: DataFrame, starts: DataFrame, kind: str, beam: i
                 seen.append(np.intersect1d(np.concatenate([visited, fresh]), i[at]))
             yield pa.RecordBatch.from_arrays([b.column("query"), b.column("q"), *(pa.array(v, pa.list_(t)) for v, t in ((ids, pa.int64()), (ds, pa.float64()), (seen, pa.int64())))], names=["query", "q", "ids", "ds", "seen"])
 
-    for _ in range(hops):
+    while True:
         limit = F.when(F.size("ids") < beam, F.lit(float("inf"))).otherwise(F.array_max("ds"))
-        front = state.select("query", "q", limit.alias("limit"), F.explode(F.array_except("ids", "seen")).alias("node"))
+        front = state.select("query", "q", limit.alias("limit"), F.explode(F.slice(F.array_except("ids", "seen"), 1, expand)).alias("node"))
         if front.isEmpty():
             break
         met = front.join(lists, "node").select("query", "q", "limit", "to", "tq").mapInArrow(walk, "query long, near array<long>, d array<double>")
