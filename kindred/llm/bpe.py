@@ -11,6 +11,7 @@ import base64
 import heapq
 import re
 import struct
+import uuid
 from collections.abc import Iterator
 from functools import cache
 
@@ -21,10 +22,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import sliced
+from kindred.llm.common import sliced, unused
 
-#: Entries that a worker's memo of encoded words may hold before it starts anew.
-MEMO = 400_000
+#: Bytes that a worker's memos of encoded words may take (with ENTRY for each) before one starts anew.
+MEMO_BYTES, ENTRY = 64 << 20, 190
 #: Where a single space stands between two non-blank characters, every pre-token pattern used here starts a new match at the space.
 GAP = re.compile(r"(?<=\S) (?=\S)")
 AWKWARD = re.compile(r"\s | \s|\A | \Z")
@@ -45,12 +46,12 @@ def default_pattern() -> str:
 class PerfectHash:
     """Minimal perfect hash of distinct byte strings onto 0 .. n-1 by hash and displace.
 
-    Keys are put into about n/4 buckets; from the largest bucket down, a displacement is sought that sends all of its keys
+    Keys are put into about n/3 buckets; from the largest bucket down, a displacement is sought that sends all of its keys
     to free slots. Buckets of one key take the free slots that are left, their displacement holding -slot-1.
     """
 
     def __init__(self, keys: list[bytes]):
-        self.n, self.buckets = len(keys), max(1, len(keys) // 4)
+        self.n, self.buckets = len(keys), max(1, len(keys) // 3)
         groups: dict[int, list[tuple[int, int, int]]] = {}
         for i, key in enumerate(keys):
             b, h, step = self._parts(key)
@@ -93,30 +94,71 @@ class PerfectHash:
         return -d - 1 if d < 0 else self._place(h, step, d)
 
 
-class BytePairCodec:
-    """Encoder and decoder for a rank file; `pattern` splits text into pre-tokens."""
+class Memo(dict):
+    """Encoded strings, forgotten all at once when their bytes would exceed a bound."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.pattern = ranks, regex.compile(pattern)
-        keys = list(ranks)
-        self.table = PerfectHash(keys)
+    def __init__(self, bound: int):
+        super().__init__()
+        self.bound, self.held = bound, 0
+
+    def put(self, new: dict[str, bytes]) -> dict[str, bytes]:
+        """Takes `new` and returns what holds all of it: the memo, or `new` itself if it is too large to remember."""
+        size = sum(len(k) + len(v) + ENTRY for k, v in new.items())
+        if size > self.bound // 2:
+            return new
+        if self.held + size > self.bound:
+            self.clear()
+            self.held = 0
+        self.held += size
+        self.update(new)
+        return self
+
+
+class Table:
+    """A rank file as the encoder needs it: the perfect hash, and the token and id of every slot. Built on the driver, sent to tasks."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks, keys = ranks, list(ranks)
+        self.hash = PerfectHash(keys)
         self.keys, self.ids = [b""] * len(keys), [0] * len(keys)
         for i, key in enumerate(keys):
-            s = self.table.slot_of[i]
+            s = self.hash.slot_of[i]
             self.keys[s], self.ids[s] = key, ranks[key]
+
+
+class Pool:
+    """The bytes of every id, for decoding."""
+
+    def __init__(self, ranks: dict[bytes, int]):
         by_id = [b""] * (max(ranks.values(), default=-1) + 1)
+        known = np.zeros(len(by_id), bool)
         for key, i in ranks.items():
-            by_id[i] = key
-        self.pool = np.frombuffer(b"".join(by_id), np.uint8)
+            by_id[i], known[i] = key, True
+        self.bytes, self.known = np.frombuffer(b"".join(by_id), np.uint8), known
         self.length = np.array([len(x) for x in by_id], np.int64)
         self.start = np.concatenate([[0], np.cumsum(self.length)[:-1]]).astype(np.int64) if by_id else np.zeros(0, np.int64)
-        self.tokens: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """Bytes of a run of ids; an id outside the vocabulary raises."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.length) or not self.known[ids].all()):
+            raise ValueError("id outside the vocabulary")
+        n = self.length[ids]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.bytes[np.repeat(self.start[ids] - (ends - n), n) + np.arange(total)]
+
+
+class Encoder:
+    """Encodes texts by a table; `pattern` splits them into pre-tokens. Texts are parted at gaps only if `gaps` says the pattern allows it."""
+
+    def __init__(self, table: Table, pattern: str, gaps: bool):
+        self.table, self.ranks, self.pattern, self.gaps = table, table.ranks, regex.compile(pattern), gaps
+        self.tokens, self.first, self.later = Memo(MEMO_BYTES // 2), Memo(MEMO_BYTES // 4), Memo(MEMO_BYTES)
 
     def whole(self, piece: bytes) -> int | None:
-        s = self.table.slot(piece)
-        return self.ids[s] if self.keys[s] == piece else None
+        t = self.table
+        s = t.hash.slot(piece)
+        return t.ids[s] if t.keys[s] == piece else None
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token by merges. A heap entry is rank * 2^shift + left end; it is stale if that end's rank has changed."""
@@ -158,7 +200,8 @@ class BytePairCodec:
             piece = token.encode()
             one = self.whole(piece)
             ids = self.merge(piece) if one is None else (one,)
-            found = self.tokens[token] = struct.pack(f"<{len(ids)}i", *ids)
+            found = struct.pack(f"<{len(ids)}i", *ids)
+            self.tokens.put({token: found})
         return found
 
     def _unit(self, unit: str) -> bytes:
@@ -168,70 +211,80 @@ class BytePairCodec:
         """Ids of a text as little-endian 32-bit integers."""
         if not text:
             return b""
+        if not self.gaps:
+            return self._unit(text)
         words = GAP.split(text) if AWKWARD.search(text) else text.split(" ")
-        for memo in (self.tokens, self.first, self.later):
-            if len(memo) > MEMO:
-                memo.clear()
-        first, later = self.first, self.later
-        head = first.get(words[0])
+        head = self.first.get(words[0])
         if head is None:
-            head = first[words[0]] = self._unit(words[0])
+            head = self._unit(words[0])
+            self.first.put({words[0]: head})
         del words[0]
+        later = self.later
         try:
             return head + b"".join(map(later.__getitem__, words))
         except KeyError:
-            for w in {w for w in words if w not in later}:
-                later[w] = self._unit(" " + w)
-            return head + b"".join(map(later.__getitem__, words))
-
-    def decode(self, ids: np.ndarray) -> np.ndarray:
-        """Bytes of a run of ids; an id outside the vocabulary raises."""
-        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.length)):
-            raise ValueError("id outside the vocabulary")
-        n = self.length[ids]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.pool[np.repeat(self.start[ids] - (ends - n), n) + np.arange(total)]
+            every = set(words)
+            known = {w: later[w] for w in every if w in later}
+            held = later.put({w: self._unit(" " + w) for w in every if w not in known})
+            # the memo may have been cleared, or the new words not taken
+            return head + b"".join([held[w] if w in held else known[w] for w in words])
 
 
 @cache
-def codec(path: str, pattern: str) -> BytePairCodec:
+def ranks_of(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return BytePairCodec(ranks, pattern)
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
+@cache
+def table_of(path: str) -> Table:
+    return Table(ranks_of(path))
+
+
+#: Encoders of this worker by the key of the broadcast they were made from, so that memos last from task to task.
+_encoders: dict[str, Encoder] = {}
 
 
 def encode(df: DataFrame, *, text_col: str = "text", id_cols: tuple[str, ...] = ("doc_id",), ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
     """Rows of `id_cols` with `ids array<int>`: the BPE ids of the whole `text_col`.
 
-    Null and empty texts give an empty array; repeated rows give repeated rows; other columns are not carried.
+    Null and empty texts give an empty array; repeated rows give repeated rows; other columns are not carried. The table of
+    ranks hangs on the vocabulary alone; it is built once on the driver and broadcast.
     """
-    path, pattern = ranks_path or default_ranks(), pattern or default_pattern()
+    pattern = pattern or default_pattern()
+    text_name = unused(df, "__text")
+    src = df.select(*id_cols, F.col(text_col).alias(text_name))
+    table, gaps, key = df.sparkSession.sparkContext.broadcast(table_of(ranks_path or default_ranks())), pattern == default_pattern(), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
-        for batch in sliced(batches, "__text"):
-            parts = [c.encode(t) if t else b"" for t in batch.column("__text").to_pylist()]
+        c = _encoders.get(key)
+        if c is None:
+            _encoders.clear()
+            c = _encoders[key] = Encoder(table.value, pattern, gaps)
+        for batch in sliced(batches, text_name):
+            parts = [c.encode(t) if t else b"" for t in batch.column(text_name).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), "<i4"), pa.int32()))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(id_cols))), ids], names=[*id_cols, "ids"])
 
-    src = df.select(*id_cols, F.col(text_col).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
     return src.mapInArrow(run, f"{schema}, ids array<int>")
 
 
-def decode(df: DataFrame, *, ids_col: str = "ids", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """`df` with `decoded binary`: the bytes that `ids_col` stands for. Null ids give null; ids outside the vocabulary raise."""
-    path, pattern = ranks_path or default_ranks(), pattern or default_pattern()
+def decode(df: DataFrame, *, ids_col: str = "ids", ranks_path: str | None = None) -> DataFrame:
+    """`df` with `decoded binary`: the bytes that `ids_col` stands for. Null ids give null; ids outside the vocabulary raise.
+
+    A column `decoded` of the input is replaced.
+    """
+    df = df.drop("decoded")
+    pool = df.sparkSession.sparkContext.broadcast(Pool(ranks_of(ranks_path or default_ranks())))
     at = df.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
         for whole in batches:
             for k in range(0, whole.num_rows, 1000):
                 batch = whole.slice(k, 1000)
-                out = [None if x is None else c.decode(x.values.to_numpy()).tobytes() for x in batch.column(at)]
+                out = [None if x is None or not x.is_valid else pool.value.decode(x.values.to_numpy()).tobytes() for x in batch.column(at)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)

@@ -8,6 +8,7 @@ chunks has no such offset, it is widened until one is found or the text ends.
 
 from __future__ import annotations
 
+import json
 import os
 from collections import Counter
 from collections.abc import Iterator
@@ -24,8 +25,8 @@ from kindred.llm.common import sliced
 
 #: Characters of a chunk of a huge document, and of the first overlap of two chunks.
 CHUNK, OVERLAP = 1 << 16, 1 << 9
-#: Entries that a worker's memo of counted words may hold before it starts anew.
-MEMO = 600_000
+#: Bytes that a worker's memo of counted words may take (with ENTRY for each) before it starts anew.
+MEMO_BYTES, ENTRY = 96 << 20, 150
 
 
 def default_vocabulary() -> str:
@@ -35,7 +36,7 @@ def default_vocabulary() -> str:
 
 
 class Counting:
-    """Counts tokens with the `tokenizers` library; splitting on word gaps is only used for byte-level vocabularies."""
+    """Counts tokens with the `tokenizers` library. Texts are parted, at word gaps or in chunks, only for vocabularies of plain byte-level pre-tokens."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -47,9 +48,14 @@ class Counting:
         special = [x.content for x in self.t.get_added_tokens_decoder().values()]
         #: Near a chunk's end, a cut special string or an unfinished match may make boundaries untrue.
         self.guard = 2 + max(map(len, special), default=0)
+        parts = json.loads(self.t.to_str())
+        pre = parts.get("pre_tokenizer") or {}
+        #: Other pre-tokenizers or a normalizer may look across gaps, so whole texts go to the library.
+        self.chunks = not parts.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         #: Gaps may split the text only if no special string holds or eats a blank.
-        self.gaps = not any(" " in x.content or x.lstrip or x.rstrip or x.single_word for x in self.t.get_added_tokens_decoder().values())
+        self.gaps = self.chunks and not any(" " in x.content or x.lstrip or x.rstrip or x.single_word for x in self.t.get_added_tokens_decoder().values())
         self.memo: dict[str, int] = {}
+        self.held = 0
 
     def many(self, texts: list[str]) -> list[int]:
         return [len(e) for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
@@ -61,10 +67,15 @@ class Counting:
         heads = [(GAP.split(t, 1) if AWKWARD.search(t) else t.split(" ", 1))[0] for t in texts]
         for bag, head in zip(bags, heads, strict=True):  # the first word has no blank before it
             bag[head] -= 1
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
-        new = [w for w in set().union(*bags) if w not in memo]
+        every = set().union(*bags)
+        new = [w for w in every if w not in self.memo]
+        size = sum(map(len, new)) + ENTRY * len(new)
+        if self.held + size > MEMO_BYTES:
+            self.memo, self.held, new = {}, 0, list(every)
+            size = sum(map(len, new)) + ENTRY * len(new)
+        # a batch of too many bytes for the memo has one of its own
+        memo = self.memo if size <= MEMO_BYTES else {}
+        self.held += size if memo is self.memo else 0
         for k in range(0, len(new), 20_000):
             part = new[k : k + 20_000]
             memo.update(zip(part, self.many([" " + w for w in part]), strict=True))
@@ -113,7 +124,7 @@ def count_tokens(df: DataFrame, *, text_col: str = "text", id_col: str = "doc_id
     """(id, n_bytes, n_tokens, over_limit) of every row's whole text.
 
     Null and empty texts have 0 bytes and 0 tokens. Repeated rows are counted each. Texts over `chunk` characters are
-    encoded by overlapping chunks. Special strings in a text are tokens, as the library has it by default.
+    encoded by overlapping chunks; by a vocabulary of other than byte-level pre-tokens, all texts are encoded whole. Special strings in a text are tokens, as the library has it by default.
     """
     path = vocabulary or default_vocabulary()
 
@@ -121,12 +132,13 @@ def count_tokens(df: DataFrame, *, text_col: str = "text", id_col: str = "doc_id
         c = counting(path)
         for batch in sliced(batches, "text"):
             texts = batch.column("text").to_pylist()
-            usual = [i for i, t in enumerate(texts) if t and len(t) <= chunk]
+            most = chunk if c.chunks else float("inf")
+            usual = [i for i, t in enumerate(texts) if t and len(t) <= most]
             n = [0] * len(texts)
             for i, k in zip(usual, c.counts([texts[i] for i in usual]) if usual else [], strict=True):
                 n[i] = k
             for i, t in enumerate(texts):
-                if t and len(t) > chunk:
+                if t and len(t) > most:
                     n[i] = c.huge(t, chunk, overlap)
             size = pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("id"), size, pa.array(n, pa.int64()), pa.array([k > limit for k in n], pa.bool_())], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
