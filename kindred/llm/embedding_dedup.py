@@ -2,7 +2,8 @@
 
 A vector is described by its nearest reference points in order. Inverted lists of reference points retrieve the vectors
 that share some; pairs that share enough are verified by cosine in double precision. Equal vectors are one class, so copies
-do not meet each other. A pair is counted in the list of the smallest reference point it shares, so once.
+do not meet each other. A pair is counted in the list of the smallest reference point it shares, so once. Lists that are long,
+as reference points are bounded, are parted by the second smallest shared point, so that they too need no other pairs.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import PACK, components, cut
+from kindred.llm.common import PACK, components, cut, small_side
 
 #: Reference points: four times the root of the number of vectors, within these bounds; the only sample the index is fitted on.
 FEWEST, MOST = 16, 4096
@@ -23,6 +24,10 @@ FEWEST, MOST = 16, 4096
 PREFIX, SHARED = 10, 2
 #: Vectors of one list that meet in one block.
 BLOCK = 1024
+#: Vectors from which a list is parted by a second reference point.
+LONG = 16 * BLOCK
+#: Lists up to which their sizes are broadcast.
+LISTS = 200_000
 
 
 def usable(v: Column) -> Column:
@@ -65,6 +70,12 @@ def prefixes(classes: DataFrame, points: np.ndarray, length: int = PREFIX) -> Da
     return classes.mapInArrow(run, f"{kinds}, prefix array<int>")
 
 
+def _two_smallest(x: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest and second smallest of each row; rows may hold `none` for missing values."""
+    two = np.sort(x, axis=1)[:, :2]
+    return two[:, 0], two[:, 1] if two.shape[1] > 1 else np.full(len(two), none)
+
+
 def _block_links(p: pd.DataFrame, least: float, shared: int) -> pd.DataFrame:
     """Links of one block of one list: for each linked class, the smallest class it hangs together with and the weight of its links."""
     same = p.i.iloc[0] == p.j.iloc[0]
@@ -76,12 +87,14 @@ def _block_links(p: pd.DataFrame, least: float, shared: int) -> pd.DataFrame:
     a, b = np.nonzero(x @ y.T >= least)
     if same:
         a, b = a[a < b], b[a < b]
-    px, py, own = np.stack(left.prefix.to_list()), np.stack(right.prefix.to_list()), p["pivot"].iloc[0]
+    px, py, own, second = np.stack(left.prefix.to_list()), np.stack(right.prefix.to_list()), p["pivot"].iloc[0], p["second"].iloc[0]
+    none = np.iinfo(np.int32).max
     good = np.zeros(len(a), bool)
     for k in range(0, len(a), 50_000):
         u, w = px[a[k : k + 50_000]], py[b[k : k + 50_000]]
         both = (u[:, :, None] == w[:, None, :]).any(axis=2)
-        good[k : k + 50_000] = (both.sum(axis=1) >= shared) & (np.where(both, u, np.iinfo(np.int32).max).min(axis=1) == own)
+        one, two = _two_smallest(np.where(both, u, none), none)
+        good[k : k + 50_000] = (both.sum(axis=1) >= shared) & (one == own) & ((second < 0) | (two == second))
     a, b = a[good], b[good]
     ids = np.concatenate([left.cls.to_numpy(), right.cls.to_numpy()])
     weight = np.concatenate([left.weight.to_numpy(), right.weight.to_numpy()])
@@ -102,23 +115,27 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     """(id, n_links, component_id, kept) of every row: links are pairs found with cosine >= `least`, none below it.
 
     Vectors that are null, empty, zero or hold null or non-finite components have no links and are components of their own.
-    Equal vectors are linked (their cosine is 1). Rows that repeat an id with equal vectors count as links of each other.
-    All vectors have one length. Null ids stand for themselves. kept: the id is its component's smallest.
+    Equal vectors are linked (their cosine is 1). Rows that repeat an id with equal vectors count once, as links of others,
+    and are answered each. All vectors have one length. Null ids stand for themselves. kept: the id is its component's smallest.
     """
     v = F.col(vector_col)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(usable(v) & F.col(id_col).isNotNull(), v).alias("v"))
-    classes = cut(rows.where("v is not null").groupBy("v").agg(F.min("id").alias("cls"), F.count(F.lit(1)).alias("weight")).select("cls", "v", "weight"))
+    classes = cut(rows.where("v is not null").groupBy("v").agg(F.min("id").alias("cls"), F.count_distinct("id").alias("weight")).select("cls", "v", "weight"))
     points = reference_points(classes)
     links, labels = None, None
     if len(points) > 1:
         length, need = min(prefix, len(points)), min(shared, len(points))
-        listed = prefixes(classes, points, length).withColumn("pivot", F.explode("prefix"))
-        listed = cut(listed)
-        sizes = listed.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-        own = listed.join(F.broadcast(sizes), "pivot").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))  # at most MOST rows
+        listed = cut(prefixes(classes, points, length).withColumn("pivot", F.explode("prefix")))
+        long = F.broadcast(cut(listed.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LONG).select("pivot")))  # at most MOST rows
+        short = listed.join(long, "pivot", "left_anti").withColumn("second", F.lit(-1))
+        # two shared points or more are needed, so a pair of a long list also shares its second smallest
+        parted = listed.join(long, "pivot").withColumn("second", F.explode(F.filter("prefix", lambda x: x > F.col("pivot")))) if need > 1 else listed.join(long, "pivot").withColumn("second", F.lit(-1))
+        listed = short.unionByName(parted)
+        sizes = cut(listed.groupBy("pivot", "second").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")))
+        own = listed.join(small_side(sizes, LISTS), ["pivot", "second"]).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
         met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        met = met.select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "v", "weight", "prefix")
-        links = cut(met.groupBy("pivot", "i", "j").applyInPandas(lambda p: _block_links(p, least, need), "a long, b long, n long"), PACK)
+        met = met.select("pivot", "second", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "v", "weight", "prefix")
+        links = cut(met.groupBy("pivot", "second", "i", "j").applyInPandas(lambda p: _block_links(p, least, need), "a long, b long, n long"), PACK)
         labels = components(links)
     by_class = classes.select("cls", "v", "weight")
     if links is not None:

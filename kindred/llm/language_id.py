@@ -3,27 +3,37 @@
 Text likelihoods come from byte 3-gram tables of each language, fitted on a bounded sample of labelled rows; a uniform table
 stands for text of no known language ("und"). How declared languages, suffixes and hosts go with languages is counted over
 the whole corpus by grouped aggregation of the text decisions; host counts are smoothed towards their domain's, those
-towards the corpus's.
+towards the corpus's. A row's own decision is taken out of the counts it is judged by.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.llm.common import cut, sliced, small_side
+from kindred.llm.common import cut, join_hot, sliced
 
-LANGUAGES = ("de", "en", "es", "fr")
 UNKNOWN = "und"
-#: Bound of the fit: labelled rows for each language, and characters of each.
-SAMPLE_ROWS, SAMPLE_CHARS = 200, 20_000
+#: Bound of the fit: labelled rows for each language, and characters of each; languages at most.
+SAMPLE_ROWS, SAMPLE_CHARS, MOST_LANGUAGES = 200, 20_000, 200
 BUCKETS = 1 << 16
 #: Grams that a text's evidence weighs like at most; grams repeat what their neighbours say.
 EVIDENCE = 60
+#: Values of a level up to which their counts are broadcast.
+FEW_VALUES = 20_000
+
+
+@dataclass(frozen=True)
+class Model:
+    """Languages in code-point order, and log probabilities (BUCKETS, languages + 1) as float32, the last column that of "und"."""
+
+    languages: tuple[str, ...]
+    table: np.ndarray
 
 
 def grams(data: np.ndarray) -> np.ndarray:
@@ -33,34 +43,36 @@ def grams(data: np.ndarray) -> np.ndarray:
     return h >> np.uint32(16)
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", languages: tuple[str, ...] = LANGUAGES, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, seed: int = 42) -> np.ndarray:
-    """Log probabilities (BUCKETS, languages + 1) as float32, the last column that of "und".
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, seed: int = 42) -> Model:
+    """A model of the languages that `label_col` names.
 
-    The sample is bounded: for each language about `rows` rows of smallest seeded hash, `chars` characters of each.
+    The sample is bounded: for each language the `rows` labelled rows of smallest seeded hash of id and text, `chars`
+    characters of each. Rows without label or text, or labelled "und", are not fitted on. More than MOST_LANGUAGES labels raise.
     """
-    labelled = docs.where(F.col(label_col).isin(*languages) & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in labelled.groupBy(label_col).count().collect()}
-    share = F.create_map(*(x for k in languages for x in (F.lit(k), F.lit(min(1.0, 2 * rows / max(1, counts.get(k, 0)))))))
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 24)) / (1 << 24)
-    found = labelled.where(draw < F.element_at(share, F.col(label_col))).select(F.col(label_col).alias("l"), draw.alias("draw"), F.substring(text_col, 1, chars).alias("t")).limit(4 * rows * len(languages)).collect()
+    labelled = docs.where(F.col(label_col).isNotNull() & (F.col(label_col) != UNKNOWN) & F.col(text_col).isNotNull())
+    drawn = labelled.select(F.col(label_col).cast("string").alias("l"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("draw"), F.substring(text_col, 1, chars).alias("t"))
+    languages = tuple(sorted(r[0] for r in labelled.select(F.col(label_col).cast("string")).distinct().limit(MOST_LANGUAGES + 1).collect()))
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    # map sides keep their first rows of each language, so few reach a task
+    found = drawn.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("draw", "t"))).where(F.col("n") <= rows).drop("n").collect()
     table = np.full((BUCKETS, len(languages)), 0.5)
-    for k, lang in enumerate(languages):
-        for r in sorted((r for r in found if r.l == lang), key=lambda r: (r.draw, r.t))[:rows]:
-            data = np.frombuffer(r.t.lower().encode(), np.uint8)
-            if len(data) > 2:
-                table[:, k] += np.bincount(grams(data), minlength=BUCKETS)
+    for r in found:
+        data = np.frombuffer(r.t.lower().encode(), np.uint8)
+        if len(data) > 2:
+            table[:, languages.index(r.l)] += np.bincount(grams(data), minlength=BUCKETS)
     logs = np.log(table / table.sum(axis=0))
-    return np.concatenate([logs, np.full((BUCKETS, 1), -np.log(BUCKETS))], axis=1).astype(np.float32)
+    return Model(languages, np.concatenate([logs, np.full((BUCKETS, 1), -np.log(BUCKETS))], axis=1).astype(np.float32))
 
 
-def score(df: DataFrame, model: np.ndarray, text_col: str) -> DataFrame:
+def score(df: DataFrame, table: np.ndarray, text_col: str) -> DataFrame:
     """`df` without `text_col`, with `ll array<double>` (mean log likelihood of a gram for each language) and `n_grams`."""
     at = df.columns.index(text_col)
     names = [c for c in df.columns if c != text_col]
-    table = df.sparkSession.sparkContext.broadcast(model)  # fixed size: BUCKETS x (languages + 1)
+    shared = df.sparkSession.sparkContext.broadcast(table)  # bounded: BUCKETS x (MOST_LANGUAGES + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = table.value
+        m = shared.value
         for batch in sliced(batches, text_col, 4 << 20):
             texts = [f" {t.lower()} ".encode() if t else b"" for t in batch.column(at).to_pylist()]
             n = np.array([max(0, len(t) - 2) for t in texts])
@@ -91,65 +103,83 @@ def visible(markup: Column) -> Column:
 
 def identify(
     df: DataFrame,
-    model: np.ndarray,
+    model: Model,
     *,
     id_col: str = "doc_id",
     text: Column | None = None,
     declared: Column | None = None,
     host: Column | None = None,
-    languages: tuple[str, ...] = LANGUAGES,
+    keep: tuple[str, ...] = (),
     strength: float = 20.0,
     least: float = 0.3,
 ) -> DataFrame:
-    """(id, language, confidence, accepted, posterior) of every row.
+    """(id, the columns of `keep`, language, confidence, accepted, posterior) of every row.
 
     A row without text (null or empty) is "und" and not accepted. Missing declarations, suffixes or hosts are no
-    evidence. Ties go to the language that comes first. Repeated rows are each answered and each counted as evidence.
-    Not accepted: "und", or a confidence under `least`.
+    evidence. Ties go to the language that comes first, "und" last. Repeated rows and null ids are each answered and each
+    counted as evidence. Not accepted: "und", or a confidence under `least`. An empty table gives an empty result.
+
+    Counts c of decisions by host, domain, declared language and suffix leave out the row's own. With p the share of each
+    language in the corpus (add-one, of all decisions) and s = `strength`: domain = (c + s p) / (n + s), host = (c + s domain)
+    / (n + s), and for declared language and suffix the factor (c + s p) / (n + s) / p.
     """
-    names = [*languages, UNKNOWN]
+    names = [*model.languages, UNKNOWN]
     none = F.lit(None).cast("string")
     text, declared, host = text if text is not None else F.col("text"), declared if declared is not None else none, host if host is not None else none
-    src = df.select(F.col(id_col).alias("id"), text.alias("text"), declared.alias("declared"), host.alias("host"))
+    src = df.select(F.struct(F.col(id_col).alias(id_col), *(F.col(c) for c in keep)).alias("row"), text.alias("text"), declared.alias("declared"), host.alias("host"))
     labels = F.split("host", r"\.")
     src = src.withColumns({"suffix": F.when(F.size(labels) > 1, F.element_at(labels, -1)), "domain": F.when(F.size(labels) > 2, F.array_join(F.slice(labels, -2, 2), ".")).otherwise(F.col("host"))})
-    scored = cut(score(src, model, "text"))
+    scored = score(src, model.table, "text")
     index = F.array(*(F.lit(k) for k in range(len(names))))
     vote = F.array_max(F.zip_with("ll", index, lambda v, k: F.struct(v.alias("v"), (-k).alias("k"))))
-    voted = scored.withColumn("vote", F.when(F.col("n_grams") > 0, -vote["k"]))
+    voted = cut(scored.withColumn("vote", F.when(F.col("n_grams") > 0, -vote["k"])))
 
     def counts(level: str) -> DataFrame:
-        """Votes of each value of a level, an array by language."""
-        per = voted.where(F.col(level).isNotNull() & F.col("vote").isNotNull()).groupBy(level)
-        return per.agg(F.array(*(F.count_if(F.col("vote") == k) for k in range(len(names)))).alias("c"), *([F.first("domain").alias("domain")] if level == "host" else []))
+        """Decisions of each value of a level, an array by language, and how many rows have the value."""
+        per = voted.where(F.col(level).isNotNull()).groupBy(level)
+        return cut(per.agg(F.array(*(F.count_if(F.col("vote") == k) for k in range(len(names)))).alias(f"{level}_c"), F.count(F.lit(1)).alias("n")))
 
     total = voted.agg(*(F.count_if(F.col("vote") == k) for k in range(len(names)))).collect()[0]
-    base = [(c + 1.0) / (sum(total) + len(names)) for c in total]
-    prior = F.array(*map(F.lit, base))
+    prior = F.array(*(F.lit((c + 1.0) / (sum(total) + len(names))) for c in total))
+    joined = voted
+    for level in ("host", "domain", "declared", "suffix"):
+        joined = join_values(joined, counts(level), level)
+    own = F.transform(index, lambda k: F.coalesce((k == F.col("vote")).cast("double"), F.lit(0.0)))
+    zero = F.array(*(F.lit(0.0) for _ in names))
+
+    def others(level: str) -> Column:
+        """Counts of a level without the row itself; zeros where the row has no value."""
+        return F.coalesce(F.zip_with(F.col(f"{level}_c"), own, lambda c, o: c - o), zero)
 
     def smoothed(c: Column, towards: Column) -> Column:
         n = F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
         return F.zip_with(c, towards, lambda x, p: (x + strength * p) / (n + strength))
 
-    def likelihood(c: Column) -> Column:
-        """P(value | language) up to a factor: the value's posterior over the prior."""
-        return F.zip_with(smoothed(c, prior), prior, lambda p, q: F.log(p / q))
-
-    # only values that occur on rows: one small table a level, joined by broadcast if counted small
-    domains = cut(counts("domain").select("domain", smoothed(F.col("c"), prior).alias("p")))
-    hosts = cut(counts("host").join(small_side(domains), "domain", "left").select("host", smoothed(F.col("c"), F.coalesce("p", prior)).alias("host_p")))
-    said = cut(counts("declared").select("declared", likelihood(F.col("c")).alias("said")))
-    ends = cut(counts("suffix").select("suffix", likelihood(F.col("c")).alias("ends")))
-    joined = scored.join(small_side(hosts), "host", "left").join(small_side(said), "declared", "left").join(small_side(ends), "suffix", "left")
-    zero = F.array(*(F.lit(0.0) for _ in names))
+    # named columns, so that no expression is written out in the next ones again
+    out = joined.withColumns({"o_domain": others("domain"), "o_host": others("host"), "o_declared": others("declared"), "o_suffix": others("suffix")})
+    out = out.withColumns({"p_domain": smoothed(F.col("o_domain"), prior), "p_declared": smoothed(F.col("o_declared"), prior), "p_suffix": smoothed(F.col("o_suffix"), prior)})
+    out = out.withColumn("p_host", smoothed(F.col("o_host"), F.col("p_domain")))
     weight = F.least(F.col("n_grams"), F.lit(EVIDENCE)).cast("double")
-    parts = [F.transform("ll", lambda v: v * weight), F.transform(F.coalesce("host_p", prior), lambda p: F.log(p)), F.coalesce("said", zero), F.coalesce("ends", zero)]
-    fused = parts[0]
-    for p in parts[1:]:
-        fused = F.zip_with(fused, p, lambda a, b: a + b)
-    out = joined.withColumn("__f", fused).withColumn("__e", F.transform("__f", lambda v: F.exp(v - F.array_max("__f"))))
-    out = out.withColumn("posterior", F.transform("__e", lambda v: v / F.aggregate("__e", F.lit(0.0), lambda a, x: a + x)))
-    best = F.array_max(F.zip_with("posterior", index, lambda v, k: F.struct(v.alias("v"), (-k).alias("k"))))
+    evidence = F.arrays_zip("ll", "p_host", "p_declared", "p_suffix", prior.alias("prior"))
+    out = out.withColumn("f", F.transform(evidence, lambda e: e["ll"] * weight + F.log(e["p_host"]) + F.log(e["p_declared"]) + F.log(e["p_suffix"]) - 2 * F.log(e["prior"])))
+    out = out.withColumn("e", F.transform("f", lambda v: F.exp(v - F.array_max("f"))))
+    out = out.withColumn("posterior", F.transform("e", lambda v: v / F.aggregate("e", F.lit(0.0), lambda a, x: a + x)))
+    out = out.withColumn("best", F.array_max(F.zip_with("posterior", index, lambda v, k: F.struct(v.alias("v"), (-k).alias("k")))))
     empty = F.col("n_grams") == 0
-    out = out.withColumn("__b", best).withColumns({"language": F.when(empty, UNKNOWN).otherwise(F.element_at(F.array(*map(F.lit, names)), 1 - F.col("__b.k"))), "confidence": F.when(empty, 0.0).otherwise(F.col("__b.v"))})
-    return out.select(F.col("id").alias(id_col), "language", "confidence", ((F.col("language") != UNKNOWN) & (F.col("confidence") >= least)).alias("accepted"), "posterior")
+    language, confidence = F.when(empty, UNKNOWN).otherwise(F.element_at(F.array(*map(F.lit, names)), 1 - F.col("best.k"))), F.when(empty, 0.0).otherwise(F.col("best.v"))
+    out = out.select("row.*", language.alias("language"), confidence.alias("confidence"), "posterior")
+    accepted = (F.col("language") != UNKNOWN) & (F.col("confidence") >= least)
+    return out.select(id_col, *keep, "language", "confidence", accepted.alias("accepted"), "posterior")
+
+
+def join_values(rows: DataFrame, values: DataFrame, level: str) -> DataFrame:
+    """`rows` with the columns of `values` (one row a value of `level`), nulls for rows without a value.
+
+    Few values are broadcast after a count. Of many, those on many rows are; rows without a value stay out of the shuffle.
+    """
+    slim = values.drop("n")
+    if slim.count() <= FEW_VALUES:
+        return rows.join(F.broadcast(slim), level, "left")
+    known = join_hot(rows.where(F.col(level).isNotNull()), values, [level])
+    absent = rows.where(F.col(level).isNull()).withColumn(f"{level}_c", F.lit(None).cast(slim.schema[f"{level}_c"].dataType))
+    return known.unionByName(absent, allowMissingColumns=False)
