@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from kindred.operators import clusters
 from kindred.operators.lineage import PACK, bucketed, counted, cut, new_path, shared_dir
 
-__all__ = ["PACK", "WORD", "bucketed", "components", "counted", "cut", "join_hot", "new_path", "shared_dir", "sliced", "small_side", "unused", "word_count"]
+__all__ = ["PACK", "WORD", "bucketed", "components", "counted", "cut", "join_hot", "left_join_hot", "new_path", "shared_dir", "sliced", "small_side", "unused", "word_count"]
 
 #: Java regular expression of one word: a run of characters other than space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -40,6 +40,15 @@ def join_hot(left: DataFrame, right: DataFrame, on: list[str], n: str = "n") ->
     return left.join(F.broadcast(hot), on).unionByName(cold)
 
 
+def left_join_hot(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join of two tables on one column, `right` with one row a key; keys of HOT rows or more of `left` are broadcast."""
+    hot, found = counted(left.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= HOT) & F.col(key).isNotNull()).select(key))
+    if not 0 < found <= HOT_KEYS:
+        return left.join(right, key, "left")
+    many = right.join(F.broadcast(hot), key, "left_semi")
+    return left.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(many), key, "left").unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right, key, "left"))
+
+
 def unused(df: DataFrame, name: str) -> str:
     """`name`, with underscores added until `df` has no column of that name (in any case of letters)."""
     taken = {c.lower() for c in df.columns}

@@ -68,6 +68,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.encode(ids, "UTF-8"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_nn_descent": op2_nn_descent,
@@ -80,6 +86,7 @@ QUERIES = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_byte_bpe": op10_byte_bpe,
+    "pipeline": pipeline,
 }
 
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
@@ -115,16 +122,6 @@ kept AS (SELECT r, count(*) AS n, count(*) FILTER (WHERE gone) AS g,
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(g, 0)::BIGINT AS n_removed, sha256(t) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
 """
 
-ORACLES = {"op3_mix_sources": MIX_SQL, "op5_line_dedup": LINE_SQL}
-
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
-QUERIES["pipeline"] = pipeline
-
 WARC_SQL = """
 WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages),
 d AS (SELECT page_id, payload_bytes, list_aggregate(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
@@ -133,4 +130,58 @@ f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
     CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM f
 """
-ORACLES["op6_warc_revisits"] = WARC_SQL
+
+# windows by their words; each starts in some documents, of which the smallest counts
+REPEATS_SQL = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS h FROM d, unnest(range(1, len(w) - 48)) t(i) WHERE len(w) >= 50),
+first AS MATERIALIZED (SELECT h, min(doc_id) AS f FROM win GROUP BY h),
+gone AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN first USING (h) WHERE doc_id > f),
+lost AS (SELECT doc_id, count(*) AS n, list(p) AS p FROM gone GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
+    sha256(array_to_string(CASE WHEN n IS NULL THEN w ELSE list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: NOT list_contains(p, x[2])), lambda x: x[1]) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN lost USING (doc_id)
+"""
+
+# a vector takes part if it is not null, not zero and has finite components only
+_USABLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
+
+NEAREST_SQL = f"""
+WITH v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE {_USABLE}),
+d AS (SELECT a.vec_id AS query_id, b.vec_id, sqrt(list_sum(list_transform(list_zip(a.e, b.e), lambda x: (x[1] - x[2]) * (x[1] - x[2])))) AS score
+    FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INTEGER AS rank, vec_id, score FROM d QUALIFY rank <= 10
+"""
+
+SHINGLES_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, (len(w) - 2)::BIGINT), lambda i: array_to_string(w[i : i + 3], ' ')) END) AS s FROM w),
+t AS MATERIALIZED (SELECT doc_id, unnest(s) AS t FROM s), n AS MATERIALIZED (SELECT doc_id, len(s) AS n FROM s),
+p AS MATERIALIZED (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS c FROM t a JOIN t b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT i, j FROM p JOIN n x ON p.i = x.doc_id JOIN n y ON p.j = y.doc_id WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r(doc_id, other) AS (SELECT DISTINCT i, i FROM l UNION SELECT r.doc_id, l.j FROM r JOIN l ON r.other = l.i),
+c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
+SELECT n.doc_id, n.n::BIGINT AS n_shingles, coalesce(component_id, n.doc_id) AS component_id, coalesce(component_id, n.doc_id) = n.doc_id AS kept FROM n LEFT JOIN c USING (doc_id)
+"""
+
+COSINE_SQL = f"""
+WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE {_USABLE}),
+u AS MATERIALIZED (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v),
+l AS MATERIALIZED (SELECT a.vec_id AS i, b.vec_id AS j FROM u a JOIN u b ON a.vec_id <> b.vec_id
+    WHERE list_sum(list_transform(list_zip(a.e, b.e), lambda x: x[1] * x[2])) / a.n / b.n >= 0.9),
+r(vec_id, other) AS (SELECT DISTINCT i, i FROM l UNION SELECT r.vec_id, l.j FROM r JOIN l ON r.other = l.i),
+c AS (SELECT vec_id, min(other) AS component FROM r GROUP BY vec_id), k AS (SELECT i AS vec_id, count(DISTINCT j) AS n_links FROM l GROUP BY i)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(component, vec_id) AS component_id, coalesce(component, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN c USING (vec_id) LEFT JOIN k USING (vec_id)
+"""
+
+#: The all-pairs searches in SQL are for tables of up to some thousands of rows.
+ORACLES = {
+    "op1_substring_dedup": REPEATS_SQL,
+    "op2_nn_descent": NEAREST_SQL,
+    "op3_mix_sources": MIX_SQL,
+    "op5_line_dedup": LINE_SQL,
+    "op6_warc_revisits": WARC_SQL,
+    "op8_minhash_dedup": SHINGLES_SQL,
+    "op9_embedding_dedup": COSINE_SQL,
+}

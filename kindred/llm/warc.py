@@ -6,7 +6,6 @@ line end), so any file system and the commit protocol for retried tasks serve th
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -14,14 +13,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.common import cut, shared_dir
+from kindred.llm.common import HOT, HOT_KEYS, counted, cut, left_join_hot, new_path, small_side
 
 #: Fixed values of the WARC 1.1 format and of base32.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CRLF = "\r\n"
-#: Records of one archive file at most.
-RECORDS = 5_000
+#: Bytes of payload of one archive file at most, unless it is one record, and records of one file at most.
+ARCHIVE_BYTES, RECORDS = 64 << 20, 4096
+#: Payloads are written by size, so that a number of records bounds the bytes of a file: upper ends of the classes but the last.
+CLASSES = (16 << 10, 256 << 10, 4 << 20)
+#: Repeated payloads up to which their digests are broadcast.
+DIGESTS = 200_000
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -49,15 +52,25 @@ def assign_roles(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
     p = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
     digest, size = base32_sha1(F.encode("payload", "UTF-8")), F.octet_length("payload").cast("long")
     headers = p.select("page_id", digest.alias("payload_digest"), size.alias("payload_bytes"))
-    # headers meet by digest, and the smallest page of a digest is joined to each record
-    first = cut(headers.where(F.col("payload_bytes") >= min_payload_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    rows = p.withColumns({"payload_digest": digest, "payload_bytes": size}).join(first, "payload_digest", "left")
+    # headers alone meet by digest
+    first, found = counted(headers.where(F.col("payload_bytes") >= min_payload_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    rows = p.withColumns({"payload_digest": digest, "payload_bytes": size})
+    if found <= DIGESTS:
+        rows = rows.join(F.broadcast(first.drop("n")), "payload_digest", "left")
+    else:
+        # payloads on many pages are few: they are broadcast, and their pages dealt by page
+        hot = small_side(first.where(F.col("n") >= HOT).select("payload_digest", F.col("first_id").alias("hot_id")), HOT_KEYS)
+        rows = rows.join(hot, "payload_digest", "left").withColumn("key", F.when(F.col("hot_id").isNull(), F.col("payload_digest")).otherwise(F.concat(F.lit("#"), F.xxhash64("page_id").cast("string"))))
+        rows = rows.join(first.select(F.col("payload_digest").alias("key"), F.col("first_id").alias("cold_id")), "key", "left").withColumn("first_id", F.coalesce("hot_id", "cold_id"))
     again = F.col("first_id").isNotNull() & (F.col("payload_bytes") >= min_payload_bytes) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return rows.select("page_id", "url", "payload", "payload_digest", "payload_bytes", F.when(again, F.col("first_id")).alias("refers_to"))
 
 
 def write_archives(roles: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z") -> None:
-    """Writes a record per row of `assign_roles` with fresh headers; a revisit has the HTTP head of its page but no payload."""
+    """Writes a record per row of `assign_roles` with fresh headers; a revisit has the HTTP head of its page but no payload.
+
+    Files are gzip streams of ARCHIVE_BYTES of payload at most, but for a larger payload, which has a file of its own.
+    """
     revisit = F.col("refers_to").isNotNull()
     url = F.coalesce(F.regexp_replace("url", r"[\x00-\x20]+", "%20"), F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("null"))))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(CRLF * 2))
@@ -76,7 +89,11 @@ def write_archives(roles: DataFrame, path: str, date: str = "1970-01-01T00:00:00
         F.concat(F.lit("Content-Length: "), F.octet_length("__body").cast("string")),
     ]
     text = F.concat(F.concat_ws(CRLF, *head), F.lit(CRLF * 2), F.col("__body"), F.lit("\r\n\r"))
-    roles.withColumn("__body", body).select(text.alias("value")).write.option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
+    at = sum((F.when(F.col("payload_bytes") > x, 1).otherwise(0) for x in CLASSES), F.lit(0))
+    lines = roles.withColumn("__body", body).select(text.alias("value"), at.alias("class"))
+    for k in sorted(r[0] for r in roles.select(at.alias("class")).distinct().collect()) or [0]:
+        most = min(RECORDS, ARCHIVE_BYTES // CLASSES[k]) if k < len(CLASSES) else 1
+        lines.where(F.col("class") == k).select("value").write.option("compression", "gzip").option("maxRecordsPerFile", most).text(f"{path}/size-{k}")
 
 
 def records_of(data: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -146,7 +163,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), READ, strict=True)], schema=READ)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").option("recursiveFileLookup", "true").load(path).select("content")
     return files.mapInArrow(run, "page_id long, record_type string, record_id string, refers_to_record string, url string, header_digest string, payload binary")
 
 
@@ -158,7 +175,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     slim = cut(records.select("page_id", "record_type", "record_id", "refers_to_record", "header_digest", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest")))
     whole = slim.where("record_type = 'response'")
     by_id = cut(whole.groupBy(F.col("record_id").alias("refers_to_record")).agg(F.first("page_id").alias("to"), F.first("payload_bytes").alias("b"), F.first("payload_digest").alias("d")))
-    back = slim.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to_record", "header_digest").join(by_id, "refers_to_record", "left")
+    back = left_join_hot(slim.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to_record", "header_digest"), by_id, "refers_to_record")
     return whole.select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to")).unionByName(
         back.select("page_id", F.col("b").alias("payload_bytes"), F.coalesce("d", "header_digest").alias("payload_digest"), "record_type", F.col("to").alias("refers_to"))
     )
@@ -167,6 +184,6 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 def roundtrip(pages: DataFrame, **columns) -> DataFrame:
     """Writes `pages` as deduplicated archives into a new folder of the shared one, and resolves what is read back."""
     spark = pages.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    path = new_path(spark, "warc")
     write_archives(assign_roles(pages, **columns), path)
     return resolve_revisits(read_archives(spark, path))
