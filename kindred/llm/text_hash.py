@@ -15,8 +15,8 @@ import xxhash
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 #: Bytes of words (with what their entries take) that a worker remembers the hashes of.
-MEMO_BYTES = 48 << 20
-ENTRY = 130
+MEMO_BYTES = 32 << 20
+ENTRY = 200
 
 
 class WordHashes(dict):
@@ -73,7 +73,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         up, down = np.full(size, BASE, U), np.full(size, pow(BASE, -1, 1 << 64), U)
         up[0] = down[0] = 1
         p = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
-        if size > 1 << 22:
+        if size > 1 << 20:
             return p[0], p[1]
         _powers[:] = p
     return _powers[0], _powers[1]
