@@ -24,6 +24,8 @@ SAMPLE_ROWS, SAMPLE_CHARS, MOST_LANGUAGES = 200, 20_000, 200
 BUCKETS = 1 << 16
 #: Grams that a text's evidence weighs like at most; grams repeat what their neighbours say.
 EVIDENCE = 60
+#: Kinds of evidence but the text, as columns of a row.
+LEVELS = ("host", "domain", "declared", "suffix")
 #: Values of a level up to which their counts are broadcast.
 FEW_VALUES = 20_000
 
@@ -66,7 +68,10 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", labe
 
 
 def score(df: DataFrame, table: np.ndarray, text_col: str) -> DataFrame:
-    """`df` without `text_col`, with `ll array<double>` (mean log likelihood of a gram for each language) and `n_grams`."""
+    """`df` without `text_col`, with `ll array<double>` (mean log likelihood of a gram for each language), `n_grams` and `vote`.
+
+    The vote is the number of the likeliest language, the first of equals; null for a row without text.
+    """
     at = df.columns.index(text_col)
     names = [c for c in df.columns if c != text_col]
     shared = df.sparkSession.sparkContext.broadcast(table)  # bounded: BUCKETS x (MOST_LANGUAGES + 1)
@@ -82,10 +87,11 @@ def score(df: DataFrame, table: np.ndarray, text_col: str) -> DataFrame:
                     sums[i] += m[grams(np.frombuffer(t, np.uint8, min(len(t) - k, (1 << 18) + 2), k))].sum(axis=0, dtype=np.float64)
             mean = sums / np.maximum(n, 1)[:, None]
             ll = pa.ListArray.from_arrays(np.arange(0, mean.size + 1, m.shape[1], dtype=np.int32), pa.array(mean.ravel()))
-            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != at), ll, pa.array(n, pa.int64())], names=[*names, "ll", "n_grams"])
+            vote = pa.array(mean.argmax(axis=1), pa.int32(), mask=n == 0)
+            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != at), ll, pa.array(n, pa.int64()), vote], names=[*names, "ll", "n_grams", "vote"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != text_col)
-    return df.mapInArrow(run, f"{schema}, ll array<double>, n_grams long")
+    return df.mapInArrow(run, f"{schema}, ll array<double>, n_grams long, vote int")
 
 
 def host_of(url: Column) -> Column:
@@ -129,10 +135,7 @@ def identify(
     src = df.select(F.struct(F.col(id_col).alias(id_col), *(F.col(c) for c in keep)).alias("row"), text.alias("text"), declared.alias("declared"), host.alias("host"))
     labels = F.split("host", r"\.")
     src = src.withColumns({"suffix": F.when(F.size(labels) > 1, F.element_at(labels, -1)), "domain": F.when(F.size(labels) > 2, F.array_join(F.slice(labels, -2, 2), ".")).otherwise(F.col("host"))})
-    scored = score(src, model.table, "text")
-    index = F.array(*(F.lit(k) for k in range(len(names))))
-    vote = F.array_max(F.zip_with("ll", index, lambda v, k: F.struct(v.alias("v"), (-k).alias("k"))))
-    voted = cut(scored.withColumn("vote", F.when(F.col("n_grams") > 0, -vote["k"])))
+    voted = cut(score(src, model.table, "text"))
 
     def counts(level: str) -> DataFrame:
         """Decisions of each value of a level, an array by language, and how many rows have the value."""
@@ -140,38 +143,52 @@ def identify(
         return cut(per.agg(F.array(*(F.count_if(F.col("vote") == k) for k in range(len(names)))).alias(f"{level}_c"), F.count(F.lit(1)).alias("n")))
 
     total = voted.agg(*(F.count_if(F.col("vote") == k) for k in range(len(names)))).collect()[0]
-    prior = F.array(*(F.lit((c + 1.0) / (sum(total) + len(names))) for c in total))
+    prior = np.array([(c + 1.0) / (sum(total) + len(names)) for c in total])
     joined = voted
-    for level in ("host", "domain", "declared", "suffix"):
+    for level in LEVELS:
         joined = join_values(joined, counts(level), level)
-    own = F.transform(index, lambda k: F.coalesce((k == F.col("vote")).cast("double"), F.lit(0.0)))
-    zero = F.array(*(F.lit(0.0) for _ in names))
-
-    def others(level: str) -> Column:
-        """Counts of a level without the row itself; zeros where the row has no value."""
-        return F.coalesce(F.zip_with(F.col(f"{level}_c"), own, lambda c, o: c - o), zero)
-
-    def smoothed(c: Column, towards: Column) -> Column:
-        n = F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
-        return F.zip_with(c, towards, lambda x, p: (x + strength * p) / (n + strength))
-
-    # named columns, so that no expression is written out in the next ones again
-    out = joined.withColumns({"o_domain": others("domain"), "o_host": others("host"), "o_declared": others("declared"), "o_suffix": others("suffix")})
-    out = out.withColumns({"p_domain": smoothed(F.col("o_domain"), prior), "p_declared": smoothed(F.col("o_declared"), prior), "p_suffix": smoothed(F.col("o_suffix"), prior)})
-    out = out.withColumn("p_host", smoothed(F.col("o_host"), F.col("p_domain")))
-    weight = F.least(F.col("n_grams"), F.lit(EVIDENCE)).cast("double")
-    evidence = F.arrays_zip("ll", "p_host", "p_declared", "p_suffix", prior.alias("prior"))
-    out = out.withColumn("f", F.transform(evidence, lambda e: e["ll"] * weight + F.log(e["p_host"]) + F.log(e["p_declared"]) + F.log(e["p_suffix"]) - 2 * F.log(e["prior"])))
-    out = out.withColumn("e", F.transform("f", lambda v: F.exp(v - F.array_max("f"))))
-    out = out.withColumn("posterior", F.transform("e", lambda v: v / F.aggregate("e", F.lit(0.0), lambda a, x: a + x)))
-    out = out.withColumn("best", F.array_max(F.zip_with("posterior", index, lambda v, k: F.struct(v.alias("v"), (-k).alias("k")))))
-    empty = F.col("n_grams") == 0
-    language, confidence = F.when(empty, UNKNOWN).otherwise(F.element_at(F.array(*map(F.lit, names)), 1 - F.col("best.k"))), F.when(empty, 0.0).otherwise(F.col("best.v"))
-    out = out.select("row.*", language.alias("language"), confidence.alias("confidence"), "posterior")
+    out = fuse(joined, prior, names, strength).select("row.*", "language", "confidence", "posterior")
     accepted = (F.col("language") != UNKNOWN) & (F.col("confidence") >= least)
     return out.select(id_col, *keep, "language", "confidence", accepted.alias("accepted"), "posterior")
 
 
+def lists(column: pa.ListArray, width: int) -> np.ndarray:
+    """A column of lists of one length as a matrix, with zeros for nulls."""
+    out = np.zeros((len(column), width))
+    there = column.is_valid().to_numpy(zero_copy_only=False)
+    out[there] = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    return out
+
+
+def fuse(df: DataFrame, prior: np.ndarray, names: list[str], strength: float) -> DataFrame:
+    """(row, language, confidence, posterior) from likelihoods, votes and the counts of each level."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("n_grams").to_numpy()
+            own = np.zeros((batch.num_rows, len(names)))
+            voted = np.flatnonzero(n)
+            own[voted, batch.column("vote").drop_null().to_numpy()] = 1
+
+            def smoothed(level: str, towards: np.ndarray, batch: pa.RecordBatch = batch, own: np.ndarray = own) -> np.ndarray:
+                column = batch.column(f"{level}_c")
+                c = lists(column, len(names))
+                c = c - np.where(column.is_valid().to_numpy(zero_copy_only=False)[:, None], own, 0)
+                return (c + strength * towards) / (c.sum(axis=1, keepdims=True) + strength)
+
+            f = lists(batch.column("ll"), len(names)) * np.minimum(n, EVIDENCE)[:, None]
+            f += np.log(smoothed("host", smoothed("domain", prior))) + np.log(smoothed("declared", prior) / prior) + np.log(smoothed("suffix", prior) / prior)
+            e = np.exp(f - f.max(axis=1, keepdims=True))
+            e /= e.sum(axis=1, keepdims=True)
+            best = np.where(n > 0, e.argmax(axis=1), len(names) - 1)
+            confidence = np.where(n > 0, e.max(axis=1), 0.0)
+            posterior = pa.ListArray.from_arrays(np.arange(0, e.size + 1, e.shape[1], dtype=np.int32), pa.array(e.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([names[k] for k in best], pa.string()), pa.array(confidence), posterior], names=["row", "language", "confidence", "posterior"])
+
+    src = df.select("row", "ll", "n_grams", "vote", *(f"{x}_c" for x in LEVELS))
+    return src.mapInArrow(run, f"row {src.schema['row'].dataType.simpleString()}, language string, confidence double, posterior array<double>")
+
+
 def join_values(rows: DataFrame, values: DataFrame, level: str) -> DataFrame:
     """`rows` with the columns of `values` (one row a value of `level`), nulls for rows without a value.
 
