@@ -245,8 +245,8 @@ def table_of(path: str) -> Table:
 _encoders: dict[str, Encoder] = {}
 
 
-def encode(df: DataFrame, *, text_col: str = "text", id_cols: tuple[str, ...] = ("doc_id",), ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Rows of `id_cols` with `ids array<int>`: the BPE ids of the whole `text_col`.
+def encode(df: DataFrame, *, text_col: str = "text", id_cols: tuple[str, ...] = ("doc_id",), ranks_path: str | None = None, pattern: str | None = None, decoded: bool = False) -> DataFrame:
+    """Rows of `id_cols` with `ids array<int>`: the BPE ids of the whole `text_col`; with `decoded binary`, what they decode to, if asked.
 
     Null and empty texts give an empty array; repeated rows give repeated rows; other columns are not carried. The table of
     ranks hangs on the vocabulary alone; it is built once on the driver and broadcast.
@@ -254,6 +254,7 @@ def encode(df: DataFrame, *, text_col: str = "text", id_cols: tuple[str, ...] =
     pattern = pattern or default_pattern()
     text_name = unused(df, "__text")
     src = df.select(*id_cols, F.col(text_col).alias(text_name))
+    pool = df.sparkSession.sparkContext.broadcast(Pool(ranks_of(ranks_path or default_ranks()))) if decoded else None
     table, gaps, key = df.sparkSession.sparkContext.broadcast(table_of(ranks_path or default_ranks())), pattern == default_pattern(), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,10 +266,14 @@ def encode(df: DataFrame, *, text_col: str = "text", id_cols: tuple[str, ...] =
             parts = [c.encode(t) if t else b"" for t in batch.column(text_name).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), "<i4"), pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(id_cols))), ids], names=[*id_cols, "ids"])
+            columns, names = [*(batch.column(k) for k in range(len(id_cols))), ids], [*id_cols, "ids"]
+            if pool is not None:
+                columns.append(pa.array([pool.value.decode(np.frombuffer(p, "<i4")).tobytes() for p in parts], pa.binary()))
+                names.append("decoded")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
-    return src.mapInArrow(run, f"{schema}, ids array<int>")
+    return src.mapInArrow(run, f"{schema}, ids array<int>" + (", decoded binary" if decoded else ""))
 
 
 def decode(df: DataFrame, *, ids_col: str = "ids", ranks_path: str | None = None) -> DataFrame:
