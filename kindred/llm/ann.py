@@ -51,8 +51,13 @@ def width(vector: ArrayType) -> str:
     return "<f4" if isinstance(vector.elementType, FloatType) else "<f8"
 
 
-def _rows(q: list[bytes], kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(q), kind).reshape(len(q), -1).astype(np.float64)
+def _rows(column: pa.BinaryArray, kind: str) -> np.ndarray:
+    """A column of vectors as bytes as a matrix of float64, from its buffer."""
+    n = len(column)
+    if not n:
+        return np.zeros((0, 1))
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + n + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind).reshape(n, -1).astype(np.float64)
 
 
 def _squares(x: np.ndarray) -> np.ndarray:
@@ -76,11 +81,12 @@ def meet(groups: DataFrame, most: int, kind: str) -> DataFrame:
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 ids, near, dist = [], [], []
-                for members in whole.slice(k, 256).column(0).to_pylist():
+                for members in whole.slice(k, 256).column(0):
                     if len(members) < 2:
                         continue
-                    i = np.array([m["id"] for m in members])
-                    d = _squares(_rows([m["q"] for m in members], kind))
+                    members = members.values
+                    i = members.field(0).to_numpy()
+                    d = _squares(_rows(members.field(1), kind))
                     n = min(most, len(i) - 1)
                     at = np.argpartition(d, n - 1, axis=1)[:, :n]
                     ids += i.tolist()
@@ -150,7 +156,7 @@ def search(graph: DataFrame, q: DataFrame, starts: DataFrame, kind: str, beam: i
     back = ranked.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("d", "to"))).where(F.col("n") <= REVERSE).select("id", "to")
     both = edges.select("id", "to").unionByName(back).distinct()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lists = both.join(q.withColumnRenamed("id", "to"), "to").groupBy("id").agg(F.collect_list("to").alias("to"), F.array_join(F.collect_list(F.hex("q")), "").alias("x")).select(F.col("id").alias("node"), "to", F.unhex("x").alias("tq"))
+    lists = both.join(q.withColumnRenamed("id", "to"), "to").groupBy("id").agg(F.collect_list(F.struct("to", "q")).alias("x")).select(F.col("id").alias("node"), F.col("x.to").alias("to"), F.col("x.q").alias("tq"))
     lists = lists.repartition(parts, "node").persist(StorageLevel.MEMORY_AND_DISK)
     empty = F.array().cast("array<long>")
     state = cut(starts.join(q.withColumnRenamed("id", "query"), "query").select("query", "q", F.array("query").alias("ids"), F.array(F.lit(0.0)).alias("ds"), empty.alias("seen")))
@@ -160,11 +166,10 @@ def search(graph: DataFrame, q: DataFrame, starts: DataFrame, kind: str, beam: i
             for k in range(0, whole.num_rows, 512):
                 b = whole.slice(k, 512)
                 near, dist = [], []
-                for x, limit, to, tq in zip(b.column("q").to_pylist(), b.column("limit").to_pylist(), b.column("to"), b.column("tq").to_pylist(), strict=True):
+                for x, limit, to, tq in zip(_rows(b.column("q"), kind), b.column("limit").to_pylist(), b.column("to"), b.column("tq"), strict=True):
                     to = to.values.to_numpy()
-                    y = np.frombuffer(tq, kind).reshape(len(to), -1).astype(np.float64)
                     with np.errstate(over="ignore"):
-                        d = ((y - np.frombuffer(x, kind).astype(np.float64)) ** 2).sum(1)
+                        d = ((_rows(tq.values, kind) - x) ** 2).sum(1)
                     good = d <= limit
                     near.append(to[good])
                     dist.append(d[good])

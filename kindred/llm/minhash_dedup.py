@@ -262,5 +262,5 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ends = ends.withColumn("component_id", F.col("cls")) if comp is None else ends.join(comp, ends["cls"] == comp["id"], "left").select("key", F.coalesce("component", "cls").alias("component_id"))
     by_key = cut(ends.select("key", "component_id"))
     out = base.select("id", "n_shingles", "key").join(by_key, "key", "left")
-    own = F.coalesce("component_id", "id")
+    own = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(False)).alias("kept"))
