@@ -56,7 +56,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, the ids of every copy that the mix takes, their number, and a digest of the bytes they decode to."""
-    out = bpe.decode(bpe.encode(docs, id_cols=("doc_id", "source", "lang")))
+    out = bpe.encode(docs, id_cols=("doc_id", "source", "lang"), decoded=True)
     return out.select("doc_id", "source", "lang", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
