@@ -224,25 +224,39 @@ def adc_top_k(queries: DataFrame, codes: DataFrame, codebook: DataFrame, k: int,
     return met.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def neighbour_edges(items: DataFrame, codebook: DataFrame, threshold: float, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """(i, j, dist), i < j: pairs of which one is among the other's nearest by table distance, under 2 * threshold there; dist is the exact cosine distance.
+def neighbour_pairs(items: DataFrame, codebook: DataFrame, threshold: float, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """(i, j), i < j: pairs of which one is among the other's nearest by table distance, under 2 * threshold there.
 
-    For unit vectors the squared Euclidean distance is twice the cosine distance. The exact distance may exceed the threshold.
+    For unit vectors the squared Euclidean distance is twice the cosine distance.
     """
     v = sound(items).withColumnRenamed("v", "embedding")
     near = adc_top_k(v, cut(encode(v, codebook)), codebook, neighbours + 1)
     pairs = near.where((F.col("dist") < 2 * threshold) & (F.col("query_id") != F.col("item_id")))
-    pairs = cut(pairs.select(F.least("query_id", "item_id").alias("i"), F.greatest("query_id", "item_id").alias("j")).distinct())
+    return pairs.select(F.least("query_id", "item_id").alias("i"), F.greatest("query_id", "item_id").alias("j")).distinct()
+
+
+def exact_distances(items: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(i, j, dist): `pairs` (i, j) with the cosine distance of their unit vectors."""
+    v = sound(items)
     both = pairs.join(v.toDF("i", "va"), "i").join(v.toDF("j", "vb"), "j")
     return both.select("i", "j", cosine_distance("va", "vb").alias("dist"))
 
 
-def quantized_clusters(items: DataFrame, threshold: float, ratio: float = 0.7, *, parts: int = PARTS, size: int = SIZE, dim: int = 768, neighbours: int = NEIGHBOURS, cap: int = WEAK_CAP, strict: bool = False, codebook: DataFrame | None = None) -> DataFrame:
-    """(item_id, label): size-constrained merging over the edges of the nearest codes.
+def neighbour_edges(items: DataFrame, codebook: DataFrame, threshold: float, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """(i, j, dist) of `neighbour_pairs`, with their exact distance, which may exceed the threshold."""
+    return exact_distances(items, cut(neighbour_pairs(items, codebook, threshold, neighbours)))
+
+
+def clusters_of(items: DataFrame, edges: DataFrame, threshold: float, ratio: float = 0.7, cap: int = WEAK_CAP, strict: bool = False) -> DataFrame:
+    """(item_id, label): size-constrained merging over `edges` of `neighbour_edges`.
 
     As all weak edges merge up to `cap` members, so may edges whose exact distance exceeds the threshold; `strict` leaves them out.
     """
+    return constrained_clusters(items, edges.where(F.col("dist") < threshold) if strict else edges, threshold, ratio, cap)
+
+
+def quantized_clusters(items: DataFrame, threshold: float, ratio: float = 0.7, *, parts: int = PARTS, size: int = SIZE, dim: int = 768, neighbours: int = NEIGHBOURS, cap: int = WEAK_CAP, strict: bool = False, codebook: DataFrame | None = None) -> DataFrame:
+    """(item_id, label): a codebook, the nearest items by codes, and `clusters_of` their edges."""
     v = cut(sound(items).withColumnRenamed("v", "embedding"))
     book = codebook if codebook is not None else train(v, parts, size, dim)
-    edges = cut(neighbour_edges(v, book, threshold, neighbours))
-    return constrained_clusters(v, edges.where(F.col("dist") < threshold) if strict else edges, threshold, ratio, cap)
+    return clusters_of(v, cut(neighbour_edges(v, book, threshold, neighbours)), threshold, ratio, cap, strict)

@@ -15,7 +15,7 @@ from kindred.operators.lineage import cut
 from kindred.operators.numbering import numbered
 from kindred.operators.pairs import pairs_within, sound
 from kindred.operators.votes import verify_pairs
-from kindred.sources import cache
+from kindred.sources import cache, fitted
 from kindred.sources.results import pair_struct
 
 VERDICT = ("accepted", "angle", "scale", "angle_votes", "scale_votes")
@@ -38,6 +38,8 @@ class Settings:
     neighbours: int = quantizer.NEIGHBOURS
     #: "linkage", "constrained" or "quantized"; by the number of items if None.
     mode: str | None = None
+    #: Folder that keeps the codebook and neighbours of the quantized mode for the next search of the same vectors; none if None.
+    fitted_path: str | None = None
 
 
 def cluster(items: DataFrame, s: Settings) -> DataFrame:
@@ -47,7 +49,8 @@ def cluster(items: DataFrame, s: Settings) -> DataFrame:
     mode = s.mode or ("linkage" if n <= s.linkage_limit else "constrained" if n <= s.exact_limit else "quantized")
     if mode == "quantized":
         dim = v.agg(F.max(F.size("embedding"))).first()[0] or s.parts
-        labels = quantizer.quantized_clusters(v, s.distance_threshold, s.transitivity_ratio, parts=s.parts, size=s.centroids, dim=dim, neighbours=s.neighbours)
+        pairs = fitted_pairs(v, s, dim) if s.fitted_path else quantizer.neighbour_pairs(v, quantizer.train(v, s.parts, s.centroids, dim), s.distance_threshold, s.neighbours)
+        labels = quantizer.clusters_of(v, cut(quantizer.exact_distances(v, cut(pairs))), s.distance_threshold, s.transitivity_ratio)
     else:
         edges = cut(pairs_within(v, s.distance_threshold))
         if mode == "linkage":
@@ -57,6 +60,23 @@ def cluster(items: DataFrame, s: Settings) -> DataFrame:
     return cut(split_oversize(labels, s.max_cluster_size))
 
 
+def fitted_pairs(v: DataFrame, s: Settings, dim: int) -> DataFrame:
+    """Neighbour pairs by codes; codebook and pairs are taken from `fitted_path` if kept for these vectors and parameters, else kept there."""
+    spark, shape = v.sparkSession, {"parts": s.parts, "centroids": s.centroids}
+    book_mark = fitted.fingerprint(v, **shape)
+    mark = fitted.fingerprint(v, **shape, threshold=s.distance_threshold, neighbours=s.neighbours)
+    found = fitted.load_neighbours(spark, f"{s.fitted_path}/neighbours", mark)
+    if found is not None:
+        return found
+    book = fitted.load_codebook(spark, f"{s.fitted_path}/codebook", book_mark)
+    if book is None:
+        book = quantizer.train(v, s.parts, s.centroids, dim)
+        fitted.save_codebook(book, f"{s.fitted_path}/codebook", book_mark)
+    pairs = cut(quantizer.neighbour_pairs(v, book, s.distance_threshold, s.neighbours))
+    fitted.save_neighbours(pairs, f"{s.fitted_path}/neighbours", mark)
+    return pairs
+
+
 def cluster_pairs(items: DataFrame, labels: DataFrame) -> DataFrame:
     """(label, i, j, similarity) of all pairs inside a cluster, i < j; clusters are bounded, so pairs are too."""
     v = sound(items).join(labels, "item_id")

@@ -199,7 +199,7 @@ def neighbour_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbour edges by codes, saved and loaded by fingerprint."""
     v, path = items(spark, sf_dir), new_path(spark, "neighbours")
     mark = fitted.fingerprint(v, parts=PARTS, size=SIZE, threshold=THRESHOLD, neighbours=quantizer.NEIGHBOURS)
-    fitted.save_neighbours(quantizer.neighbour_edges(v, codebook(v), THRESHOLD).select("i", "j"), path, mark)
+    fitted.save_neighbours(quantizer.neighbour_pairs(v, codebook(v), THRESHOLD), path, mark)
     return fitted.load_neighbours(spark, path, mark)
 
 

@@ -94,3 +94,55 @@ def test_weak_components_over_the_limit_match_sequential_merging(spark, cap):
     items = spark.createDataFrame([(x,) for x in range(n)], "item_id long")
     got = constrained_clusters(items, spark.createDataFrame(edges, "i long, j long, dist double"), 0.5, 0.3, cap, most=6)
     assert {r.item_id: r.label for r in got.collect()} == merge(n, edges, 0.5, 0.3, cap)
+
+
+def test_average_linkage_of_more_like_items_than_one_matrix_takes(spark):
+    rng = np.random.default_rng(6)
+    x = np.ones((300, 4)) + rng.normal(size=(300, 4)) * 0.01
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item_id long, embedding array<double>")
+    got = average_linkage(items, pairs_within(items, 0.1), 0.1, most=100, block=64)
+    assert {r.label for r in got.collect()} == {0}
+
+
+@pytest.mark.parametrize("seed", [11, 12])
+def test_components_over_runs_and_partitions_match_brute_force(spark, monkeypatch, seed):
+    from kindred.operators import clusters, lineage
+
+    monkeypatch.setattr(clusters, "RUN_EDGES", 7)
+    monkeypatch.setattr(lineage, "PACK", 10)
+    rng = random.Random(seed)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(130)] + [(i, i + 1) for i in range(300, 340)] + [(None, 3), (4, None), (5, 5)]
+    root = {x: x for e in edges for x in e if x is not None}
+    for _ in range(200):
+        before = dict(root)
+        for a, b in edges:
+            if a is not None and b is not None:
+                root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            break
+    on = {x for a, b in edges if a is not None and b is not None and a != b for x in (a, b)}
+    got = components(spark.createDataFrame(edges, "i long, j long").repartition(9))
+    assert {r.item_id: r.label for r in got.collect()} == {x: c for x, c in root.items() if x in on}
+
+
+def test_labels_and_totals(spark):
+    from kindred.operators.clusters import cluster_sizes, cluster_totals, dense_labels, largest_clusters
+
+    labels = spark.createDataFrame([(i, i // 3 * 3) for i in range(10)], "item_id long, label long")
+    assert {r.item_id: r.label for r in dense_labels(labels).collect()} == {i: i // 3 for i in range(10)}
+    assert tuple(cluster_totals(labels).first()) == (4, 3, 9, 10)
+    assert tuple(cluster_totals(labels.limit(0)).first()) == (0, 0, 0, 0)
+    assert [r.label for r in largest_clusters(labels, over=1, most=2).collect()] == [0, 3]
+    assert {r.label: r.pairs for r in cluster_sizes(labels).collect()} == {0: 3, 3: 3, 6: 3, 9: 0}
+
+
+def test_vector_expressions(spark):
+    from pyspark.sql import functions as F
+
+    from kindred.functions import vectors
+
+    t = spark.createDataFrame([([3.0, 4.0], [0.0, 2.0]), ([0.0, 0.0], [1.0, 0.0])], "a array<float>, b array<float>")
+    out = t.select(vectors.normalized("a").alias("u"), vectors.cosine_distance(vectors.normalized("a"), vectors.normalized("b")).alias("d"), vectors.squared_distance("a", "b").alias("s"), vectors.part("a", F.lit(1), 1).alias("p")).collect()
+    assert [list(r.u) for r in out] == [[0.6, 0.8], [0.0, 0.0]]
+    assert [round(r.d, 9) for r in out] == [0.2, 1.0] and [r.s for r in out] == [13.0, 1.0] and list(out[0].p) == [4.0]

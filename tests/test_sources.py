@@ -76,6 +76,18 @@ def test_every_mode_finds_the_copies(spark, copies, mode):
     assert cluster(copies, Settings(distance_threshold=0.05, max_cluster_size=2, mode=mode, parts=3, centroids=4)).where("label = item_id").count() == 4
 
 
+def test_the_quantized_mode_takes_what_it_kept(spark, copies, tmp_path, monkeypatch):
+    from kindred.operators import quantizer
+
+    s = Settings(distance_threshold=0.05, mode="quantized", parts=3, centroids=4, fitted_path=str(tmp_path / "fit"))
+    first = {r.item_id: r.label for r in cluster(copies, s).collect()}
+    monkeypatch.setattr(quantizer, "train", None)
+    monkeypatch.setattr(quantizer, "adc_top_k", None)
+    assert {r.item_id: r.label for r in cluster(copies, s).collect()} == first == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3}
+    with pytest.raises(TypeError):  # other vectors
+        cluster(copies.where("item_id < 5 and item_id <> 1"), s).collect()
+
+
 def test_verdicts_make_cliques_with_running_numbers(spark, copies):
     said = spark.createDataFrame([(0, 1, True), (1, 2, True), (0, 2, False), (3, 4, True)], "i long, j long, accepted boolean")
     rows = find_duplicates(copies, Settings(distance_threshold=0.05), said).orderBy("group_id").collect()
