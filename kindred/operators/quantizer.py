@@ -24,7 +24,7 @@ CODEBOOK_BYTES = 64 << 20
 #: Defaults of the search over large sets: parts, centroids of a part, neighbours of an item.
 PARTS, SIZE, NEIGHBOURS = 96, 256, 5
 CODES = 8192
-ROWS = 512
+ROWS = 2048
 
 
 def part_width(dim: int, parts: int) -> int:
@@ -259,4 +259,4 @@ def quantized_clusters(items: DataFrame, threshold: float, ratio: float = 0.7, *
     """(item_id, label): a codebook, the nearest items by codes, and `clusters_of` their edges."""
     v = cut(sound(items).withColumnRenamed("v", "embedding"))
     book = codebook if codebook is not None else train(v, parts, size, dim)
-    return clusters_of(v, cut(neighbour_edges(v, book, threshold, neighbours)), threshold, ratio, cap, strict)
+    return clusters_of(v, neighbour_edges(v, book, threshold, neighbours), threshold, ratio, cap, strict)

@@ -50,9 +50,9 @@ def cluster(items: DataFrame, s: Settings) -> DataFrame:
     if mode == "quantized":
         dim = v.agg(F.max(F.size("embedding"))).first()[0] or s.parts
         pairs = fitted_pairs(v, s, dim) if s.fitted_path else quantizer.neighbour_pairs(v, quantizer.train(v, s.parts, s.centroids, dim), s.distance_threshold, s.neighbours)
-        labels = quantizer.clusters_of(v, cut(quantizer.exact_distances(v, cut(pairs))), s.distance_threshold, s.transitivity_ratio)
+        labels = quantizer.clusters_of(v, quantizer.exact_distances(v, cut(pairs)), s.distance_threshold, s.transitivity_ratio)
     else:
-        edges = cut(pairs_within(v, s.distance_threshold))
+        edges = pairs_within(v, s.distance_threshold)
         if mode == "linkage":
             labels = average_linkage(v, edges, s.distance_threshold)
         else:
@@ -109,7 +109,7 @@ def group_pairs(items: DataFrame, settings: Settings = Settings(), verdicts: Dat
     that are accepted, by `verdicts` (i, j, accepted and perhaps the other columns) or a vote over `features`, and similar
     enough; they are numbered from 0 by label and members, and an item may be in several.
     """
-    pairs = cluster_pairs(items, cut(cluster(items, settings)))
+    pairs = cluster_pairs(items, cluster(items, settings))
     zero = {"accepted": F.lit(False), "angle": F.lit(0.0), "scale": F.lit(0.0), "angle_votes": F.lit(0), "scale_votes": F.lit(0)}
     if verdicts is None and features is None:
         return pairs.select(F.col("label").alias("group_id"), "label", "i", "j", "similarity", *(v.alias(k) for k, v in zero.items()))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions.vectors import cosine_distance, normalized
 from kindred.operators import clusters, quantizer, votes
+from kindred.operators.components import components
 from kindred.operators.lineage import cut, new_path
 from kindred.operators.pairs import pairs_within, top_k
 from kindred.oracles import ORACLES
@@ -66,7 +67,7 @@ def next_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clusters.components(pairs_within(items(spark, sf_dir), THRESHOLD))
+    return components(pairs_within(items(spark, sf_dir), THRESHOLD))
 
 
 def constrained(spark: SparkSession, sf_dir: str) -> DataFrame:

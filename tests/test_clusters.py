@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 
 from kindred.operators.cliques import enumerate_cliques
-from kindred.operators.clusters import average_linkage, components, constrained_clusters, split_oversize
+from kindred.operators.clusters import average_linkage, constrained_clusters, split_oversize
+from kindred.operators.components import components
 from kindred.operators.pairs import pairs_within, top_k
 
 
@@ -107,10 +108,10 @@ def test_average_linkage_of_more_like_items_than_one_matrix_takes(spark):
 
 @pytest.mark.parametrize("seed", [11, 12])
 def test_components_over_runs_and_partitions_match_brute_force(spark, monkeypatch, seed):
-    from kindred.operators import clusters, lineage
+    from kindred.operators import components as graph
 
-    monkeypatch.setattr(clusters, "RUN_EDGES", 7)
-    monkeypatch.setattr(lineage, "PACK", 10)
+    monkeypatch.setattr(graph, "RUN_EDGES", 7)
+    monkeypatch.setattr(graph, "PACK", 10)
     rng = random.Random(seed)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(130)] + [(i, i + 1) for i in range(300, 340)] + [(None, 3), (4, None), (5, 5)]
     root = {x: x for e in edges for x in e if x is not None}
