@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.operators import clusters
+from kindred.operators import components as graph
 from kindred.operators.lineage import PACK, bucketed, counted, cut, new_path, shared_dir
 
 __all__ = ["PACK", "WORD", "bucketed", "components", "counted", "cut", "join_hot", "left_join_hot", "new_path", "shared_dir", "sliced", "small_side", "unused", "word_count"]
@@ -61,7 +61,7 @@ def word_count(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: str, budget: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch], column: str, budget: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Each batch cut into runs of rows whose `column` (string or binary) holds about `budget` bytes, at least one row each."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
@@ -73,8 +73,9 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, budget: int = 8 << 20
             held += n
         if start < len(sizes):
             yield batch.slice(start)
+        pa.default_memory_pool().release_unused()  # the pool would hold what the largest batch took
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected `edges`: (id, component), component being the smallest id reachable. Nulls are not edges."""
-    return clusters.components(edges.select(F.col(a).alias("i"), F.col(b).alias("j"))).toDF("id", "component")
+    return graph.components(edges.select(F.col(a).alias("i"), F.col(b).alias("j"))).toDF("id", "component")

@@ -15,7 +15,7 @@ import xxhash
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 #: Bytes of words (with what their entries take) that a worker remembers the hashes of.
-MEMO_BYTES = 32 << 20
+MEMO_BYTES = 16 << 20
 ENTRY = 200
 
 
