@@ -13,17 +13,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from kindred.llm.common import cut
+from kindred.llm.common import bucketed, cut
 from kindred.llm.embedding_dedup import matrix, reference_points, unit, usable
 
 NEIGHBOURS, REVERSE = 24, 24
 #: Rounds of the graph go on while more than this share of all list entries changes in one.
-SETTLED = 0.15
+SETTLED = 0.3
 #: Of a start group, so many meet; larger groups are split.
 GROUP = 512
 #: Nodes that a query keeps, and of them those not yet visited that it visits in a hop.
@@ -148,58 +147,51 @@ def neighbour_graph(nodes: DataFrame, q: DataFrame, neighbours: int = NEIGHBOURS
 
 
 def search(graph: DataFrame, q: DataFrame, starts: DataFrame, kind: str, beam: int = BEAM, expand: int = EXPAND) -> DataFrame:
-    """(query, found array<long>, ds array<double>): at most `beam` nearest nodes found for each node id in `starts` (query), itself included, and their squared distances."""
-    spark = graph.sparkSession
-    edges = graph.select("id", F.explode("near").alias("to"), F.lit(0).alias("back"))
+    """(query, found array<long>, ds array<double>): at most `beam` nearest nodes found for each node id in `starts` (query), itself included, and their squared distances.
+
+    Links and vectors are dealt by node once. A hop sends ids to the links, and a query's vector only to nodes it has not tried.
+    """
+    edges = graph.select("id", F.explode("near").alias("to"))
     ranked = graph.select(F.col("id").alias("to"), F.explode(F.arrays_zip("near", "d")).alias("x")).select(F.col("x.near").alias("id"), "to", F.col("x.d").alias("d"))
     # links are walked both ways; of the links that point at a node, the shortest
     back = ranked.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("d", "to"))).where(F.col("n") <= REVERSE).select("id", "to")
-    both = edges.select("id", "to").unionByName(back).distinct()
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lists = both.join(q.withColumnRenamed("id", "to"), "to").groupBy("id").agg(F.collect_list(F.struct("to", "q")).alias("x")).select(F.col("id").alias("node"), F.col("x.to").alias("to"), F.col("x.q").alias("tq"))
-    lists = lists.repartition(parts, "node").persist(StorageLevel.MEMORY_AND_DISK)
-    empty = F.array().cast("array<long>")
-    state = cut(starts.join(q.withColumnRenamed("id", "query"), "query").select("query", "q", F.array("query").alias("ids"), F.array(F.lit(0.0)).alias("ds"), empty.alias("seen")))
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    links = bucketed(edges.unionByName(back).groupBy(F.col("id").alias("node")).agg(F.collect_set("to").alias("to")), "node")
+    vectors = bucketed(q.groupBy(F.col("id").alias("to")).agg(F.first("q").alias("tq")), "to")
+    tried = F.array("query")
+    state = cut(starts.join(q.withColumnRenamed("id", "query"), "query").select("query", "q", tried.alias("ids"), F.array(F.lit(0.0)).alias("ds"), F.array().cast("array<long>").alias("seen"), tried.alias("tried")))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, 512):
-                b = whole.slice(k, 512)
-                near, dist = [], []
-                for x, limit, to, tq in zip(_rows(b.column("q"), kind), b.column("limit").to_pylist(), b.column("to"), b.column("tq"), strict=True):
-                    to = to.values.to_numpy()
-                    with np.errstate(over="ignore"):
-                        d = ((_rows(tq.values, kind) - x) ** 2).sum(1)
-                    good = d <= limit
-                    near.append(to[good])
-                    dist.append(d[good])
-                yield pa.RecordBatch.from_arrays([b.column("query"), pa.array(near, pa.list_(pa.int64())), pa.array(dist, pa.list_(pa.float64()))], names=["query", "near", "d"])
+            for k in range(0, whole.num_rows, 4096):
+                b = whole.slice(k, 4096)
+                with np.errstate(over="ignore"):
+                    d = ((_rows(b.column("tq"), kind) - _rows(b.column("q"), kind)) ** 2).sum(1)
+                yield pa.RecordBatch.from_arrays([b.column("query"), b.column("to"), pa.array(d)], names=["query", "to", "d"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, ds, seen = [], [], []
-            for i, d, s, n, e in zip(*(b.column(c) for c in ("ids", "ds", "seen", "near", "d")), strict=True):
+            ids, ds, seen, known = [], [], [], []
+            for i, d, s, t, n in zip(*(b.column(c) for c in ("ids", "ds", "seen", "tried", "new")), strict=True):
                 old, visited = i.values.to_numpy(), s.values.to_numpy()
                 fresh = old[~np.isin(old, visited)][:expand]
-                i = np.concatenate([old, n.values.to_numpy() if n.is_valid else old[:0]])
-                d = np.concatenate([d.values.to_numpy(), e.values.to_numpy() if e.is_valid else np.zeros(0)])
-                order = np.lexsort((i, d))
-                _, first = np.unique(i[order], return_index=True)
-                at = order[np.sort(first)[:beam]]
+                near, far = (n.values.field(0).to_numpy(), n.values.field(1).to_numpy()) if n.is_valid else (old[:0], np.zeros(0))
+                i, d = np.concatenate([old, near]), np.concatenate([d.values.to_numpy(), far])
+                at = np.lexsort((i, d))[:beam]
                 ids.append(i[at])
                 ds.append(d[at])
                 seen.append(np.intersect1d(np.concatenate([visited, fresh]), i[at]))
-            yield pa.RecordBatch.from_arrays([b.column("query"), b.column("q"), *(pa.array(v, pa.list_(t)) for v, t in ((ids, pa.int64()), (ds, pa.float64()), (seen, pa.int64())))], names=["query", "q", "ids", "ds", "seen"])
+                known.append(np.concatenate([t.values.to_numpy(), near]))
+            yield pa.RecordBatch.from_arrays([b.column("query"), b.column("q"), *(pa.array(v, pa.list_(t)) for v, t in ((ids, pa.int64()), (ds, pa.float64()), (seen, pa.int64()), (known, pa.int64())))], names=["query", "q", "ids", "ds", "seen", "tried"])
 
     while True:
-        limit = F.when(F.size("ids") < beam, F.lit(float("inf"))).otherwise(F.array_max("ds"))
-        front = state.select("query", "q", limit.alias("limit"), F.explode(F.slice(F.array_except("ids", "seen"), 1, expand)).alias("node"))
+        front = state.select("query", F.explode(F.slice(F.array_except("ids", "seen"), 1, expand)).alias("node"))
         if front.isEmpty():
             break
-        met = front.join(lists, "node").select("query", "q", "limit", "to", "tq").mapInArrow(walk, "query long, near array<long>, d array<double>")
-        got = met.groupBy("query").agg(F.flatten(F.collect_list("near")).alias("near"), F.flatten(F.collect_list("d")).alias("d"))
-        state = cut(state.join(got, "query", "left").select("query", "q", "ids", "ds", "seen", "near", "d").mapInArrow(gather, "query long, q binary, ids array<long>, ds array<double>, seen array<long>"))
-    lists.unpersist()
+        reached = front.join(links, "node").groupBy("query").agg(F.flatten(F.collect_list("to")).alias("reached"))
+        asked = state.select("query", "q", "tried").join(reached, "query").select("query", "q", F.explode(F.array_except("reached", "tried")).alias("to"))
+        met = asked.join(vectors, "to").select("query", "to", "q", "tq").mapInArrow(measure, "query long, to long, d double")
+        new = met.groupBy("query").agg(F.collect_list(F.struct("to", "d")).alias("new"))
+        state = cut(state.join(new, "query", "left").select("query", "q", "ids", "ds", "seen", "tried", "new").mapInArrow(gather, "query long, q binary, ids array<long>, ds array<double>, seen array<long>, tried array<long>"))
     return state.select("query", F.col("ids").alias("found"), "ds")
 
 
