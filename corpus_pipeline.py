@@ -15,6 +15,8 @@ from kindred.llm.common import counted, cut, small_side
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Ids of rejected documents up to which they are broadcast, after a count.
 REJECTED = 1_000_000
+#: Memo of the encoder's workers, which share an executor with all that the stages before left in its heap.
+MEMO_BYTES = 40 << 20
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +58,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, the ids of every copy that the mix takes, their number, and a digest of the bytes they decode to."""
-    out = bpe.encode(docs, id_cols=("doc_id", "source", "lang"), decoded=True)
+    out = bpe.encode(docs, id_cols=("doc_id", "source", "lang"), decoded=True, memo_bytes=MEMO_BYTES)
     return out.select("doc_id", "source", "lang", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
