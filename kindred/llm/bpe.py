@@ -129,6 +129,8 @@ class Table:
         for i, key in enumerate(keys):
             s = self.hash.slot_of[i]
             self.keys[s], self.ids[s] = key, ranks[key]
+        #: Ranks of pairs of bytes, -1 if they have none.
+        self.pairs = [[ranks.get(bytes((a, b)), -1) for b in range(256)] for a in range(256)]
 
 
 class Pool:
@@ -170,8 +172,9 @@ class Encoder:
         n, get = len(piece), self.ranks.get
         shift = n.bit_length()
         mask = (1 << shift) - 1
-        rank = [get(piece[i : i + 2], -1) for i in range(n)]  # of the part that starts at i with the next part
-        rank[n - 1] = -1
+        pairs = self.table.pairs
+        rank = [pairs[a][b] for a, b in zip(piece, piece[1:], strict=False)]  # of the part that starts at i with the next part
+        rank.append(-1)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [r << shift | i for i, r in enumerate(rank) if r >= 0]
         heapq.heapify(heap)
