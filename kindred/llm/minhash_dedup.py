@@ -30,9 +30,8 @@ LOSS = 1e-6
 ROUNDS = 2
 #: Buckets up to this size are compared by a join, larger ones in blocks by NumPy.
 BLOCK = 48
-#: Members of a block, and bytes of their sets, at most on average; buckets of LEAST members or more have up to SPREAD blocks anyhow.
-MEET, MEET_BYTES = 4096, 16 << 20
-LEAST, SPREAD = 128, 16
+#: Members of a block, and bytes of their sets, at most on average; members of a bucket's largest component are dealt in smaller blocks.
+MEET, MEET_BYTES, SIDE = 2048, 16 << 20, 256
 #: Pairs of one leader that meet its text in one group.
 PAIRS = 2_000
 
@@ -158,20 +157,33 @@ def whole_sets(texts: DataFrame, k: int) -> DataFrame:
 def _blocks(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) inside large buckets (key, id, comp, sketch): blocks of members meet pairwise, with their whole sets.
 
-    Pairs whose sketches don't rule them out are checked on the sets at once. Of the links between two components a task returns one, so
-    rows stay in proportion to members; candidates never become rows.
+    The members of a bucket's largest component need not meet each other. Its blocks meet those of the rest, which mostly is
+    few, so they are hardly copied; the blocks of the rest meet each other. Pairs whose sketches don't rule them out are
+    checked on the sets at once. Of the links between two components a task returns one, so rows stay in proportion to
+    members; candidates never become rows.
     """
-    full = member.join(sets, "id")
     n = F.count(F.lit(1))
-    parts = full.groupBy("key").agg(F.ceil(F.greatest(n / MEET, F.sum("size") * 8 / MEET_BYTES, F.least(n / LEAST, F.lit(float(SPREAD))))).cast("int").alias("parts"))
-    own = full.join(cut(parts, PACK), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", "sketch", "size", "hashes")
+    main = member.groupBy("key", "comp").agg(n.alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
+    full = member.select("key", "id", "comp", "sketch").join(cut(main, PACK), "key").withColumn("rest", F.col("comp") != F.col("main")).drop("main").join(sets, "id")
 
+    def blocks(of: Column, most: int) -> Column:
+        return F.ceil(F.greatest(F.count_if(of) / most, F.sum(F.when(of, F.col("size"))) * 8 / MEET_BYTES)).cast("int")
+
+    parts = full.groupBy("key").agg(blocks(F.col("rest"), MEET).alias("some"), blocks(~F.col("rest"), SIDE).alias("most"))
+    own = full.join(cut(parts, PACK), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("rest"), F.col("some")).otherwise(F.col("most"))).cast("int"))
+    others, mains = F.sequence(F.lit(0), F.col("some") - 1), F.sequence(F.lit(0), F.col("most") - 1)
+
+    def meeting(side: bool, i: Column, j: Column) -> Column:
+        return F.struct(F.lit(side).alias("side"), i.alias("i"), j.alias("j"))
+
+    among = F.transform(others, lambda k: meeting(False, F.least("own", k), F.greatest("own", k)))
+    across = F.when(F.col("rest"), F.transform(mains, lambda k: meeting(True, F.col("own"), k))).otherwise(F.transform(others, lambda k: meeting(True, k, F.col("own"))))
+    met = own.withColumn("at", F.explode(F.when(F.col("rest"), F.concat(among, across)).otherwise(across)))
+    met = met.select("key", "at.*", "rest", "own", "id", "comp", "sketch", "size", "hashes")
     flips = most_flips(percent)
 
     def compare(p: pd.DataFrame) -> pd.DataFrame:
-        left, right = p[p.own == p.i.iloc[0]], p[p.own == p.j.iloc[0]]
+        left, right = (p[p.rest], p[~p.rest]) if p.side.iloc[0] else (p[p.own == p.i.iloc[0]], p[p.own == p.j.iloc[0]])
         out: list[tuple[int, int]] = []
         if len(left) and len(right):
             odd, ids, size = np.stack(right.sketch.to_list()).view(np.uint64), right.id.to_numpy(), right["size"].to_numpy()
@@ -199,7 +211,7 @@ def _blocks(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     lc[lc == c], rc[rc == c] = own, own
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return met.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
+    return met.groupBy("key", "side", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
