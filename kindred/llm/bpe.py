@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from kindred.llm.common import sliced, unused
 
 #: Bytes that a worker's memo of encoded words may take (with ENTRY for each); those of tokens and first words take less.
-MEMO_BYTES, ENTRY = 200 << 20, 190
+MEMO_BYTES, ENTRY = 320 << 20, 190
 #: Where a single space stands between two non-blank characters, every pre-token pattern used here starts a new match at the space.
 GAP = re.compile(r"(?<=\S) (?=\S)")
 AWKWARD = re.compile(r"\s | \s|\A | \Z")
