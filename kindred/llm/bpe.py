@@ -8,12 +8,12 @@ leftmost first, until no pair is in the vocabulary.
 from __future__ import annotations
 
 import base64
-import heapq
 import re
 import struct
 import uuid
 from collections.abc import Callable, Iterator
 from functools import cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -177,9 +177,9 @@ class Encoder:
         rank.append(-1)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [r << shift | i for i, r in enumerate(rank) if r >= 0]
-        heapq.heapify(heap)
+        heapify(heap)
         while heap:
-            entry = heapq.heappop(heap)
+            entry = heappop(heap)
             i = entry & mask
             if rank[i] != entry >> shift:
                 continue
@@ -190,16 +190,17 @@ class Encoder:
                 before[end] = i
                 rank[i] = r = get(piece[i : after[end]], -1)
                 if r >= 0:
-                    heapq.heappush(heap, r << shift | i)
+                    heappush(heap, r << shift | i)
             p = before[i]
             if p >= 0:
                 rank[p] = r = get(piece[p:end], -1)
                 if r >= 0:
-                    heapq.heappush(heap, r << shift | p)
-        out, i = [], 0
+                    heappush(heap, r << shift | p)
+        ranks, out, i = self.ranks, [], 0
         while i < n:
-            out.append(self.ranks[piece[i : after[i]]])
-            i = after[i]
+            j = after[i]
+            out.append(ranks[piece[i:j]])
+            i = j
         return out
 
     def _token(self, token: str) -> bytes:
