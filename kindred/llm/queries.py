@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import ann, bpe, embedding_dedup, language_id, line_dedup, minhash_dedup, mixing, substring_dedup, token_counts, warc
+from kindred.llm import ann, bpe, centroids, decontamination, embedding_dedup, language_id, line_dedup, minhash_dedup, mixing, resampling, substring_dedup, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,23 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.encode(ids, "UTF-8"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = centroids.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dim=64, scale=64.0, seed=1)
+    numbers = F.array_join(F.transform("centroid", lambda x: x.cast("string")), ",")
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.encode(numbers, "UTF-8"), 256).alias("centroid_sha256"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    n = F.size("hits").cast("long")
+    items = F.sha2(F.encode(F.array_join("item_ids", ","), "UTF-8"), 256)
+    return out.select("doc_id", "n_words", n.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), items.alias("items_sha256"), (n > 0).alias("contaminated"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=1, buckets=10_000, percent=10, min_words=20, seed=2024)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,6 +103,9 @@ QUERIES = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_decontamination": op12_decontamination,
+    "op13_importance_resampling": op13_importance_resampling,
     "pipeline": pipeline,
 }
 
@@ -175,6 +195,58 @@ c AS (SELECT vec_id, min(other) AS component FROM r GROUP BY vec_id), k AS (SELE
 SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(component, vec_id) AS component_id, coalesce(component, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN c USING (vec_id) LEFT JOIN k USING (vec_id)
 """
 
+# centroids of round 0, then three rounds of assignment and floored means
+_SQUARED = "list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+
+
+def _assigned(n: int) -> str:
+    return f"near{n} AS MATERIALIZED (SELECT r, arg_min(k, struct_pack(d := {_SQUARED}, k := k)) AS k, min({_SQUARED}) AS d, any_value(vec_id) AS vec_id, any_value(x) AS x FROM v, c{n - 1} GROUP BY r)"
+
+
+def _averaged(n: int) -> str:
+    return f"""mean{n} AS (SELECT k, list(m ORDER BY place) AS c FROM (SELECT k, place, floor(sum(x[place]) / count(*))::BIGINT AS m FROM near{n}, range(1, 65) t(place) GROUP BY k, place) GROUP BY k),
+c{n} AS MATERIALIZED (SELECT b.k, coalesce(m.c, b.c) AS c FROM c{n - 1} b LEFT JOIN mean{n} m USING (k))"""
+
+
+CENTROID_SQL = f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('1:' || vec_id), x) - 1)::INTEGER AS k, x AS c FROM v QUALIFY k < 16),
+{", ".join(f"{_assigned(n)}, {_averaged(n)}" for n in (1, 2, 3))}, {_assigned(4)}
+SELECT vec_id, k AS cluster, d AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM near4 JOIN c3 USING (k)
+"""
+
+_FOLDED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+WINDOWS_SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_FOLDED} AS w FROM documents), i AS (SELECT item_id, {_FOLDED} AS w FROM benchmark),
+iw AS MATERIALIZED (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[p : p + 9], ' ') AS t FROM i, unnest(range(1, greatest(len(w) - 9, 1) + 1)) x(p) WHERE len(w) > 0),
+dw AS (SELECT r, p, n, array_to_string(w[p : p + n - 1], ' ') AS t FROM d, (SELECT DISTINCT n FROM iw) k, unnest(range(1, len(w) - n + 2)) x(p) WHERE len(w) >= n),
+m AS MATERIALIZED (SELECT r, p, n, item_id FROM dw JOIN iw USING (n, t)),
+hit AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest(range(p, p + n)) AS q FROM m) GROUP BY r),
+named AS (SELECT r, list_sort(list(DISTINCT item_id::VARCHAR)) AS l FROM m WHERE item_id IS NOT NULL GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_hit, coalesce(len(l), 0)::BIGINT AS n_items, sha256(coalesce(array_to_string(l, ','), '')) AS items_sha256, coalesce(n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
+"""
+
+# the CRC of a word goes over its bytes by a table of 256 entries, which is made by the rule of its polynomial
+RESAMPLE_SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_FOLDED} AS w FROM documents),
+o AS MATERIALIZED (SELECT r, unnest(w) AS f FROM d), q AS MATERIALIZED (SELECT unnest({_FOLDED}) AS f FROM benchmark),
+crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, s: xor(c >> 1, (c & 1) * 3988292384))) AS t),
+f AS MATERIALIZED (SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(strlen(f)), lambda i: ('0x' || substr(hex(f), (2 * i + 1)::INT, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS b FROM (SELECT f FROM o UNION SELECT f FROM q), crc),
+s AS (SELECT b, count(*) AS n FROM o JOIN f USING (f) GROUP BY b), t AS (SELECT b, count(*) AS n FROM q JOIN f USING (f) GROUP BY b),
+total AS (SELECT (SELECT count(*) FROM o)::DOUBLE AS s, (SELECT count(*) FROM q)::DOUBLE AS t),
+g AS MATERIALIZED (SELECT s.b, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (total.s + 10000) / ((s.n + 1)::DOUBLE * (total.t + 10000))))::BIGINT AS gain FROM s LEFT JOIN t USING (b), total),
+w AS (SELECT r, sum(gain)::BIGINT AS weight FROM o JOIN f USING (f) JOIN g USING (b) GROUP BY r),
+e AS MATERIALIZED (SELECT r, doc_id, len(d.w)::BIGINT AS n_features, coalesce(weight, 0) AS weight, ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h FROM d LEFT JOIN w USING (r)),
+scored AS MATERIALIZED (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score, n_features >= 20 AND doc_id IS NOT NULL AS able FROM e),
+ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id, n_features, weight) AS rank FROM scored WHERE able)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) FROM ranked) * 10 // 100 THEN rank END AS rank FROM scored LEFT JOIN ranked USING (r)
+"""
+
 #: The all-pairs searches in SQL are for tables of up to some thousands of rows.
 ORACLES = {
     "op1_substring_dedup": REPEATS_SQL,
@@ -184,4 +256,7 @@ ORACLES = {
     "op6_warc_revisits": WARC_SQL,
     "op8_minhash_dedup": SHINGLES_SQL,
     "op9_embedding_dedup": COSINE_SQL,
+    "op11_centroid_clusters": CENTROID_SQL,
+    "op12_decontamination": WINDOWS_SQL,
+    "op13_importance_resampling": RESAMPLE_SQL,
 }
