@@ -5,6 +5,9 @@ two bits at most, so the XOR population count estimates how many samples differ:
 pairs reach with probability LOSS at most are left out, all others are checked exactly, on the words themselves.
 Documents of equal sets are one class. In a bucket every class is first compared with a leader, in a few rounds of other
 leaders; what then still lies in different components of one bucket is compared with each other in full.
+
+The nodes of all this are classes, not ids: a class has one sketch and one text, of one of its rows. Where an id has several
+texts, edges between their classes tie them together in the end.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import HOT_KEYS, PACK, bucketed, components, cut, sliced, small_side
+from kindred.llm.common import HOT_KEYS, PACK, bucketed, components, counted, cut, join_hot, sliced, small_side
 from kindred.llm.text_hash import mixed, shingles, words
 
 #: At similarity 0.8 a pair shares no band with probability (1 - 0.8^5)^28 = 1.5e-5.
@@ -72,7 +75,7 @@ def odd_sketches(m: np.ndarray, bits: int) -> np.ndarray:
 
 
 def describe(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(id, n_shingles, key (of the set), bands array<long>, sketch array<long>) of every row; nulls for texts without words."""
+    """(id, th (hash of the text), n_shingles, key (of the set), bands array<long>, sketch array<long>) of every row; nulls for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", 2 << 20):
@@ -89,11 +92,38 @@ def describe(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                     keys[i] = blake2b(sets[i].tobytes(), digest_size=16).digest()
                     bands[i], sketches[i] = b[j], odd[j]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names=["id", "n_shingles", "key", "bands", "sketch"]
+                [batch.column("id"), batch.column("th"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
+                names=["id", "th", "n_shingles", "key", "bands", "sketch"],
             )
 
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return src.mapInArrow(run, "id long, n_shingles long, key binary, bands array<long>, sketch array<long>")
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    return src.mapInArrow(run, "id long, th long, n_shingles long, key binary, bands array<long>, sketch array<long>")
+
+
+def node_of(id_: Column | str, th: Column | str, salt: int) -> Column:
+    """A number for the row that stands for a class, from its id and the hash of its text, so that both its sketch and its text find it."""
+    return F.xxhash64(id_, th, F.lit(salt))
+
+
+def classed(full: DataFrame) -> DataFrame:
+    """(key, cls (smallest id), node, bands, sketch) of every distinct set; nodes are salted anew until no two classes share one."""
+    first = F.struct("id", "th", "bands", "sketch")
+    for salt in range(100):
+        classes = full.groupBy("key").agg(F.min_by(first, F.struct("id", "th")).alias("x")).select("key", F.col("x.id").alias("cls"), node_of("x.id", "x.th", salt).alias("node"), F.lit(salt).alias("salt"), "x.bands", "x.sketch")
+        classes = cut(classes)
+        if classes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+            return classes
+    raise ValueError("too many classes for 64-bit numbers")
+
+
+def tied(full: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Edges (a, b) between the classes of each id that has several, none in the ordinary case."""
+    several, n = counted(full.groupBy("id").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("id", "lo", "n"))
+    if not n:
+        return None
+    both = join_hot(full.select("id", "key"), several, ["id"]).select("lo", "key").where("lo < key").distinct()
+    of = classes.select("key", "node")
+    return both.join(of.toDF("lo", "a"), "lo").join(of.toDF("key", "b"), "key").select("a", "b")
 
 
 def _close(a: str, b: str, percent: int) -> Column:
@@ -218,25 +248,26 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """(id, n_shingles, component_id, kept) of every row: the component of documents linked at a Jaccard similarity of percent / 100 or more.
 
     Null texts and texts without words have 0 shingles and are components of their own. Rows that repeat an id are one
-    document if their texts are equal; different texts under one id fall into one component. kept: the row's id is the
-    component's smallest. Null ids stand for themselves (component null, kept false).
+    document if their texts are equal; different texts under one id are compared each, and all that any of them is linked
+    with is one component. kept: the row's id is the component's smallest. Null ids stand for themselves (component null,
+    kept false).
     """
     base = cut(describe(docs, id_col, text_col, shingle_words))
     full = base.where("key is not null and id is not null")
-    classes = cut(full.groupBy("key").agg(F.min("id").alias("cls"), F.min_by(F.struct("bands", "sketch"), "id").alias("x")).select("key", "cls", "x.*"))
-    banded = classes.select(F.col("cls").alias("id"), F.explode("bands").alias("key"))
+    classes = classed(full)
+    banded = classes.select(F.col("node").alias("id"), F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     member = cut(banded.join(cut(shared, PACK), "key").select("key", "id").distinct(), PACK)
-    sketch = cut(classes.join(member.select("id").distinct(), classes["cls"] == F.col("id")).select("id", "key", "sketch").groupBy("id").agg(F.min_by("sketch", "key").alias("sketch")), PACK)
-    # the texts of candidates are dealt by id once
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null").join(sketch.select("id"), "id", "left_semi")
+    sketch = cut(classes.join(member.select("id").distinct(), classes["node"] == F.col("id")).select("id", "sketch"), PACK)
+    # the texts of candidates are dealt by node once
+    salt = (classes.select("salt").first() or [0])[0]
+    texts = docs.where(F.col(text_col).isNotNull()).select(node_of(F.col(id_col).cast("long"), F.xxhash64(text_col), salt).alias("id"), F.col(text_col).alias("text")).join(sketch.select("id"), "id", "left_semi")
     texts = bucketed(texts.groupBy("id").agg(F.max("text").alias("text")), "id")
     comp, links, tested = None, None, None
 
     def now() -> DataFrame:
         """Members with their component, of buckets that still hold several."""
-        m = member.withColumn("comp", F.col("id")) if comp is None else member.join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-        m = cut(m, PACK)
+        m = member.withColumn("comp", F.col("id")) if comp is None else cut(member.join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp")), PACK)
         several = m.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("key", "n")
         return cut(m.join(cut(several, PACK), "key"), PACK)
 
@@ -270,9 +301,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         large = cut(m.where(F.col("n") > BLOCK).join(sketch, "id"))
         sets = cut(whole_sets(texts.join(large.select("id").distinct(), "id", "left_semi"), shingle_words))
         test(rest, _blocks(large, sets, percent))
-    ends = classes.select("key", "cls")
-    ends = ends.withColumn("component_id", F.col("cls")) if comp is None else ends.join(comp, ends["cls"] == comp["id"], "left").select("key", F.coalesce("component", "cls").alias("component_id"))
-    by_key = cut(ends.select("key", "component_id"))
-    out = base.select("id", "n_shingles", "key").join(by_key, "key", "left")
-    own = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(False)).alias("kept"))
+    ties = tied(full, classes)
+    if ties is not None:
+        comp = components(ties if links is None else links.unionByName(ties))
+    own = classes.select("key", "node", "cls")
+    if comp is None:
+        by_key = own.select("key", F.col("cls").alias("component_id"))
+    else:  # a component is named after the smallest id of its classes
+        named = cut(own.join(comp, own["node"] == comp["id"], "left").select("key", "cls", F.coalesce("component", "node").alias("c")))
+        least = cut(named.groupBy("c").agg(F.min("cls").alias("component_id"), F.count(F.lit(1)).alias("n")).where("n > 1"), PACK)
+        by_key = named.join(least.drop("n"), "c", "left").select("key", F.coalesce("component_id", "cls").alias("component_id"))
+    out = base.select("id", "n_shingles", "key").join(cut(by_key), "key", "left")
+    own_id = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", own_id.alias("component_id"), F.coalesce(F.col("id") == own_id, F.lit(False)).alias("kept"))
