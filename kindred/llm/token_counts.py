@@ -13,6 +13,7 @@ import os
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -42,13 +43,14 @@ class Counting:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.t = Tokenizer.from_file(path)
+        parts = json.loads(Path(path).read_text(encoding="utf-8"))
+        # special tokens aren't added, so a post-processor could only trim the offsets by which chunks are spliced
+        self.t = Tokenizer.from_str(json.dumps(parts | {"post_processor": None}))
         self.t.no_padding()
         self.t.no_truncation()
         special = [x.content for x in self.t.get_added_tokens_decoder().values()]
         #: Near a chunk's end, a cut special string or an unfinished match may make boundaries untrue.
         self.guard = 2 + max(map(len, special), default=0)
-        parts = json.loads(self.t.to_str())
         pre = parts.get("pre_tokenizer") or {}
         #: Other pre-tokenizers or a normalizer may look across gaps, so whole texts go to the library.
         self.chunks = not parts.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
