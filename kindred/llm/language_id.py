@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 from kindred.llm.common import cut, join_hot, sliced
 
 UNKNOWN = "und"
-#: Bound of the fit: labelled rows for each language, and characters of each; languages at most.
-SAMPLE_ROWS, SAMPLE_CHARS, MOST_LANGUAGES = 200, 20_000, 200
+#: Bound of the fit: labelled rows for each language, whose texts count whole; languages at most.
+SAMPLE_ROWS, MOST_LANGUAGES = 200, 200
 BUCKETS = 1 << 16
 #: Grams that a text's evidence weighs like at most; grams repeat what their neighbours say.
 EVIDENCE = 60
@@ -45,24 +46,40 @@ def grams(data: np.ndarray) -> np.ndarray:
     return h >> np.uint32(16)
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, seed: int = 42) -> Model:
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows: int = SAMPLE_ROWS, seed: int = 42) -> Model:
     """A model of the languages that `label_col` names.
 
-    The sample is bounded: for each language the `rows` labelled rows of smallest seeded hash of id and text, `chars`
-    characters of each. Rows without label or text, or labelled "und", are not fitted on. More than MOST_LANGUAGES labels raise.
+    The sample is bounded: for each language the `rows` labelled rows of smallest seeded hash of id and text, rows equal in both
+    once. Their whole texts are counted in tasks; only one row of BUCKETS counts a language reaches the driver. Rows without
+    label or text, or labelled "und", are not fitted on. More than MOST_LANGUAGES labels raise.
     """
     labelled = docs.where(F.col(label_col).isNotNull() & (F.col(label_col) != UNKNOWN) & F.col(text_col).isNotNull())
-    drawn = labelled.select(F.col(label_col).cast("string").alias("l"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("draw"), F.substring(text_col, 1, chars).alias("t"))
-    languages = tuple(sorted(r[0] for r in labelled.select(F.col(label_col).cast("string")).distinct().limit(MOST_LANGUAGES + 1).collect()))
+    label, draw = F.col(label_col).cast("string"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
+    languages = tuple(sorted(r[0] for r in labelled.select(label).distinct().limit(MOST_LANGUAGES + 1).collect()))
     if len(languages) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    # map sides keep their first rows of each language, so few reach a task
-    found = drawn.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("draw", "t"))).where(F.col("n") <= rows).drop("n").collect()
+    # map sides keep their first rows of each language, so few reach a task; texts are fetched for the rows drawn alone
+    first = labelled.select(label.alias("l"), draw.alias("draw")).distinct().withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("draw")))
+    drawn = F.broadcast(cut(first.where(F.col("n") <= rows).select("l", "draw")))  # rows x MOST_LANGUAGES at most
+    texts = labelled.select(label.alias("l"), draw.alias("draw"), F.col(text_col).alias("t")).join(drawn, ["l", "draw"], "left_semi").dropDuplicates(["l", "draw"])
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, np.ndarray] = {}
+        for batch in sliced(batches, "t"):
+            for language, text in zip(batch.column("l").to_pylist(), batch.column("t").to_pylist(), strict=True):
+                data = text.lower().encode()
+                n = found.setdefault(language, np.zeros(BUCKETS, np.int64))
+                for k in range(0, len(data) - 2, 1 << 18):
+                    n += np.bincount(grams(np.frombuffer(data, np.uint8, min(len(data) - k, (1 << 18) + 2), k)), minlength=BUCKETS)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([n.tobytes() for n in found.values()], pa.binary())], names=["l", "n"])
+
+    def add(p: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"l": [p.l.iloc[0]], "n": [sum(np.frombuffer(x, np.int64) for x in p.n).tobytes()]})
+
     table = np.full((BUCKETS, len(languages)), 0.5)
-    for r in found:
-        data = np.frombuffer(r.t.lower().encode(), np.uint8)
-        if len(data) > 2:
-            table[:, languages.index(r.l)] += np.bincount(grams(data), minlength=BUCKETS)
+    # tasks tally whole languages, as texts are dealt by few of them at a time
+    for r in texts.repartition("l").mapInArrow(tally, "l string, n binary").groupBy("l").applyInPandas(add, "l string, n binary").collect():
+        table[:, languages.index(r.l)] += np.frombuffer(r.n, np.int64)
     logs = np.log(table / table.sum(axis=0))
     return Model(languages, np.concatenate([logs, np.full((BUCKETS, 1), -np.log(BUCKETS))], axis=1).astype(np.float32))
 
