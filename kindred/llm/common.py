@@ -27,23 +27,29 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def hot_bar(rows: int) -> int:
+    """Rows from which a key of a table of `rows` rows is hot: at most HOT_KEYS keys can have so many, and all others are under 1 / HOT_KEYS of the table."""
+    return max(HOT, -(-rows // HOT_KEYS))
+
+
 def join_hot(left: DataFrame, right: DataFrame, on: list[str], n: str = "n") -> DataFrame:
     """Inner join of two tables, `right` with one row a key and how often the key comes in `n`, which is dropped.
 
-    Keys of HOT rows or more are broadcast (they are few: rows / HOT, which a count checks), so they stay where their rows are.
+    Hot keys are broadcast, so they stay where their rows are.
     """
-    hot = right.where(F.col(n) >= HOT).drop(n)
-    found = hot.count()
-    if not 0 < found <= HOT_KEYS:
+    bar = hot_bar(right.agg(F.sum(n)).first()[0] or 0)
+    hot = right.where(F.col(n) >= bar).drop(n)
+    if hot.isEmpty():
         return left.join(right.drop(n), on)
-    cold = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(right.where(F.col(n) < HOT).drop(n), on)
+    cold = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(right.where(F.col(n) < bar).drop(n), on)
     return left.join(F.broadcast(hot), on).unionByName(cold)
 
 
 def left_join_hot(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Left join of two tables on one column, `right` with one row a key; keys of HOT rows or more of `left` are broadcast."""
-    hot, found = counted(left.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= HOT) & F.col(key).isNotNull()).select(key))
-    if not 0 < found <= HOT_KEYS:
+    """Left join of two tables on one column, `right` with one row a key; hot keys of `left` are broadcast."""
+    bar = hot_bar(left.count())
+    hot, found = counted(left.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= bar) & F.col(key).isNotNull()).select(key))
+    if not found:
         return left.join(right, key, "left")
     many = right.join(F.broadcast(hot), key, "left_semi")
     return left.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(many), key, "left").unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right, key, "left"))
