@@ -1,7 +1,8 @@
 """Caches of computed values as Parquet tables: vectors and features by path, pair verdicts by a pair of paths.
 
-A row is valid while the modification time it was computed for differs by less than TOLERANCE from the item's. A table is a
-folder of versions; an upsert writes the next one beside that which readers may still use, and then drops older ones.
+A row is valid while the modification time it was computed for differs by less than TOLERANCE from the item's. A table is dealt
+into buckets by its key; an upsert rewrites the buckets that it touches and publishes a version that takes all others over, so
+several writers may work at once. A version's row counts are in its manifest.
 """
 
 from __future__ import annotations
@@ -9,8 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kindred.operators.lineage import cut
+from kindred.sources.commits import Versions
+
 #: Seconds.
 TOLERANCE = 0.01
+#: Buckets of a new table: each is rewritten as a whole.
+BUCKETS = 64
 EMBEDDINGS = "path string, mtime double, embedding array<float>"
 FEATURES = "path string, mtime double, keypoints array<struct<angle:float,size:float>>, descriptors array<array<float>>"
 VERDICTS = "path1 string, path2 string, mtime1 double, mtime2 double, accepted boolean, angle double, scale double, angle_votes int, scale_votes int"
@@ -21,64 +27,104 @@ def fresh(a: Column | str, b: Column | str) -> Column:
 
 
 class CacheTable:
-    """A table with a key at `path`: read, upsert, clear."""
+    """A table with a key at `path`: read, upsert, count, clear. `buckets` holds for a table that is new."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, keys: tuple[str, ...], buckets: int = BUCKETS):
+        self.spark, self.schema, self.keys, self.buckets = spark, schema, keys, buckets
+        self.versions = Versions(spark, path)
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, keys: tuple[str, ...]):
-        self.spark, self.path, self.schema, self.keys = spark, path.rstrip("/"), schema, keys
+    def _parts(self, manifest: dict | None) -> dict[str, dict]:
+        return (manifest or {}).get("buckets", {})
 
-    def _folder(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+    def _of(self, parts: dict[str, dict], names: list[str]) -> DataFrame:
+        found = [parts[b]["folder"] for b in names if b in parts]
+        return self.spark.read.schema(self.schema).parquet(*found) if found else self.spark.createDataFrame([], self.schema)
 
-    def _versions(self) -> list[int]:
-        """Finished versions, oldest first."""
-        fs, p = self._folder(self.path)
-        if not fs.exists(p):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        done = [n for n in names if n.startswith("v") and fs.exists(self._folder(f"{self.path}/{n}/_SUCCESS")[1])]
-        return sorted(int(n[1:]) for n in done)
+    def bucket(self, n: int) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(n)).cast("int")
+
+    def size(self) -> int:
+        """Number of buckets."""
+        return (self.versions.latest()[1] or {}).get("size", self.buckets)
 
     def read(self) -> DataFrame:
-        found = self._versions()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{found[-1]}") if found else self.spark.createDataFrame([], self.schema)
+        """The rows of the latest version, whatever is published afterwards."""
+        parts = self._parts(self.versions.latest()[1])
+        return self._of(parts, list(parts))
 
     def count(self) -> int:
-        return self.read().count()
-
-    def upsert(self, rows: DataFrame) -> None:
-        """Rows of `rows` replace those of equal keys; of rows that repeat a key, that of largest values stays. Null keys are not kept."""
-        old, found = self.read(), self._versions()
-        known = rows.where(" and ".join(f"{k} is not null" for k in self.keys))
-        rest = [c for c in old.columns if c not in self.keys]
+        return sum(x["rows"] for x in self._parts(self.versions.latest()[1]).values())
+
+    def upsert(self, rows: DataFrame) -> int:
+        """Rows of `rows` replace those of equal keys; returns the number of the version published.
+
+        Of rows that repeat a key, that of largest values stays. Null keys are not kept. Where another writer came first,
+        only those of the touched buckets that it touched too are merged again.
+        """
+        size = self.size()
+        fields = self.spark.createDataFrame([], self.schema).schema.fields
+        columns = [f.name for f in fields]
+        rest = [c for c in columns if c not in self.keys]
+        known = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in fields)).where(" and ".join(f"{k} is not null" for k in self.keys))
         new = known.groupBy(*self.keys).agg(F.max(F.struct(*rest)).alias("x")).select(*self.keys, *(F.col(f"x.{c}").alias(c) for c in rest))
-        kept = old.join(new.select(*self.keys), list(self.keys), "left_anti")
-        number = (found[-1] if found else 0) + 1
-        kept.select(*old.columns).unionByName(new.select(*old.columns)).write.mode("overwrite").parquet(f"{self.path}/v{number}")
-        for n in found[:-1]:  # the version before may still be read
-            fs, p = self._folder(f"{self.path}/v{n}")
-            fs.delete(p, True)
+        new = cut(new.select(*columns, self.bucket(size).alias("bucket")))
+        touched = [str(r[0]) for r in new.select("bucket").distinct().collect()]  # buckets at most
+        merged: dict[str, tuple[str | None, dict]] = {}  # of each touched bucket, the folder it was merged from and what came out
+
+        def change(number: int, base: dict | None) -> dict:
+            parts = self._parts(base)
+            stale = [b for b in touched if b not in merged or merged[b][0] != parts.get(b, {}).get("folder")]
+            try:
+                merged.update(self._merge(new, parts, stale, size) if stale else {})
+            except Exception:
+                if self.versions.latest()[0] == number:
+                    raise
+                return {}  # another writer removed what was read; its version is taken, so this one isn't published
+            return {"size": size, "buckets": parts | {b: merged[b][1] for b in touched}}
+
+        return self.versions.commit(change)[0]
+
+    def _merge(self, new: DataFrame, parts: dict[str, dict], names: list[str], size: int) -> dict[str, tuple[str | None, dict]]:
+        fresh_rows = new.where(F.col("bucket").isin([int(b) for b in names]))
+        kept = self._of(parts, names).join(fresh_rows.select(*self.keys), list(self.keys), "left_anti")
+        path = self.versions.new_data()
+        out = kept.withColumn("bucket", self.bucket(size)).select(*new.columns).unionByName(fresh_rows)
+        out.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)
+        counts = {str(r.bucket): r.n for r in self.spark.read.parquet(path).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
+        return {b: (parts.get(b, {}).get("folder"), {"folder": f"{path}/bucket={b}", "rows": counts[b]}) for b in names}
 
     def clear(self) -> int:
-        """Deletes all rows; returns the bytes freed."""
-        fs, p = self._folder(self.path)
-        if not fs.exists(p):
-            return 0
-        size = int(fs.getContentSummary(p).getLength())
-        fs.delete(p, True)
-        return size
+        """Publishes a version without rows and deletes the data of the one before; returns the bytes freed."""
+        gone: dict[str, dict] = {}
+
+        def change(number: int, base: dict | None) -> dict:
+            gone.clear()
+            gone.update(self._parts(base))
+            return {"size": self.buckets, "buckets": {}}
+
+        self.versions.commit(change)
+        folders = {x["folder"] for x in gone.values()}
+        freed = sum(self.versions.size(f) for f in folders)
+        for f in folders:
+            fs, p = self.versions.folder(f)
+            fs.delete(p, True)
+        return freed
+
+    def vacuum(self, keep: int = 2, age: float = 86_400.0) -> int:
+        """Deletes data that only older versions name, or none; see `Versions.vacuum`."""
+        return self.versions.vacuum(lambda m: {x["folder"].rpartition("/")[0] for x in self._parts(m).values()}, keep, age)
 
 
-def embeddings(spark: SparkSession, path: str) -> CacheTable:
-    return CacheTable(spark, path, EMBEDDINGS, ("path",))
+def embeddings(spark: SparkSession, path: str, buckets: int = BUCKETS) -> CacheTable:
+    return CacheTable(spark, path, EMBEDDINGS, ("path",), buckets)
 
 
-def features(spark: SparkSession, path: str) -> CacheTable:
-    return CacheTable(spark, path, FEATURES, ("path",))
+def features(spark: SparkSession, path: str, buckets: int = BUCKETS) -> CacheTable:
+    return CacheTable(spark, path, FEATURES, ("path",), buckets)
 
 
-def verdicts(spark: SparkSession, path: str) -> CacheTable:
-    return CacheTable(spark, path, VERDICTS, ("path1", "path2"))
+def verdicts(spark: SparkSession, path: str, buckets: int = BUCKETS) -> CacheTable:
+    return CacheTable(spark, path, VERDICTS, ("path1", "path2"), buckets)
 
 
 def hits(items: DataFrame, cached: DataFrame) -> DataFrame:

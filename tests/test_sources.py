@@ -134,3 +134,81 @@ def test_tables_can_be_released(spark):
     lineage.release(spark)
     with pytest.raises(Exception):
         spark.read.parquet(t.inputFiles()[0]).count()
+
+
+def test_two_writers_at_once_lose_no_row(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "c")
+
+    def write(k):
+        store = cache.embeddings(spark, path, buckets=4)
+        for turn in range(3):
+            rows = [(f"{k}-{turn}-{i}", float(i), [float(k)]) for i in range(20)] + [("shared", float(10 * k + turn), [float(k)])]
+            store.upsert(spark.createDataFrame(rows, cache.EMBEDDINGS))
+
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(write, range(3)))
+    store = cache.embeddings(spark, path)
+    assert store.count() == store.read().count() == store.read().select("path").distinct().count() == 181
+    assert store.versions.numbers() == list(range(1, 10))
+
+
+def test_an_upsert_rewrites_touched_buckets_only_and_readers_keep_their_version(spark, tmp_path):
+    store = cache.embeddings(spark, str(tmp_path / "c"), buckets=16)
+    store.upsert(spark.createDataFrame([(f"p{i}", 1.0, [float(i)] * 50) for i in range(400)], cache.EMBEDDINGS))
+    was, before = store.read(), store.versions.size(store.versions.path)
+    old = store.versions.latest()[1]["buckets"]
+    store.upsert(spark.createDataFrame([("p3", 2.0, [0.0])], cache.EMBEDDINGS))
+    new = store.versions.latest()[1]["buckets"]
+    assert sum(old[b] != new[b] for b in old) == 1 and store.count() == 400
+    assert store.versions.size(store.versions.path) - before < before / 4
+    assert was.where("path = 'p3'").first().mtime == 1.0 and was.count() == 400
+    assert store.vacuum(age=3600) == 0 and was.count() == 400
+    store.upsert(spark.createDataFrame([(f"p{i}", 3.0, [1.0]) for i in range(400)], cache.EMBEDDINGS))
+    assert store.vacuum(keep=1, age=-1) > 0 and store.count() == store.read().where("mtime = 3").count() == 400
+    assert store.clear() > 0 and store.count() == 0 and store.read().count() == 0
+
+
+def test_a_version_number_is_taken_once(spark, tmp_path):
+    from kindred.sources.commits import Versions
+
+    v = Versions(spark, str(tmp_path / "v"))
+    assert v.latest() == (0, None) and v.publish(1, {"a": 1}) and not v.publish(1, {"a": 2})
+    assert v.latest() == (1, {"a": 1})
+    (tmp_path / "v" / "versions" / "000000000002.json").write_text("{broken")
+    assert v.latest() == (2, {"a": 1}) and v.commit(lambda n, base: base | {"b": n}) == (3, {"a": 1, "b": 2})
+
+
+@pytest.mark.parametrize("harm", ["truncated", "overwritten", "gone", "half written", "manifest", "rows lost"])
+def test_damaged_fitted_tables_count_as_absent(spark, tmp_path, harm):
+    import glob
+    import shutil
+
+    path = str(tmp_path / "b")
+    book = spark.createDataFrame([(m, k, [0.5 * m, 1.0 * k]) for m in range(4) for k in range(20)], "m int, k int, centroid array<double>").repartition(3)
+    fitted.save_codebook(book, path, "mark")
+    assert fitted.load_codebook(spark, path, "mark").count() == 80
+    files = sorted(glob.glob(f"{path}/data/*/*.parquet"))
+    for crc in glob.glob(f"{path}/**/.*.crc", recursive=True):
+        os.remove(crc)
+    if harm == "truncated":
+        with open(files[0], "r+b") as f:
+            f.truncate(os.path.getsize(files[0]) // 2)
+    elif harm == "overwritten":
+        with open(files[0], "wb") as f:
+            f.write(b"no table at all")
+    elif harm == "gone":
+        shutil.rmtree(f"{path}/data")
+    elif harm == "half written":
+        os.remove(files[0])
+    elif harm == "rows lost":
+        book.where("k > 0").write.mode("overwrite").parquet(os.path.dirname(files[0]))
+    else:
+        (manifest,) = glob.glob(f"{path}/versions/*.json")
+        with open(manifest, "w") as f:
+            f.write('{"fingerprint": "mark", "fol')
+    assert fitted.load_codebook(spark, path, "mark") is None
+    fitted.save_codebook(book, path, "mark")
+    assert fitted.load_codebook(spark, path, "mark").count() == 80
+    assert fitted.vacuum(spark, path, age=-1) >= 0 and fitted.load_codebook(spark, path, "mark").count() == 80
