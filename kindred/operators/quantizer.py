@@ -75,7 +75,7 @@ def first_rows_codebook(items: DataFrame, parts: int, size: int, dim: int) -> Da
 
 def random_codebook(items: DataFrame, parts: int, size: int, dim: int, seed: int = 42) -> DataFrame:
     """The parts of `size` items drawn by seeded hash as centroids, so reruns agree."""
-    return _from_rows(items, items.orderBy(F.xxhash64("item_id", F.lit(seed)), "item_id").limit(size), parts, size, dim)
+    return _from_rows(items, items.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("item_id").cast("string")).cast("binary")), "item_id").limit(size), parts, size, dim)
 
 
 def _from_rows(items: DataFrame, some: DataFrame, parts: int, size: int, dim: int) -> DataFrame:

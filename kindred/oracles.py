@@ -87,9 +87,12 @@ ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 _NEIGHBOURS = f"""{_ADC},
 pairs AS MATERIALIZED (SELECT DISTINCT least(query_id, item_id) AS i, greatest(query_id, item_id) AS j FROM ranked WHERE dist < 1.2 AND query_id <> item_id)"""
 
-def _votes(asked: str) -> str:
-    """CTEs that end in votes, over the pairs of the CTE `asked` (i, j)."""
-    return f"""desc_ AS MATERIALIZED (SELECT id, k::INTEGER AS k, e[k * 4 + 1 : k * 4 + 4] AS x, e[k * 4 + 1] * 720 AS angle, e[k * 4 + 2] * 8 AS size FROM v, range(16) t(k)),
+_DESCRIPTORS = "desc_ AS MATERIALIZED (SELECT id, k::INTEGER AS k, e[k * 4 + 1 : k * 4 + 4] AS x, e[k * 4 + 1] * 720 AS angle, e[k * 4 + 2] * 8 AS size FROM v, range(16) t(k))"
+
+
+def _votes(asked: str, descriptors: str = _DESCRIPTORS, threshold: float = 0.2, matches: int = 2, votes: int = 1) -> str:
+    """CTEs that end in votes, over the pairs of the CTE `asked` (i, j) and the CTE desc_ (id, k, x, angle, size)."""
+    return f"""{descriptors},
 dd AS MATERIALIZED (SELECT q.i, q.j, a.k AS query_at, b.k AS candidate_at, sqrt({_SQUARE.format("a.x", "b.x")}) AS dist FROM {asked} q JOIN desc_ a ON q.i = a.id JOIN desc_ b ON q.j = b.id),
 two AS (SELECT *, row_number() OVER w AS n, lead(dist) OVER w AS second FROM dd WINDOW w AS (PARTITION BY i, j, query_at ORDER BY dist, candidate_at)),
 matches AS MATERIALIZED (SELECT i, j, query_at, candidate_at, dist FROM two WHERE n = 1 AND dist < 0.75 * second),
@@ -99,12 +102,19 @@ bins AS MATERIALIZED (SELECT m.i, m.j, greatest(least(trunc((a.angle - b.angle -
 good_ AS (SELECT i, j, count(*) AS good FROM bins GROUP BY ALL),
 av AS (SELECT i, j, arg_max(a, struct_pack(n := n, a := -a)) AS a, max(n) AS n FROM (SELECT i, j, a, count(*) AS n FROM bins GROUP BY ALL) GROUP BY ALL),
 sv AS (SELECT i, j, arg_max(s, struct_pack(n := n, s := -s)) AS s, max(n) AS n FROM (SELECT i, j, s, count(*) AS n FROM bins WHERE s IS NOT NULL GROUP BY ALL) GROUP BY ALL),
-said AS MATERIALIZED (SELECT q.i, q.j, coalesce(good >= 2 AND least(av.n, coalesce(sv.n, 0)) > good * 0.2 AND least(av.n, coalesce(sv.n, 0)) >= 1, false) AS accepted, av.a, av.n AS an, sv.s, sv.n AS sn
+said AS MATERIALIZED (SELECT q.i, q.j, coalesce(good >= {matches} AND least(av.n, coalesce(sv.n, 0)) > good * {threshold} AND least(av.n, coalesce(sv.n, 0)) >= {votes}, false) AS accepted, av.a, av.n AS an, sv.s, sv.n AS sn
     FROM {asked} q LEFT JOIN good_ USING (i, j) LEFT JOIN av USING (i, j) LEFT JOIN sv USING (i, j)),
 votes AS MATERIALIZED (SELECT i, j, accepted, CASE WHEN accepted THEN round((a + 0.5) * 15, 6) ELSE 0 END::DOUBLE AS angle, CASE WHEN accepted THEN round(pow(2, (s + 0.5) * 0.3 - 3), 6) ELSE 0 END::DOUBLE AS scale,
     CASE WHEN accepted THEN an ELSE 0 END::INTEGER AS angle_votes, CASE WHEN accepted THEN sn ELSE 0 END::INTEGER AS scale_votes FROM said)"""
 
 
+# items and their copies, of which some keep all descriptors, some 50, 49 or 9
+_COPIED = """keep AS (SELECT id, e, CASE id % 4 WHEN 0 THEN 64 WHEN 1 THEN 50 WHEN 2 THEN 49 ELSE 9 END AS n FROM v),
+own AS (SELECT id, n, k::INTEGER AS k, [e[k + 1], e[(k + 1) % 64 + 1], e[(k + 5) % 64 + 1], e[(k + 17) % 64 + 1]] AS x, k * 5.0 AS angle, 1.0 + k % 4 AS size FROM keep, range(64) t(k)),
+asked AS MATERIALIZED (SELECT id AS i, id + 1000000 AS j FROM v),
+desc_ AS MATERIALIZED (SELECT id, k, x, angle, size FROM own UNION ALL
+    SELECT id + 1000000, k, CASE WHEN k < n THEN x ELSE [100.0 * k, 3.0, 5.0, 7.0] END, angle - 40, size / 2 FROM own)"""
+
 # the vote of the cache goes from the smaller path to the larger one
 _BY_PATH = """by_path AS MATERIALIZED (SELECT CASE WHEN 'item-' || i < 'item-' || j THEN i ELSE j END AS i, CASE WHEN 'item-' || i < 'item-' || j THEN j ELSE i END AS j FROM near)"""
 
@@ -133,6 +143,32 @@ ORACLES = {
     "ratio_matches": f"WITH {_PAIRS}, {_votes('near')} SELECT i, j, query_at, candidate_at, round(dist, 6) AS dist FROM matches",
     "geometric_vote": f"WITH {_PAIRS}, {_votes('near')} SELECT * FROM votes",
     "verified_groups": f"{_GROUPED}, {_BY_PATH}, {_votes('by_path')}, good AS MATERIALIZED (SELECT label, x.i, x.j, similarity FROM scored x JOIN votes y ON least(y.i, y.j) = x.i AND greatest(y.i, y.j) = x.j WHERE accepted AND similarity >= 0.35), {_clique_groups('good')}",
+    "vote_limits": f"WITH {_V}, {_votes('asked', _COPIED, 0.3, 10, 50)} SELECT * FROM votes",
+    "search_modes": f"""{_LINKAGE.rpartition('SELECT item_id')[0]} SELECT 'linkage' AS mode, item_id, label FROM labels
+        UNION ALL SELECT 'constrained', * FROM ({_CONSTRAINED} SELECT item_id, label FROM labels)
+        UNION ALL SELECT 'quantized', * FROM (WITH RECURSIVE {_V},
+            centre AS MATERIALIZED (SELECT list(a ORDER BY k) AS c FROM (SELECT k, avg(e[k]) AS a FROM v, range(1, 65) t(k) GROUP BY k)),
+            far AS MATERIALIZED (SELECT id, {_SQUARE.format('e', 'c')} AS d FROM v, centre), six AS (SELECT id FROM v ORDER BY id LIMIT 6),
+            pairs AS MATERIALIZED (SELECT DISTINCT least(f.id, s.id) AS i, greatest(f.id, s.id) AS j FROM far f, six s WHERE d < 1.2 AND f.id <> s.id),
+            edges AS MATERIALIZED (SELECT i, j, 1 - {_DOT.format('a.e', 'b.e')} AS dist FROM pairs JOIN v a ON i = a.id JOIN v b ON j = b.id), {_merging('edges')}, {_SPLIT} SELECT item_id, label FROM labels)""",
+    "random_codebook": f"""WITH {_V}, drawn AS (SELECT *, (row_number() OVER (ORDER BY md5('42:' || id), id) - 1)::INTEGER AS k FROM v QUALIFY k < 16)
+        SELECT m::INTEGER AS m, k, (place - 1)::INTEGER AS pos, round(e[m * 8 + place], 6) AS value FROM drawn, range(8) t(m), range(1, 9) u(place)""",
+    "verified_document": f"""{_GROUPED}, good AS MATERIALIZED (SELECT label, i, j, similarity FROM scored JOIN near USING (i, j) WHERE similarity >= 0.35),
+        {_clique_groups('good').rpartition('SELECT n.group_id')[0]}, whole AS (SELECT n.group_id, n.m, round(avg(e.similarity), 6) AS avg_similarity FROM numbered n JOIN good e ON e.label = n.label AND list_contains(n.m, e.i) AND list_contains(n.m, e.j) GROUP BY ALL)
+        SELECT group_id, array_to_string(list_sort(list_transform(m, lambda x: 'item-' || x)), ',') AS paths, len(m)::INTEGER AS members, true AS verified, avg_similarity FROM whole""",
+    "feature_cache": """SELECT 'item-' || vec_id AS path, vec_id + CASE WHEN vec_id % 5 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS mtime, CASE WHEN vec_id % 5 = 0 THEN 2 ELSE 16 END::INTEGER AS points, round((embedding[1]::DOUBLE * 720)::FLOAT::DOUBLE, 4) AS angle FROM embeddings""",
+    "extract_embeddings": """WITH x AS (SELECT vec_id, vec_id % 3 = 0 AND vec_id % 2 = 0 AS cached, vec_id % 10 = 1 AS none, embedding::DOUBLE[] AS e FROM embeddings),
+        y AS (SELECT *, list_transform(range(16), lambda i: e[4 * i + 1] + 2 * e[4 * i + 2] + 3 * e[4 * i + 3] + 4 * e[4 * i + 4]) AS y FROM x),
+        u AS (SELECT *, sqrt(list_sum(list_transform(y, lambda a: a * a))) AS n FROM y)
+        SELECT 'item-' || vec_id AS path, cached, CASE WHEN none AND NOT cached THEN 'no content' END AS failure,
+            round(CASE WHEN cached THEN 0.5 WHEN none THEN NULL ELSE (y[1] / n)::FLOAT END::DOUBLE, 6) AS first, round(CASE WHEN cached THEN 0.5 WHEN none THEN NULL ELSE (y[16] / n)::FLOAT END::DOUBLE, 6) AS last FROM u""",
+    "pixel_scaling": """WITH b AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: least(greatest(floor((x::DOUBLE + 1) * 127.5), 0), 255)) AS b FROM embeddings),
+        ys AS (SELECT i, least(greatest((i + 0.5) * 0.5 - 0.5, 0), 3)::DOUBLE AS y FROM range(8) t(i)), xs AS (SELECT j, least(greatest((j + 0.5) * 2 - 0.5, 0), 3)::DOUBLE AS x FROM range(2) t(j)),
+        g AS (SELECT c, i, j, floor(y)::BIGINT AS y0, least(floor(y)::BIGINT + 1, 3) AS y1, y - floor(y) AS fy, floor(x)::BIGINT AS x0, least(floor(x)::BIGINT + 1, 3) AS x1, x - floor(x) AS fx FROM range(3) t(c), ys, xs),
+        p AS (SELECT vec_id, c, i, j, fx, fy, b[(y0 * 4 + x0) * 3 + 3 - c] AS a00, b[(y0 * 4 + x1) * 3 + 3 - c] AS a01, b[(y1 * 4 + x0) * 3 + 3 - c] AS a10, b[(y1 * 4 + x1) * 3 + 3 - c] AS a11 FROM b, g)
+        SELECT vec_id AS item_id, ((c * 8 + i) * 2 + j)::INTEGER AS pos, round((floor((a00 * (1 - fy) + a10 * fy) * (1 - fx) + (a01 * (1 - fy) + a11 * fy) * fx + 0.5) / 255)::FLOAT::DOUBLE, 6) AS value FROM p""",
+    # names are the same in every folder of tables
+    "list_files": r"""SELECT regexp_extract(file, '[^/]*$') AS name, '.parquet' AS extension, true AS dated FROM glob('/root/testdata/sf0.01/*.parquet')""",
     "embedding_cache": """SELECT 'item-' || vec_id AS path, vec_id % 3 = 0 AND vec_id % 2 = 0 AS cached, CASE WHEN vec_id % 3 = 0 AND vec_id % 2 = 0 THEN round(embedding[1]::DOUBLE, 6) END AS first FROM embeddings""",
     "codebook_store": f"WITH {_PARTS} SELECT m, k, (place - 1)::INTEGER AS pos, round(c[place], 6) AS value FROM book0, range(1, 9) t(place)",
     "neighbour_store": f"WITH {_NEIGHBOURS} SELECT i, j FROM pairs",

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.functions.vectors import cosine_distance, normalized
-from kindred.operators import clusters, quantizer, votes
+from kindred.operators import clusters, pixels, quantizer, votes
 from kindred.operators.components import components
 from kindred.operators.lineage import cut, new_path
 from kindred.operators.pairs import pairs_within, top_k
 from kindred.oracles import ORACLES
+from kindred.plans import extraction
 from kindred.plans.duplicates import Settings, cached_verdicts, cluster, documents, find_duplicates, group_pairs
 from kindred.sources import cache, files, fitted, results
 
@@ -212,6 +214,99 @@ def result_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("group_id", F.array_join("paths", ",").alias("paths"), "members", "verified", F.round("avg_similarity", 6).alias("avg_similarity"))
 
 
+def search_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels by the mode that the number of items chooses, with limits that it is under, between and over; one centroid a part."""
+    v, out = items(spark, sf_dir), None
+    for mode, limits in {"linkage": {}, "constrained": {"linkage_limit": 0}, "quantized": {"linkage_limit": 0, "exact_limit": 0}}.items():
+        labels = cluster(v, Settings(distance_threshold=THRESHOLD, parts=PARTS, centroids=1, **limits)).select(F.lit(mode).alias("mode"), "item_id", "label")
+        out = labels if out is None else out.unionByName(labels)
+    return out
+
+
+def random_codebook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components_of(quantizer.random_codebook(items(spark, sf_dir), PARTS, SIZE, DIM), "m", "k", array="centroid")
+
+
+def vote_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vote's own limits, over items and copies that keep all of 64 descriptors, 50, 49 or 9."""
+    v = items(spark, sf_dir)
+    kept = F.when(F.col("item_id") % 4 == 0, 64).when(F.col("item_id") % 4 == 1, 50).when(F.col("item_id") % 4 == 2, 49).otherwise(9)
+
+    def of(copy: bool) -> DataFrame:
+        angle, size = (lambda k: k * 5.0 - 40, lambda k: (k % 4 + 1) / 2) if copy else (lambda k: k * 5.0, lambda k: k % 4 + 1.0)
+
+        def descriptor(k: Column) -> Column:
+            own = F.array(*(F.element_at("embedding", (k + d) % 64 + 1).cast("double") for d in (0, 1, 5, 17)))
+            return F.when(k < kept, own).otherwise(F.array(k * 100.0, F.lit(3.0), F.lit(5.0), F.lit(7.0))) if copy else own
+
+        at = F.sequence(F.lit(0), F.lit(63))
+        points = F.transform(at, lambda k: F.struct(angle(k).alias("angle"), size(k).alias("size")))
+        return v.select((F.col("item_id") + 1_000_000 if copy else F.col("item_id")).alias("item_id"), points.alias("keypoints"), F.transform(at, descriptor).alias("descriptors"))
+
+    pairs = v.select(F.col("item_id").alias("i"), (F.col("item_id") + 1_000_000).alias("j"))
+    out = votes.verify_pairs(cut(of(False).unionByName(of(True))), cut(pairs), 0.3)
+    return out.withColumns({"angle": F.round("angle", 6), "scale": F.round("scale", 6)})
+
+
+def verified_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of accepted pairs as a result document, read back and summed up."""
+    v, path = with_paths(items(spark, sf_dir)), new_path(spark, "verified")
+    verdicts = pairs_within(v, THRESHOLD).select("i", "j", F.lit(True).alias("accepted"))
+    results.save_result(documents(group_pairs(v, SEARCH, verdicts), v), path, sf_dir, "2024-01-01 00:00:00")
+    out = results.group_summary(results.load_result(spark, path))
+    return out.select("group_id", F.array_join("paths", ",").alias("paths"), "members", "verified", F.round("avg_similarity", 6).alias("avg_similarity"))
+
+
+def feature_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features as cached, every fifth replaced by newer ones; the table's count is that of its rows, and none once it is cleared."""
+    v = with_paths(items(spark, sf_dir))
+    rows = features(v).join(v.select("item_id", "path", "mtime"), "item_id").select("path", "mtime", "keypoints", "descriptors")
+    store = cache.features(spark, new_path(spark, "features"), buckets=8)
+    store.upsert(rows)
+    newer = rows.where(F.col("mtime") % 5 == 0)
+    store.upsert(newer.withColumns({"mtime": F.col("mtime") + 1, "keypoints": F.slice("keypoints", 1, 2), "descriptors": F.slice("descriptors", 1, 2)}))
+    out = cut(store.read().select("path", "mtime", F.size("keypoints").alias("points"), F.round(F.col("keypoints")[0]["angle"].cast("double"), 4).alias("angle")))
+    if store.count() != out.count() or not store.clear() or store.count():
+        raise ValueError("the cache counts wrongly")
+    return out
+
+
+class Folded:
+    """An embedder that adds up every four numbers, weighted 1 to 4."""
+
+    name, dim = "folded", 16
+
+    def load(self) -> np.ndarray:
+        return np.kron(np.eye(16), np.arange(1.0, 5.0)).T
+
+    def prepare(self, content: list[float]) -> np.ndarray:
+        return np.array(content, np.float64)
+
+    def embed(self, model: np.ndarray, batch: np.ndarray) -> np.ndarray:
+        return batch @ model
+
+
+def extract_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of all items: every sixth is valid in the cache, as many are outdated there, the others are computed; every tenth has no content."""
+    v = with_paths(items(spark, sf_dir))
+    store = cache.embeddings(spark, new_path(spark, "extracted"), buckets=8)
+    old = v.where("item_id % 3 = 0").select("path", (F.col("mtime") - (F.col("item_id") % 2) * 0.02).alias("mtime"), F.array_repeat(F.lit(0.5).cast("float"), 16).alias("embedding"))
+    store.upsert(old)
+    content = v.select("path", "mtime", F.when(F.col("item_id") % 10 != 1, F.col("embedding")).alias("content"))
+    out = extraction.extract_cached(content, Folded(), store, piece=400)
+    ends = {name: F.round(F.element_at("embedding", k).cast("double"), 6).alias(name) for name, k in (("first", 1), ("last", 16))}
+    return out.select("path", "cached", "failure", *ends.values())
+
+
+def pixel_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tensors of 4 x 4 pixels made from vectors, stretched to 8 x 2."""
+    level = lambda x: F.least(F.greatest(F.floor((x.cast("double") + 1) * 127.5), F.lit(0)), F.lit(255))
+    data = F.unhex(F.array_join(F.transform(F.slice("embedding", 1, 48), lambda x: F.lpad(F.hex(level(x)), 2, "0")), ""))
+    images = items(spark, sf_dir).select("item_id", F.lit(4).alias("height"), F.lit(4).alias("width"), F.lit(3).alias("channels"), data.alias("data"))
+    out = pixels.scale_pixels(images, (8, 2))
+    return out.select("item_id", F.posexplode("pixels").alias("pos", "value")).withColumn("value", F.round(F.col("value").cast("double"), 6))
+
+
 def list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables' files; extensions in any case."""
     return files.list_files(spark, sf_dir, extensions=(".PARQUET",)).select("name", "extension", (F.col("mtime") > 0).alias("dated"))
@@ -244,5 +339,12 @@ QUERIES = {
     "codebook_store": codebook_store,
     "neighbour_store": neighbour_store,
     "result_document": result_document,
+    "search_modes": search_modes,
+    "random_codebook": random_codebook,
+    "vote_limits": vote_limits,
+    "verified_document": verified_document,
+    "feature_cache": feature_cache,
+    "extract_embeddings": extract_embeddings,
+    "pixel_scaling": pixel_scaling,
     "list_files": list_files,
 }
