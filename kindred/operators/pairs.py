@@ -1,20 +1,32 @@
-"""Exact pair search on cosine distance: threshold self-join and top-k join, both in blocks that meet pairwise."""
+"""Exact pair search on cosine distance: threshold self-join and top-k join.
+
+Both compare blocks of an index of cells (`kindred.operators.cells`), and leave out what the triangle inequality of angles rules
+out before rows are copied. Where it rules out nothing, as with vectors in no clusters, blocks meet pairwise.
+"""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions.vectors import norm
+from kindred.operators import cells as index
+from kindred.operators.cells import BLOCK_COST, ROW_COST, Cells, copies, dealt, lengths, pieces, spread_out, vectors
+from kindred.operators.lineage import cut
 
 #: Vectors of one block at most, and rows of a block that are multiplied at once.
 BLOCK, TILE = 8192, 1024
 #: Smaller blocks than this are not worth a task of their own.
 LEAST = 128
+#: Queries whose visits are estimated.
+PROBES = 256
 
 
 def sound(items: DataFrame) -> DataFrame:
@@ -22,33 +34,115 @@ def sound(items: DataFrame) -> DataFrame:
     return items.select(F.col("item_id").cast("long").alias("item_id"), F.col("embedding").alias("v")).where("item_id is not null and v is not null").where(norm("v") > 0)
 
 
-def blocks_for(rows: DataFrame, block: int) -> int:
-    """Number of blocks of at most about `block` rows each; more if that leaves cores without a pair of blocks."""
-    n, cores = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
+def blocks_for(n: int, cores: int, block: int) -> int:
+    """Number of blocks of at most about `block` of `n` rows each; more if that leaves cores without a pair of blocks."""
     return max(1, -(-n // block), min(-(-n // LEAST), math.isqrt(2 * cores)))
 
 
-def _grid(items: DataFrame, n: int) -> DataFrame:
-    """Each row once for each pair of blocks (i <= j) that it belongs to."""
-    own = items.withColumn("own", F.pmod(F.xxhash64("item_id"), F.lit(n)).cast("int"))
-    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return met.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "item_id", "v")
-
-
 def _stack(p: pd.DataFrame) -> np.ndarray:
     return np.stack(p.v.to_list()).astype(np.float64)
 
 
-def pairs_within(items: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """(i, j, dist), i < j, of all pairs of unit vectors with cosine distance under `threshold` (strict).
+def _parts(n: np.ndarray, block: int) -> np.ndarray:
+    return np.maximum(1, -(-n // block))
 
-    Work is quadratic in the number of rows, as the exact answer asks; memory of a task is that of two blocks.
-    """
+
+class Join:
+    """Which blocks the rows of a threshold self-join visit: each pair of blocks from the wider one to the other, if at all."""
+
+    def __init__(self, cells: Cells, threshold: float):
+        self.cells, self.least = cells, 1.0 - threshold
+        self.rank = np.empty(len(cells.cell), np.int64)
+        self.rank[np.lexsort((np.arange(len(cells.cell)), cells.high - cells.low))] = np.arange(len(cells.cell))
+
+    def visits(self, d: np.ndarray, length: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row and block of every visit of rows with distances `d`, in blocks `own`."""
+        c = self.cells
+        # a pair under the threshold has a product over `least`, so an angle of this at most
+        most = np.arccos(np.clip(self.least / (length[:, None] * (c.longest if self.least >= 0 else c.shortest)), -1, 1))
+        fits = self.least / (length[:, None] * c.longest) <= 1 + index.SLACK if self.least >= 0 else True
+        return np.nonzero((c.gaps(d) <= most + index.SLACK) & fits & (self.rank < self.rank[own][:, None]))
+
+
+def work_of(count: np.ndarray, visitors: np.ndarray) -> float:
+    """Pairs that are compared: inside blocks, and visitors with blocks."""
+    return float((count * (count - 1.0) / 2).sum() + (count * 1.0 * visitors).sum())
+
+
+def _join_cost(sample: np.ndarray, n: int, threshold: float, block: int) -> Callable[[Cells], float]:
+    length, scale = lengths(sample), n / len(sample)
+
+    def cost(c: Cells) -> float:
+        d = c.distances(sample)
+        ring, _ = c.block_of(d)
+        own = np.unique(ring, return_inverse=True)[1]
+        m = np.bincount(Join(c, threshold).visits(d, length, own)[1], minlength=len(c.cell)) * scale
+        h = c.count * scale
+        hp, mp = np.maximum(1, np.ceil(h / block)), np.ceil(m / block)
+        return work_of(h, m) + ROW_COST * (h * (hp + mp) + m * hp).sum() + BLOCK_COST * (hp * (hp + 1) / 2 + hp * mp).sum()
+
+    return cost
+
+
+def pairs_plan(items: DataFrame, threshold: float, block: int = BLOCK) -> tuple[DataFrame, int, int, int]:
+    """The joined pairs (i, j, dist) of `pairs_within`, the number of vectors, the pairs that are compared, and those of blocks that meet."""
     v = sound(items)
-    n = blocks_for(v, block)
+    n = v.count()
+    if n <= block:
+        one = Cells(np.zeros((1, 1)), np.zeros(0), True, *(np.zeros(1, np.int64), np.zeros(1), np.zeros(1), np.array([n]), np.zeros(1), np.zeros(1)))
+        parts = np.array([blocks_for(n, v.sparkSession.sparkContext.defaultParallelism, block)])
+        return _joined(v, one, np.zeros(1, np.int64), np.zeros(1, np.int64), parts, threshold, block), n, n * (n - 1) // 2, n * (n - 1) // 2
+    v = cut(v)
+    sample = index.sampled(v, "v")
+    cells = index.fitted(sample, True, _join_cost(sample, n, threshold, block))
+    cells, rings = index.measured(v, cells, lambda b: vectors(b.column("v")))
+    join = Join(cells, threshold)
+    sent = v.sparkSession.sparkContext.broadcast((join, rings))
+
+    def visited(b: pa.RecordBatch) -> np.ndarray:
+        j, known = sent.value
+        x = vectors(b.column("v"))
+        d = j.cells.distances(x)
+        return j.visits(d, lengths(x), j.cells.numbers(j.cells.block_of(d)[0], known))[1]
+
+    visitors = index.tallied(v, visited, len(rings)) if len(rings) > 1 else np.zeros(1, np.int64)
+    parts = _parts(cells.count, block)
+    if len(rings) == 1:
+        parts = np.array([blocks_for(n, v.sparkSession.sparkContext.defaultParallelism, block)])
+    out = _joined(v, cells, rings, visitors, parts, threshold, block)
+    return out, n, int((cells.count * (cells.count - 1) // 2).sum()), int((cells.count * visitors).sum())
+
+
+def _joined(v: DataFrame, cells: Cells, rings: np.ndarray, visitors: np.ndarray, parts: np.ndarray, threshold: float, block: int) -> DataFrame:
+    """Pairs of the rows of each block with each other, in parts that meet pairwise, and with the block's visitors, whose parts are numbered below 0."""
+    alone = len(rings) == 1
+    sent = v.sparkSession.sparkContext.broadcast((Join(cells, threshold), rings, parts, _parts(visitors, block) * (visitors > 0)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        join, known, hp, vp = sent.value
+        for b in pieces(batches):
+            ids = b.column("item_id").to_numpy()
+            if alone:
+                own = np.zeros(len(ids), np.int64)
+            else:
+                x = vectors(b.column("v"))
+                d = join.cells.distances(x)
+                own = join.cells.numbers(join.cells.block_of(d)[0], known)
+            part = dealt(ids, hp[own])
+            at, other = spread_out(hp[own])
+            yield from copies(b, at, b=own[at], i=np.minimum(part[at], other), j=np.maximum(part[at], other), own=part[at])
+            if alone:
+                continue
+            at, guests = spread_out(vp[own])
+            yield from copies(b, at, b=own[at], i=part[at], j=-1 - guests, own=np.zeros(len(at), np.int64))
+            row, to = join.visits(d, lengths(x), own)
+            at, host = spread_out(hp[to])
+            place = dealt(ids[row], vp[to])
+            yield from copies(b, row[at], b=to[at], i=host, j=-1 - place[at], own=np.ones(len(at), np.int64))
 
     def compare(p: pd.DataFrame) -> pd.DataFrame:
-        a, b = p[p.own == p.i.iloc[0]], p[p.own == p.j.iloc[0]]
+        i, j = p.i.iloc[0], p.j.iloc[0]
+        a, b = (p[p.own == 0], p[p.own == 1]) if j < 0 else (p[p.own == i], p[p.own == j])
         out = [pd.DataFrame({"i": [], "j": [], "dist": []})]
         if len(a) and len(b):
             va, vb, ia, ib = _stack(a), _stack(b), a.item_id.to_numpy(), b.item_id.to_numpy()
@@ -56,34 +150,174 @@ def pairs_within(items: DataFrame, threshold: float, block: int = BLOCK) -> Data
                 d = 1.0 - va[k : k + TILE] @ vb.T
                 x, y = np.nonzero(d < threshold)
                 u, w = ia[k + x], ib[y]
-                good = u < w if p.i.iloc[0] == p.j.iloc[0] else u != w
+                good = u < w if i == j else u != w
                 out.append(pd.DataFrame({"i": np.minimum(u, w)[good], "j": np.maximum(u, w)[good], "dist": d[x, y][good]}))
         return pd.concat(out).astype({"i": "int64", "j": "int64"})
 
-    return _grid(v, n).groupBy("i", "j").applyInPandas(compare, "i long, j long, dist double")
+    kind = v.schema["v"].dataType.simpleString()
+    met = v.select("item_id", "v").mapInArrow(run, f"b int, i int, j int, own int, item_id long, v {kind}")
+    return met.groupBy("b", "i", "j").applyInPandas(compare, "i long, j long, dist double")
+
+
+def pairs_within(items: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """(i, j, dist), i < j, of all pairs of unit vectors with cosine distance under `threshold` (strict).
+
+    Vectors of other lengths count by 1 - product too. Memory of a task is that of two blocks. Beyond one block of rows, only
+    pairs that the cells cannot rule out are compared; `compared_pairs` tells how many.
+    """
+    return pairs_plan(items, threshold, block)[0]
+
+
+def compared_pairs(items: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """One row of what `pairs_within` would compare: (vectors, pairs, compared, share)."""
+    _, n, inside, across = pairs_plan(items, threshold, block)
+    compared = inside if n <= block else inside + across
+    return items.sparkSession.createDataFrame([(n, n * (n - 1) // 2, compared, compared / max(1, n * (n - 1) // 2))], "vectors long, pairs long, compared long, share double")
+
+
+class Nearest:
+    """Which blocks a query of a top-k search visits: first the nearest ones that hold enough, then all that may hold nearer ones than found."""
+
+    def __init__(self, cells: Cells, k: int):
+        self.cells, self.k = cells, k
+
+    def bounds(self, d: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Least score of each row with each block: squared distance, or 1 - product."""
+        c, gap = self.cells, self.cells.gaps(d)
+        if not c.angular:
+            return gap**2
+        cos = np.cos(np.minimum(gap, np.pi))
+        return 1 - length[:, None] * np.where(cos >= 0, c.longest, c.shortest) * cos - index.SLACK
+
+    def first(self, d: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """Rows by blocks: the visits of the first round, which reach `k` items besides the query."""
+        order = np.argsort(bound + 1e-9 * d[:, self.cells.cell], axis=1, kind="stable")
+        before = np.cumsum(self.cells.count[order], axis=1) - self.cells.count[order]
+        out = np.zeros(bound.shape, bool)
+        np.put_along_axis(out, order, before <= self.k, axis=1)
+        return out
+
+
+def _search_cost(sample: np.ndarray, probes: np.ndarray, n: int, queries: int, k: int, within: float | None, block: int) -> Callable[[Cells], float]:
+    many, scale = queries / len(probes), n / len(sample)
+
+    def cost(c: Cells) -> float:
+        if c.angular:
+            score = 1 - probes @ sample.T
+        else:
+            score = (probes**2).sum(1)[:, None] + (sample**2).sum(1) - 2 * probes @ sample.T
+        near = np.partition(score, min(k, len(sample) - 1), axis=1)[:, min(k, len(sample) - 1)]
+        d = c.distances(probes)
+        s = Nearest(replace(c, count=np.maximum(1, c.count * scale).astype(np.int64)), k)
+        bound = s.bounds(d, lengths(probes))
+        met = s.first(d, bound) | (bound <= (near if within is None else np.minimum(near, within))[:, None])
+        m, h = met.sum(axis=0) * many, c.count * scale
+        hp, mp = np.maximum(1, np.ceil(h / block)), np.ceil(m / block)
+        return (h * m).sum() + ROW_COST * (m * hp + h * mp).sum() + BLOCK_COST * (hp * mp).sum()
+
+    return cost
+
+
+def search(q: DataFrame, items: DataFrame, k: int, compare: Callable, payload: str, read: Callable[[pa.RecordBatch], np.ndarray], sample: Callable[[], np.ndarray], angular: bool, block: int, within: float | None = None) -> tuple[DataFrame, int]:
+    """The `k` nearest `items` (item_id, payload) of every query (item_id, v) as (query_id, item_id, dist, rank), and how many distances that takes.
+
+    `compare(queries, items, k)` makes (query_id, item_id, dist) of the k nearest of one group. `read` turns batches of items into
+    vectors of the metric that dist follows: 1 - product if `angular`, else squared distance. With `within`, items further
+    than that may be left out.
+    """
+    out_schema, cores = "query_id long, item_id long, dist double", q.sparkSession.sparkContext.defaultParallelism
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "item_id"))
+    nq, n = q.count(), items.count()
+    if not nq or n <= block:
+        found = _met(q, items, None, payload, compare, k, np.array([blocks_for(nq, cores, block)]), np.array([max(1, -(-n // block))]), out_schema)
+        return found.withColumn("rank", rank).where(F.col("rank") <= k), nq * n
+    q, items = cut(q), cut(items)
+    probes, some = index.sampled(q, "v", PROBES), sample()
+    cells = index.fitted(some, angular, _search_cost(some, probes, n, nq, k, within, block))
+    cells, rings = index.measured(items, cells, read)
+    if len(rings) == 1:
+        found = _met(q, items, None, payload, compare, k, np.array([blocks_for(nq, cores, block)]), _parts(np.array([n]), block), out_schema)
+        return found.withColumn("rank", rank).where(F.col("rank") <= k), nq * n
+    plan = Nearest(cells, k)
+    sent = q.sparkSession.sparkContext.broadcast((plan, rings))
+
+    def visits(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        p, x = sent.value[0], vectors(b.column("v"))
+        d = p.cells.distances(x)
+        bound = p.bounds(d, lengths(x))
+        early = p.first(d, bound)
+        if "far" not in b.schema.names:
+            return np.nonzero(early)
+        return np.nonzero((bound <= b.column("far").to_numpy(zero_copy_only=False)[:, None]) & ~early)
+
+    def block_of(b: pa.RecordBatch) -> np.ndarray:
+        p, known = sent.value
+        return p.cells.numbers(p.cells.block_of(p.cells.distances(read(b)))[0], known)
+
+    def met(some: DataFrame) -> tuple[DataFrame, int]:
+        visitors = index.tallied(some, lambda b: visits(b)[1], len(rings))
+        parts = _parts(visitors, block) * (visitors > 0)
+        found = _met(some, items, (visits, block_of), payload, compare, k, parts, _parts(cells.count, block), out_schema)
+        return found, int((visitors * cells.count).sum())
+
+    first, work = met(q)
+    first = cut(first)
+    # a query's k-th so far, not counting itself twice; of the blocks visited, each gave k rows at most
+    worst = first.withColumn("rank", rank).where(F.col("rank") <= k).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("far"))
+    far = F.when(F.col("n") >= k, F.col("far")).otherwise(F.lit(float("inf")))
+    limit = F.least(far, F.lit(float("inf") if within is None else within))
+    again = cut(q.join(worst, F.col("item_id") == F.col("query_id"), "left").select("item_id", "v", F.coalesce(limit, F.lit(float("inf") if within is None else within)).alias("far")))
+    second, more = met(again)
+    found = first.unionByName(cut(second))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k), work + more
+
+
+def _met(q: DataFrame, items: DataFrame, route: tuple | None, payload: str, compare: Callable, k: int, qp: np.ndarray, ip: np.ndarray, schema: str) -> DataFrame:
+    """Parts of visiting queries and parts of each block's items meet pairwise. `route`: functions that tell visits and blocks of a batch; one block if None."""
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            row, to = route[0](b) if route else (np.arange(b.num_rows), np.zeros(b.num_rows, np.int64))
+            part = dealt(b.column("item_id").to_numpy()[row], qp[to])
+            at, other = spread_out(ip[to])
+            yield from copies(b.select(["item_id", "v"]), row[at], b=to[at], i=part[at], j=other)
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            own = route[1](b) if route else np.zeros(b.num_rows, np.int64)
+            part = dealt(b.column("item_id").to_numpy(), ip[own])
+            at, other = spread_out(qp[own])
+            yield from copies(b, at, b=own[at], i=other, j=part[at])
+
+    def near(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"query_id": [], "item_id": [], "dist": []}).astype({"query_id": "int64", "item_id": "int64"})
+        return compare(x, y, k)
+
+    left = q.mapInArrow(asked, f"b int, i int, j int, item_id long, v {q.schema['v'].dataType.simpleString()}")
+    right = items.select("item_id", payload).mapInArrow(held, f"b int, i int, j int, item_id long, {payload} {items.schema[payload].dataType.simpleString()}")
+    return left.groupBy("b", "i", "j").cogroup(right.groupBy("b", "i", "j")).applyInPandas(near, schema)
+
+
+def _nearest(x: pd.DataFrame, y: pd.DataFrame, k: int) -> pd.DataFrame:
+    y = y.sort_values("item_id")
+    out, ids, vy, vx, ix = [], y.item_id.to_numpy(), _stack(y), _stack(x), x.item_id.to_numpy()
+    for at in range(0, len(vx), TILE):
+        d = 1.0 - vx[at : at + TILE] @ vy.T
+        d[ix[at : at + TILE, None] == ids] = np.inf
+        edge = np.partition(d, k - 1, axis=1)[:, k - 1] if k < d.shape[1] else np.full(len(d), np.inf)
+        r, c = np.nonzero((d <= edge[:, None]) & np.isfinite(d))
+        some = pd.DataFrame({"query_id": ix[at + r], "item_id": ids[c], "dist": d[r, c]})
+        out.append(some.sort_values(["query_id", "dist", "item_id"]).groupby("query_id").head(k))
+    return pd.concat(out).astype({"query_id": "int64", "item_id": "int64"})
+
+
+def top_k_plan(queries: DataFrame, items: DataFrame, k: int, block: int = BLOCK) -> tuple[DataFrame, int]:
+    """`top_k` and the number of distances it takes."""
+    q, v = sound(queries), sound(items)
+    return search(q, v, k, _nearest, "v", lambda b: vectors(b.column("v")), lambda: index.sampled(v, "v"), True, block)
 
 
 def top_k(queries: DataFrame, items: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """(query_id, item_id, dist, rank) of the k nearest items of each query by cosine distance, self left out, ties to smaller ids."""
-    q, v = sound(queries), sound(items)
-    nq, nv = blocks_for(q, block), max(1, -(-v.count() // block))
-    left = q.select(F.pmod(F.xxhash64("item_id"), F.lit(nq)).cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(nv - 1))).alias("b"), "item_id", "v")
-    right = v.select(F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("a"), F.pmod(F.xxhash64("item_id"), F.lit(nv)).cast("int").alias("b"), "item_id", "v")
-
-    def nearest(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query_id": [], "item_id": [], "dist": []})]
-        if len(x) and len(y):
-            y = y.sort_values("item_id")
-            ids, vy, vx, ix = y.item_id.to_numpy(), _stack(y), _stack(x), x.item_id.to_numpy()
-            for at in range(0, len(vx), TILE):
-                d = 1.0 - vx[at : at + TILE] @ vy.T
-                d[ix[at : at + TILE, None] == ids] = np.inf
-                edge = np.partition(d, k - 1, axis=1)[:, k - 1] if k < d.shape[1] else np.full(len(d), np.inf)
-                r, c = np.nonzero((d <= edge[:, None]) & np.isfinite(d))
-                some = pd.DataFrame({"query_id": ix[at + r], "item_id": ids[c], "dist": d[r, c]})
-                out.append(some.sort_values(["query_id", "dist", "item_id"]).groupby("query_id").head(k))
-        return pd.concat(out).astype({"query_id": "int64", "item_id": "int64"})
-
-    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(nearest, "query_id long, item_id long, dist double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "item_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return top_k_plan(queries, items, k, block)[0]

@@ -11,13 +11,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions.vectors import cosine_distance
+from kindred.operators.cells import sampled
 from kindred.operators.clusters import WEAK_CAP, constrained_clusters
 from kindred.operators.lineage import cut
-from kindred.operators.pairs import blocks_for, sound
+from kindred.operators.pairs import search, sound
 
 #: Bytes that a codebook may have.
 CODEBOOK_BYTES = 64 << 20
@@ -189,39 +190,43 @@ def table_distance(table: Column | str, codes: Column | str) -> Column:
     return F.aggregate(F.zip_with(table, codes, lambda t, k: F.element_at(t, k + 1)), F.lit(0.0), lambda a, x: a + x)
 
 
-def adc_top_k(queries: DataFrame, codes: DataFrame, codebook: DataFrame, k: int, block: int = CODES) -> DataFrame:
-    """(query_id, item_id, dist, rank): for each query (item_id, embedding) the `k` codes of smallest table distance, ties to smaller ids.
-
-    An item is not left out of its own search. Blocks of queries meet blocks of codes, of which each pair is one group; memory
-    of a task is that of a block of codes and the tables of a few queries.
-    """
+def adc_search(queries: DataFrame, codes: DataFrame, codebook: DataFrame, k: int, block: int = CODES, within: float | None = None) -> tuple[DataFrame, int]:
+    """`adc_top_k` and the number of table distances it takes."""
     book = as_array(codebook)
     shared, dim = queries.sparkSession.sparkContext.broadcast(book), book.shape[0] * book.shape[2]
-    q, c = queries.select(F.col("item_id").cast("long").alias("item_id"), F.col("embedding").alias("v")).where("embedding is not null"), codes.select("item_id", "codes")
-    nq, nc = blocks_for(q, block), max(1, -(-c.count() // block))
-    left = q.select(F.pmod(F.xxhash64("item_id"), F.lit(nq)).cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).alias("b"), "item_id", "v")
-    right = c.select(F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("a"), F.pmod(F.xxhash64("item_id"), F.lit(nc)).cast("int").alias("b"), "item_id", "codes")
-
-    def nearest(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        found = [pd.DataFrame({"query_id": [], "item_id": [], "dist": []})]
-        if len(x) and len(y):
-            y = y.sort_values("item_id")
-            ids, code = y.item_id.to_numpy(), np.stack(y.codes.to_list())
-            for at in range(0, len(x), 32):
-                some = x.iloc[at : at + 32]
-                t = tables_of(np.stack(some.v.to_list()).astype(np.float64).reshape(len(some), dim), shared.value)
-                d = np.zeros((len(some), len(ids)))
-                for m in range(t.shape[1]):
-                    d += t[:, m][:, code[:, m]]
-                for one, row in zip(some.item_id, d, strict=True):
-                    near = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1]) if k < len(row) else np.arange(len(row))
-                    near = near[np.argsort(row[near], kind="stable")[:k]]
-                    found.append(pd.DataFrame({"query_id": one, "item_id": ids[near], "dist": row[near]}))
+
+    def decoded(codes: np.ndarray) -> np.ndarray:
+        c = shared.value
+        return c[np.arange(len(c)), codes.astype(np.int64)].reshape(len(codes), -1)
+
+    def nearest(x: pd.DataFrame, y: pd.DataFrame, k: int) -> pd.DataFrame:
+        y = y.sort_values("item_id")
+        found, ids, code = [], y.item_id.to_numpy(), np.stack(y.codes.to_list())
+        for at in range(0, len(x), 32):
+            some = x.iloc[at : at + 32]
+            t = tables_of(np.stack(some.v.to_list()).astype(np.float64).reshape(len(some), dim), shared.value)
+            d = np.zeros((len(some), len(ids)))
+            for m in range(t.shape[1]):
+                d += t[:, m][:, code[:, m]]
+            for one, row in zip(some.item_id, d, strict=True):
+                near = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1]) if k < len(row) else np.arange(len(row))
+                near = near[np.argsort(row[near], kind="stable")[:k]]
+                found.append(pd.DataFrame({"query_id": one, "item_id": ids[near], "dist": row[near]}))
         return pd.concat(found).astype({"query_id": "int64", "item_id": "int64", "dist": "float64"})
 
-    met = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(nearest, "query_id long, item_id long, dist double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "item_id"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= k)
+    q, c = queries.select(F.col("item_id").cast("long").alias("item_id"), F.col("embedding").alias("v")).where("embedding is not null"), cut(codes.select(F.col("item_id").cast("long").alias("item_id"), "codes"))
+    return search(q, c, k, nearest, "codes", lambda b: decoded(matrix(b.column("codes"), len(shared.value))), lambda: decoded(sampled(c, "codes")), False, block, within)
+
+
+def adc_top_k(queries: DataFrame, codes: DataFrame, codebook: DataFrame, k: int, block: int = CODES, within: float | None = None) -> DataFrame:
+    """(query_id, item_id, dist, rank): for each query (item_id, embedding) the `k` codes of smallest table distance, ties to smaller ids.
+
+    An item is not left out of its own search. A table distance is the squared distance to the vector that codes stand for, so
+    cells of such vectors bound it: a query visits the nearest cells, and then those that may hold a nearer code than its k-th.
+    Memory of a task is that of a block of codes and the tables of a few queries. With `within`, codes further than that
+    may be missing.
+    """
+    return adc_search(queries, codes, codebook, k, block, within)[0]
 
 
 def neighbour_pairs(items: DataFrame, codebook: DataFrame, threshold: float, neighbours: int = NEIGHBOURS) -> DataFrame:
@@ -230,7 +235,7 @@ def neighbour_pairs(items: DataFrame, codebook: DataFrame, threshold: float, nei
     For unit vectors the squared Euclidean distance is twice the cosine distance.
     """
     v = sound(items).withColumnRenamed("v", "embedding")
-    near = adc_top_k(v, cut(encode(v, codebook)), codebook, neighbours + 1)
+    near = adc_top_k(v, encode(v, codebook), codebook, neighbours + 1, within=2 * threshold)
     pairs = near.where((F.col("dist") < 2 * threshold) & (F.col("query_id") != F.col("item_id")))
     return pairs.select(F.least("query_id", "item_id").alias("i"), F.greatest("query_id", "item_id").alias("j")).distinct()
 
