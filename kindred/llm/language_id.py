@@ -22,6 +22,8 @@ from kindred.llm.common import cut, join_hot, sliced
 UNKNOWN = "und"
 #: Bound of the fit: labelled rows for each language, whose texts count whole; languages at most.
 SAMPLE_ROWS, MOST_LANGUAGES = 200, 200
+#: Parts of a language that a draw ranks on their own first, as one language may hold most rows.
+PARTS = 16
 BUCKETS = 1 << 16
 #: Grams that a text's evidence weighs like at most; grams repeat what their neighbours say.
 EVIDENCE = 60
@@ -58,9 +60,11 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", labe
     languages = tuple(sorted(r[0] for r in labelled.select(label).distinct().limit(MOST_LANGUAGES + 1).collect()))
     if len(languages) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    # map sides keep their first rows of each language, so few reach a task; texts are fetched for the rows drawn alone
-    first = labelled.select(label.alias("l"), draw.alias("draw")).distinct().withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("draw")))
-    drawn = F.broadcast(cut(first.where(F.col("n") <= rows).select("l", "draw")))  # rows x MOST_LANGUAGES at most
+    # the first rows of each part of a language, then those of the language; texts are fetched for the rows drawn alone
+    first, n = labelled.select(label.alias("l"), draw.alias("draw")).distinct(), F.row_number()
+    for part in ([F.pmod("draw", F.lit(PARTS))], []):
+        first = first.withColumn("n", n.over(Window.partitionBy("l", *part).orderBy("draw"))).where(F.col("n") <= rows).select("l", "draw")
+    drawn = F.broadcast(cut(first))  # rows x MOST_LANGUAGES at most
     texts = labelled.select(label.alias("l"), draw.alias("draw"), F.col(text_col).alias("t")).join(drawn, ["l", "draw"], "left_semi").dropDuplicates(["l", "draw"])
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
