@@ -1,7 +1,8 @@
 """Exact pair search on cosine distance: threshold self-join and top-k join.
 
 Both compare blocks of an index of cells (`kindred.operators.cells`), and leave out what the triangle inequality of angles rules
-out before rows are copied. Where it rules out nothing, as with vectors in no clusters, blocks meet pairwise.
+out before rows are copied. A row that would visit so many blocks that a scan of all rows costs less is compared with all, in
+parts of fixed size; where that holds for most, as with vectors in no clusters, parts meet pairwise and there are no cells.
 """
 
 from __future__ import annotations
@@ -55,18 +56,31 @@ class Join:
         self.rank = np.empty(len(cells.cell), np.int64)
         self.rank[np.lexsort((np.arange(len(cells.cell)), cells.high - cells.low))] = np.arange(len(cells.cell))
 
-    def visits(self, d: np.ndarray, length: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row and block of every visit of rows with distances `d`, in blocks `own`."""
+    def visits(self, d: np.ndarray, length: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Rows by blocks: whether rows with distances `d`, in blocks `own`, visit them."""
         c = self.cells
         # a pair under the threshold has a product over `least`, so an angle of this at most
         most = np.arccos(np.clip(self.least / (length[:, None] * (c.longest if self.least >= 0 else c.shortest)), -1, 1))
         fits = self.least / (length[:, None] * c.longest) <= 1 + index.SLACK if self.least >= 0 else True
-        return np.nonzero((c.gaps(d) <= most + index.SLACK) & fits & (self.rank < self.rank[own][:, None]))
+        return (c.gaps(d) <= most + index.SLACK) & fits & (self.rank < self.rank[own][:, None])
 
 
-def work_of(count: np.ndarray, visitors: np.ndarray) -> float:
-    """Pairs that are compared: inside blocks, and visitors with blocks."""
-    return float((count * (count - 1.0) / 2).sum() + (count * 1.0 * visitors).sum())
+def visit_costs(count: np.ndarray, block: int, weight: float = 1.0) -> tuple[np.ndarray, float]:
+    """What a row's visit of each block costs, and what a scan of all rows does, if a comparison costs `weight` products of two vectors."""
+    n = float(count.sum())
+    return weight * count + ROW_COST * np.maximum(1, np.ceil(count / block)), weight * n + ROW_COST * max(1.0, np.ceil(n / block))
+
+
+def flagged(rows: DataFrame, wide: Callable[[pa.RecordBatch], np.ndarray]) -> tuple[DataFrame, DataFrame, int]:
+    """`rows` that are not `wide`, those that are, and their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(wide(b))], names=[*b.schema.names, "wide"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    out = cut(rows.mapInArrow(run, f"{kinds}, wide boolean"))
+    return out.where("not wide").drop("wide"), out.where("wide").drop("wide"), out.where("wide").count()
 
 
 def _join_cost(sample: np.ndarray, n: int, threshold: float, block: int) -> Callable[[Cells], float]:
@@ -75,67 +89,113 @@ def _join_cost(sample: np.ndarray, n: int, threshold: float, block: int) -> Call
     def cost(c: Cells) -> float:
         d = c.distances(sample)
         ring, _ = c.block_of(d)
-        own = np.unique(ring, return_inverse=True)[1]
-        m = np.bincount(Join(c, threshold).visits(d, length, own)[1], minlength=len(c.cell)) * scale
         h = c.count * scale
-        hp, mp = np.maximum(1, np.ceil(h / block)), np.ceil(m / block)
-        return work_of(h, m) + ROW_COST * (h * (hp + mp) + m * hp).sum() + BLOCK_COST * (hp * (hp + 1) / 2 + hp * mp).sum()
+        each, scan = visit_costs(h, block)
+        visiting = Join(c, threshold).visits(d, length, np.unique(ring, return_inverse=True)[1])
+        rows = np.minimum(visiting @ each, scan).sum() * scale
+        return rows + (h * (h / 2 + ROW_COST * 2 * np.ceil(h / block)) + BLOCK_COST).sum()
 
     return cost
 
 
-def pairs_plan(items: DataFrame, threshold: float, block: int = BLOCK) -> tuple[DataFrame, int, int, int]:
-    """The joined pairs (i, j, dist) of `pairs_within`, the number of vectors, the pairs that are compared, and those of blocks that meet."""
+def pairs_plan(items: DataFrame, threshold: float, block: int = BLOCK) -> tuple[DataFrame, int, int]:
+    """The pairs (i, j, dist) of `pairs_within`, the number of vectors, and how many pairs of them are compared."""
     v = sound(items)
-    n = v.count()
+    n, cores = v.count(), v.sparkSession.sparkContext.defaultParallelism
+    alone = lambda: (_alone(v, np.array([blocks_for(n, cores, block)]), threshold), n, n * (n - 1) // 2)
     if n <= block:
-        one = Cells(np.zeros((1, 1)), np.zeros(0), True, *(np.zeros(1, np.int64), np.zeros(1), np.zeros(1), np.array([n]), np.zeros(1), np.zeros(1)))
-        parts = np.array([blocks_for(n, v.sparkSession.sparkContext.defaultParallelism, block)])
-        return _joined(v, one, np.zeros(1, np.int64), np.zeros(1, np.int64), parts, threshold, block), n, n * (n - 1) // 2, n * (n - 1) // 2
+        return alone()
     v = cut(v)
-    sample = index.sampled(v, "v")
+    sample, read = index.sampled(v, "v"), lambda b: vectors(b.column("v"))
     cells = index.fitted(sample, True, _join_cost(sample, n, threshold, block))
-    cells, rings = index.measured(v, cells, lambda b: vectors(b.column("v")))
-    join = Join(cells, threshold)
-    sent = v.sparkSession.sparkContext.broadcast((join, rings))
-
-    def visited(b: pa.RecordBatch) -> np.ndarray:
-        j, known = sent.value
-        x = vectors(b.column("v"))
-        d = j.cells.distances(x)
-        return j.visits(d, lengths(x), j.cells.numbers(j.cells.block_of(d)[0], known))[1]
-
-    visitors = index.tallied(v, visited, len(rings)) if len(rings) > 1 else np.zeros(1, np.int64)
-    parts = _parts(cells.count, block)
-    if len(rings) == 1:
-        parts = np.array([blocks_for(n, v.sparkSession.sparkContext.defaultParallelism, block)])
-    out = _joined(v, cells, rings, visitors, parts, threshold, block)
-    return out, n, int((cells.count * (cells.count - 1) // 2).sum()), int((cells.count * visitors).sum())
-
-
-def _joined(v: DataFrame, cells: Cells, rings: np.ndarray, visitors: np.ndarray, parts: np.ndarray, threshold: float, block: int) -> DataFrame:
-    """Pairs of the rows of each block with each other, in parts that meet pairwise, and with the block's visitors, whose parts are numbered below 0."""
-    alone = len(rings) == 1
-    sent = v.sparkSession.sparkContext.broadcast((Join(cells, threshold), rings, parts, _parts(visitors, block) * (visitors > 0)))
+    if len(cells.cell) == 1:
+        return alone()
+
+    def indexed(rows: DataFrame) -> tuple[Cells, Callable]:
+        c, rings = index.measured(rows, cells, read)
+        sent = v.sparkSession.sparkContext.broadcast((Join(c, threshold), rings))
+
+        def visiting(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+            j, known = sent.value
+            x = vectors(b.column("v"))
+            d = j.cells.distances(x)
+            own = j.cells.numbers(j.cells.block_of(d)[0], known)
+            return own, j.visits(d, lengths(x), own)
+
+        return c, visiting
+
+    c, visiting = indexed(v)
+    each, scan = visit_costs(c.count, block)
+    few, wide, k = flagged(v, lambda b: visiting(b)[1] @ each > scan)
+    if k == n:
+        return alone()
+    if k:  # without those of many visits, blocks are narrower
+        c, visiting = indexed(few)
+    visitors = index.tallied(few, lambda b: np.nonzero(visiting(b)[1])[1], len(c.cell))
+    out = _joined(few, visiting, _parts(c.count, block), _parts(visitors, block) * (visitors > 0), threshold)
+    compared = int((c.count * (c.count - 1) // 2).sum() + (c.count * visitors).sum())
+    if k:
+        out = out.unionByName(_scanned(wide, few, blocks_for(k, cores, block), -(-n // block), threshold))
+        compared += k * (k - 1) // 2 + k * (n - k)
+    return out, n, compared
+
+
+def _compared(a: pd.DataFrame, b: pd.DataFrame, threshold: float, once: bool) -> pd.DataFrame:
+    """Pairs of a row of `a` and one of `b` under the threshold; with `once`, as both hold the same rows, those of the smaller id in `a`."""
+    out = [pd.DataFrame({"i": [], "j": [], "dist": []})]
+    if len(a) and len(b):
+        va, vb, ia, ib = _stack(a), _stack(b), a.item_id.to_numpy(), b.item_id.to_numpy()
+        for k in range(0, len(va), TILE):
+            d = 1.0 - va[k : k + TILE] @ vb.T
+            x, y = np.nonzero(d < threshold)
+            u, w = ia[k + x], ib[y]
+            good = u < w if once else u != w
+            out.append(pd.DataFrame({"i": np.minimum(u, w)[good], "j": np.maximum(u, w)[good], "dist": d[x, y][good]}))
+    return pd.concat(out).astype({"i": "int64", "j": "int64"})
+
+
+PAIRS = "i long, j long, dist double"
+
+
+def _alone(v: DataFrame, parts: np.ndarray, threshold: float) -> DataFrame:
+    """All pairs, in parts that meet pairwise."""
+    return _joined(v, lambda b: (np.zeros(b.num_rows, np.int64), None), parts, np.zeros(1, np.int64), threshold)
+
+
+def _scanned(wide: DataFrame, few: DataFrame, parts: int, others: int, threshold: float) -> DataFrame:
+    """Pairs of `wide` rows with each other and with all others, in parts."""
+
+    def sent(rows: DataFrame, side: int, own: int, met: int) -> DataFrame:
+        part = F.pmod(F.xxhash64("item_id"), F.lit(own)).cast("int")
+        other = F.explode(F.sequence(F.lit(0), F.lit(met - 1)))
+        return rows.select(part.alias("i" if side == 0 else "j"), other.alias("j" if side == 0 else "i"), F.lit(side).alias("own"), "item_id", "v")
+
+    right = few.select("item_id", "v")
+    met = sent(wide, 0, parts, others).unionByName(sent(right, 1, others, parts))
+    found = met.groupBy("i", "j").applyInPandas(lambda p: _compared(p[p.own == 0], p[p.own == 1], threshold, False), PAIRS)
+    return found.unionByName(_alone(wide.select("item_id", "v"), np.array([parts]), threshold))
+
+
+def _joined(v: DataFrame, visiting: Callable, parts: np.ndarray, guests: np.ndarray, threshold: float) -> DataFrame:
+    """Pairs of the rows of each block with each other, in `parts` that meet pairwise, and with its visitors, in `guests` parts, which are numbered below 0.
+
+    `visiting` tells a batch's blocks and visits (rows by blocks), None if there are none.
+    """
+    sent = v.sparkSession.sparkContext.broadcast((parts, guests))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        join, known, hp, vp = sent.value
+        hp, vp = sent.value
         for b in pieces(batches):
             ids = b.column("item_id").to_numpy()
-            if alone:
-                own = np.zeros(len(ids), np.int64)
-            else:
-                x = vectors(b.column("v"))
-                d = join.cells.distances(x)
-                own = join.cells.numbers(join.cells.block_of(d)[0], known)
+            own, visits = visiting(b)
             part = dealt(ids, hp[own])
             at, other = spread_out(hp[own])
             yield from copies(b, at, b=own[at], i=np.minimum(part[at], other), j=np.maximum(part[at], other), own=part[at])
-            if alone:
+            if visits is None:
                 continue
-            at, guests = spread_out(vp[own])
-            yield from copies(b, at, b=own[at], i=part[at], j=-1 - guests, own=np.zeros(len(at), np.int64))
-            row, to = join.visits(d, lengths(x), own)
+            at, guest = spread_out(vp[own])
+            yield from copies(b, at, b=own[at], i=part[at], j=-1 - guest, own=np.zeros(len(at), np.int64))
+            row, to = np.nonzero(visits)
             at, host = spread_out(hp[to])
             place = dealt(ids[row], vp[to])
             yield from copies(b, row[at], b=to[at], i=host, j=-1 - place[at], own=np.ones(len(at), np.int64))
@@ -143,20 +203,11 @@ def _joined(v: DataFrame, cells: Cells, rings: np.ndarray, visitors: np.ndarray,
     def compare(p: pd.DataFrame) -> pd.DataFrame:
         i, j = p.i.iloc[0], p.j.iloc[0]
         a, b = (p[p.own == 0], p[p.own == 1]) if j < 0 else (p[p.own == i], p[p.own == j])
-        out = [pd.DataFrame({"i": [], "j": [], "dist": []})]
-        if len(a) and len(b):
-            va, vb, ia, ib = _stack(a), _stack(b), a.item_id.to_numpy(), b.item_id.to_numpy()
-            for k in range(0, len(va), TILE):
-                d = 1.0 - va[k : k + TILE] @ vb.T
-                x, y = np.nonzero(d < threshold)
-                u, w = ia[k + x], ib[y]
-                good = u < w if i == j else u != w
-                out.append(pd.DataFrame({"i": np.minimum(u, w)[good], "j": np.maximum(u, w)[good], "dist": d[x, y][good]}))
-        return pd.concat(out).astype({"i": "int64", "j": "int64"})
+        return _compared(a, b, threshold, i == j)
 
     kind = v.schema["v"].dataType.simpleString()
     met = v.select("item_id", "v").mapInArrow(run, f"b int, i int, j int, own int, item_id long, v {kind}")
-    return met.groupBy("b", "i", "j").applyInPandas(compare, "i long, j long, dist double")
+    return met.groupBy("b", "i", "j").applyInPandas(compare, PAIRS)
 
 
 def pairs_within(items: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
@@ -170,8 +221,7 @@ def pairs_within(items: DataFrame, threshold: float, block: int = BLOCK) -> Data
 
 def compared_pairs(items: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """One row of what `pairs_within` would compare: (vectors, pairs, compared, share)."""
-    _, n, inside, across = pairs_plan(items, threshold, block)
-    compared = inside if n <= block else inside + across
+    _, n, compared = pairs_plan(items, threshold, block)
     return items.sparkSession.createDataFrame([(n, n * (n - 1) // 2, compared, compared / max(1, n * (n - 1) // 2))], "vectors long, pairs long, compared long, share double")
 
 
@@ -198,7 +248,7 @@ class Nearest:
         return out
 
 
-def _search_cost(sample: np.ndarray, probes: np.ndarray, n: int, queries: int, k: int, within: float | None, block: int) -> Callable[[Cells], float]:
+def _search_cost(sample: np.ndarray, probes: np.ndarray, n: int, queries: int, k: int, within: float | None, block: int, weight: float) -> Callable[[Cells], float]:
     many, scale = queries / len(probes), n / len(sample)
 
     def cost(c: Cells) -> float:
@@ -210,20 +260,22 @@ def _search_cost(sample: np.ndarray, probes: np.ndarray, n: int, queries: int, k
         d = c.distances(probes)
         s = Nearest(replace(c, count=np.maximum(1, c.count * scale).astype(np.int64)), k)
         bound = s.bounds(d, lengths(probes))
-        met = s.first(d, bound) | (bound <= (near if within is None else np.minimum(near, within))[:, None])
-        m, h = met.sum(axis=0) * many, c.count * scale
-        hp, mp = np.maximum(1, np.ceil(h / block)), np.ceil(m / block)
-        return (h * m).sum() + ROW_COST * (m * hp + h * mp).sum() + BLOCK_COST * (hp * mp).sum()
+        early = s.first(d, bound)
+        late = (bound <= (near if within is None else np.minimum(near, within))[:, None]) & ~early
+        h = c.count * scale
+        each, scan = visit_costs(h, block, weight)
+        rows = (early @ each + np.minimum(late @ each, scan)).sum() * many
+        return rows + (ROW_COST * h * np.ceil((early | late).sum(axis=0) * many / block) + BLOCK_COST).sum()
 
     return cost
 
 
-def search(q: DataFrame, items: DataFrame, k: int, compare: Callable, payload: str, read: Callable[[pa.RecordBatch], np.ndarray], sample: Callable[[], np.ndarray], angular: bool, block: int, within: float | None = None) -> tuple[DataFrame, int]:
+def search(q: DataFrame, items: DataFrame, k: int, compare: Callable, payload: str, read: Callable[[pa.RecordBatch], np.ndarray], sample: Callable[[], np.ndarray], angular: bool, block: int, within: float | None = None, weight: float = 1.0) -> tuple[DataFrame, int]:
     """The `k` nearest `items` (item_id, payload) of every query (item_id, v) as (query_id, item_id, dist, rank), and how many distances that takes.
 
     `compare(queries, items, k)` makes (query_id, item_id, dist) of the k nearest of one group. `read` turns batches of items into
     vectors of the metric that dist follows: 1 - product if `angular`, else squared distance. With `within`, items further
-    than that may be left out.
+    than that may be left out. `weight` is the cost of a comparison, see `visit_costs`.
     """
     out_schema, cores = "query_id long, item_id long, dist double", q.sparkSession.sparkContext.defaultParallelism
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "item_id"))
@@ -233,7 +285,7 @@ def search(q: DataFrame, items: DataFrame, k: int, compare: Callable, payload: s
         return found.withColumn("rank", rank).where(F.col("rank") <= k), nq * n
     q, items = cut(q), cut(items)
     probes, some = index.sampled(q, "v", PROBES), sample()
-    cells = index.fitted(some, angular, _search_cost(some, probes, n, nq, k, within, block))
+    cells = index.fitted(some, angular, _search_cost(some, probes, n, nq, k, within, block, weight))
     cells, rings = index.measured(items, cells, read)
     if len(rings) == 1:
         found = _met(q, items, None, payload, compare, k, np.array([blocks_for(nq, cores, block)]), _parts(np.array([n]), block), out_schema)
@@ -241,21 +293,21 @@ def search(q: DataFrame, items: DataFrame, k: int, compare: Callable, payload: s
     plan = Nearest(cells, k)
     sent = q.sparkSession.sparkContext.broadcast((plan, rings))
 
-    def visits(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    def visits(b: pa.RecordBatch) -> np.ndarray:
         p, x = sent.value[0], vectors(b.column("v"))
         d = p.cells.distances(x)
         bound = p.bounds(d, lengths(x))
         early = p.first(d, bound)
         if "far" not in b.schema.names:
-            return np.nonzero(early)
-        return np.nonzero((bound <= b.column("far").to_numpy(zero_copy_only=False)[:, None]) & ~early)
+            return early
+        return (bound <= b.column("far").to_numpy(zero_copy_only=False)[:, None]) & ~early
 
     def block_of(b: pa.RecordBatch) -> np.ndarray:
         p, known = sent.value
         return p.cells.numbers(p.cells.block_of(p.cells.distances(read(b)))[0], known)
 
     def met(some: DataFrame) -> tuple[DataFrame, int]:
-        visitors = index.tallied(some, lambda b: visits(b)[1], len(rings))
+        visitors = index.tallied(some, lambda b: np.nonzero(visits(b))[1], len(rings))
         parts = _parts(visitors, block) * (visitors > 0)
         found = _met(some, items, (visits, block_of), payload, compare, k, parts, _parts(cells.count, block), out_schema)
         return found, int((visitors * cells.count).sum())
@@ -267,9 +319,14 @@ def search(q: DataFrame, items: DataFrame, k: int, compare: Callable, payload: s
     far = F.when(F.col("n") >= k, F.col("far")).otherwise(F.lit(float("inf")))
     limit = F.least(far, F.lit(float("inf") if within is None else within))
     again = cut(q.join(worst, F.col("item_id") == F.col("query_id"), "left").select("item_id", "v", F.coalesce(limit, F.lit(float("inf") if within is None else within)).alias("far")))
-    second, more = met(again)
+    each, scan = visit_costs(cells.count, block, weight)
+    few, wide, many = flagged(again, lambda b: visits(b) @ each > scan)
+    second, more = met(few)
     found = first.unionByName(cut(second))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k), work + more
+    if many:  # queries near to nothing are held against all items, which makes what they found before unneeded
+        whole = _met(wide, items, None, payload, compare, k, np.array([blocks_for(many, cores, block)]), _parts(np.array([n]), block), out_schema)
+        found = found.join(wide.select(F.col("item_id").alias("query_id")), "query_id", "left_anti").unionByName(whole)
+    return found.withColumn("rank", rank).where(F.col("rank") <= k), work + more + many * n
 
 
 def _met(q: DataFrame, items: DataFrame, route: tuple | None, payload: str, compare: Callable, k: int, qp: np.ndarray, ip: np.ndarray, schema: str) -> DataFrame:
@@ -277,7 +334,7 @@ def _met(q: DataFrame, items: DataFrame, route: tuple | None, payload: str, comp
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            row, to = route[0](b) if route else (np.arange(b.num_rows), np.zeros(b.num_rows, np.int64))
+            row, to = np.nonzero(route[0](b)) if route else (np.arange(b.num_rows), np.zeros(b.num_rows, np.int64))
             part = dealt(b.column("item_id").to_numpy()[row], qp[to])
             at, other = spread_out(ip[to])
             yield from copies(b.select(["item_id", "v"]), row[at], b=to[at], i=part[at], j=other)

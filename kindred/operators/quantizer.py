@@ -25,6 +25,8 @@ CODEBOOK_BYTES = 64 << 20
 #: Defaults of the search over large sets: parts, centroids of a part, neighbours of an item.
 PARTS, SIZE, NEIGHBOURS = 96, 256, 5
 CODES = 8192
+#: What adding up one part of a table distance costs, in products of two vectors.
+PART_COST = 0.5
 ROWS = 2048
 
 
@@ -215,7 +217,7 @@ def adc_search(queries: DataFrame, codes: DataFrame, codebook: DataFrame, k: int
         return pd.concat(found).astype({"query_id": "int64", "item_id": "int64", "dist": "float64"})
 
     q, c = queries.select(F.col("item_id").cast("long").alias("item_id"), F.col("embedding").alias("v")).where("embedding is not null"), cut(codes.select(F.col("item_id").cast("long").alias("item_id"), "codes"))
-    return search(q, c, k, nearest, "codes", lambda b: decoded(matrix(b.column("codes"), len(shared.value))), lambda: decoded(sampled(c, "codes")), False, block, within)
+    return search(q, c, k, nearest, "codes", lambda b: decoded(matrix(b.column("codes"), len(shared.value))), lambda: decoded(sampled(c, "codes")), False, block, within, PART_COST * book.shape[0])
 
 
 def adc_top_k(queries: DataFrame, codes: DataFrame, codebook: DataFrame, k: int, block: int = CODES, within: float | None = None) -> DataFrame:
