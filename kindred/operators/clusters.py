@@ -15,6 +15,8 @@ from kindred.operators.numbering import numbered
 WEAK_CAP = 50
 #: Weak edges of one component that one task merges at most; larger components take rounds first.
 TASK_EDGES = 200_000
+#: Edges of a larger component whose order tells where its first TASK_EDGES end.
+PLACES = 1_000
 
 
 def renamed(labels: DataFrame, names: DataFrame) -> DataFrame:
@@ -22,19 +24,58 @@ def renamed(labels: DataFrame, names: DataFrame) -> DataFrame:
     return cut(labels.join(names, "label", "left").select("item_id", F.coalesce("merged", "label").alias("label")))
 
 
+def _merged(edges: pd.DataFrame, size: dict[int, int], cap: int, strong: float = -np.inf) -> dict[int, int]:
+    """The smallest id that each end of `edges` (a, b, dist, i, j) hangs together with, once they are merged in order; `size` counts members."""
+    root = {x: x for c in ("a", "b") for x in edges[c]}
+    n = {x: size.get(x, 0) for x in root}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for x, y, d in edges.sort_values(["dist", "i", "j"])[["a", "b", "dist"]].itertuples(index=False):
+        known = x in size and y in size
+        x, y = sorted((find(x), find(y)))
+        if x != y and (d < strong or known and n[x] + n[y] <= cap):
+            root[y] = x
+            n[x] += n[y]
+    return {x: find(x) for x in root}
+
+
+def _small_graph(ids: DataFrame, e: DataFrame, strong: float, cap: int) -> DataFrame:
+    """`constrained_clusters` of few edges `e`, by one task; items without edges do not take part."""
+    ends = e.select(F.col("i").alias("item_id")).unionByName(e.select(F.col("j").alias("item_id"))).distinct()
+    own = F.broadcast(ids.join(F.broadcast(ends), "item_id", "left_semi").groupBy("item_id").agg(F.count(F.lit(1)).alias("n")))
+    known = e.join(own.toDF("i", "ni"), "i", "left").join(own.toDF("j", "nj"), "j", "left").withColumn("g", F.lit(0))
+
+    def merge(p: pd.DataFrame) -> pd.DataFrame:
+        size = {int(x): int(n) for c, k in (("i", "ni"), ("j", "nj")) for x, n in p[[c, k]].dropna().itertuples(index=False)}
+        found = _merged(p.assign(a=p.i, b=p.j), size, cap, strong)
+        return pd.DataFrame({"item_id": list(found), "label": list(found.values())})
+
+    names = F.broadcast(known.groupBy("g").applyInPandas(merge, "item_id long, label long"))
+    return cut(ids.join(names, "item_id", "left").select("item_id", F.coalesce("label", "item_id").alias("label")))
+
+
 def constrained_clusters(items: DataFrame, edges: DataFrame, threshold: float, ratio: float = 0.7, cap: int = WEAK_CAP, most: int = TASK_EDGES) -> DataFrame:
     """(item_id, label): edges in order of (dist, i, j) merge if dist < ratio * threshold, or else if both clusters hold `cap` members at most.
 
-    Close edges come first, so they form plain components. Of the weak ones only the first between two components counts, and
-    components of the contracted weak graph do not touch each other: each is merged on its own. While one has over `most` edges,
-    rounds decide all edges that come first at both their clusters, as nothing before them changes those. An edge whose clusters
-    are too large together is dropped, since they only grow. The label is the smallest id.
+    Up to `most` edges are merged by one task. Of more, close edges come first, so they form plain components. Of the weak ones only
+    the first between two components counts, and components of the contracted weak graph do not touch each other: each is merged
+    on its own. While one has over `most` edges, a round decides about the first `most` of them in order, as nothing after
+    them matters to those; the rest takes the new names, and loses the edges whose clusters are too large together by then.
+    The label is the smallest id.
     """
     if ratio > 1:
         raise ValueError("ratio must be at most 1")
-    e = cut(edges.select("i", "j", "dist"))
+    e, n = counted(edges.select("i", "j", "dist"))
+    ids = items.select(F.col("item_id").cast("long").alias("item_id"))
+    if n <= most:
+        return _small_graph(ids, e, ratio * threshold, cap)
     dense = components(e.where(F.col("dist") < ratio * threshold))
-    base = cut(items.select(F.col("item_id").cast("long").alias("item_id")).join(dense, "item_id", "left").select("item_id", F.coalesce("label", "item_id").alias("label")))
+    base = cut(ids.join(dense, "item_id", "left").select("item_id", F.coalesce("label", "item_id").alias("label")))
     sizes = base.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     weak = e.where(F.col("dist") >= ratio * threshold)
     named = weak.join(base.toDF("i", "a"), "i").join(base.toDF("j", "b"), "j").where("a <> b")
@@ -44,70 +85,65 @@ def constrained_clusters(items: DataFrame, edges: DataFrame, threshold: float, r
     whole = components(first.select(F.col("a").alias("i"), F.col("b").alias("j"))).toDF("a", "g")
 
     def merge(p: pd.DataFrame) -> pd.DataFrame:
-        size = dict(zip(p.a, p.na, strict=True)) | dict(zip(p.b, p.nb, strict=True))
-        root = {x: x for x in size}
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for x, y in p.sort_values(["dist", "i", "j"])[["a", "b"]].itertuples(index=False):
-            x, y = sorted((find(x), find(y)))
-            if x != y and size[x] + size[y] <= cap:
-                root[y] = x
-                size[x] += size[y]
-        return pd.DataFrame({"label": list(root), "merged": [find(x) for x in root]})
+        found = _merged(p, dict(zip(p.a, p.na, strict=True)) | dict(zip(p.b, p.nb, strict=True)), cap)
+        return pd.DataFrame({"label": list(found), "merged": list(found.values())})
 
     left = cut(first.join(whole, "a"))
+    key = F.struct("dist", "i", "j")
     while True:
-        large, n = counted(left.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > most).select("g"))
-        small = left.join(large, "g", "left_anti") if n else left
+        large, n = counted(left.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > most))
+        small = left.join(large.select("g"), "g", "left_anti") if n else left
         base = renamed(base, small.groupBy("g").applyInPandas(merge, "label long, merged long"))
         if not n:
             return base
-        left = cut(left.join(large, "g", "left_semi"))
-        key = F.struct("dist", "i", "j").alias("e")
-        least = left.select(F.col("a").alias("label"), key).unionByName(left.select(F.col("b").alias("label"), key)).groupBy("label").agg(F.min("e").alias("e"))
-        due = least.groupBy("e").agg(F.count(F.lit(1)).alias("ends"), F.min("label").alias("merged"), F.max("label").alias("label")).where("ends = 2")
-        names = cut(due.select("label", "merged"))
+        # the place of the first `most` edges is told by a sample of some PLACES edges of each component
+        left = cut(left.join(large, "g").withColumn("e", key))
+        drawn = left.where(F.pmod(F.xxhash64("i", "j"), F.greatest(F.col("size") / PLACES, F.lit(1)).cast("long")) == 0)
+        at = F.greatest(F.lit(1), (F.size("s") * F.lit(float(most)) / F.col("size")).cast("int"))
+        ends = drawn.groupBy("g").agg(F.array_sort(F.collect_list("e")).alias("s"), F.max("size").alias("size")).select("g", F.element_at("s", at).alias("end"))
+        # a component that the sample passed over decides its first edge
+        ends = left.groupBy("g").agg(F.min("e").alias("least")).join(ends, "g", "left").select("g", F.coalesce("end", "least").alias("end"))
+        left = left.join(cut(ends), "g")
+        names = cut(left.where(F.col("e") <= F.col("end")).groupBy("g").applyInPandas(merge, "label long, merged long"))
         base = renamed(base, names)
-        # every edge left is within the cap, so those due all merge; ends take the new names and sizes
         sizes = cut(base.groupBy("label").agg(F.count(F.lit(1)).alias("n")))
         x, y = names.toDF("a", "ma"), names.toDF("b", "mb")
-        moved = left.join(x, "a", "left").join(y, "b", "left").select("g", F.coalesce("ma", "a").alias("a"), F.coalesce("mb", "b").alias("b"), key).where("a <> b")
+        moved = left.where(F.col("e") > F.col("end")).join(x, "a", "left").join(y, "b", "left").select("g", F.coalesce("ma", "a").alias("a"), F.coalesce("mb", "b").alias("b"), "e").where("a <> b")
         moved = moved.groupBy("g", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("e").alias("e"))
         moved = moved.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").where(F.col("na") + F.col("nb") <= cap)
         left = cut(moved.select("a", "b", "na", "nb", "e.*", "g"))
 
 
 def _nearest_clusters(active: DataFrame, threshold: float, block: int) -> DataFrame:
-    """(label, to): the nearest other cluster of the same g under `threshold` (ties to the smallest label), of those that have any.
+    """(label, to, d): the nearest other cluster of the same g under `threshold` (ties to the smallest label), of rows with `again` that have any.
 
-    Blocks of a component meet pairwise, each pair of clusters in one task; memory of a task is that of two blocks.
+    Blocks of those rows meet blocks of all clusters of the component; memory of a task is that of two blocks.
     """
-    parts = cut(active.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts")))
+    parts = cut(active.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"), F.ceil(F.count_if("again") / block).cast("int").alias("asked")))
     own = active.join(parts, "g").withColumn("own", F.pmod(F.xxhash64("label"), F.col("parts")).cast("int"))
-    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "label", "s", "n")
+    ask = F.pmod(F.xxhash64("label", F.lit(1)), F.greatest("asked", F.lit(1))).cast("int")
+    left = own.where("again").select("g", ask.alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), F.lit(True).alias("asks"), "label", "s", "n")
+    right = own.where("asked > 0").select("g", F.explode(F.sequence(F.lit(0), F.col("asked") - 1)).alias("i"), F.col("own").alias("j"), F.lit(False).alias("asks"), "label", "s", "n")
 
     def compare(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("label")
-        x, y = p[p.own == p.i.iloc[0]], p[p.own == p.j.iloc[0]]
+        x, y = p[p.asks], p[~p.asks]
         if x.empty or y.empty:
             return pd.DataFrame({"label": [], "to": [], "d": []})
         u, w = x.label.to_numpy(), y.label.to_numpy()
-        d = 1.0 - (np.stack(x.s.to_list()) / x.n.to_numpy()[:, None]) @ (np.stack(y.s.to_list()) / y.n.to_numpy()[:, None]).T
-        if p.i.iloc[0] == p.j.iloc[0]:  # one value for both directions
-            d = np.triu(d, 1) + np.triu(d, 1).T
-            np.fill_diagonal(d, np.inf)
-        to, of = d.argmin(axis=1), d.argmin(axis=0)
-        out = pd.DataFrame({"label": np.concatenate([u, w]), "to": np.concatenate([w[to], u[of]]), "d": np.concatenate([d.min(axis=1), d.min(axis=0)])})
+        v, z = (np.stack(t.s.to_list()) / t.n.to_numpy()[:, None] for t in (x, y))
+        d = 1.0 - v @ z.T
+        d[u[:, None] == w] = np.inf
+        r, c = np.nonzero((d <= d.min(axis=1)[:, None] + 1e-9) & np.isfinite(d))
+        # those that may be the nearest get a value that is one for both directions and does not hang on their place in a block
+        exact = 1.0 - np.einsum("ij,ij->i", v[r], z[c])
+        order = np.lexsort((w[c], exact, r))
+        best = order[np.unique(r[order], return_index=True)[1]]
+        out = pd.DataFrame({"label": u[r[best]], "to": w[c[best]], "d": exact[best]})
         return out[out.d < threshold]
 
-    found = met.groupBy("g", "i", "j").applyInPandas(compare, "label long, to long, d double")
-    return found.groupBy("label").agg(F.min(F.struct("d", "to")).alias("x")).select("label", F.col("x.to").alias("to"))
+    found = left.unionByName(right).groupBy("g", "i", "j").applyInPandas(compare, "label long, to long, d double")
+    return found.groupBy("label").agg(F.min(F.struct("d", "to")).alias("x")).select("label", "x.to", "x.d")
 
 
 def average_linkage(items: DataFrame, edges: DataFrame, threshold: float, most: int = 5_000, block: int = 2_048) -> DataFrame:
@@ -116,7 +152,8 @@ def average_linkage(items: DataFrame, edges: DataFrame, threshold: float, most:
     A merge needs a pair under the threshold, so components of `edges` (all pairs under it) are clustered each on their own.
     The average distance of two clusters is that of their mean vectors. While a component holds over `most` clusters, rounds
     merge clusters that are each other's nearest, which leaves the result as it is: merged clusters are no nearer to a third
-    than the nearer of both was. Clusters without another under the threshold are done. The rest is merged in one task a component.
+    than the nearer of both was; for that reason also only merged clusters, and those whose nearest was merged, look for their
+    nearest again. Clusters without another under the threshold are done. The rest is merged in one task a component.
     """
     named = cut(components(edges))
     own = items.select(F.col("item_id").cast("long").alias("item_id"), "embedding")
@@ -148,23 +185,32 @@ def average_linkage(items: DataFrame, edges: DataFrame, threshold: float, most:
         return pd.DataFrame({"label": p.label, "merged": p.label.to_numpy()[owner]})
 
     labels = cut(own.select("item_id", F.col("item_id").alias("label")))
-    active = cut(own.join(named.withColumnRenamed("label", "g"), "item_id").select("g", F.col("item_id").alias("label"), F.col("embedding").cast("array<double>").alias("s"), F.lit(1).cast("long").alias("n")))
+    active = cut(
+        own.join(named.withColumnRenamed("label", "g"), "item_id").select("g", F.col("item_id").alias("label"), F.col("embedding").cast("array<double>").alias("s"), F.lit(1).cast("long").alias("n"), F.lit(True).alias("again"))
+    )
+    near = None  # the nearest of each cluster that is not asked again
     while True:
         large, many = counted(active.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > most).select("g"))
         small = active.join(large, "g", "left_anti") if many else active
-        labels = renamed(labels, small.groupBy("g").applyInPandas(link, "label long, merged long"))
+        labels = renamed(labels, small.drop("again").groupBy("g").applyInPandas(link, "label long, merged long"))
         if not many:
             return labels
         active = cut(active.join(large, "g", "left_semi"))
-        near = cut(_nearest_clusters(active, threshold, block))
+        found = _nearest_clusters(active, threshold, block)
+        near = cut(found if near is None else near.unionByName(found))
         back = near.select(F.col("label").alias("to"), F.col("to").alias("label"))
         names = cut(near.join(back, ["label", "to"]).where("to < label").select("label", F.col("to").alias("merged")))
         labels = renamed(labels, names)
-        moved = active.join(near.select("label"), "label", "left_semi").join(names, "label", "left")
+        # what neither merged nor had its nearest merge keeps it: merged clusters come no nearer
+        gone = cut(names.select("label").unionByName(names.select(F.col("merged").alias("label"))))
+        asked = near.join(gone, near["to"] == gone["label"], "left_semi").select("label").unionByName(gone).distinct().withColumn("again", F.lit(True))
+        moved = active.drop("again").join(near.select("label"), "label", "left_semi").join(names, "label", "left")
         moved = moved.select("g", F.coalesce("merged", "label").alias("label"), "s", "n", F.col("merged").isNotNull().alias("away"))
         stay, away = cut(moved.where("not away").drop("away")), cut(moved.where("away").select("label", F.col("s").alias("t"), F.col("n").alias("m")))
-        both = stay.join(away, "label", "left")
-        active = cut(both.select("g", "label", F.when(F.col("m").isNull(), F.col("s")).otherwise(F.zip_with("s", "t", lambda x, y: x + y)).alias("s"), (F.col("n") + F.coalesce("m", F.lit(0))).alias("n")))
+        both = stay.join(away, "label", "left").join(cut(asked), "label", "left")
+        sums = F.when(F.col("m").isNull(), F.col("s")).otherwise(F.zip_with("s", "t", lambda x, y: x + y))
+        active = cut(both.select("g", "label", sums.alias("s"), (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"), F.coalesce("again", F.lit(False)).alias("again")))
+        near = near.join(active.where("not again").select("label"), "label", "left_semi")
 
 
 def split_oversize(labels: DataFrame, cap: int = 50) -> DataFrame:

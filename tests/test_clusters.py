@@ -36,7 +36,10 @@ def merge(n, edges, threshold, ratio, cap):
 def test_constrained_clusters_match_sequential_merging(spark, seed, cap):
     n, edges = graph(seed)
     items = spark.createDataFrame([(x,) for x in range(n)], "item_id long")
-    got = constrained_clusters(items, spark.createDataFrame(edges, "i long, j long, dist double"), 0.5, 0.7, cap)
+    e = spark.createDataFrame(edges, "i long, j long, dist double")
+    got = constrained_clusters(items, e, 0.5, 0.7, cap)
+    assert {r.item_id: r.label for r in got.collect()} == merge(n, edges, 0.5, 0.7, cap)
+    got = constrained_clusters(items, e, 0.5, 0.7, cap, most=len(edges) - 1)  # by components
     assert {r.item_id: r.label for r in got.collect()} == merge(n, edges, 0.5, 0.7, cap)
 
 
@@ -97,6 +100,46 @@ def test_weak_components_over_the_limit_match_sequential_merging(spark, cap):
     assert {r.item_id: r.label for r in got.collect()} == merge(n, edges, 0.5, 0.3, cap)
 
 
+@pytest.mark.parametrize("cap", [3, 50])
+def test_a_hub_of_weak_edges_is_decided_in_few_rounds(spark, monkeypatch, cap):
+    from kindred.operators import clusters
+
+    rng = random.Random(9)
+    edges = [(0, i, round(rng.uniform(0.4, 0.5), 3)) for i in range(1, 1500)] + [(2 * i + 1, 2 * i + 2, 0.45) for i in range(300)]
+    rounds, real = [], clusters.renamed
+    monkeypatch.setattr(clusters, "renamed", lambda *a: rounds.append(1) or real(*a))
+    monkeypatch.setattr(clusters, "PLACES", 40)
+    items = spark.createDataFrame([(x,) for x in range(1500)], "item_id long")
+    got = constrained_clusters(items, spark.createDataFrame(edges, "i long, j long, dist double"), 0.5, 0.3, cap, most=200)
+    root, size = list(range(1500)), [1] * 1500
+    for i, j, _ in sorted(edges, key=lambda e: (e[2], e[0], e[1])):
+        while root[i] != i:
+            i = root[i]
+        while root[j] != j:
+            j = root[j]
+        i, j = sorted((i, j))
+        if i != j and size[i] + size[j] <= cap:
+            root[j], size[i] = i, size[i] + size[j]
+    for x in range(1500):
+        root[x] = root[root[x]]
+    assert {r.item_id: root[r.label] for r in got.collect()} == {x: root[root[x]] for x in range(1500)} and len(rounds) < 25
+
+
+def test_clusters_whose_nearest_stays_are_not_compared_again(spark, monkeypatch):
+    from kindred.operators import clusters
+
+    # a line of points with growing gaps: few merge in a round
+    turn = np.cumsum(np.concatenate([[0.0], 0.02 + 0.0006 * np.arange(59)]))
+    x = np.stack([np.cos(turn), np.sin(turn)], axis=1)
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item_id long, embedding array<double>")
+    asked, real = [], clusters._nearest_clusters
+    monkeypatch.setattr(clusters, "_nearest_clusters", lambda a, *r: asked.append((a.where("again").count(), a.count())) or real(a, *r))
+    near = pairs_within(items, 0.01)
+    got = {r.item_id: r.label for r in average_linkage(items, near, 0.01, most=45, block=16).collect()}
+    assert got == {r.item_id: r.label for r in average_linkage(items, near, 0.01).collect()}
+    assert asked[0] == (60, 60) and len(asked) > 2 and all(a < n / 3 for a, n in asked[1:])
+
+
 def test_average_linkage_of_more_like_items_than_one_matrix_takes(spark):
     rng = np.random.default_rng(6)
     x = np.ones((300, 4)) + rng.normal(size=(300, 4)) * 0.01
