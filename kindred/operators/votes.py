@@ -5,13 +5,14 @@ Features are a table (item_id, keypoints array<struct<angle, size>>, descriptors
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kindred.operators.components import components
+from kindred.operators.lineage import cut
+
 #: Fixed values of the check: ratio of the nearest to the second distance, fewest good matches, fewest votes.
 RATIO, MIN_MATCHES, MIN_VOTES = 0.75, 10, 50
 #: Histograms: angle differences over [0, 360), log2 of size ratios over [-3, 3).
@@ -19,42 +20,102 @@ ANGLE_BINS, SCALE_BINS = 24, 20
 ANGLE_WIDTH, SCALE_LOW, SCALE_WIDTH = 360 / ANGLE_BINS, -3.0, 6 / SCALE_BINS
 #: Distances that a task holds at once.
 TILE = 1 << 20
-
-
-def _rows(descriptors: pa.ListScalar) -> np.ndarray:
-    inner = descriptors.values
-    flat = inner.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(inner), -1)
+#: Bytes of features that meet in one group, on average.
+GROUP_BYTES = 64 << 20
+MATCHES = "i long, j long, query_at int, candidate_at int, dist double, angle_q double, size_q double, angle_c double, size_c double"
+
+
+def nearest_matches(a: np.ndarray, b: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of `a`, and of `b` the nearest to each, and their distance, where it is under `ratio` times the second."""
+    if a.shape[1] != b.shape[1]:
+        raise ValueError("descriptors of two items have different lengths")
+    found = []
+    step = max(1, TILE // b.size)
+    for k in range(0, len(a), step):
+        d = np.sqrt(((a[k : k + step, None] - b[None]) ** 2).sum(2))
+        at, rows = d.argmin(axis=1), np.arange(len(d))
+        near = d[rows, at]
+        d[rows, at] = np.inf
+        good = np.flatnonzero(near < ratio * d.min(axis=1))
+        found.append((good + k, at[good], near[good]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def blocked(features: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`pairs` (i, j) with the block (label, x, y) in which each meets, and the items of each block: (label, x, y, item_id).
+
+    Items of one cluster (of `label`, if pairs have one, else of what the pairs connect) meet in one block, so an item travels
+    once and not with every pair; small clusters share a block. A cluster of more than GROUP_BYTES is parted, and its
+    parts meet pairwise where they have pairs.
+    """
+    p = pairs.select("i", "j", *(["label"] if "label" in pairs.columns else [])).where("i is not null and j is not null").distinct()
+    if "label" not in pairs.columns:
+        p = cut(p)
+        labels = components(p).toDF("i", "label")
+        p = p.join(labels, "i", "left").withColumn("label", F.coalesce("label", "i"))
+    p = cut(p)
+    weight = features.select("item_id", (F.size("descriptors") * (F.size(F.col("descriptors")[0]) + 2) * 8).cast("long").alias("bytes"))
+    members = p.select("label", F.explode(F.array("i", "j")).alias("item_id")).distinct()
+    sums = cut(members.join(weight, "item_id").groupBy("label").agg(F.sum("bytes").alias("bytes")))
+    whole = sums.agg(F.sum(F.least("bytes", F.lit(GROUP_BYTES)))).first()[0] or 0
+    shared = max(1, -(-whole // GROUP_BYTES))
+    parts = sums.select("label", F.greatest(F.lit(1), F.ceil(F.col("bytes") / GROUP_BYTES)).cast("int").alias("parts"))
+    part = {c: F.pmod(F.xxhash64(c), F.col("parts")).cast("int") for c in ("i", "j")}
+    # clusters of one part are numbered below 0, several to a block
+    block = F.when(F.col("parts") == 1, -1 - F.pmod(F.xxhash64("label"), F.lit(shared))).otherwise(F.col("label"))
+    met = p.join(parts, "label").select(block.alias("label"), F.least(part["i"], part["j"]).alias("x"), F.greatest(part["i"], part["j"]).alias("y"), "i", "j")
+    met = cut(met)
+    return met, met.select("label", "x", "y", F.explode(F.array("i", "j")).alias("item_id")).distinct()
+
+
+def matches_with_keypoints(features: DataFrame, pairs: DataFrame, ratio: float = RATIO, keypoints: bool = True) -> DataFrame:
+    """`ratio_matches` with angle_q, size_q (of i) and angle_c, size_c (of j); with `keypoints`, matches without a keypoint on both sides are left out."""
+    points = F.col("keypoints") if "keypoints" in features.columns else F.lit(None).cast("array<struct<angle:double,size:double>>")
+    some = features.where(F.size("descriptors") >= 2).select("item_id", "descriptors", F.transform(points, lambda k: k["angle"].cast("double")).alias("angles"), F.transform(points, lambda k: k["size"].cast("double")).alias("sizes"))
+    some = some.dropDuplicates(["item_id"])
+    met, members = blocked(some, pairs)
+    held = members.toDF("of", "u", "w", "item_id").join(some, "item_id")
+
+    def match(p: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        at = {x: k for k, x in enumerate(m.item_id)}
+        rows: dict[int, np.ndarray] = {}
+
+        def of(x: int) -> np.ndarray:
+            if x not in rows:
+                rows[x] = np.stack(list(m.descriptors.iloc[at[x]])).astype(np.float64)
+            return rows[x]
+
+        def point(x: int, c: str, k: np.ndarray) -> np.ndarray:
+            v = m[c].iloc[at[x]]
+            v = np.array([] if v is None else [np.nan if y is None else y for y in v], np.float64)
+            return np.concatenate([v, np.full(max(0, int(k.max(initial=0)) + 1 - len(v)), np.nan)])[k]
+
+        def known(x: int, k: np.ndarray) -> np.ndarray:
+            v = m.angles.iloc[at[x]]
+            return k < (0 if v is None else len(v))
+
+        out = [pd.DataFrame({c.split()[0]: [] for c in MATCHES.split(", ")})]
+        for i, j in p.drop_duplicates(["i", "j"])[["i", "j"]].itertuples(index=False):
+            if i in at and j in at:
+                a, b, d = nearest_matches(of(i), of(j), ratio)
+                both = known(i, a) & known(j, b) if keypoints else np.ones(len(a), bool)
+                a, b, d = a[both], b[both], d[both]
+                out.append(pd.DataFrame({"i": i, "j": j, "query_at": a, "candidate_at": b, "dist": d, "angle_q": point(i, "angles", a), "size_q": point(i, "sizes", a), "angle_c": point(j, "angles", b), "size_c": point(j, "sizes", b)}))
+        return pd.concat(out).astype({"i": "int64", "j": "int64", "query_at": "int32", "candidate_at": "int32"} | {c: "float64" for c in ("dist", "angle_q", "size_q", "angle_c", "size_c")})
+
+    found = met.groupBy("label", "x", "y").cogroup(held.groupBy("of", "u", "w")).applyInPandas(match, MATCHES)
+    # a missing number came as NaN
+    return found.select("i", "j", "query_at", "candidate_at", "dist", *(F.nanvl(c, F.lit(None)).alias(c) for c in ("angle_q", "size_q", "angle_c", "size_c")))
 
 
 def ratio_matches(features: DataFrame, pairs: DataFrame, ratio: float = RATIO) -> DataFrame:
     """(i, j, query_at, candidate_at, dist): for each descriptor of i, the nearest of j, if nearer than `ratio` times the second nearest.
 
     Brute force by Euclidean distance, ties to the first. Items with fewer than two descriptors, or none, match nothing.
-    Direction is from i to j.
+    Direction is from i to j. Pairs (i, j), perhaps with the `label` of their cluster, count once. Descriptors travel once for
+    each block of a cluster, see `blocked`.
     """
-    some = features.select("item_id", "descriptors").where(F.size("descriptors") >= 2)
-    both = pairs.select("i", "j").join(some.toDF("i", "x"), "i").join(some.toDF("j", "y"), "j")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, x, y in zip(*batch.columns, strict=True):
-                a, b = _rows(x), _rows(y)
-                if a.shape[1] != b.shape[1]:
-                    raise ValueError("descriptors of two items have different lengths")
-                for k in range(0, len(a), max(1, TILE // b.size)):
-                    d = np.sqrt(((a[k : k + max(1, TILE // b.size), None] - b[None]) ** 2).sum(2))
-                    at = d.argmin(axis=1)
-                    rows = np.arange(len(d))
-                    near = d[rows, at]
-                    d[rows, at] = np.inf
-                    good = np.flatnonzero(near < ratio * d.min(axis=1))
-                    n = len(good)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([i.as_py()] * n, pa.int64()), pa.array([j.as_py()] * n, pa.int64()), pa.array(good + k, pa.int32()), pa.array(at[good], pa.int32()), pa.array(near[good])], names=["i", "j", "query_at", "candidate_at", "dist"]
-                    )
-
-    return both.select("i", "j", "x", "y").mapInArrow(run, "i long, j long, query_at int, candidate_at int, dist double")
+    return matches_with_keypoints(features, pairs, ratio, False).select("i", "j", "query_at", "candidate_at", "dist")
 
 
 def with_keypoints(matches: DataFrame, features: DataFrame) -> DataFrame:
@@ -103,7 +164,7 @@ def geometric_vote(points: DataFrame, threshold: float = 0.3, *, min_matches: in
 
 def verify_pairs(features: DataFrame, pairs: DataFrame, threshold: float = 0.3, **limits) -> DataFrame:
     """(i, j, accepted, angle, scale, angle_votes, scale_votes) of every pair (i, j); without enough matches it is not accepted, with zeros."""
-    vote = geometric_vote(with_keypoints(ratio_matches(features, pairs), features), threshold, **limits)
+    vote = geometric_vote(matches_with_keypoints(features, pairs), threshold, **limits)
     out = pairs.select("i", "j").distinct().join(vote, ["i", "j"], "left")
     zero = {"accepted": F.lit(False), "angle": F.lit(0.0), "scale": F.lit(0.0), "angle_votes": F.lit(0), "scale_votes": F.lit(0)}
     return out.select("i", "j", *(F.coalesce(c, v).alias(c) for c, v in zero.items()))

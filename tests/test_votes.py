@@ -61,3 +61,32 @@ def test_an_exact_ratio_is_no_match(spark):
     pairs = spark.createDataFrame([(1, 2)], "i long, j long")
     assert votes.ratio_matches(features, pairs).count() == 0
     assert votes.ratio_matches(features, pairs, 0.76).count() == 1
+
+
+@pytest.mark.parametrize("labelled", [True, False])
+@pytest.mark.parametrize("most", [1 << 30, 3000])
+def test_blocks_hold_each_item_once_and_match_like_pairs(spark, monkeypatch, labelled, most):
+    monkeypatch.setattr(votes, "GROUP_BYTES", most)
+    rng = np.random.default_rng(8)
+    rows = [(i, [(float(k), 1.0 + k) for k in range(10 if i % 9 else 4)], rng.normal(size=(10, 3)).tolist()) for i in range(60)] + [(60, None, None), (61, [], [[1.0, 2.0, 3.0]])]
+    features = spark.createDataFrame(rows, "item_id long, keypoints array<struct<angle:float,size:float>>, descriptors array<array<float>>")
+    pairs = [(a, b, a // 20 * 20) for a in range(60) for b in range(a + 1, 60) if a // 20 == b // 20] + [(60, 1, 0), (61, 1, 0), (1, 70, 0)]
+    df = spark.createDataFrame(pairs, "i long, j long, label long")
+    df = df if labelled else df.drop("label")
+    want = set()
+    for a, b, _ in pairs[:-3]:
+        x, y = (np.array(rows[k][2], np.float32).astype(float) for k in (a, b))
+        d = np.sqrt(((x[:, None] - y) ** 2).sum(2))
+        two = np.sort(d, axis=1)
+        want |= {(a, b, k, int(d[k].argmin())) for k in range(10) if two[k, 0] < 0.75 * two[k, 1]}
+    assert {(r.i, r.j, r.query_at, r.candidate_at) for r in votes.ratio_matches(features, df).collect()} == want
+    full = votes.matches_with_keypoints(features, df)
+    got = {(r.i, r.j, r.query_at, r.candidate_at): r for r in full.collect()}
+    assert set(got) == {m for m in want if m[2] < len(rows[m[0]][1]) and m[3] < len(rows[m[1]][1])}
+    assert all((r.angle_q, r.size_c) == (k[2], 1.0 + k[3]) for k, r in got.items())
+    joined = votes.with_keypoints(votes.ratio_matches(features, df), features)
+    assert {(r.i, r.j, r.query_at, r.candidate_at, r.angle_c) for r in joined.collect()} == {(*k, r.angle_c) for k, r in got.items()}
+    met, members = votes.blocked(features, df)
+    n = members.groupBy("item_id").count().agg({"count": "max"}).first()[0]
+    assert n == 1 if most > 3000 else n <= 3  # an item of a parted cluster meets the other parts
+    assert met.count() == len(pairs) - (0 if most else 3)
