@@ -25,6 +25,8 @@ CODEBOOK_BYTES = 64 << 20
 #: Defaults of the search over large sets: parts, centroids of a part, neighbours of an item.
 PARTS, SIZE, NEIGHBOURS = 96, 256, 5
 CODES = 8192
+#: Share of the parts of rows that need distances, from which bounds are taken anew; and what bounds give way for rounding.
+REBASE, SLACK = 0.2, 1e-6
 #: What adding up one part of a table distance costs, in products of two vectors.
 PART_COST = 0.5
 ROWS = 2048
@@ -90,43 +92,135 @@ def _from_rows(items: DataFrame, some: DataFrame, parts: int, size: int, dim: in
     return as_table(items, np.ascontiguousarray(x.reshape(size, parts, width).transpose(1, 0, 2)))
 
 
-def train(items: DataFrame, parts: int = PARTS, size: int = SIZE, dim: int = 768, *, iterations: int = 50, tolerance: float = 1e-4, seed: int = 42, start: DataFrame | None = None) -> DataFrame:
+class Bounds:
+    """What proves that rows kept their codes: a codebook, how far its centroids moved since the bounds were taken, and which parts move still."""
+
+    def __init__(self, book: np.ndarray, moved: np.ndarray, active: np.ndarray):
+        self.book, self.moved, self.active = book, moved, active
+        self.lengths = (book**2).sum(2)
+        self.half = np.stack([_half_gaps(c) for c in book])
+
+    def codes(self, x: np.ndarray, code: np.ndarray, upper: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of the rows of `x` by this codebook, with new bounds, and which parts of which rows needed distances.
+
+        `upper` bounds the distance to the code's centroid, `lower` that to any other. Both give way by SLACK, so rows near a
+        tie are always tested, by the same products as `codes_of`.
+        """
+        width = self.book.shape[2]
+        code, tested = code.copy(), np.zeros(code.shape, bool)
+        upper, lower = upper + self.moved[np.arange(len(self.book)), code], lower - self.moved.max(axis=1)
+        for m in np.flatnonzero(self.active):
+            r = np.flatnonzero(upper[:, m] >= np.maximum(lower[:, m], self.half[m, code[:, m]]))
+            if not len(r):
+                continue
+            s, c = x[r, m * width : (m + 1) * width], self.book[m]
+            scores = self.lengths[m] - 2 * s @ c.T
+            best = scores.argmin(axis=1)
+            d = np.sqrt(np.maximum(scores + (s * s).sum(1)[:, None], 0))
+            rows = np.arange(len(r))
+            near = d[rows, best]
+            d[rows, best] = np.inf
+            give = SLACK * (near + np.sqrt(self.lengths[m].max()))
+            code[r, m], upper[r, m], lower[r, m], tested[r, m] = best, near + give, d.min(axis=1) - give, True
+        return code, upper, lower, tested
+
+
+def _half_gaps(c: np.ndarray) -> np.ndarray:
+    """Half the distance of each centroid to its nearest other one, at least."""
+    d = (c * c).sum(1)[:, None] + (c * c).sum(1) - 2 * c @ c.T
+    np.fill_diagonal(d, np.inf)
+    return np.sqrt(np.maximum(d.min(axis=1), 0)) / 2 * (1 - SLACK) - SLACK * np.sqrt((c * c).sum(1).max())
+
+
+def _sums(codes: list[tuple[np.ndarray, np.ndarray, int]], parts: int, size: int, width: int, n: np.ndarray, total: np.ndarray) -> None:
+    """Adds rows (x, codes, sign) to the counts and sums of their centroids."""
+    for x, code, sign in codes:
+        for m in range(parts):
+            np.add.at(total[m], code[:, m], sign * x[:, m * width : (m + 1) * width])
+            n[m] += sign * np.bincount(code[:, m], minlength=size)
+
+
+def train(
+    items: DataFrame, parts: int = PARTS, size: int = SIZE, dim: int = 768, *, iterations: int = 50, tolerance: float = 1e-4, seed: int = 42, start: DataFrame | None = None, report: list[float] | None = None
+) -> DataFrame:
     """A codebook by k-means in every part at once, from `start` or `size` drawn items.
 
-    Each round sums the vectors nearest to each centroid inside tasks, adds the sums up by aggregation and sends the new
-    centroids out. A centroid without vectors stays. A part is done when no centroid moves further than `tolerance`.
-    Fewer items than `size` raise.
+    A table holds each row's codes and bounds. A round reads it, calculates distances only where centroids have moved so far
+    since that the bounds fail, and sums up only what changed its code; sums are made inside tasks and added up by aggregation.
+    When over REBASE of the parts of rows need distances, the table is written anew. A centroid without vectors stays. A part is
+    done when no centroid moves further than `tolerance`. Fewer items than `size` raise. `report` takes the share of parts
+    of rows that each round calculated distances for.
     """
     width = part_width(dim, parts)
     book = as_array(start if start is not None else random_codebook(items, parts, size, dim, seed))
     if book.shape != (parts, size, width):
         raise ValueError("the start codebook has another shape")
-    v = cut(items.select("embedding").where("embedding is not null"))
-    active = np.ones(parts, bool)
+    v = items.select("embedding").where("embedding is not null")
+    active, moved, sc = np.ones(parts, bool), np.zeros((parts, size)), items.sparkSession.sparkContext
+    state, base, due, rows = None, None, True, 0
+    lists = "embedding array<double>, code array<int>, upper array<double>, lower array<double>, tested int"
+
+    def read(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        x = matrix(b.column(0), dim)
+        if b.num_columns == 1:
+            return x, np.zeros((len(x), parts), np.int64), np.full((len(x), parts), np.inf), np.full((len(x), parts), -np.inf)
+        return x, matrix(b.column(1), parts).astype(np.int64), matrix(b.column(2), parts), matrix(b.column(3), parts)
+
+    def rebased(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                x, *was = read(batch.slice(at, ROWS))
+                code, upper, lower, tested = sent.value.codes(x, *was)
+                arrays = [pa.array(list(x), pa.list_(pa.float64())), pa.array(list(code.astype(np.int32)), pa.list_(pa.int32())), *(pa.array(list(y), pa.list_(pa.float64())) for y in (upper, lower)), pa.array(tested.sum(axis=1), pa.int32())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["embedding", "code", "upper", "lower", "tested"])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, on = sent.value
-        count, total = np.zeros((parts, size), np.int64), np.zeros((parts, size, width))
+        bounds, whole = sent.value
+        n, total, count = np.zeros((parts, size), np.int64), np.zeros((parts, size, width)), 0
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
-                x = matrix(batch.column(0).slice(at, ROWS), dim)
-                code = codes_of(x, c)
-                for m in np.flatnonzero(on):
-                    np.add.at(total[m], code[:, m], x[:, m * width : (m + 1) * width])
-                    count[m] += np.bincount(code[:, m], minlength=size)
-        m, k = np.nonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(m, pa.int32()), pa.array(k, pa.int32()), pa.array(count[m, k]), pa.array(list(total[m, k]), pa.list_(pa.float64()))], names=["m", "k", "n", "s"])
+                x, code, *was = read(batch.slice(at, ROWS))
+                if whole:  # the table's own codes
+                    count += int(batch.column(4).slice(at, ROWS).to_numpy().sum())
+                    _sums([(x, code, 1)], parts, size, width, n, total)
+                    continue
+                new, _, _, tested = bounds.codes(x, code, *was)
+                count += int(tested.sum())
+                r = np.flatnonzero((new != code).any(axis=1))
+                _sums([(x[r], code[r], -1), (x[r], new[r], 1)], parts, size, width, n, total)
+        m, k = np.nonzero((n != 0) | (total != 0).any(axis=2))
+        # what was tested comes as a part of its own
+        arrays = [pa.array([*m, parts], pa.int32()), pa.array([*k, 0], pa.int32()), pa.array([*n[m, k], count], pa.int64()), pa.array([*total[m, k], np.zeros(width)], pa.list_(pa.float64()))]
+        yield pa.RecordBatch.from_arrays(arrays, names=["m", "k", "n", "s"])
+
+    def added(whole: bool) -> tuple[np.ndarray, np.ndarray, int]:
+        sums = state.mapInArrow(partial, "m int, k int, n long, s array<double>").groupBy("m", "k")
+        n, total, count = np.zeros((parts, size), np.int64), np.zeros((parts, size, width)), 0
+        for r in sums.agg(F.sum("n").alias("n"), F.array(*(F.sum(F.col("s")[w]) for w in range(width))).alias("s")).collect():  # a row a centroid
+            if r.m == parts:
+                count = r.n
+            else:
+                n[r.m, r.k], total[r.m, r.k] = r.n, r.s
+        return n, total, count
 
     for _ in range(iterations):
-        sent = v.sparkSession.sparkContext.broadcast((book, active))
-        sums = v.mapInArrow(partial, "m int, k int, n long, s array<double>").groupBy("m", "k")
-        moved = sums.agg(F.array(*(F.sum(F.col("s")[w]) / F.sum("n") for w in range(width))).alias("c")).collect()
-        new = book.copy()
-        for r in moved:
-            if active[r.m]:
-                new[r.m, r.k] = r.c
-        shift = ((new - book) ** 2).sum(2).max(1)
-        book, active = new, active & (shift > tolerance**2)
+        if due:
+            sent = sc.broadcast(Bounds(book, moved, active))
+            state, moved = cut((v if state is None else state).mapInArrow(rebased, lists)), np.zeros((parts, size))
+            sent = sc.broadcast((None, True))
+            n, total, count = added(True)
+            base, rows, due = (n, total), int(n[0].sum()), False
+        else:
+            sent = sc.broadcast((Bounds(book, moved, active), False))
+            n, total, count = added(False)
+            n, total = base[0] + n, base[1] + total
+            due = count > REBASE * rows * parts
+        if report is not None:
+            report.append(count / max(1, rows * parts))
+        new = np.where((n > 0)[:, :, None] & active[:, None, None], total / np.maximum(n, 1)[:, :, None], book)
+        step = np.sqrt(((new - book) ** 2).sum(2))
+        moved = moved + step * (1 + SLACK)
+        book, active = new, active & (step.max(axis=1) > tolerance)
         if not active.any():
             break
     return as_table(items, book)

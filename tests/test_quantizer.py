@@ -81,3 +81,32 @@ def test_shapes_are_checked(spark, vectors):
         quantizer.train(items, 3, 4, 8)
     with pytest.raises(ValueError, match="fewer items"):
         quantizer.train(items.limit(3), 4, 5, 8)
+
+
+def plain_training(x, book, iterations, tolerance=1e-4):
+    parts, size, width = book.shape
+    book, active = book.copy(), np.ones(parts, bool)
+    for _ in range(iterations):
+        code, new = quantizer.codes_of(x, book), book.copy()
+        for m in np.flatnonzero(active):
+            for k in range(size):
+                if (code[:, m] == k).any():
+                    new[m, k] = x[code[:, m] == k, m * width : (m + 1) * width].mean(axis=0)
+        active &= np.sqrt(((new - book) ** 2).sum(2)).max(axis=1) > tolerance
+        book = new
+        if not active.any():
+            break
+    return book
+
+
+@pytest.mark.parametrize("iterations", [1, 2, 14])
+def test_training_by_bounds_equals_training_by_all_distances(spark, iterations):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(20, 12))[rng.integers(0, 20, 1500)] + 0.15 * rng.normal(size=(1500, 12))
+    x[100:130] = x[99]  # copies
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item_id long, embedding array<double>")
+    start, report = quantizer.first_rows_codebook(items, 3, 8, 12), []
+    got = quantizer.as_array(quantizer.train(items, 3, 8, 12, iterations=iterations, tolerance=-1.0, start=start, report=report))
+    assert np.abs(got - plain_training(x, quantizer.as_array(start), iterations, -1.0)).max() < 1e-9
+    if iterations == 14:
+        assert report[0] == 1.0 and len(report) == 14 and max(report[9:]) < 0.3
