@@ -21,6 +21,8 @@ from kindred.llm.common import bucketed, cut
 from kindred.llm.embedding_dedup import matrix, reference_points, unit, usable
 
 NEIGHBOURS, REVERSE = 24, 24
+#: Groups of other nodes that a node joins in a round, of all whose lists it is in; others find it in later rounds.
+HUB = 256
 #: Rounds of the graph go on while more than this share of all list entries changes in one.
 SETTLED = 0.3
 #: Of a start group, so many meet; larger groups are split.
@@ -115,8 +117,8 @@ def best(lists: DataFrame, most: int) -> DataFrame:
     return joined.mapInArrow(run, LIST)
 
 
-def neighbour_graph(nodes: DataFrame, q: DataFrame, neighbours: int = NEIGHBOURS, settled: float = SETTLED) -> DataFrame:
-    """LIST rows of every node (id, v) that has any neighbour."""
+def neighbour_graph(nodes: DataFrame, q: DataFrame, neighbours: int = NEIGHBOURS, settled: float = SETTLED, hub: int = HUB) -> DataFrame:
+    """LIST rows of every node (id, v) that has any neighbour. In a round a node meets others in `hub` groups of those that have it in their lists, at most."""
     kind = width(nodes.schema["v"].dataType)
     points = reference_points(nodes.withColumnRenamed("id", "cls"))
     shared = nodes.sparkSession.sparkContext.broadcast(points)  # bounded by reference_points
@@ -134,10 +136,10 @@ def neighbour_graph(nodes: DataFrame, q: DataFrame, neighbours: int = NEIGHBOURS
     r, changed = 0, 1.0
     while changed > settled:
         forward = graph.select(F.col("id").alias("g"), F.explode("near").alias("id"))
-        back = forward.select(F.col("id").alias("g"), F.col("g").alias("id"))
-        # reverse neighbours are sampled, as NN-descent has it: a hub would otherwise gather all that point at it
-        back = back.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("id", F.lit(r)), "id"))).where(F.col("n") <= neighbours).drop("n")
-        pairs = forward.unionByName(back).unionByName(graph.select(F.col("id").alias("g"), "id")).distinct()
+        # those that point at a node are sampled, as NN-descent has it: a hub would otherwise gather all of them, and meet in all their groups
+        drawn = cut(forward.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("g", F.lit(r)), "g"))).where(F.col("n") <= max(hub, neighbours)))
+        back = drawn.where(F.col("n") <= neighbours).select(F.col("id").alias("g"), F.col("g").alias("id"))
+        pairs = drawn.where(F.col("n") <= hub).select("g", "id").unionByName(back).unionByName(graph.select(F.col("id").alias("g"), "id")).distinct()
         groups = pairs.join(q, "id").groupBy("g").agg(F.collect_list(F.struct("id", "q")).alias("members"))
         old = graph.select("id", F.col("near").alias("old"))
         graph = cut(best(graph.unionByName(meet(groups, 8, kind)), neighbours))
