@@ -50,12 +50,12 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     """(id, source, size, source_size, target, taken, repetitions, the columns of `keep`) of every row.
 
     size: words of the text (null: 0). taken = size * repetitions, repetitions a whole number of 0 .. epochs. A source's
-    taken words miss its target by at most half of one document. The order of the draw is md5(seed:id:size), ties by id and
-    size, so reruns agree; rows equal in both are interchangeable. A null source is a source of its own; null ids are drawn
+    taken words miss its target by at most half of one document. The order of the draw is md5(seed:id:size), ties by id,
+    size and a hash of the text, so reruns agree; rows equal in all of these are interchangeable. A null source is a source of its own; null ids are drawn
     like others. Empty tables give empty results.
     """
     sized = cut(
-        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.struct(F.lit(0).alias("none"), *keep).alias("kept")).withColumn(
+        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("tie"), F.struct(F.lit(0).alias("none"), *keep).alias("kept")).withColumn(
             "draw", F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("size").cast("string")))
         )
     )
@@ -75,7 +75,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     plan_side = small_side(plan.withColumnRenamed("source", "__s"))
     rows = sized.join(plan_side, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     inner = rows.where(digits == F.col("edge"))
-    upto = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("draw", F.col("id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    upto = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("draw", F.col("id").asc_nulls_first(), "size", "tie").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # a document is drawn if the rest of the target reaches beyond its middle
     inner = inner.withColumn("extra", (F.col("before") + upto + F.col("size") / 2 < F.col("rest")).cast("long"))
     outer = rows.where(F.col("edge").isNull() | (digits != F.col("edge"))).withColumn("extra", F.coalesce(digits < F.col("edge"), F.lit(False)).cast("long"))
