@@ -116,3 +116,25 @@ def test_hot_joins_keep_all_rows_however_many_keys_are_hot(spark, monkeypatch):
         outer = common.left_join_hot(left, right.drop("n"), "k").select("k", "x", "top")
         assert sorted(map(str, outer.collect())) == sorted(map(str, left.join(right.drop("n"), "k", "left").select("k", "x", "top").collect()))
         assert left.groupBy("k").count().where(f"count >= {common.hot_bar(202)}").count() <= keys
+
+
+def test_equal_ids_and_sizes_are_drawn_by_their_texts(spark):
+    from kindred.llm import mixing
+
+    rows = [(None, " ".join(words(i, 10)), "big") for i in range(60)] + [(1, "a b", "small")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    a, b = (sorted((r.text, r.repetitions) for r in mixing.mix(x, keep=("text",)).collect()) for x in (df, df.orderBy("text", ascending=False).repartition(5)))
+    assert a == b and len({n for _, n in a}) > 1
+
+
+def test_a_hub_joins_few_groups_and_is_found_all_the_same(spark):
+    from kindred.llm import ann
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([np.zeros((1, 8)) + 0.01, unit(rng.normal(size=(400, 8)))])  # all others lie around the first
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    graph = ann.neighbour_graph(df, ann.packed(df), neighbours=6, settled=0.05, hub=10).collect()
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(d, axis=1, kind="stable")[:, :6]
+    assert len(graph) == 401 and np.mean([len(set(r.near) & set(near[r.id].tolist())) / 6 for r in graph]) > 0.9
