@@ -21,9 +21,8 @@ def save_result(groups: DataFrame, path: str, folder: str, saved_at: str) -> Non
 def load_result(spark: SparkSession, path: str) -> DataFrame | None:
     """(directory, saved_at, group_id, pairs) of a saved result; None if nothing is there or a line is malformed."""
     try:
-        found = spark.read.schema(SCHEMA).option("columnNameOfCorruptRecord", "_corrupt").json(path).cache()
-        if found.where("_corrupt is not null or Group is null").limit(1).count():
-            found.unpersist()
+        found = spark.read.schema(SCHEMA).option("columnNameOfCorruptRecord", "_corrupt").json(path)
+        if not found.where("_corrupt is not null or Group is null").isEmpty():
             return None
     except AnalysisException:  # nothing there
         return None
