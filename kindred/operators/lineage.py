@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -72,11 +74,21 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
     return spark.table(name)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes all that was written to the shared folder so far. Results are lazy: call it when none is read any more."""
+def release(spark: SparkSession, made: int = 0, tables: int = 0) -> None:
+    """Deletes what was written to the shared folder so far (after the first `made` paths and `tables` tables). Results are lazy: call it when none is read any more."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _tables:
+    while len(_tables) > tables:
         spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
-    while _made:
+    while len(_made) > made:
         path = jvm.org.apache.hadoop.fs.Path(_made.pop())
         path.getFileSystem(conf).delete(path, True)
+
+
+@contextmanager
+def releasing(spark: SparkSession) -> Iterator[None]:
+    """What is written inside is deleted at the end, and nothing else; results must be written elsewhere by then."""
+    made, tables = len(_made), len(_tables)
+    try:
+        yield
+    finally:
+        release(spark, made, tables)
