@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.operators.components import components
-from kindred.operators.lineage import cut
+from kindred.operators.lineage import counted, cut
 
 #: Fixed values of the check: ratio of the nearest to the second distance, fewest good matches, fewest votes.
 RATIO, MIN_MATCHES, MIN_VOTES = 0.75, 10, 50
@@ -22,6 +22,8 @@ ANGLE_WIDTH, SCALE_LOW, SCALE_WIDTH = 360 / ANGLE_BINS, -3.0, 6 / SCALE_BINS
 TILE = 1 << 20
 #: Bytes of features that meet in one group, on average.
 GROUP_BYTES = 64 << 20
+#: Pairs of small clusters that share a block, on average.
+GROUP_PAIRS = 2_000
 MATCHES = "i long, j long, query_at int, candidate_at int, dist double, angle_q double, size_q double, angle_c double, size_c double"
 
 
@@ -53,12 +55,12 @@ def blocked(features: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame
         p = cut(p)
         labels = components(p).toDF("i", "label")
         p = p.join(labels, "i", "left").withColumn("label", F.coalesce("label", "i"))
-    p = cut(p)
+    p, n = counted(p)
     weight = features.select("item_id", (F.size("descriptors") * (F.size(F.col("descriptors")[0]) + 2) * 8).cast("long").alias("bytes"))
     members = p.select("label", F.explode(F.array("i", "j")).alias("item_id")).distinct()
     sums = cut(members.join(weight, "item_id").groupBy("label").agg(F.sum("bytes").alias("bytes")))
     whole = sums.agg(F.sum(F.least("bytes", F.lit(GROUP_BYTES)))).first()[0] or 0
-    shared = max(1, -(-whole // GROUP_BYTES))
+    shared = max(1, -(-whole // GROUP_BYTES), -(-n // GROUP_PAIRS))
     parts = sums.select("label", F.greatest(F.lit(1), F.ceil(F.col("bytes") / GROUP_BYTES)).cast("int").alias("parts"))
     part = {c: F.pmod(F.xxhash64(c), F.col("parts")).cast("int") for c in ("i", "j")}
     # clusters of one part are numbered below 0, several to a block
