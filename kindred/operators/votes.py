@@ -56,7 +56,8 @@ def blocked(features: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame
         labels = components(p).toDF("i", "label")
         p = p.join(labels, "i", "left").withColumn("label", F.coalesce("label", "i"))
     p, n = counted(p)
-    weight = features.select("item_id", (F.size("descriptors") * (F.size(F.col("descriptors")[0]) + 2) * 8).cast("long").alias("bytes"))
+    # of the descriptors only their sizes are shuffled here
+    weight = features.select("item_id", (F.size("descriptors") * (F.size(F.col("descriptors")[0]) + 2) * 8).cast("long").alias("bytes")).groupBy("item_id").agg(F.max("bytes").alias("bytes"))
     members = p.select("label", F.explode(F.array("i", "j")).alias("item_id")).distinct()
     sums = cut(members.join(weight, "item_id").groupBy("label").agg(F.sum("bytes").alias("bytes")))
     whole = sums.agg(F.sum(F.least("bytes", F.lit(GROUP_BYTES)))).first()[0] or 0
@@ -74,9 +75,8 @@ def matches_with_keypoints(features: DataFrame, pairs: DataFrame, ratio: float =
     """`ratio_matches` with angle_q, size_q (of i) and angle_c, size_c (of j); with `keypoints`, matches without a keypoint on both sides are left out."""
     points = F.col("keypoints") if "keypoints" in features.columns else F.lit(None).cast("array<struct<angle:double,size:double>>")
     some = features.where(F.size("descriptors") >= 2).select("item_id", "descriptors", F.transform(points, lambda k: k["angle"].cast("double")).alias("angles"), F.transform(points, lambda k: k["size"].cast("double")).alias("sizes"))
-    some = some.dropDuplicates(["item_id"])
     met, members = blocked(some, pairs)
-    held = members.toDF("of", "u", "w", "item_id").join(some, "item_id")
+    held = members.toDF("of", "u", "w", "item_id").join(some.dropDuplicates(["item_id"]), "item_id")
 
     def match(p: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
         at = {x: k for k, x in enumerate(m.item_id)}
