@@ -1,11 +1,13 @@
 import base64
 import hashlib
 import random
+from html.parser import HTMLParser
+from urllib.parse import urlsplit
 
 import numpy as np
 import pytest
 
-from kindred.llm import ann, bpe, common, embedding_dedup, language_id, line_dedup, minhash_dedup, mixing, substring_dedup, token_counts, warc
+from kindred.llm import ann, bpe, common, embedding_dedup, language_id, line_dedup, minhash_dedup, mixing, queries, substring_dedup, token_counts, warc
 
 DOC = "doc_id long, text string, source string, bands string, id string"
 ODD = [(1, None, None, "x", "y"), (2, "", "a", "x", "y"), (3, "word", "a", None, "y"), (3, "word", "a", None, "y"), (None, "null id", "b", "x", None), (4, " \t\n ", "b", "x", "y"), (5, "long " * 30000, "b", "x", "y")]
@@ -199,6 +201,63 @@ def test_web_pages_are_identified_by_markup_and_address(spark):
     assert [tuple(x) for x in r] == [("de", "www.host.de", "Haus"), (None, None, "no tags")]
 
 
+class Markup(HTMLParser):
+    """The visible text, with a blank for each tag, and the language that <html> declares."""
+
+    def __init__(self, html):
+        super().__init__()
+        self.text, self.lang, self.hidden = [], None, False
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        lang = dict(attrs).get("lang") if tag == "html" else None
+        self.lang = self.lang or (lang and lang.lower().split("-")[0])
+        self.hidden = tag in ("script", "style")
+        self.text.append("" if self.hidden else " ")
+
+    def handle_endtag(self, tag):
+        self.hidden = False
+        self.text.append(" ")
+
+    def handle_comment(self, data):
+        self.text.append(" ")
+
+    def handle_data(self, data):
+        self.text.append("" if self.hidden else data)
+
+
+def test_the_query_of_pages_equals_a_brute_force_posterior(spark, tmp_path):
+    words = {"en": "the of and with water house", "fr": "le des avec maison été jour", "de": "der und mit haus wasser über"}
+    rng = random.Random(23)
+    docs = [(i, " ".join(rng.choices(words[k].split(), k=30)), k) for i, k in enumerate(list(words) * 10)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    pages = []
+    for i in range(80):
+        k = rng.choice(list(words))
+        body = " ".join(rng.choices(words[k].split(), k=rng.randint(0, 5)))
+        head = rng.choice([f'<html lang="{k}">', f"<HTML class=a lang={k.upper()}-XX>", "<html>", ""])
+        html = f"{head}<style>p {{ the of }}</style><p>{body}</p><!-- le des --><script>var der = '<b>'</script>"
+        url = rng.choice([f"https://u:p@WWW.a{i % 3}.{k}:80/x?y#z", f"http://a{i % 3}.{k}", f"ftp://b.c.{k}/d.en", "http://localhost/"])
+        pages.append((i, url, html))
+    pages += [(100, None, pages[0][2]), (101, "no address", ""), (102, "http://a1.fr", None), (103, None, None), (None, *pages[3][1:]), pages[4], pages[4]]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    model = language_id.fit(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    asked = []
+    for _, url, html in pages:
+        m = Markup(html) if html is not None else None
+        asked.append(("".join(m.text) if m else None, m.lang if m else None, urlsplit(url).hostname if url else None))
+    want, n = posterior(asked, model)
+    names, rows = [*model.languages, "und"], []
+    for (page, _, _), p, grams in zip(pages, want, n, strict=True):
+        best, sure = (names[int(np.argmax(p))], float(p.max())) if grams else ("und", 0.0)
+        rows.append((page if page is not None else -1, best, best != "und" and sure >= 0.3, sure))
+    got = [(r.page_id if r.page_id is not None else -1, r.language, r.accepted, r.confidence) for r in queries.QUERIES["pages_language"](spark, str(tmp_path)).collect()]
+    assert [r[:3] for r in sorted(got)] == [r[:3] for r in sorted(rows)]
+    assert np.allclose([r[3] for r in sorted(got)], [r[3] for r in sorted(rows)], atol=2e-6)
+    assert {r[1] for r in rows} >= set(words) and not all(r[2] for r in rows)
+
+
 def test_warc_round_trip(spark):
     pages = [(5, "http://a", "same\r\n\r\nWARC/1.1"), (2, None, "same\r\n\r\nWARC/1.1"), (3, "u r\nl", None), (9, "x", ""), (7, "z", "é\n")]
     out = {r.page_id: r for r in warc.roundtrip(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
