@@ -90,3 +90,22 @@ def test_blocks_hold_each_item_once_and_match_like_pairs(spark, monkeypatch, lab
     n = members.groupBy("item_id").count().agg({"count": "max"}).first()[0]
     assert n == 1 if most > 3000 else n <= 3  # an item of a parted cluster meets the other parts
     assert met.count() == len(pairs) - (0 if most else 3)
+
+
+def test_a_cluster_of_many_pairs_is_parted_and_votes_as_its_matches_do(spark, monkeypatch):
+    monkeypatch.setattr(votes, "LEAST_ROWS", 256)
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(12, 4))
+    rows = [(i, [(float(rng.uniform(-400, 400)), float(rng.choice([0.0, 1.0, 1.5, 4.0]))) for _ in range(12 - i % 3)], (base + rng.normal(size=(12, 4)) * 0.2)[: 12 - i % 2 * 5].tolist()) for i in range(40)]
+    rows[7] = (7, [(None, 1.0), (3.0, None)] * 5, rows[7][2])
+    features = spark.createDataFrame(rows, "item_id long, keypoints array<struct<angle:float,size:float>>, descriptors array<array<float>>")
+    pairs = spark.createDataFrame([(a, b) for a in range(40) for b in range(40) if a != b] + [(0, 99), (None, 1)], "i long, j long")
+    met, _ = votes.blocked(features, pairs)
+    blocks = [r["count"] for r in met.groupBy("label", "x", "y").count().collect()]
+    assert len(blocks) > 8 and sum(blocks) == 40 * 39 + 1 and max(blocks) < 400
+    limits = {"threshold": 0.15, "min_matches": 2, "min_votes": 1}
+    for wrap in (False, True):
+        want = votes.geometric_vote(votes.matches_with_keypoints(features, pairs), wrap_angles=wrap, **limits).drop("good").collect()
+        got = {(r.i, r.j): r for r in votes.verify_pairs(features, pairs, wrap_angles=wrap, **limits).collect()}
+        assert len(got) == pairs.count() and not got[0, 99].accepted and not got[None, 1].accepted
+        assert {(r.i, r.j): r for r in want} == {k: got[k] for k in ((r.i, r.j) for r in want)} and 0 < sum(r.accepted for r in want) < len(want)
