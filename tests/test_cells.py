@@ -96,3 +96,26 @@ def test_bounds_hold_for_every_block():
         cos = np.clip(q @ x.T / cells.lengths(q)[:, None] / cells.lengths(x), -1, 1)
         true = np.arccos(cos) if angular else np.sqrt(((q[:, None] - x[None]) ** 2).sum(2))
         assert (gap[:, own] <= true + 1e-9).all() and c.count.sum() == 800 and len(c.cell) > 6
+
+
+def test_blocks_are_compared_in_bounded_memory_and_equal_vectors_tie():
+    import tracemalloc
+
+    import pandas as pd
+
+    rng = np.random.default_rng(31)
+    x = rng.normal(size=(6000, 16)).astype(np.float32)
+    x[5000:] = x[:1000]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    a, b = (pd.DataFrame({"item_id": np.arange(n), "v": list(x[:n])}) for n in (1024, 6000))
+    tracemalloc.start()
+    found, near = pairs._compared(a, b, 0.3, True), pairs._nearest(a, b, 5)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40 << 20
+    d = 1 - x[:1024].astype(float) @ x.astype(float).T
+    i, j = np.nonzero((d < 0.3) & (np.arange(1024)[:, None] < np.arange(6000)))
+    assert set(zip(found.i, found.j)) == set(zip(i.tolist(), j.tolist()))
+    d[np.arange(1024), np.arange(1024)] = np.inf
+    for q, own in near.groupby("query_id"):
+        assert list(own.sort_values(["dist", "item_id"]).item_id) == list(np.lexsort((np.arange(6000), np.round(d[q], 9)))[:5])
