@@ -119,3 +119,12 @@ def test_blocks_are_compared_in_bounded_memory_and_equal_vectors_tie():
     d[np.arange(1024), np.arange(1024)] = np.inf
     for q, own in near.groupby("query_id"):
         assert list(own.sort_values(["dist", "item_id"]).item_id) == list(np.lexsort((np.arange(6000), np.round(d[q], 9)))[:5])
+
+
+def test_of_equal_codes_only_the_smallest_ids_are_searched(spark):
+    x = table("no clusters", n=600, dim=8)
+    df = frame(spark, x)
+    book = quantizer.as_table(df, np.array([[[0.1] * 4], [[0.2] * 4]]))
+    got, work = quantizer.adc_search(df, quantizer.encode(df, book), book, 6)
+    assert work == 600 * 6
+    assert {(r.query_id, r.rank, r.item_id) for r in got.collect()} == {(q, k + 1, k) for q in range(600) for k in range(6)}
