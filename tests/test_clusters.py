@@ -190,3 +190,17 @@ def test_vector_expressions(spark):
     out = t.select(vectors.normalized("a").alias("u"), vectors.cosine_distance(vectors.normalized("a"), vectors.normalized("b")).alias("d"), vectors.squared_distance("a", "b").alias("s"), vectors.part("a", F.lit(1), 1).alias("p")).collect()
     assert [list(r.u) for r in out] == [[0.6, 0.8], [0.0, 0.0]]
     assert [round(r.d, 9) for r in out] == [0.2, 1.0] and [r.s for r in out] == [13.0, 1.0] and list(out[0].p) == [4.0]
+
+
+def test_the_first_nearest_clusters_are_those_of_the_edges(spark):
+    from pyspark.sql import functions as F
+
+    from kindred.operators import clusters
+
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(80, 5))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item_id long, embedding array<double>")
+    active = items.select(F.lit(0).alias("g"), F.col("item_id").alias("label"), F.col("embedding").alias("s"), F.lit(1).cast("long").alias("n"), F.lit(True).alias("again"))
+    want, got = ({r.label: (r.to, round(r.d, 9)) for r in clusters._nearest_clusters(active, 0.2, 16, e).collect()} for e in (None, pairs_within(items, 0.2)))
+    assert got == want and 20 < len(got) < 80
