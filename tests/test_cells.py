@@ -128,3 +128,20 @@ def test_of_equal_codes_only_the_smallest_ids_are_searched(spark):
     got, work = quantizer.adc_search(df, quantizer.encode(df, book), book, 6)
     assert work == 600 * 6
     assert {(r.query_id, r.rank, r.item_id) for r in got.collect()} == {(q, k + 1, k) for q in range(600) for k in range(6)}
+
+
+def test_blocks_in_which_all_is_near_are_handed_on_in_runs(spark):
+    import tracemalloc
+
+    import pandas as pd
+
+    x = np.ones((2000, 4), np.float32) / 2
+    p = pd.DataFrame({"item_id": np.arange(2000), "v": list(x)})
+    tracemalloc.start()
+    sizes = [len(run) for run in pairs._runs(p, p, 0.3, True)]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sizes) == 2000 * 1999 // 2 and max(sizes) < 2 * pairs.RUN and len(sizes) > 4
+    assert most < 48 << 20
+    got = pairs.pairs_within(frame(spark, x[:700]), 0.3, block=500)
+    assert sorted((r.i, r.j) for r in got.select("i", "j").collect()) == [(i, j) for i in range(700) for j in range(i + 1, 700)]

@@ -204,3 +204,24 @@ def test_the_first_nearest_clusters_are_those_of_the_edges(spark):
     active = items.select(F.lit(0).alias("g"), F.col("item_id").alias("label"), F.col("embedding").alias("s"), F.lit(1).cast("long").alias("n"), F.lit(True).alias("again"))
     want, got = ({r.label: (r.to, round(r.d, 9)) for r in clusters._nearest_clusters(active, 0.2, 16, e).collect()} for e in (None, pairs_within(items, 0.2)))
     assert got == want and 20 < len(got) < 80
+
+
+def test_a_round_of_a_large_weak_component_is_bounded_however_large_it_is(spark, monkeypatch, tmp_path):
+    from kindred.operators import clusters
+
+    real, told = clusters._merged, str(tmp_path / "merged")
+
+    def spy(edges, *rest):
+        with open(told, "a") as f:
+            f.write(f"{len(edges)} {len(edges.columns)}\n")
+        return real(edges, *rest)
+
+    monkeypatch.setattr(clusters, "_merged", spy)
+    monkeypatch.setattr(clusters, "PLACES", 5)
+    rng = random.Random(4)
+    edges = [(0, i, rng.uniform(0.4, 0.5)) for i in range(1, 600)]
+    items = spark.createDataFrame([(x,) for x in range(600)], "item_id long")
+    got = constrained_clusters(items, spark.createDataFrame(edges, "i long, j long, dist double"), 0.5, 0.3, 3, most=10)
+    assert {r.item_id: r.label for r in got.collect()} == merge(600, edges, 0.5, 0.3, 3)
+    # no edge twice, as a struct besides its columns
+    assert all(int(n) <= 30 and int(c) <= 8 for n, c in (x.split() for x in open(told)))
