@@ -1,7 +1,10 @@
+import math
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
+from kindred.functions.vectors import normalized
 from kindred.operators.numbering import numbered
 from kindred.plans.duplicates import Settings, cached_verdicts, cluster, documents, find_duplicates, group_pairs
 from kindred.sources import cache, files, fitted, results
@@ -75,6 +78,16 @@ def test_every_mode_finds_the_copies(spark, copies, mode):
     assert cluster(copies, Settings(distance_threshold=0.05, max_cluster_size=2, mode=mode, parts=3, centroids=4)).where("label = item_id").count() == 4
 
 
+def test_the_number_of_items_does_not_choose_the_mode(spark):
+    # 0 and 1 are near; 2 is near to 1, but too far from both on average; 10,000 others are near to none of them
+    chain = [(k, [math.cos(a), math.sin(a)] + [0.0] * 14) for k, a in enumerate((0.0, 0.2457, 0.5297))]
+    others = F.concat(F.array(F.lit(0.0), F.lit(0.0)), normalized(F.array(*(F.randn(k) for k in range(14)))))
+    items = spark.createDataFrame(chain, "item_id long, embedding array<double>").unionByName(spark.range(3, 10_003).select(F.col("id").alias("item_id"), others.alias("embedding")))
+    label = lambda s: {r.item_id: r.label for r in cluster(items, s).where("item_id < 3").collect()}
+    assert label(Settings(distance_threshold=0.05)) == {0: 0, 1: 0, 2: 2}
+    assert label(Settings(distance_threshold=0.05, mode="constrained")) == {0: 0, 1: 0, 2: 0}
+
+
 def test_the_quantized_mode_takes_what_it_kept(spark, copies, tmp_path, monkeypatch):
     from kindred.operators import quantizer
 
