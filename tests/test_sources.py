@@ -130,6 +130,29 @@ def test_verdicts_come_from_the_cache_the_second_time(spark, copies, tmp_path):
     assert first == again and all(r[2] for r in first) and len(first) == 2
 
 
+def test_only_pairs_inside_clusters_are_verified(spark, tmp_path, monkeypatch):
+    from kindred import queries
+
+    # 60 items near to each other make a cluster over the largest size, two others one of their own
+    u = [math.cos(k) for k in range(64)]
+    apart = [math.cos(3 * k + 1) for k in range(64)]
+    of = lambda v, at, by: [x + by * (k == at) for k, x in enumerate(v)]
+    raw = [(k, of(u, k, 0.1)) for k in range(60)] + [(60 + k, of(apart, k, 0.1)) for k in range(2)]
+    rows = [(k, [x / sum(y * y for y in v) ** 0.5 for x in v]) for k, v in raw]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    asked, own = [], queries.cached_verdicts
+
+    def verdicts(pairs, *args, **limits):
+        out = own(pairs, *args, **limits)
+        asked.append({(r.i, r.j) for r in pairs.collect()})
+        return out
+
+    monkeypatch.setattr(queries, "cached_verdicts", verdicts)
+    found = queries.QUERIES["verified_groups"](spark, str(tmp_path)).collect()
+    assert asked == [{(60, 61)}] * 2
+    assert [(r.group_id, r.label, r.members, r.n_pairs) for r in found] == [(0, 60, "60,61", 1)]
+
+
 def test_numbers_are_consecutive_over_partitions(spark):
     t = spark.range(1000).selectExpr("id * 7 % 1000 as x", "id").repartition(7)
     got = {r.x: r.n for r in numbered(t, ["x"], "n").collect()}
