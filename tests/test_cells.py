@@ -145,3 +145,17 @@ def test_blocks_in_which_all_is_near_are_handed_on_in_runs(spark):
     assert most < 48 << 20
     got = pairs.pairs_within(frame(spark, x[:700]), 0.3, block=500)
     assert sorted((r.i, r.j) for r in got.select("i", "j").collect()) == [(i, j) for i in range(700) for j in range(i + 1, 700)]
+
+
+def test_fitting_cells_takes_little_of_the_driver():
+    import tracemalloc
+
+    from kindred.operators import cells, pairs
+
+    x = np.random.default_rng(3).normal(size=(4096, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    tracemalloc.start()
+    cells.fitted(x, True, pairs._join_cost(x, 50_000, 0.6, 8192))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
